@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, token_files
+from . import embed_dedup, packing, pii, token_files, topk
 
 #: Folder of public vocabulary files; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -44,10 +44,54 @@ def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised("embedding").alias("vector"))
+    found = topk.exact_topk(vectors, vectors.filter("id % 50 = 0"), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP2_SQL = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+def op5_grid_order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.near_dedup(table(spark, sf_dir, "embeddings"), least=0.93)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+fine AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM v LEFT JOIN least l ON vec_id = l.a LEFT JOIN counts c ON vec_id = c.a
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_topk": op2_exact_topk,
+    "op5_grid_order_dedup": op5_grid_order_dedup,
     "op7_token_files": op7_token_files,
     "op8_hilbert_packing": op8_hilbert_packing,
     "op9_crf_pii": op9_crf_pii,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op5_grid_order_dedup": OP5_SQL}
