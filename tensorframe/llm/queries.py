@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, packing, pii, token_files, topk
+from . import embed_dedup, extract, packing, pii, token_files, topk
 
 #: Folder of public vocabulary files; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -63,6 +63,10 @@ WHERE rank <= 5
 """
 
 
+def op4_host_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_grid_order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_dedup.near_dedup(table(spark, sf_dir, "embeddings"), least=0.93)
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
@@ -88,6 +92,7 @@ FROM v LEFT JOIN least l ON vec_id = l.a LEFT JOIN counts c ON vec_id = c.a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
+    "op4_host_path_extraction": op4_host_path_extraction,
     "op5_grid_order_dedup": op5_grid_order_dedup,
     "op7_token_files": op7_token_files,
     "op8_hilbert_packing": op8_hilbert_packing,
