@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, extract, packing, pii, token_files, topk
+from . import embed_dedup, extract, packing, pii, quality_gam, token_files, topk
 
 #: Folder of public vocabulary files; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -44,6 +44,13 @@ def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_gam.score(docs, model)
+    return scored.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised("embedding").alias("vector"))
     found = topk.exact_topk(vectors, vectors.filter("id % 50 = 0"), 5)
@@ -91,6 +98,7 @@ FROM v LEFT JOIN least l ON vec_id = l.a LEFT JOIN counts c ON vec_id = c.a
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_additive_quality": op1_additive_quality,
     "op2_exact_topk": op2_exact_topk,
     "op4_host_path_extraction": op4_host_path_extraction,
     "op5_grid_order_dedup": op5_grid_order_dedup,
