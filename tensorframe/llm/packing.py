@@ -15,8 +15,6 @@ Null doc_ids are kept. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, text_slices, tune
-from .wordcodes import Numbered, with_end, word_codes
+from .wordcodes import with_end, word_codes, word_hash
 
 DIMS, BITS = 3, 10
 WIDTH = 1 << 14
@@ -65,32 +63,24 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Curve:
-    """Hilbert keys of texts."""
+    """Hilbert keys of texts, from their words' hashes."""
 
     def __init__(self):
         self.matrix = projection()
-        self.words = Numbered()
-        self.rows = np.zeros((0, DIMS), np.float32)
-
-    def keys(self, texts: list[str]) -> np.ndarray:
-        from zlib import crc32
 
-        parts = [t.split() for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        if len(self.words) > len(self.rows):
-            new = list(self.words)[len(self.rows) :]
-            self.rows = np.concatenate([self.rows, self.matrix[np.fromiter((crc32(w.encode("utf-8", "replace")) % WIDTH for w in new), np.int64, len(new))]])
-        ends = np.cumsum(counts)
-        total = np.concatenate([np.zeros((1, DIMS)), np.cumsum(self.rows[at], axis=0, dtype=np.float64)])
+    def keys(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        counts = np.diff(ends, prepend=0)
+        total = np.concatenate([np.zeros((1, DIMS)), np.cumsum(self.matrix[hashes % WIDTH], axis=0, dtype=np.float64)])
         sums = total[ends] - total[ends - counts]
-        if len(self.words) > 200_000:
-            self.words, self.rows = Numbered(), self.rows[:0]
         # each coordinate is about normal with variance `counts`; spread it evenly over the grid
         z = sums / np.sqrt(np.maximum(counts, 1))[:, None]
         even = 1 / (1 + np.exp(-1.702 * np.clip(z, -20, 20)))
         return hilbert(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
+    def of_texts(self, texts: list[str]) -> np.ndarray:
+        parts = [t.split() for t in texts]
+        return self.keys(np.array([word_hash(w) for p in parts for w in p], np.int64), np.cumsum([len(p) for p in parts]))
+
 
 _curve: list[Curve] = []
 
@@ -110,7 +100,7 @@ def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
     def place(batches):
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                key = (curve().keys(texts) << 32) | part.column(1).to_numpy()
+                key = (curve().of_texts(texts) << 32) | part.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([len(t) + 1 for t in texts], pa.int64())], ["key", "n"])
 
     got = sample.select("text", "salt").mapInArrow(place, "key long, n long").toPandas().sort_values("key")  # BOUND_SAMPLES a partition
@@ -138,8 +128,9 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, ke
     def encode(batches):
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                key = (curve().keys(texts) << 32) | part.column(2).to_numpy()
-                ids, ends = with_end(*word_codes(tokenizer, keep_space).encode(texts), end_id)
+                ids, ends, *hashed = word_codes(tokenizer, keep_space).encode_and_hash(texts)
+                key = (curve().keys(*hashed) << 32) | part.column(2).to_numpy()
+                ids, ends = with_end(ids, ends, end_id)
                 cut = np.append(0, ends)
                 data = ids.astype("<u2" if ids.max(initial=0) < 65536 else "<u4")
                 raw = data.tobytes()

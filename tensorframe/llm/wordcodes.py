@@ -11,14 +11,17 @@ from __future__ import annotations
 import os
 import re
 from itertools import chain, islice
+from zlib import crc32
 
 import numpy as np
 
 #: White space beyond blank and newline, where definitions of white space differ.
-ODD = re.compile(r"[^\S \n]")
+ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Distinct chunks held by a worker; the earliest half of them stays when it is full.
-HELD = 400_000
+#: Distinct chunks held by a worker (some 250 bytes each); the earliest half of them stays when it is full.
+HELD = 1_000_000
+#: Chunks that the tokenizer gets in one string.
+JOINED = 2_000
 
 
 class Numbered(dict):
@@ -29,6 +32,23 @@ class Numbered(dict):
         return n
 
 
+def word_hash(chunk: str) -> int:
+    """The same for a word with and without white space around it, and in either case."""
+    return crc32(chunk.strip().lower().encode("utf-8", "replace"))
+
+
+def _words(text: str) -> list[str]:
+    """Words for a vocabulary that lowers case itself; lowering first merges more of them.
+
+    In Latin-1 lower case changes single letters only, so the order doesn't matter; other texts are left as they are.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return text.lower().split()
+
+
 class WordCodes:
     """``encode(texts)`` gives all ids in one array and the texts' end offsets in it."""
 
@@ -38,45 +58,85 @@ class WordCodes:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are text
-        self.split = CHUNK.findall if keep_space else str.split
+        self.split = CHUNK.findall if keep_space else _words
+        # of byte-level pieces, a token's characters are its bytes
+        self.width = None
+        if keep_space:
+            self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.width[i] = len(token)
         self.known = Numbered()
-        self.starts = np.zeros(1, np.int64)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.hashes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _add(self, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.sizes[at] = sizes
+        self.starts[at] = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids])
+
     def _learn(self) -> None:
-        new = self._ids(list(islice(self.known, len(self.starts) - 1, None)))
-        if new:
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))])
+        have = len(self.starts)
+        new = list(islice(self.known, have, None))
+        if not new:
+            return
+        self.starts, self.sizes = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.sizes))
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(word_hash, new), np.int64, len(new))])
+        alone = list(range(len(new)))
+        if self.width is not None:  # chunks "white space, rest" can follow each other in one string; bytes tell where each ends
+            together = [i for i, w in enumerate(new) if w[0] in " \n" and w[-1] not in " \n"]
+            alone = [i for i, w in enumerate(new) if w[0] not in " \n" or w[-1] in " \n"]
+            for a in range(0, len(together), JOINED):
+                at = together[a : a + JOINED]
+                ids = np.array(self._ids(["".join([new[i] for i in at])])[0], np.uint32)
+                ends = np.cumsum([len(new[i].encode()) for i in at])
+                last = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+                self._add(have + np.array(at), np.diff(last, prepend=0), ids)
+        if alone:
+            ids = self._ids([new[i] for i in alone])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._add(have + np.array(alone), sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
     def _trim(self) -> None:
         if len(self.known) > HELD:
             keep = HELD // 2
             old, self.known = self.known, Numbered()
             self.known.update(islice(old.items(), keep))
-            self.starts = self.starts[: keep + 1].copy()
-            self.flat = self.flat[: self.starts[-1]].copy()
+            self.flat, ends = self._gather(np.arange(keep))
+            self.starts, self.sizes = ends[:-1].copy(), self.sizes[:keep].copy()
+            self.hashes = self.hashes[:keep].copy()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = {i: ids for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True)} if (odd := [i for i, t in enumerate(texts) if ODD.search(t)]) else {}
+        return self.encode_and_hash(texts)[:2]
+
+    def encode_and_hash(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As encode(), with the hashes of all words and the texts' end offsets in them."""
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in ODD)]
+        whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True)) if odd else {}
         parts = [[] if i in whole else self.split(t) for i, t in enumerate(texts)]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         self._learn()
-        sizes = self.starts[at + 1] - self.starts[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        text_ends = ends[np.cumsum(counts)]
+        ids, ends = self._gather(at)
+        hashes, hash_ends = self.hashes[at], np.cumsum(counts)
+        text_ends = ends[hash_ends]
         self._trim()
         if whole:
             pieces = np.split(ids, text_ends[:-1])
             pieces = [np.array(whole[i], np.uint32) if i in whole else p for i, p in enumerate(pieces)]
             ids, text_ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
-        return ids, text_ends
+            pieces = np.split(hashes, hash_ends[:-1])
+            pieces = [np.array([word_hash(w) for w in texts[i].split()], np.int64) if i in whole else p for i, p in enumerate(pieces)]
+            hashes, hash_ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+        return ids, text_ends, hashes, hash_ends
 
 
 _loaded: dict[tuple[str, bool], WordCodes] = {}
