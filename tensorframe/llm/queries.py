@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, extract, packing, pii, quality_gam, token_files, topk
+from . import embed_dedup, extract, packing, pii, quality_gam, substring, token_files, topk
 
 #: Folder of public vocabulary files; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -97,6 +97,26 @@ FROM v LEFT JOIN least l ON vec_id = l.a LEFT JOIN counts c ON vec_id = c.a
 """
 
 
+def op10_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS t FROM starts),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM ranked WHERE k > 1),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quality": op1_additive_quality,
     "op2_exact_topk": op2_exact_topk,
@@ -105,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_hilbert_packing": op8_hilbert_packing,
     "op9_crf_pii": op9_crf_pii,
+    "op10_fm_substring_dedup": op10_fm_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op5_grid_order_dedup": OP5_SQL}
+ORACLE: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op5_grid_order_dedup": OP5_SQL, "op10_fm_substring_dedup": OP10_SQL}
