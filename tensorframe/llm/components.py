@@ -12,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few, written
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    return written(df.coalesce(few(df.sparkSession)), name)
 
 
 def _least(links: DataFrame) -> DataFrame:
-    return written(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return _kept(links.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,14 +28,14 @@ def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both).select("u", F.least("u", "m").alias("m"))
     out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return written(out.distinct(), "large")
+    return _kept(out.distinct(), "large")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """u (the greater end) and its smaller neighbours are linked to the smallest of them."""
     least = _least(edges)
     down = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return written(down.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+    return _kept(down.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
 def _state(edges: DataFrame):
@@ -40,7 +44,7 @@ def _state(edges: DataFrame):
 
 def components(links: DataFrame) -> DataFrame:
     """u and v (long) in any order; returns node, component (its smallest node) for every node that has a link but is not itself the smallest."""
-    edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = _kept(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
         edges = _small(_large(edges))

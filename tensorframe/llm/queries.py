@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, extract, packing, pii, quality_gam, substring, token_files, topk
+from . import embed_dedup, extract, near_dedup, packing, pii, quality_gam, substring, token_files, topk
 
 #: Folder of public vocabulary files; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -70,6 +70,10 @@ WHERE rank <= 5
 """
 
 
+def op3_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_host_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -120,6 +124,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quality": op1_additive_quality,
     "op2_exact_topk": op2_exact_topk,
+    "op3_weighted_minhash": op3_weighted_minhash,
     "op4_host_path_extraction": op4_host_path_extraction,
     "op5_grid_order_dedup": op5_grid_order_dedup,
     "op7_token_files": op7_token_files,
