@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, extract, near_dedup, packing, pii, quality_gam, substring, token_files, topk
+from . import embed_dedup, extract, merge_dropout, near_dedup, packing, pii, quality_gam, substring, token_files, topk
 
 #: Folder of public vocabulary files; a parameter of the operators.
 def vocabulary(name: str) -> str:
@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    coded = merge_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, dropout=0.1, seed=17)
+    read = merge_dropout.decode(coded.select("doc_id", "ids"), model)
+    return read.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary=50_257, end_id=2)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -127,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_weighted_minhash": op3_weighted_minhash,
     "op4_host_path_extraction": op4_host_path_extraction,
     "op5_grid_order_dedup": op5_grid_order_dedup,
+    "op6_merge_dropout": op6_merge_dropout,
     "op7_token_files": op7_token_files,
     "op8_hilbert_packing": op8_hilbert_packing,
     "op9_crf_pii": op9_crf_pii,
