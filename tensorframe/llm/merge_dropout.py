@@ -36,7 +36,7 @@ BLANK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 DRAWS = 8
 #: Chunks held by a worker, and the longest that is merged in a matrix.
-HELD, LONGEST = 400_000, 32
+HELD, LONGEST = 600_000, 32
 NONE = np.iinfo(np.int32).max
 
 
@@ -61,6 +61,12 @@ class Vocabulary:
             self.bytes[i] = pieces[i].replace(BLANK, " ").encode()
         score = {i: model.get_score(i) for i in plain}
         place = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+        # of each code point in a chunk: its piece, or below 0 if it is written as bytes
+        self.symbols = -1 - np.arange(0x110000)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbols[ord(p)] = i
+        self.symbols[0x20], self.symbols[ord(BLANK)] = self.ids[BLANK], -1 - ord(BLANK)
         merges = []
         for i in plain:
             p = pieces[i]
@@ -69,21 +75,32 @@ class Vocabulary:
                     merges.append((self.ids[p[:k]] * self.size + self.ids[p[k:]], place[score[i]], i))
         merges.sort()
         self.pair, self.rank, self.made = (np.array(x, np.int64) for x in zip(*merges, strict=True))
+        # a table of hash slots; a pair whose slot another one holds is found by binary search
+        self.slots = np.full(1 << 21, -1, np.int32)
+        at = self._slot(self.pair)
+        self.slots[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+        self.crowded = np.zeros(1 << 21, bool)
+        self.crowded[at[self.slots[at] != np.arange(len(at))]] = True
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
-    def symbol(self, c: str) -> int:
-        """Id of a character; below 0 for one that is written as bytes."""
-        return self.ids.get(c, -1 - ord(c))
-
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if there is none) and id of the merge of two pieces."""
         key = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        ok = self.pair[at] == key
+        slot = self._slot(key)
+        at = self.slots[slot]
+        ok = (at >= 0) & (self.pair[at] == key)
+        retry = np.flatnonzero(~ok & self.crowded[slot])
+        if len(retry):
+            at[retry] = np.minimum(np.searchsorted(self.pair, key[retry]), len(self.pair) - 1)
+            ok[retry] = self.pair[at[retry]] == key[retry]
         return np.where(ok, self.rank[at], NONE), self.made[at]
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * U(0x9E3779B97F4A7C15)) >> U(43)).astype(np.int64)
+
     def spelled(self, symbols: list[int]) -> list[int]:
         out: list[int] = []
         for s in symbols:
@@ -178,7 +195,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known, self.names = Numbered(), []
+        self.known = Numbered()
+        self.codes = np.zeros(0, np.uint32)
+        self.cuts = self.lengths = np.zeros(0, np.int64)
         self.hashes = np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)  # of (chunk, draw): its segmentation, -1 if there is none yet
         self.starts = self.sizes = np.zeros(0, np.int64)
@@ -194,42 +213,45 @@ class Encoder:
             own = np.add.reduceat(mix(codes + mix(inside + U(7))), cut) if len(codes) else np.zeros(0, np.uint64)
             self.hashes = np.concatenate([self.hashes, mix(own + sizes.astype(np.uint64))])
             self.slot = np.concatenate([self.slot, np.full(len(new) * self.draws, -1)])
-            self.names += new
+            self.cuts = np.concatenate([self.cuts, len(self.codes) + cut])
+            self.lengths = np.concatenate([self.lengths, sizes])
+            self.codes = np.concatenate([self.codes, codes.astype(np.uint32)])
 
     def _segment(self, wanted: np.ndarray) -> None:
         """Adds the segmentations of (chunk, draw) numbers."""
         v = self.v
         chunk, draw = wanted // self.draws, wanted % self.draws
         keys = mix(self.hashes[chunk] + mix(draw.astype(np.uint64) + U((self.seed * 1_000_003 + 1) % (1 << 64))))
-        texts = [self.names[c] for c in chunk]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        result: list[list[int]] = [[]] * len(texts)
-        cache: dict[str, int] = {BLANK: -1 - 0x2581, " ": v.ids[BLANK]}
-        for low, high in ((0, 4), (4, 8), (8, 12), (12, 20), (20, LONGEST)):
-            at = np.flatnonzero((sizes > low) & (sizes <= high))
-            for a in range(0, len(at), 100_000):
-                own = at[a : a + 100_000]
-                symbols = np.full((len(own), high), -1, np.int64)
-                flat = []
-                for i in own:
-                    for c in texts[i]:
-                        s = cache.get(c)
-                        if s is None:
-                            s = cache[c] = v.symbol(c)
-                        flat.append(s)
-                symbols[np.arange(high) < sizes[own, None]] = flat
-                for rows, made, count in merge_rows(v, symbols, sizes[own], keys[own], self.rate):
-                    for r, ids, n in zip(own[rows].tolist(), made.tolist(), count.tolist(), strict=True):
-                        ids = ids[:n]
-                        result[r] = ids if min(ids) >= 0 else v.spelled(ids)
-        for i in np.flatnonzero(sizes > LONGEST):
-            symbols = [cache[c] if c in cache else v.symbol(c) for c in texts[i]]
-            result[i] = v.spelled(agenda(v, symbols, int(keys[i]), self.rate))
-        n = np.fromiter(map(len, result), np.int64, len(result))
-        self.slot[wanted] = len(self.starts) + np.arange(len(wanted))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-        self.sizes = np.concatenate([self.sizes, n])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(result), self.flat.dtype, int(n.sum()))])
+        lengths, first = self.lengths[chunk], self.cuts[chunk]
+        base, self.slot[wanted] = len(self.starts), len(self.starts) + np.arange(len(wanted))
+        starts, sizes, out, n_out = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64), [self.flat], len(self.flat)
+
+        def add(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+            nonlocal n_out
+            starts[rows], sizes[rows] = n_out + np.cumsum(counts) - counts, counts
+            out.append(ids.astype(self.flat.dtype))
+            n_out += len(ids)
+
+        for low, high in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 14), (14, 20), (20, LONGEST)):
+            at = np.flatnonzero((lengths > low) & (lengths <= high))
+            for a in range(0, len(at), 50_000):
+                own = at[a : a + 50_000]
+                inside = np.arange(high) < lengths[own, None]
+                symbols = np.where(inside, v.symbols[self.codes[np.minimum(first[own, None] + np.arange(high), len(self.codes) - 1)]], -1)
+                for rows, made, counts in merge_rows(v, symbols, lengths[own], keys[own], self.rate):
+                    used = np.arange(high) < counts[:, None]
+                    plain = ~((made < 0) & used).any(axis=1)
+                    add(own[rows[plain]], made[plain][used[plain]], counts[plain])
+                    for k in np.flatnonzero(~plain):
+                        ids = np.array(v.spelled(made[k, : counts[k]].tolist()))
+                        add(own[rows[k : k + 1]], ids, np.array([len(ids)]))
+        for i in np.flatnonzero(lengths > LONGEST):
+            symbols = v.symbols[self.codes[first[i] : first[i] + lengths[i]]].tolist()
+            ids = np.array(v.spelled(agenda(v, symbols, int(keys[i]), self.rate)))
+            add(np.array([i]), ids, np.array([len(ids)]))
+        self.flat = np.concatenate(out)
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        assert len(self.starts) == base + len(wanted)
 
     def encode(self, texts: list[str], doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the texts' end offsets; `doc_keys` vary the draws."""

@@ -31,7 +31,7 @@ def test_plain_encoding_is_the_librarys():
 
 def slow(v, text, key, rate):
     """Repeats: merge the best pair that is not skipped."""
-    s = [(v.ids["▁"] if c == " " else -1 - 0x2581 if c == "▁" else v.symbol(c), i, i + 1) for i, c in enumerate(text)]
+    s = [(int(v.symbols[ord(c)]), i, i + 1) for i, c in enumerate(text)]
     while True:
         best = None
         for k in range(len(s) - 1):
@@ -50,7 +50,7 @@ def test_matrix_and_agenda_equal_plain_repetition(rate):
     rng = random.Random(2)
     chunks = [" " + "".join(rng.choice("theriongas▁漢") for _ in range(rng.randrange(1, 30))) for _ in range(60)] + ["    x", " ", " a"]
     keys = np.array([rng.getrandbits(64) for _ in chunks], np.uint64)
-    sym = [[e.v.ids["▁"] if c == " " else -1 - 0x2581 if c == "▁" else e.v.symbol(c) for c in t] for t in chunks]
+    sym = [e.v.symbols[list(map(ord, t))].tolist() for t in chunks]
     matrix = np.full((len(chunks), 32), -1, np.int64)
     for i, s in enumerate(sym):
         matrix[i, : len(s)] = s
