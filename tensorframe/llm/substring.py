@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, text_slices, tune, written
+from .common import few, new_path, partitions, text_slices, tune, written
 from .fm_index import FMIndex
 from .textwords import U, grams, mix, words_of
 
@@ -330,7 +330,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id
 
     told_schema = "kind string, shard int, data binary"
     sent = docs.mapInArrow(cut, "part int, shard int, data binary").repartitionById(parts, "part")
-    settled = written(sent.mapInArrow(settle, told_schema), "substring-settled")
+    settled = written(sent.mapInArrow(settle, told_schema).repartition(few(spark)), "substring-settled")
     fs, path = pafs.FileSystem.from_uri(folder)
     there = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
     numbers = [int(f.base_name[:8]) for f in there if f.base_name.endswith(".parquet")]
@@ -345,7 +345,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id
     shards = max(numbers) + 1
     asked = settled.filter("kind = 'request'").repartitionById(shards, "shard")
     pieces = asked.mapInArrow(fetch, "part int, shard int, pieces binary, words binary").repartitionById(parts, "part")
-    found = written(pieces.mapInArrow(look_up, told_schema), "substring-found")
+    found = pieces.mapInArrow(look_up, told_schema)
     every = spark.createDataFrame([("row", k, b"") for k in numbers], told_schema)  # a row per shard file
     reports = settled.filter("kind = 'report'").union(found).union(every).repartitionById(shards, "shard")
     return reports.mapInArrow(finish, schema)
