@@ -1,22 +1,22 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five consecutive words, lower case (a shorter text is one
-shingle). Their weight is tf * log(1 + N / df), where df comes from a hashed
-table of document frequencies over all documents (2**20 counters, so its size does not
+shingle). Their weight is tf * idf with idf = 1 + log(1 + N / df) / log(1 + WIDTH),
+between 1 and about 2, so that passages of a large group of copies still count. df comes from a hashed
+table of document frequencies over all documents (WIDTH = 2**20 counters, so its size does not
 follow the corpus; two shingles sharing a counter share its df). BANDS x
 ROWS consistent weighted samples (Ioffe 2010) make a document's band keys; two
 documents agree in one sample with probability equal to their weighted Jaccard similarity.
 
 Exact copies (equal words) form a class first, with its least doc_id as the
-node. Nodes that share a band key form a piece. Candidates are compared by
-exact weighted Jaccard similarity, and no piece is ever turned into all its pairs at once:
+node. Nodes that share a band key form a piece. Similarities are exact, and a piece is not turned into pairs of rows:
 
-* first every member is compared with the piece's leader (the least hash);
-* then, round by round, a piece whose members lie in several components is
-  taken up again: some members outside its largest component (SOME, or an
-  eighth) are compared with all members of other components, and leave the
-  piece. A piece ends when it is one component, so no pair that shares a band key is
-  left out unless both documents are already in one class.
+* first every member is compared with the piece's leader (the member of least hash);
+* a piece that then holds several components is cut into blocks of about BLOCK members, those of its
+  largest component apart from the others. Every pair of blocks, but for two of the largest component, is one task: a product of
+  their weight matrices gives all similarities, and the task reports a spanning forest of the links.
+
+So no pair that shares a band key is left out unless both documents are already in one class.
 
 Result: one row per row of the input with class_id, the least doc_id of its class, and kept
 (doc_id = class_id). Null, empty and blank texts are no copies of each other:
@@ -38,7 +38,7 @@ from .textwords import U, grams, mix, words_of
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 WIDTH = 1 << 20
-SOME = 16
+BLOCK = 256
 SLICE = 2_000_000
 _KEPT = 40  # bits of a shingle's hash
 
@@ -143,17 +143,15 @@ class Weights:
     """The weight of a shingle from its times and counter."""
 
     def __init__(self, table: np.ndarray, n: int):
-        self.idf = np.log1p(max(n, 1) / np.maximum(table, 1)).astype(np.float32)
+        self.idf = (1 + np.log1p(max(n, 1) / np.maximum(table, 1)) / np.log1p(WIDTH)).astype(np.float32)
 
     def __call__(self, sh: np.ndarray, times: np.ndarray) -> np.ndarray:
         return times * self.idf[(sh % U(WIDTH)).astype(np.int64)].astype(np.float64)
 
 
-def similarities(left: list[str], right: list[str], weights: Weights) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts."""
-    number: dict[str, int] = {}
-    a, b = (np.array([number.setdefault(t, len(number)) for t in side]) for side in (left, right))
-    texts, sets = list(number), []
+def weighted_sets(texts: list[str], weights: Weights) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text its shingles in order, their weights and their times."""
+    sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held, first = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
@@ -161,11 +159,19 @@ def similarities(left: list[str], right: list[str], weights: Weights) -> np.ndar
             doc, sh, times, _, _ = shingles(texts[first : i + 1])
             w = weights(sh, times)
             cut = np.searchsorted(doc, np.arange(i + 2 - first))
-            sets += [(sh[x:y], w[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+            sets += [(sh[x:y], w[x:y], times[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
             held, first = 0, i + 1
+    return sets
+
+
+def similarities(left: list[str], right: list[str], weights: Weights) -> np.ndarray:
+    """Weighted Jaccard similarity of each pair of texts."""
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(t, len(number)) for t in side]) for side in (left, right))
+    sets = weighted_sets(list(number), weights)
     out = np.zeros(len(a))
     for k, (i, j) in enumerate(zip(a, b, strict=True)):
-        (x, wx), (y, wy) = sets[i], sets[j]
+        (x, wx, _), (y, wy, _) = sets[i], sets[j]
         if len(x) and len(y):
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             same = y[at] == x
@@ -174,6 +180,34 @@ def similarities(left: list[str], right: list[str], weights: Weights) -> np.ndar
     return out
 
 
+def all_similarities(texts: list[str], weights: Weights, columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of every two texts.
+
+    A shingle that occurs k times counts as k columns, so a product of 0/1 matrices with the
+    columns' weights sums the smaller of two weights.
+    """
+    sets = weighted_sets(texts, weights)
+    total = np.array([w.sum() for _, w, _ in sets])
+    doc = np.repeat(np.arange(len(sets)), [int(n.sum()) for _, _, n in sets])
+    times = np.concatenate([n for _, _, n in sets])
+    sh = np.repeat(np.concatenate([s for s, _, _ in sets]), times)
+    w = np.repeat(np.concatenate([x for _, x, _ in sets]) / times, times)
+    level = np.arange(len(sh)) - np.repeat(np.cumsum(times) - times, times)
+    _, column, count = np.unique(mix(sh + mix(level.astype(np.uint64))), return_inverse=True, return_counts=True)
+    used = count[column] > 1  # others are in no intersection
+    _, column = np.unique(column[used], return_inverse=True)
+    doc, w = doc[used], w[used]
+    order = np.argsort(column, kind="stable")
+    doc, w, column = doc[order], w[order], column[order]
+    both = np.zeros((len(texts), len(texts)))
+    for a in range(0, int(column.max(initial=-1)) + 1, columns):
+        own = slice(*np.searchsorted(column, [a, a + columns]))
+        x = np.zeros((len(texts), columns))
+        x[doc[own], column[own] - a] = np.sqrt(w[own])
+        both += x @ x.T
+    return both / np.maximum(total[:, None] + total[None, :] - both, 1e-300)
+
+
 def signatures(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
     """doc_id, two hashes of the word sequence (0: no words), band keys."""
 
@@ -205,6 +239,52 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float)
     return written(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long").repartition(few(pairs.sparkSession)), "near-links")
 
 
+def in_blocks(own: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """Links (a spanning forest of each block pair) within the pieces that hold several components."""
+    spark = own.sparkSession
+    sizes = own.groupBy("piece", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
+    open_ = sizes.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    open_ = open_.filter("n > most and n > 2")  # of two members, both have met as leader and member
+    open_ = open_.groupBy("n", "h", "most", "main").agg(F.min("piece").alias("piece"))  # bands often give the same piece
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = written(open_.select("piece", "main", blocks(F.col("most")).alias("a"), blocks(F.col("n") - F.col("most")).alias("b")).coalesce(few(spark)), "near-open")
+    inside = F.col("component") == F.col("main")
+    block = F.when(inside, F.pmod(F.xxhash64("rep"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("rep"), F.col("b"))).cast("int")
+    rows = own.join(open_, "piece").select("piece", "rep", block.alias("block"), F.when(inside, F.col("a")).otherwise(0).alias("from"), (F.col("a") + F.col("b") - 1).alias("to"))
+    rows = rows.select("piece", "rep", "block", F.explode(F.sequence("from", "to")).alias("other"))
+    rows = rows.select("piece", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("rep").alias("doc_id")).join(texts, "doc_id")
+
+    def solve(batches):
+        now, ids, held = None, [], []
+        for batch in batches:
+            for p, x, y, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (p, x, y) != now:
+                    if len(ids) > 1:
+                        yield forest(ids, held)
+                    now, ids, held = (p, x, y), [], []
+                ids.append(d)
+                held.append(t)
+        if len(ids) > 1:
+            yield forest(ids, held)
+
+    def forest(ids: list[int], held: list[str]) -> pa.RecordBatch:
+        near = all_similarities(held, weights) >= least
+        todo, out = set(range(len(ids))), []
+        while todo:
+            queue = [todo.pop()]
+            while queue:
+                i = queue.pop()
+                for j in np.flatnonzero(near[i]).tolist():
+                    if j in todo:
+                        todo.remove(j)
+                        queue.append(j)
+                        out.append((ids[i], ids[j]))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "v"])
+
+    dealt = rows.select("piece", "x", "y", "doc_id", "text").repartition(partitions(spark), "piece", "x", "y").sortWithinPartitions("piece", "x", "y")
+    return written(dealt.mapInArrow(solve, "u long, v long").repartition(few(spark)), "near-links")
+
+
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, kept: one row per row of ``docs``."""
     spark = tune(docs.sparkSession)
@@ -222,26 +302,12 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     texts = written(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
     pairs = pieces.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
     links = verified(pairs, texts, weights, least)
-    pieces, turn = pieces.select("piece", "rep"), 0
-    while True:
-        named = small(components(links), "near-components")
-        turn += 1
-        own = pieces.join(named.withColumnRenamed("node", "rep"), "rep", "left")
-        own = small(own.select("piece", "rep", F.coalesce("component", "rep").alias("component")), "near-own")
-        sizes = own.groupBy("piece", "component").count().groupBy("piece")
-        several = sizes.agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("component", F.struct("count", "component")).alias("main")).filter("n > most")
-        several = small(several.select("piece", "main", (F.col("n") - F.col("most")).alias("rest")), "near-open")
-        if several.isEmpty():
-            break
-        share = F.greatest(F.lit(float(SOME)), F.col("rest") / 8) / F.col("rest")
-        drawn = F.pmod(F.xxhash64("rep", "piece", F.lit(turn)), F.lit(1 << 20)) < share * float(1 << 20)
-        split = small(own.join(several, "piece").select("piece", "rep", "component", ((F.col("component") != F.col("main")) & drawn).alias("asks")), "near-split")
-        asking = split.filter("asks").select("piece", F.col("rep").alias("other"), F.col("component").alias("its"))
-        pairs = split.join(asking, "piece").filter("component <> its and (not asks or rep < other)")
-        pairs = pairs.select(F.least("rep", "other").alias("u"), F.greatest("rep", "other").alias("v")).distinct()
-        more = verified(pairs, texts, weights, least)
-        links = named.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
-        pieces = split.filter("not asks").select("piece", "rep")
+    named = small(components(links), "near-components")
+    own = pieces.join(named.withColumnRenamed("node", "rep"), "rep", "left")
+    own = small(own.select("piece", "rep", F.coalesce("component", "rep").alias("component")), "near-own")
+    more = in_blocks(own, texts, weights, least)
+    links = named.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
+    named = small(components(links), "near-components")
     result = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left")
     result = small(result.select("d1", "d2", F.coalesce("component", "rep").alias("class_id")), "near-results")
     yes = fine.select("doc_id", "d1", "d2").join(result, ["d1", "d2"]).select("doc_id", "class_id")

@@ -21,7 +21,7 @@ def brute(rows, least):
     sets = sets_of([t for _, t in rows])
     df = Counter(s for x in sets for s in x)
     n = sum(map(bool, sets))
-    weight = [{s: k * math.log1p(n / df[s]) for s, k in x.items()} for x in sets]
+    weight = [{s: k * (1 + math.log1p(n / df[s]) / math.log1p(nd.WIDTH)) for s, k in x.items()} for x in sets]
     up = list(range(len(rows)))
 
     def root(i):
@@ -78,6 +78,8 @@ def test_similarities_are_exact():
         top = sum(max(w[i].get(k, 0), w[j].get(k, 0)) for k in keys)
         want = sum(min(w[i].get(k, 0), w[j].get(k, 0)) for k in keys) / top if top and w[i] and w[j] else 0
         assert s == pytest.approx(want)
+    every = nd.all_similarities(texts, weights, 3)
+    assert all(every[p] == pytest.approx(s) for p, s in zip(pairs, got, strict=True) if p[0] != p[1])
 
 
 def near_copy(rng, words, vocabulary, edits):
@@ -87,15 +89,15 @@ def near_copy(rng, words, vocabulary, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("some", [16, 1])
-def test_classes_equal_brute_force(spark, monkeypatch, some):
-    monkeypatch.setattr(nd, "SOME", some)
-    rng = random.Random(some)
+@pytest.mark.parametrize("block", [256, 4])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng = random.Random(block)
     vocabulary = [f"w{i}" for i in range(500)]
     texts = []
     for k in range(8):
         base = [rng.choice(vocabulary) for _ in range(150)]
-        texts += [near_copy(rng, base, vocabulary, rng.randrange(7)) for _ in range(3 + 5 * k)] + [" ".join(base)] * k
+        texts += [near_copy(rng, base, vocabulary, rng.randrange(16)) for _ in range(3 + 5 * k)] + [" ".join(base)] * k
     line = " ".join(rng.choice(vocabulary) for _ in range(30))
     texts += [line + " " + " ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(30)]
     texts += ["", "", None, "  \n", "two words", "two words", "Two  WORDS", "one", "word " * 3000, "word " * 3000]
