@@ -1,6 +1,727 @@
-"""Queries of the tensor and graph operators over the driver's tables."""
+"""Queries of the tensor and graph operators over the driver's tables, with DuckDB SQL for the same rows.
+
+Tensors: SP[supplier, part] and OP[order, part] sum quantities, NN counts line
+items between nations of customer and supplier, UE counts events of users and
+types, E[label, vector, axis] holds rounded embeddings. All values are integers.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .functions.semiring import SAT_U32, SAT_U64
+from .operators import algebra, blocked, graph, report
+from .operators.einsum import compile_spec, einsum, einsum_fn, multiply_count
+from .sources import constructors as make
+from .sources.files import builder
+from .tensor import Tensor, from_rows
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = f"{WITH}{sql}" if sql.lstrip().upper().startswith("SELECT") else sql
+        return f
+
+    return put
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _size(df: DataFrame, column: str) -> int:
+    return df.agg(F.max(column).alias("m")).first().m + 1
+
+
+def sp(spark, d) -> Tensor:
+    rows = _read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("i0"), F.col("l_partkey").alias("i1")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("v"))
+    return Tensor(rows, (_size(_read(spark, d, "supplier"), "s_suppkey"), _size(_read(spark, d, "part"), "p_partkey")), rows=None)
+
+
+def op(spark, d) -> Tensor:
+    rows = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("i0"), F.col("l_partkey").alias("i1")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("v"))
+    n = _read(spark, d, "lineitem").agg(F.max("l_orderkey").alias("m")).first().m + 1
+    lines = _read(spark, d, "lineitem").count()
+    return Tensor(rows, (n, _size(_read(spark, d, "part"), "p_partkey")), rows=lines)
+
+
+def nation_edges(spark, d) -> DataFrame:
+    """A row per line item: nations of its customer (src) and supplier (dst)."""
+    lines = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    orders = _read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    buyers = _read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("src"))
+    sellers = _read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("dst"))
+    return lines.join(orders, "o_orderkey").join(buyers, "c_custkey").join(sellers, "s_suppkey").select("src", "dst")
+
+
+def nn(spark, d) -> Tensor:
+    return make.from_edges(nation_edges(spark, d), 25)
+
+
+def ue(spark, d) -> Tensor:
+    events = _read(spark, d, "events")
+    kinds = make.ranked(events.select("event_type").distinct(), "event_type")
+    rows = events.join(kinds, "event_type").groupBy(F.col("user_id").alias("i0"), F.col("rank").alias("i1")).agg(F.count(F.lit(1)).alias("v"))
+    return Tensor(rows, (_size(events, "user_id"), kinds.count()))
+
+
+def emb(spark, d) -> Tensor:
+    e = _read(spark, d, "embeddings")
+    cells = e.select(F.col("label").cast("bigint").alias("i0"), F.col("vec_id").alias("i1"), F.posexplode("embedding").alias("p", "x"))
+    cells = cells.select("i0", "i1", F.col("p").cast("bigint").alias("i2"), F.floor(F.col("x").cast("double") * 100).cast("bigint").alias("v")).filter("v <> 0")
+    size = e.agg(F.max("label").alias("l"), F.max("vec_id").alias("i"), F.max(F.size("embedding")).alias("n"), F.count(F.lit(1)).alias("c")).first()
+    return Tensor(cells, (size.l + 1, size.i + 1, size.n), rows=size.c * size.n)
+
+
+def order_edges(spark, d) -> DataFrame:
+    """Customers and the nations' hubs behind them: a sparse graph of several components."""
+    o = _read(spark, d, "orders")
+    return o.select((F.col("o_custkey") % 997).cast("bigint").alias("src"), (F.col("o_orderkey") % 1009 + 997).cast("bigint").alias("dst")).filter((F.col("o_orderkey") % 7 == 0) & (F.col("o_custkey") % 5 < 3))
+
+
+NODES = 2006
+
+WITH = """WITH RECURSIVE sp AS (SELECT l_suppkey AS i0, l_partkey AS i1, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2),
+op AS (SELECT l_orderkey AS i0, l_partkey AS i1, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2),
+ne AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+nn AS (SELECT src AS i0, dst AS i1, count(*) AS v FROM ne GROUP BY 1, 2),
+kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)),
+ue AS (SELECT user_id AS i0, k AS i1, count(*) AS v FROM events JOIN kinds USING (event_type) GROUP BY 1, 2),
+e0 AS (SELECT CAST(label AS BIGINT) AS i0, vec_id AS i1, unnest(range(0, len(embedding))) AS i2, unnest(embedding) AS x FROM embeddings),
+e AS (SELECT i0, i1, i2, CAST(floor(CAST(x AS DOUBLE) * 100) AS BIGINT) AS v FROM e0 WHERE floor(CAST(x AS DOUBLE) * 100) <> 0),
+oe AS (SELECT CAST(o_custkey % 997 AS BIGINT) AS src, CAST(o_orderkey % 1009 + 997 AS BIGINT) AS dst FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 5 < 3),
+ou AS (SELECT src, dst FROM oe UNION SELECT dst, src FROM oe)
+"""
+
+
+# ---- sources
+
+
+@query("SELECT CAST(i AS BIGINT) AS i0, CAST(i AS BIGINT) AS i1, CAST(1 AS BIGINT) AS v FROM (SELECT unnest(range(0, max(s_suppkey) + 1)) AS i FROM supplier)")
+def s2_identity(spark, d):
+    return make.identity(spark, _size(_read(spark, d, "supplier"), "s_suppkey")).df
+
+
+@query("SELECT * FROM nn WHERE v < 0")
+def s1_empty(spark, d):
+    return make.empty(spark, (25, 25)).df
+
+
+@query("SELECT * FROM nn")
+def s3_from_edges(spark, d):
+    return nn(spark, d).df
+
+
+@query("SELECT i0, i1, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i0, i1, v FROM nn UNION ALL SELECT i1, i0, v FROM nn WHERE i0 <> i1) GROUP BY 1, 2")
+def s4_from_edges_undirected(spark, d):
+    return make.from_edges_undirected(nation_edges(spark, d), 25).df
+
+
+@query("SELECT i0, i1, CAST(sum(w) AS BIGINT) AS v FROM (SELECT l_suppkey AS i0, l_partkey AS i1, CAST(l_linenumber AS BIGINT) - 3 AS w FROM lineitem) GROUP BY 1, 2 HAVING sum(w) <> 0")
+def s5_from_coo(spark, d):
+    cells = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("i0"), F.col("l_partkey").alias("i1"), (F.col("l_linenumber").cast("bigint") - 3).alias("v"))
+    return make.from_coo(cells, sp(spark, d).shape).df
+
+
+@query("SELECT * FROM sp")
+def s6_from_parts(spark, d):
+    a = sp(spark, d)
+    return make.from_parts(a.to_csr(), a.shape).df
+
+
+NAMES = """SELECT event_id AS pos, event_type AS src, 'u' || user_id AS dst FROM events"""
+
+
+@query(f"SELECT name, row_number() OVER (ORDER BY place) - 1 AS id FROM (SELECT name, min(place) AS place FROM (SELECT 2 * pos AS place, src AS name FROM ({NAMES}) UNION ALL SELECT 2 * pos + 1, dst FROM ({NAMES})) GROUP BY name)")
+def s8_names(spark, d):
+    return make.from_adjacency(_named(spark, d))[1]
+
+
+def _named(spark, d):
+    return _read(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("src"), F.concat(F.lit("u"), "user_id").alias("dst"))
+
+
+@query(f"""{WITH}, seen AS (SELECT name, min(place) AS place FROM (SELECT 2 * pos AS place, src AS name FROM ({NAMES}) UNION ALL SELECT 2 * pos + 1, dst FROM ({NAMES})) GROUP BY name),
+ids AS (SELECT name, row_number() OVER (ORDER BY place) - 1 AS id FROM seen)
+SELECT a.id AS i0, b.id AS i1, count(*) AS v FROM ({NAMES}) JOIN ids a ON a.name = src JOIN ids b ON b.name = dst GROUP BY 1, 2""")
+def s8_from_adjacency(spark, d):
+    return make.from_adjacency(_named(spark, d))[0]
+
+
+@query("SELECT * FROM (SELECT l_orderkey % 50 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_orderkey < 100)")
+def s9_load_edges(spark, d):
+    import uuid
+
+    from .sources import files
+    from .sources.storage import shared_dir
+
+    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    files.save_edges(_read(spark, d, "lineitem").filter("l_orderkey < 100").select((F.col("l_orderkey") % 50).alias("src"), (F.col("l_partkey") % 40).alias("dst")), path)
+    return files.load_edges(spark, path)[1]
+
+
+@query()
+def s10_random_graph(spark, d):
+    return make.random_graph(spark, 1000, 5000, 3).df
+
+
+LATTICE = """WITH c AS (SELECT i AS n, i // 20 AS x, (i // 4) % 5 AS y, i % 4 AS z FROM range(0, 120) t(i)), o AS (SELECT i - 1 AS s FROM range(0, 3) t(i)),
+m AS (SELECT n, x + a.s AS x, y + b.s AS y, z + q.s AS z FROM c, o a, o b, o q WHERE NOT (a.s = 0 AND b.s = 0 AND q.s = 0))"""
+
+
+@query(f"{LATTICE} SELECT n AS i0, x * 20 + y * 4 + z AS i1, CAST(1 AS BIGINT) AS v FROM m WHERE x BETWEEN 0 AND 5 AND y BETWEEN 0 AND 4 AND z BETWEEN 0 AND 3")
+def s11_lattice(spark, d):
+    return make.lattice(spark, (6, 5, 4)).df
+
+
+@query(f"{LATTICE} SELECT n AS i0, ((x + 6) % 6) * 20 + ((y + 5) % 5) * 4 + (z + 4) % 4 AS i1, count(*) AS v FROM m GROUP BY 1, 2")
+def s11_lattice_torus(spark, d):
+    return make.lattice(spark, (6, 5, 4), torus=True).df
+
+
+@query("""SELECT i0, i1, v FROM nn WHERE i0 <= i1 AND (7 * i0 + 11 * i1) % 10 < 4
+UNION ALL SELECT a.i0, a.i1, a.v FROM nn a JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0 WHERE a.i0 > a.i1 AND (7 * b.i0 + 11 * b.i1) % 10 < 4""")
+def s12_thin(spark, d):
+    return make.thin(nn(spark, d), (7 * F.col("i0") + 11 * F.col("i1")) % 10 < 4).df
+
+
+@query("SELECT i // 20 AS i0, (i // 5) % 4 AS i1, i % 5 AS i2, i * i % 7 AS v FROM range(0, 120) t(i) WHERE i * i % 7 <> 0")
+def s13_fill(spark, d):
+    values = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: (i * i % 7).cast("bigint")).alias("a"))
+    return make.filled(values, (6, 4, 5)).df
+
+
+@query("SELECT CAST(500 AS BIGINT) AS cells, CAST(500 AS BIGINT) AS places")
+def s16_with_density(spark, d):
+    t = make.with_density(spark, (10, 20, 25), 0.1, 5)
+    return t.linear().agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("place").alias("places"))
+
+
+@query("SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS inside")
+def s17_random_index(spark, d):
+    t = make.random_index(spark, (3, 5), 1000, 1)
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("i0").between(0, 2)) & F.col("i1").between(0, 4)).alias("inside"))
+
+
+# ---- sinks
+
+
+@query("SELECT l_suppkey AS i0, l_partkey AS i1, CAST(l_linenumber AS BIGINT) - 1 AS v FROM lineitem WHERE l_linenumber <> 1")
+def k1_builder(spark, d):
+    cells = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("i0"), F.col("l_partkey").alias("i1"), (F.col("l_linenumber").cast("bigint") - 1).alias("v"))
+    return builder(cells, sp(spark, d).shape).df
+
+
+@query("SELECT a.i AS i0, b.i AS i1, coalesce(v, 0) AS v FROM range(0, 25) a(i) CROSS JOIN range(0, 25) b(i) LEFT JOIN nn ON a.i = i0 AND b.i = i1")
+def k2_densify(spark, d):
+    return nn(spark, d).densify()
+
+
+@query("""SELECT a.i AS i0, string_agg(coalesce(CAST(v AS VARCHAR), '.'), ' ' ORDER BY b.i) AS line
+FROM range(0, 25) a(i) CROSS JOIN range(0, 25) b(i) LEFT JOIN (SELECT * FROM nn WHERE (i0 + i1) % 3 = 0) ON a.i = i0 AND b.i = i1 GROUP BY 1""")
+def k3_picture(spark, d):
+    a = nn(spark, d)
+    return a.with_df(a.df.filter("(i0 + i1) % 3 = 0")).picture()
+
+
+@query()
+def k4_plan(spark, d):
+    a = sp(spark, d)
+    text = compile_spec("ab,cb,cd->ad", [a.shape, a.shape, a.shape]).explain()
+    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line bigint, text string")
+
+
+# ---- access
+
+
+@query("SELECT a.i AS i0, a.i * 3 AS i1, coalesce(v, 0) AS v FROM range(0, 50) a(i) LEFT JOIN sp ON a.i = i0 AND a.i * 3 = i1")
+def p1_get_many(spark, d):
+    return sp(spark, d).get_many(spark.range(50).select(F.col("id").alias("i0"), (F.col("id") * 3).alias("i1")))
+
+
+@query("SELECT i0, i1, v FROM nn WHERE i0 <> i1 UNION ALL SELECT i, i, i FROM range(1, 25) t(i)")
+def p2_set(spark, d):
+    return nn(spark, d).set(spark.range(25).select(F.col("id").alias("i0"), F.col("id").alias("i1"), F.col("id").alias("v"))).df
+
+
+@query("SELECT i0, i1, v FROM nn WHERE i0 <> i1")
+def p2_remove(spark, d):
+    return nn(spark, d).remove(spark.range(25).select(F.col("id").alias("i0"), F.col("id").alias("i1"))).df
+
+
+@query("SELECT * FROM sp WHERE i0 = 3")
+def p3_row(spark, d):
+    return sp(spark, d).row(3)
+
+
+@query("SELECT i0, count(*) AS nnz FROM sp GROUP BY 1")
+def p4_row_nnz(spark, d):
+    return sp(spark, d).row_nnz()
+
+
+@query("SELECT i0, i1, v FROM (SELECT *, row_number() OVER (PARTITION BY i0 ORDER BY i1) AS k FROM sp) WHERE k = 6")
+def p4_row_entry(spark, d):
+    return sp(spark, d).row_entry(5)
+
+
+@query("SELECT count(*) AS nnz FROM sp")
+def p5_nnz(spark, d):
+    return sp(spark, d).df.agg(F.count(F.lit(1)).alias("nnz"))
+
+
+@query("SELECT i0 * 64000000 + i1 * 64 + i2 AS place, v FROM e")
+def p7_linear_index(spark, d):
+    e = emb(spark, d)
+    return Tensor(e.df, (e.shape[0], 1_000_000, 64)).linear()
+
+
+@query("SELECT i // 30 AS i0, (i // 6) % 5 AS i1, i % 6 AS i2 FROM range(0, 120) t(i)")
+def p8_foreach(spark, d):
+    return make.empty(spark, (4, 5, 6)).cells()
+
+
+@query("""SELECT q, bool_or(q = x) AS found, count(*) FILTER (x < q) AS place FROM (SELECT i * 37 AS q FROM range(0, 200) t(i)), (SELECT DISTINCT l_partkey * 5 AS x FROM lineitem WHERE l_partkey % 3 = 0) GROUP BY q""")
+def p9_search(spark, d):
+    values = _read(spark, d, "lineitem").filter("l_partkey % 3 = 0").select((F.col("l_partkey") * 5).alias("x"))
+    return algebra.search(values, spark.range(200).select((F.col("id") * 37).alias("q")))
+
+
+@query("SELECT i0, v FROM nn WHERE i0 = i1")
+def p12_diagonal(spark, d):
+    return nn(spark, d).diagonal()
+
+
+# ---- contractions
+
+
+@query("SELECT a.i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2")
+def j1_matmul(spark, d):
+    a = nn(spark, d)
+    return einsum("ab,bc->ac", a, a).df
+
+
+@query("SELECT a.i0, b.i0 AS i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM op a JOIN (SELECT i1 AS i0, i0 AS k, v FROM sp) b ON a.i1 = b.i0 GROUP BY 1, 2 HAVING FALSE UNION ALL SELECT a.i0, b.k, CAST(sum(a.v * b.v) AS BIGINT) FROM (SELECT * FROM op WHERE i0 < 2000) a JOIN (SELECT i1 AS p, i0 AS k, v FROM sp) b ON a.i1 = b.p GROUP BY 1, 2")
+def j1_matmul_rectangular(spark, d):
+    a, b = op(spark, d), sp(spark, d)
+    return einsum("ab,bc->ac", Tensor(a.df.filter("i0 < 2000"), (2000, a.shape[1])), b.transpose()).df
+
+
+@query("SELECT i1 AS i0, i0 AS i1, v FROM sp")
+def j2_transpose(spark, d):
+    return einsum("ab->ba", sp(spark, d)).df
+
+
+@query("SELECT CAST(sum(a.v * b.v) AS BIGINT) AS v FROM (SELECT i0, sum(v) AS v FROM sp GROUP BY 1) a JOIN (SELECT i0, max(v) AS v FROM sp GROUP BY 1) b USING (i0)")
+def j3_dot(spark, d):
+    a = sp(spark, d)
+    x, y = (Tensor(a.df.groupBy("i0").agg(f("v").alias("v")), a.shape[:1]) for f in (F.sum, F.max))
+    return einsum("i,i->", x, y).df
+
+
+@query("SELECT CAST(coalesce(sum(v), 0) AS BIGINT) AS v FROM nn WHERE i0 = i1")
+def j4_trace(spark, d):
+    return einsum("aa->", nn(spark, d)).df
+
+
+@query("SELECT CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0")
+def j5_frobenius(spark, d):
+    a = nn(spark, d)
+    return einsum("ab,ab->", a, a.transpose()).df
+
+
+@query("SELECT a.i0, b.i0 AS i1, CAST(a.v * b.v AS BIGINT) AS v FROM (SELECT i0, sum(v) AS v FROM nn GROUP BY 1) a, (SELECT i1 AS i0, sum(v) AS v FROM ue GROUP BY 1) b")
+def j6_outer(spark, d):
+    return einsum("a,b->ab", einsum("ab->a", nn(spark, d)), einsum("ab->b", ue(spark, d))).df
+
+
+@query("SELECT a.i0, b.i0 AS i1, c.i0 AS i2, CAST(a.v * b.v * c.v AS BIGINT) AS v FROM (SELECT i0, sum(v) AS v FROM nn GROUP BY 1) a, (SELECT i1 AS i0, sum(v) AS v FROM ue GROUP BY 1) b, (SELECT i1 AS i0, max(v) AS v FROM ue GROUP BY 1) c")
+def j6_outer_three(spark, d):
+    u = ue(spark, d)
+    most = Tensor(u.df.groupBy(F.col("i1").alias("i0")).agg(F.max("v").alias("v")), u.shape[1:])
+    return einsum("a,b,c->abc", einsum("ab->a", nn(spark, d)), einsum("ab->b", u), most).df
+
+
+@query("SELECT b.i1 AS i0, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM (SELECT i0, count(*) AS v FROM sp GROUP BY 1) a JOIN sp b USING (i0) GROUP BY 1")
+def j7_vector_matrix(spark, d):
+    a = sp(spark, d)
+    return einsum("a,ab->b", Tensor(a.row_nnz().withColumnRenamed("nnz", "v"), a.shape[:1]), a).df
+
+
+@query("SELECT i0, CAST(sum(v) AS BIGINT) AS v FROM sp GROUP BY 1")
+def j8_row_sum(spark, d):
+    return einsum("ab->a", sp(spark, d)).df
+
+
+@query("""SELECT a.i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM (SELECT x.i0, y.i0 AS i1, sum(x.v * y.v) AS v FROM sp x JOIN sp y USING (i1) GROUP BY 1, 2) a
+JOIN (SELECT i0, i1 % 50 AS i1, sum(v) AS v FROM sp GROUP BY 1, 2) b ON a.i1 = b.i0 GROUP BY 1, 2""")
+def j9_chain(spark, d):
+    a = sp(spark, d)
+    small = make.from_coo(a.df.select("i0", (F.col("i1") % 50).alias("i1"), "v"), (a.shape[0], 50))
+    return einsum("ab,cb,cd->ad", a, a, small).df
+
+
+@query("SELECT CAST(sum(a.v * b.v * c.v) AS BIGINT) AS v FROM (SELECT i0, sum(v) AS v FROM ue GROUP BY 1) a JOIN (SELECT i0, max(v) AS v FROM ue GROUP BY 1) b USING (i0) JOIN (SELECT i0, count(*) AS v FROM ue GROUP BY 1) c USING (i0)")
+def j10_triple(spark, d):
+    u = ue(spark, d)
+    one = [Tensor(u.df.groupBy("i0").agg(f("v").cast("bigint").alias("v")), u.shape[:1]) for f in (F.sum, F.max, F.count)]
+    return einsum("i,i,i->", *one).df
+
+
+@query("SELECT a.i0, a.i1, b.i1 AS i2, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM e a JOIN (SELECT i0, i2, i1 % 4 AS i1, sum(v) AS v FROM e GROUP BY 1, 2, 3) b ON a.i0 = b.i0 AND a.i2 = b.i2 GROUP BY 1, 2, 3 HAVING sum(a.v * b.v) <> 0")
+def j11_batched(spark, d):
+    e = emb(spark, d)
+    b = make.from_coo(e.df.select("i0", F.col("i2").alias("i1"), (F.col("i1") % 4).alias("i2"), "v"), (e.shape[0], e.shape[2], 4))
+    return einsum("abc,acd->abd", e, b).df
+
+
+@query("SELECT a.i0, a.i1, b.i1 AS i2, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM e a JOIN (SELECT i2 AS k, i0 AS i1, sum(v) AS v FROM e GROUP BY 1, 2) b ON a.i2 = b.k GROUP BY 1, 2, 3 HAVING sum(a.v * b.v) <> 0")
+def j11_shared_factor(spark, d):
+    e = emb(spark, d)
+    b = make.from_coo(e.df.select(F.col("i2").alias("i0"), F.col("i0").alias("i1"), "v"), (e.shape[2], e.shape[0]))
+    return einsum("abc,cd->abd", e, b).df
+
+
+@query("SELECT a.i0, a.i1, b.i2, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM (SELECT i0, i1 % 9 AS i1, i2 % 8 AS i2, sum(v) AS v FROM e GROUP BY 1, 2, 3) a JOIN (SELECT i0, i2 % 8 AS i1, i1 % 5 AS i2, sum(v) AS v FROM e GROUP BY 1, 2, 3) b ON a.i0 = b.i0 AND a.i2 = b.i1 GROUP BY 1, 2, 3 HAVING sum(a.v * b.v) <> 0")
+def j12_batched_sparse_dense(spark, d):
+    e = emb(spark, d)
+    a = make.from_coo(e.df.select("i0", (F.col("i1") % 9).alias("i1"), (F.col("i2") % 8).alias("i2"), "v"), (e.shape[0], 9, 8))
+    b = make.from_coo(e.df.select("i0", (F.col("i2") % 8).alias("i1"), (F.col("i1") % 5).alias("i2"), "v"), (e.shape[0], 8, 5))
+    return einsum("bij,bjk->bik", a, b).df
+
+
+@query("SELECT a.i0, a.i1 % 2 AS i1, a.i1 // 2 AS i2, b.i1 // 2 AS i3, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i2 = b.i2 AND a.i1 % 2 = b.i1 % 2 GROUP BY 1, 2, 3, 4 HAVING sum(a.v * b.v) <> 0")
+def j13_attention(spark, d):
+    e = emb(spark, d)
+    df = e.df.select("i0", (F.col("i1") % 2).alias("i1"), F.floor(F.col("i1") / 2).cast("bigint").alias("i2"), F.col("i2").alias("i3"), "v")
+    q = Tensor(df, (e.shape[0], 2, (e.shape[1] + 1) // 2, e.shape[2]), rows=e.rows)
+    return einsum("bhqd,bhkd->bhqk", q, q).df
+
+
+@query("SELECT a.i0, b.i0 AS i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN sp b USING (i1) GROUP BY 1, 2")
+def j14_supplier_cosupply(spark, d):
+    a = sp(spark, d)
+    return einsum("ab,cb->ac", a, a).df
+
+
+@query("SELECT a.i1 AS i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM op a JOIN op b ON a.i0 = b.i0 GROUP BY 1, 2")
+def j14_parts_together(spark, d):
+    a = op(spark, d)
+    return einsum("ab,ac->bc", a, a).df
+
+
+@query("""SELECT 0 AS output, a.i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 2, 3
+UNION ALL SELECT 1, b.i1, a.i0, CAST(sum(a.v * b.v) AS BIGINT) FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 2, 3""")
+def j15_two_outputs(spark, d):
+    a = nn(spark, d)
+    out = einsum("ab,bc->ac,ca", a, a)
+    return out[0].df.withColumn("output", F.lit(0)).unionByName(out[1].df.withColumn("output", F.lit(1)))
+
+
+@query("""SELECT 0 AS output, a.i0 AS a, b.i1 AS c, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 2, 3
+UNION ALL SELECT 1, a.i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 2, 3
+UNION ALL SELECT 2, NULL, NULL, CAST(sum(a.v * b.v) AS BIGINT) FROM nn a JOIN nn b ON a.i1 = b.i0""")
+def j16_grouping_sets(spark, d):
+    a = nn(spark, d)
+    return compile_spec("ab,bc->ac,ac,", [a.shape, a.shape]).grouping_sets(a, a)
+
+
+@query("SELECT a.i0, a.i1, CAST(a.v * b.v AS BIGINT) AS v FROM nn a JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0")
+def j17_hadamard(spark, d):
+    a = nn(spark, d)
+    return einsum("ab,ab->ab", a, a.transpose()).df
+
+
+@query("SELECT i1 AS i0, i2 AS i1, CAST(sum(v) AS BIGINT) AS v FROM e GROUP BY 1, 2 HAVING sum(v) <> 0")
+def j18_leading_axis(spark, d):
+    return einsum("acd->cd", emb(spark, d)).df
+
+
+@query("SELECT i0, i0 AS i1, CAST(sum(v) AS BIGINT) AS v FROM sp GROUP BY 1")
+def j19_diagonal_embed(spark, d):
+    return einsum("a->aa", einsum("ab->a", sp(spark, d))).df
+
+
+@query("SELECT a.i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2")
+def e15_named_function(spark, d):
+    product = einsum_fn("row mid, mid col -> row col")
+    return product(nn(spark, d), nn(spark, d)).df
+
+
+# ---- element-wise
+
+
+@query("SELECT i0, i1, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i0, i1, v FROM nn UNION ALL SELECT i1, i0, -v FROM nn) GROUP BY 1, 2 HAVING sum(v) <> 0")
+def b1_add(spark, d):
+    a = nn(spark, d)
+    return algebra.add(a, algebra.scaled(a.transpose(), -1)).df
+
+
+@query("SELECT i0, i1, v FROM (SELECT coalesce(a.i0, b.i1) AS i0, coalesce(a.i1, b.i0) AS i1, coalesce(CAST(a.v AS DOUBLE), 0) - coalesce(CAST(b.v AS DOUBLE), 0) AS v FROM nn a FULL JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0) WHERE v <> 0")
+def b2_tolerant_add(spark, d):
+    a = nn(spark, d)
+    x = a.with_df(a.df.withColumn("v", F.col("v").cast("double")))
+    y = x.transpose()
+    return algebra.tolerant_add(x, y.with_df(y.df.withColumn("v", -F.col("v")))).df
+
+
+@query("SELECT a.i0, a.i1, CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE) AS v FROM nn a JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0")
+def b3_tolerant_multiply(spark, d):
+    a = nn(spark, d)
+    x = a.with_df(a.df.withColumn("v", F.col("v").cast("double")))
+    return algebra.multiply(x, x.transpose(), tolerant=True).df
+
+
+@query("SELECT i0, i1, CAST(sum(v) AS FLOAT) AS v FROM (SELECT i0, i1, v FROM nn WHERE (i0 // 8 + i1 // 8) % 2 = 0 UNION ALL SELECT i1, i0, v FROM nn WHERE i0 % 3 = 0) GROUP BY 1, 2")
+def b4_block_add(spark, d):
+    return blocked.add(*_tiles(spark, d)).to_tensor().df
+
+
+@query("SELECT a.i0, a.i1, CAST(a.v * b.v AS FLOAT) AS v FROM nn a JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0 WHERE (a.i0 // 8 + a.i1 // 8) % 2 = 0 AND b.i0 % 3 = 0")
+def b4_block_multiply(spark, d):
+    return blocked.multiply(*_tiles(spark, d)).to_tensor().df
+
+
+def _tiles(spark, d):
+    a = nn(spark, d)
+    x = a.with_df(a.df.filter("(floor(i0 / 8) + floor(i1 / 8)) % 2 = 0"))
+    y = a.with_df(a.df.filter("i0 % 3 = 0")).transpose()
+    return blocked.to_blocks(x, 8), blocked.to_blocks(y, 8)
+
+
+@query("SELECT max(abs(v - w) / greatest(abs(v), abs(w), 1e-8)) AS rel_diff FROM (SELECT coalesce(CAST(a.v AS DOUBLE), 0) AS v, coalesce(CAST(b.v AS DOUBLE), 0) AS w FROM nn a FULL JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0)")
+def b6_rel_diff(spark, d):
+    a = nn(spark, d)
+    return algebra.rel_diff_frame(a, a.transpose())
+
+
+@query("SELECT i0, i1 FROM ((SELECT i0, i1 FROM sp WHERE v > 20 EXCEPT SELECT i0, i1 FROM sp WHERE v % 2 = 0) UNION ALL (SELECT i0, i1 FROM sp WHERE v % 2 = 0 EXCEPT SELECT i0, i1 FROM sp WHERE v > 20))")
+def b7_pattern_difference(spark, d):
+    a = sp(spark, d)
+    return algebra.pattern_difference(a.with_df(a.df.filter("v > 20")), a.with_df(a.df.filter("v % 2 = 0")))
+
+
+# ---- products under other semirings
+
+
+@query("SELECT a.i0, b.i1, CAST(least(sum(least(CAST(a.v AS HUGEINT) * 100003 * b.v * 100003, 4294967295)), 4294967295) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2")
+def m1_matmul_sat_u32(spark, d):
+    a = algebra.scaled(nn(spark, d), 100_003)
+    return algebra.matmul(a, a, SAT_U32()).df
+
+
+@query("""SELECT a.i0, b.i1, CAST(CAST(least(sum(least(CAST(a.v AS HUGEINT) * 300000007 * b.v * 300000007, 18446744073709551615)), 18446744073709551615) AS HUGEINT) AS VARCHAR) AS v
+FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2""")
+def m1_matmul_sat_u64(spark, d):
+    a = nn(spark, d)
+    x = a.with_df(a.df.withColumn("v", (F.col("v") * 300_000_007).cast("decimal(20,0)")))
+    return algebra.matmul(x, x, SAT_U64()).df.withColumn("v", F.col("v").cast("string"))
+
+
+@query("SELECT i0, count(*) AS nnz FROM (SELECT DISTINCT a.i0, b.i0 AS j FROM sp a JOIN sp b USING (i1)) GROUP BY 1")
+def m8_symbolic_nnz(spark, d):
+    a = sp(spark, d)
+    return algebra.symbolic_nnz(a, a.transpose())
+
+
+@query("SELECT count(*) FILTER (v > 40) AS nnz FROM sp")
+def m10_dense_nnz(spark, d):
+    return sp(spark, d).df.agg(F.count_if(F.col("v") > 40).alias("nnz"))
+
+
+# ---- aggregates
+
+
+@query("SELECT CAST(sum(n * m) AS BIGINT) AS macs FROM (SELECT i1, count(*) AS n FROM sp GROUP BY 1) JOIN (SELECT i1, count(*) AS m FROM sp GROUP BY 1) USING (i1)")
+def a5_macs(spark, d):
+    a = sp(spark, d)
+    return spark.createDataFrame([(multiply_count("ab,cb->ac", a, a),)], "macs bigint")
+
+
+@query("SELECT CAST(max(abs(src - dst)) AS BIGINT) AS max_bw, sum(abs(src - dst)) / CAST(count(*) AS DOUBLE) AS avg_bw FROM ou")
+def a6_bandwidth(spark, d):
+    return graph.bandwidth(make.from_edges_undirected(order_edges(spark, d).distinct(), NODES))
+
+
+DEGREES = f"deg AS (SELECT i AS node, coalesce(n, 0) AS degree FROM range(0, {NODES}) t(i) LEFT JOIN (SELECT src, count(*) AS n FROM ou GROUP BY 1) ON src = i)"
+
+
+@query(f"{WITH}, {DEGREES}, s AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS k FROM deg) SELECT min(degree) AS min_deg, max(degree) FILTER (k = {NODES // 2}) AS median_deg, sum(degree) / CAST({NODES} AS DOUBLE) AS avg_deg, max(degree) AS max_deg FROM s")
+def a7_degree_stats(spark, d):
+    return graph.degree_stats(make.from_edges_undirected(order_edges(spark, d).distinct(), NODES))
+
+
+REACH = f"""reach(a, b) AS (SELECT i, i FROM range(0, {NODES}) t(i) UNION SELECT r.a, l.dst FROM reach r JOIN (SELECT src, dst FROM ou) l ON r.b = l.src),
+wcc AS (SELECT a AS node, min(b) AS least FROM reach GROUP BY 1), comp AS (SELECT node, dense_rank() OVER (ORDER BY least) - 1 AS comp FROM wcc)"""
+
+
+@query(f"{WITH}, {REACH} SELECT comp, count(*) AS size FROM comp GROUP BY 1 ORDER BY size DESC, comp LIMIT 10")
+def a8_top_sizes(spark, d):
+    return graph.top_sizes(graph.weak_components(make.from_edges(order_edges(spark, d), NODES)))
+
+
+@query(f"{WITH}, {REACH} SELECT max(comp) + 1 AS components, count(*) FILTER (size = 1) AS singletons FROM (SELECT comp, count(*) AS size FROM comp GROUP BY 1)")
+def a9_components(spark, d):
+    sizes = graph.component_sizes(graph.weak_components(make.from_edges(order_edges(spark, d), NODES)))
+    return sizes.agg((F.max("comp") + 1).alias("components"), F.count_if(F.col("size") == 1).alias("singletons"))
+
+
+@query("SELECT count(*) AS nnz, CAST(625 AS BIGINT) AS cells, count(*) / CAST(625 AS DOUBLE) AS density, count(*) / CAST(25 AS DOUBLE) AS per_row FROM nn")
+def a10_density(spark, d):
+    return algebra.density(nn(spark, d))
+
+
+# ---- graphs
+
+
+@query("""SELECT x.i0, y.i1, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM (SELECT a.i0, b.i1, sum(a.v * b.v) AS v FROM t a JOIN t b ON a.i1 = b.i0 GROUP BY 1, 2) x JOIN t y ON x.i1 = y.i0 GROUP BY 1, 2""".replace(" t ", " (SELECT i0, i1, v FROM nn WHERE v % 4 = 1) "))
+def g1_power(spark, d):
+    a = nn(spark, d)
+    return graph.power(a.with_df(a.df.filter("v % 4 = 1")), 3).df
+
+
+DAG = "dag AS (SELECT DISTINCT least(src, dst) AS i0, greatest(src, dst) AS i1 FROM ne WHERE src <> dst AND (src * 31 + dst * 17) % 9 = 0)"
+
+
+@query(f"""{WITH}, {DAG}, paths(i0, i1, len, n) AS (SELECT i0, i1, 1, CAST(1 AS HUGEINT) FROM dag UNION ALL SELECT p.i0, d.i1, p.len + 1, p.n FROM paths p JOIN dag d ON p.i1 = d.i0)
+SELECT i0, i1, CAST(sum(n) AS BIGINT) AS v FROM paths GROUP BY 1, 2""")
+def g2_reachability_sum(spark, d):
+    e = nation_edges(spark, d).filter("src <> dst and (src * 31 + dst * 17) % 9 = 0")
+    e = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return graph.reachability_sum(make.from_edges(e, 25))[0].df
+
+
+@query(f"{WITH}, {REACH} SELECT a AS i0, b AS i1 FROM reach WHERE a < 400")
+def g3_power_until_stable(spark, d):
+    a = make.from_edges_undirected(order_edges(spark, d).distinct(), NODES, SAT_U32())
+    out, _ = graph.power_until_stable(algebra.add(a, make.identity(spark, NODES, SAT_U32())))
+    return out.df.filter("i0 < 400").select("i0", "i1")
+
+
+@query(f"""{WITH}, one AS (SELECT DISTINCT src, dst FROM ne WHERE (src * 13 + dst * 7) % 23 < 2), r(a, b) AS (SELECT i, i FROM range(0, 25) t(i) UNION SELECT r.a, one.dst FROM r JOIN one ON r.b = one.src),
+least AS (SELECT x.a AS node, min(x.b) AS m FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT node, dense_rank() OVER (ORDER BY m) - 1 AS comp FROM least""")
+def g4_strong_components(spark, d):
+    return graph.strong_components(make.from_edges(nation_edges(spark, d).filter("(src * 13 + dst * 7) % 23 < 2"), 25))
+
+
+@query(f"{WITH}, {REACH} SELECT * FROM comp")
+def g5_weak_components(spark, d):
+    return graph.weak_components(make.from_edges(order_edges(spark, d), NODES))
+
+
+@query(f"SELECT CAST({NODES} AS BIGINT) AS n, CAST({NODES} AS BIGINT) AS olds, CAST({NODES} AS BIGINT) AS news, CAST(0 AS BIGINT) AS low, CAST({NODES - 1} AS BIGINT) AS high")
+def g6_rcm_is_a_permutation(spark, d):
+    perm = graph.rcm(make.from_edges(order_edges(spark, d), NODES))
+    return perm.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("old_id").alias("olds"), F.countDistinct("new_id").alias("news"), F.min("new_id").alias("low"), F.max("new_id").alias("high"))
+
+
+@query()
+def g6_rcm(spark, d):
+    return graph.rcm(make.from_edges(order_edges(spark, d), NODES))
+
+
+@query("SELECT (i0 * 7 + 3) % 25 AS i0, (i1 * 7 + 3) % 25 AS i1, v FROM nn")
+def g7_permute(spark, d):
+    return graph.permute(nn(spark, d), _perm(spark)).df
+
+
+def _perm(spark):
+    return spark.range(25).select(((F.col("id") * 7 + 3) % 25).alias("new_id"), F.col("id").alias("old_id"))
+
+
+@query("SELECT * FROM nn")
+def g8_unpermute(spark, d):
+    return graph.unpermute(graph.permute(nn(spark, d), _perm(spark)), _perm(spark)).df
+
+
+@query("""WITH RECURSIVE l AS (SELECT i AS a, i + 1 AS b FROM range(0, 39) t(i) UNION SELECT i, i + 7 FROM range(0, 33) t(i) WHERE i % 3 = 0), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b, k) AS (SELECT a, a, 0 FROM u UNION SELECT r.a, u.b, k + 1 FROM r JOIN u ON r.b = u.a WHERE k < 40), dist AS (SELECT a, b, min(k) AS k FROM r GROUP BY 1, 2) SELECT CAST(max(k) AS BIGINT) AS diameter FROM dist""")
+def g9_diameter(spark, d):
+    line = spark.range(39).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    more = spark.range(33).filter("id % 3 = 0").select(F.col("id").alias("src"), (F.col("id") + 7).alias("dst"))
+    return spark.createDataFrame([(graph.diameter(make.from_edges(line.union(more), 40)),)], "diameter bigint")
+
+
+@query()
+def g10_structure(spark, d):
+    found = graph.structure(make.from_edges_undirected(order_edges(spark, d).distinct(), NODES))
+    return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "name string, value string")
+
+
+# ---- attention
+
+
+@query("SELECT a.i0, a.i1, b.i1 AS i2, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i2 = b.i2 GROUP BY 1, 2, 3 HAVING sum(a.v * b.v) <> 0")
+def t1_attention(spark, d):
+    e = emb(spark, d)
+    return einsum("bqd,bkd->bqk", e, e).df
+
+
+@query("SELECT CAST(sum(n * n) AS BIGINT) AS macs FROM (SELECT i0, i2, count(*) AS n FROM e GROUP BY 1, 2)")
+def t4_attention_macs(spark, d):
+    e = emb(spark, d)
+    return spark.createDataFrame([(multiply_count("bqd,bkd->bqk", e, e),)], "macs bigint")
+
+
+@query("SELECT a.i0, a.i1, b.i1 AS i2, CAST(sum(a.v * b.v) AS FLOAT) AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i2 = b.i2 WHERE a.i1 < 200 AND b.i1 < 200 GROUP BY 1, 2, 3 HAVING sum(a.v * b.v) <> 0")
+def t7_block_attention(spark, d):
+    e = emb(spark, d)
+    q = blocked.to_blocks(Tensor(e.df.filter("i1 < 200"), (e.shape[0], 200, e.shape[2])), 16)
+    return blocked.attention(q, q).to_tensor().df
+
+
+# ---- reports
+
+
+@query("""WITH p AS (SELECT l_linenumber AS run, CAST(l_partkey % 40 AS DOUBLE) AS density, CAST(sum(l_quantity) AS DOUBLE) AS time FROM lineitem GROUP BY 1, 2), q AS (SELECT run, sum(time) / count(*) AS t FROM p GROUP BY 1),
+w AS (SELECT p.run, density, time, t, lead(density) OVER (PARTITION BY p.run ORDER BY density) AS d1, lead(time) OVER (PARTITION BY p.run ORDER BY density) AS t1 FROM p JOIN q ON p.run = q.run),
+h AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY density) AS k FROM w WHERE time <= t AND t <= t1)
+SELECT run, CASE WHEN t1 > time THEN density + (t - time) / (t1 - time) * (d1 - density) ELSE density END AS density FROM h WHERE k = 1""")
+def r3_break_even(spark, d):
+    p = _read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("run"), (F.col("l_partkey") % 40).cast("double").alias("density")).agg(F.sum("l_quantity").alias("time"))
+    q = p.groupBy("run").agg((F.sum("time") / F.count(F.lit(1))).alias("threshold"))
+    return report.break_even(p.join(q, "run"))
+
+
+@query("SELECT i0, CAST(sum(v) FILTER (i1 % 3 = 0) AS BIGINT) AS \"0\", CAST(sum(v) FILTER (i1 % 3 = 1) AS BIGINT) AS \"1\", CAST(sum(v) FILTER (i1 % 3 = 2) AS BIGINT) AS \"2\" FROM nn GROUP BY 1")
+def r4_pivot(spark, d):
+    return report.grid(nn(spark, d).df.withColumn("c", F.col("i1") % 3), "i0", "c", F.sum("v"), [0, 1, 2])
+
+
+@query("SELECT * FROM (VALUES (16, 0), (17, 16), (100, 16), (256, 16), (257, 48), (1000, 80), (5000, 368), (10000, 704)) t(n, internal)")
+def r5_index_overhead(spark, d):
+    n = spark.createDataFrame([(x,) for x in (16, 17, 100, 256, 257, 1000, 5000, 10000)], "n int")
+    return n.select("n", report.index_overhead(F.col("n")).cast("int").alias("internal"))
+
+
+@query("SELECT run, a, b, greatest(a, b) AS best, CASE WHEN a >= b THEN 'a' ELSE 'b' END AS best_name FROM (SELECT i0 AS run, CAST(sum(v) FILTER (i1 < 12) AS BIGINT) AS a, CAST(sum(v) FILTER (i1 >= 12) AS BIGINT) AS b FROM nn GROUP BY 1)")
+def r2_best(spark, d):
+    rows = nn(spark, d).df.groupBy(F.col("i0").alias("run")).agg(F.sum(F.when(F.col("i1") < 12, F.col("v"))).alias("a"), F.sum(F.when(F.col("i1") >= 12, F.col("v"))).alias("b"))
+    return report.best_speedup(rows, ["a", "b"])
+
+
+# ---- scalar expressions
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, CAST(greatest(l_partkey - l_suppkey * 10, 0) AS BIGINT) AS sub, CAST(((l_partkey - 1000) % 7 + 7) % 7 AS BIGINT) AS wrapped, CAST((l_partkey + 7) // 8 AS BIGINT) AS tiles FROM lineitem""")
+def x2_scalars(spark, d):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), scalars.saturating_subtract(p, s * 10).alias("sub"), scalars.wrap(p - 1000, 7).alias("wrapped"), scalars.ceil_div(p, 8).alias("tiles"))
+
+
+@query("SELECT n, try_cast(n AS UBIGINT)::VARCHAR AS u FROM (VALUES ('0'), ('18446744073709551615'), ('18446744073709551616'), ('12'), ('x'), ('')) t(n)")
+def x3_parse_unsigned(spark, d):
+    return spark.createDataFrame([(x,) for x in ("0", "18446744073709551615", "18446744073709551616", "12", "x", "")], "n string").select("n", scalars.parse_unsigned(F.col("n")).cast("string").alias("u"))
+
+
+def golden(spark: SparkSession) -> Tensor:
+    """A 2 x 2 example."""
+    return from_rows(spark, [(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4)], (2, 2))

@@ -1,0 +1 @@
+"""Tensors are batch data; there are no streaming operators."""
