@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, text_slices, tune
-from .wordcodes import with_end, word_codes, word_hash
+from .wordcodes import with_end, word_codes, word_hash, words_apart
 
 DIMS, BITS = 3, 10
 WIDTH = 1 << 14
@@ -77,8 +77,8 @@ class Curve:
         even = 1 / (1 + np.exp(-1.702 * np.clip(z, -20, 20)))
         return hilbert(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
-    def of_texts(self, texts: list[str]) -> np.ndarray:
-        parts = [t.split() for t in texts]
+    def of_texts(self, texts: list[str], keep_space: bool) -> np.ndarray:
+        parts = [t.split() if keep_space else words_apart(t) for t in texts]
         return self.keys(np.array([word_hash(w) for p in parts for w in p], np.int64), np.cumsum([len(p) for p in parts]))
 
 
@@ -91,7 +91,7 @@ def curve() -> Curve:
     return _curve[0]
 
 
-def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+def range_bounds(docs: DataFrame, parts: int, keep_space: bool) -> np.ndarray:
     """`parts` - 1 bounds of the (Hilbert key, salt) order that halve, third, ... the characters of a sample."""
     n = docs.count()
     share = min(1.0, BOUND_SAMPLES * parts / max(n, 1) * 1.2)
@@ -100,7 +100,7 @@ def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
     def place(batches):
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                key = (curve().of_texts(texts) << 32) | part.column(1).to_numpy()
+                key = (curve().of_texts(texts, keep_space) << 32) | part.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([len(t) + 1 for t in texts], pa.int64())], ["key", "n"])
 
     got = sample.select("text", "salt").mapInArrow(place, "key long, n long").toPandas().sort_values("key")  # BOUND_SAMPLES a partition
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, ke
         F.col("text").cast("string").alias("text"),
         (F.xxhash64("doc_id", "text").bitwiseAND(0xFFFFFFFF)).alias("salt"),
     )
-    bounds = range_bounds(rows, parts)
+    bounds = range_bounds(rows, parts, keep_space)
 
     def encode(batches):
         for batch in batches:

@@ -37,16 +37,22 @@ def word_hash(chunk: str) -> int:
     return crc32(chunk.strip().lower().encode("utf-8", "replace"))
 
 
-def _words(text: str) -> list[str]:
-    """Words for a vocabulary that lowers case itself; lowering first merges more of them.
+#: Bytes of Latin-1 texts in which letters, digits and ASCII signs are all there is (and no apostrophe, which can start a piece of letters).
+SAFE = bytes(c for c in range(256) if (s := chr(c)).isalpha() or s in " \n" or 32 < c < 127 and s != "'")
+PIECE = re.compile(r"[^\x00-\x20!-/:-@\[-`{-\x7f]+|[!-/:-@\[-`{-~]+")
 
-    In Latin-1 lower case changes single letters only, so the order doesn't matter; other texts are left as they are.
+
+def words_apart(text: str) -> list[str]:
+    """Words for a vocabulary that lowers case and cuts between letters and signs; both done first merge more of them.
+
+    In Latin-1 lower case changes single letters only, so the order doesn't matter. Signs are
+    cut off only where no other kind of sign could belong to their run.
     """
     try:
-        text.encode("latin-1")
+        raw = text.encode("latin-1")
     except UnicodeEncodeError:
         return text.split()
-    return text.lower().split()
+    return text.lower().split() if raw.translate(None, SAFE) else PIECE.findall(text.lower())
 
 
 class WordCodes:
@@ -58,7 +64,7 @@ class WordCodes:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are text
-        self.split = CHUNK.findall if keep_space else _words
+        self.split = CHUNK.findall if keep_space else words_apart
         # of byte-level pieces, a token's characters are its bytes
         self.width = None
         if keep_space:
