@@ -36,7 +36,7 @@ BLANK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 DRAWS = 8
 #: Chunks held by a worker, and the longest that is merged in a matrix.
-HELD, LONGEST = 600_000, 32
+HELD, LONGEST = 350_000, 32
 NONE = np.iinfo(np.int32).max
 
 
