@@ -156,8 +156,8 @@ def _named(spark, d):
 
 
 @query(f"""{WITH}, seen AS (SELECT name, min(place) AS place FROM (SELECT 2 * pos AS place, src AS name FROM ({NAMES}) UNION ALL SELECT 2 * pos + 1, dst FROM ({NAMES})) GROUP BY name),
-ids AS (SELECT name, row_number() OVER (ORDER BY place) - 1 AS id FROM seen)
-SELECT a.id AS i0, b.id AS i1, count(*) AS v FROM ({NAMES}) JOIN ids a ON a.name = src JOIN ids b ON b.name = dst GROUP BY 1, 2""")
+numbered AS (SELECT name, row_number() OVER (ORDER BY place) - 1 AS id FROM seen)
+SELECT a.id AS i0, b.id AS i1, count(*) AS v FROM ({NAMES}) JOIN numbered a ON a.name = src JOIN numbered b ON b.name = dst GROUP BY 1, 2""")
 def s8_from_adjacency(spark, d):
     return make.from_adjacency(_named(spark, d))[0]
 
