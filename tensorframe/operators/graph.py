@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.semiring import BOOL
 from ..sources.constructors import identity, ranked
-from ..sources.storage import written
+from ..sources.storage import written, written_small
 from ..tensor import Tensor
 from .algebra import _square, add, matmul, same_pattern
 
@@ -91,26 +91,35 @@ def strong_components(a: Tensor) -> DataFrame:
     return _numbered(written(least.select(F.col("i0").alias("node"), "least"), "strong"), "comp")
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every greater neighbour of u is linked to the smallest of u and its neighbours."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = written_small(both.groupBy("u").agg(F.min("v").alias("m")), "least").select("u", F.least("u", "m").alias("m"))
+    return written_small(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """u (the greater end) and its smaller neighbours are linked to the smallest of them."""
+    least = written_small(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    down = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return written_small(down.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+
+
 def least_members(links: DataFrame) -> DataFrame:
     """node, least for all nodes of links (u, v) that are not the least of their component.
 
-    Large-star and small-star steps (Kiveris et al. 2014) until nothing changes.
+    Alternates the large-star and small-star steps of Kiveris et al. (2014) until
+    nothing changes; no link passes through the driver. Joins meet written tables on both sides, so
+    adaptive execution can split a hub's partition.
     """
-
-    def state(edges):
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    swap = [F.col("v").alias("u"), F.col("u").alias("v")]
-    edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = written_small(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     old = None
-    while (now := state(edges)) != old and now[0]:
-        old = now
-        both = edges.union(edges.select(*swap))
-        m = written(both.groupBy("u").agg(F.min("v").alias("m")), "least").select("u", F.least("u", "m").alias("m"))
-        large = written(both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        m = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        down = large.join(m, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(down.union(m.select("u", F.col("m").alias("v"))).distinct(), "small")
+    while (now := _state(edges)) != old and now[0]:
+        old, edges = now, _small_star(_large_star(edges))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
 
 

@@ -1,4 +1,4 @@
-"""Tables written to storage that driver and executors share, for lineage that stays short."""
+"""Tables written to storage that driver and executors share: lineage stays short and lost executors cost little."""
 
 from __future__ import annotations
 
@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode and an error on a cluster."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder is used in local mode (one machine);
+    on a cluster a missing setting is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
@@ -17,10 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tensorframe-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found if ":" in found else "file://" + found
+    return found if "://" in found or found.startswith("file:") else "file://" + found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def few(spark: SparkSession) -> int:
+    """Files for a table that is small beside the input."""
+    return max(4, partitions(spark) // 6)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet to the shared folder and read again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written_small(df: DataFrame, name: str = "table") -> DataFrame:
+    """written() for the result of a shuffle that is small: in few files."""
+    return written(df.coalesce(few(df.sparkSession)), name)
