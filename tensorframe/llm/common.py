@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..sources.storage import few, new_path, partitions, shared_dir, written, written_small
+
+__all__ = ["BATCH_ROWS", "SLICE_CHARS", "few", "new_path", "partitions", "shared_dir", "text_slices", "tune", "written", "written_small"]
 
 #: Rows per Arrow batch handed to Python: with texts of 100 KB still some 50 MB.
 BATCH_ROWS = 512
@@ -21,43 +23,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder is used in local mode (one machine);
-    on a cluster a missing setting is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tensorframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found or found.startswith("file:") else "file://" + found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def few(spark: SparkSession) -> int:
-    """Files for a table that is small beside the input."""
-    return max(4, partitions(spark) // 6)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive slices of a batch with their texts (null: empty), each of about ``most`` code points or one row."""
     texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

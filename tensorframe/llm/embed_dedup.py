@@ -10,7 +10,7 @@ are joined, each by halving both sides until a block is provably distant or
 small, where one matrix product decides by cosine in double precision.
 
 A joined pair reports link counts per class and a spanning forest of its
-links, never the links themselves; components.py puts the forests together.
+links, never the links themselves; large-star and small-star steps put the forests together.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and
 rows whose label is null, link with nothing: n_links 0, component their own
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import least_members
 from .common import partitions, tune, written
-from .components import components
 
 AXES = 8
 #: Vectors in an interval, and intervals at most: beyond, intervals grow instead.
@@ -276,13 +276,13 @@ def near_dedup(vectors: DataFrame, *, least: float = 0.93, id_column: str = "vec
     if found is None:
         found = spark.createDataFrame([], "rep long, links long, root long")
     found = written(found, "grid-links")
-    named = written(components(found.filter("root is not null").select(F.col("rep").alias("u"), F.col("root").alias("v"))), "vector-components")
+    named = written(least_members(found.filter("root is not null").select(F.col("rep").alias("u"), F.col("root").alias("v"))), "vector-components")
     links = found.filter("root is null").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = written(
         classes.select("label", "h1", "h2", "rep", "n")
         .join(links, "rep", "left")
         .join(named.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
+        .select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id")),
         "vector-results",
     )
     yes = rows.filter("fine").select("id", "label", "h1", "h2").join(classes, ["label", "h1", "h2"]).select("id", "n_links", "component_id")

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, partitions, text_slices, tune, written
-from .components import components
+from ..operators.graph import least_members
+from .common import few, partitions, text_slices, tune, written, written_small
 from .textwords import U, grams, mix, words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -208,6 +208,10 @@ def all_similarities(texts: list[str], weights: Weights, columns: int = 4096) ->
     return both / np.maximum(total[:, None] + total[None, :] - both, 1e-300)
 
 
+def _components(links: DataFrame) -> DataFrame:
+    return least_members(links).withColumnRenamed("least", "component")
+
+
 def signatures(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
     """doc_id, two hashes of the word sequence (0: no words), band keys."""
 
@@ -247,7 +251,7 @@ def in_blocks(own: DataFrame, texts: DataFrame, weights: Weights, least: float)
     open_ = open_.filter("n > most and n > 2")  # of two members, both have met as leader and member
     open_ = open_.groupBy("n", "h", "most", "main").agg(F.min("piece").alias("piece"))  # bands often give the same piece
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = written(open_.select("piece", "main", blocks(F.col("most")).alias("a"), blocks(F.col("n") - F.col("most")).alias("b")).coalesce(few(spark)), "near-open")
+    open_ = written_small(open_.select("piece", "main", blocks(F.col("most")).alias("a"), blocks(F.col("n") - F.col("most")).alias("b")), "near-open")
     inside = F.col("component") == F.col("main")
     block = F.when(inside, F.pmod(F.xxhash64("rep"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("rep"), F.col("b"))).cast("int")
     rows = own.join(open_, "piece").select("piece", "rep", block.alias("block"), F.when(inside, F.col("a")).otherwise(0).alias("from"), (F.col("a") + F.col("b") - 1).alias("to"))
@@ -290,26 +294,25 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     spark = tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     weights = Weights(*document_frequencies(docs))
-    small = lambda df, name: written(df.coalesce(few(spark)), name)
     signed = written(signatures(docs, weights, bands, rows), "near-signatures")
     fine = signed.filter("doc_id is not null and d1 <> 0")
-    classes = small(fine.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
+    classes = written_small(fine.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
     members = classes.select(F.explode("bands").alias("piece"), "rep").distinct()
     leaders = members.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("first")).filter("n > 1")
-    leaders = small(leaders.select("piece", F.col("first.rep").alias("leader")), "near-leaders")
-    pieces = small(members.join(leaders, "piece"), "near-pieces")
-    needed = small(pieces.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
+    leaders = written_small(leaders.select("piece", F.col("first.rep").alias("leader")), "near-leaders")
+    pieces = written_small(members.join(leaders, "piece"), "near-pieces")
+    needed = written_small(pieces.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
     texts = written(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
     pairs = pieces.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
     links = verified(pairs, texts, weights, least)
-    named = small(components(links), "near-components")
+    named = written_small(_components(links), "near-components")
     own = pieces.join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    own = small(own.select("piece", "rep", F.coalesce("component", "rep").alias("component")), "near-own")
+    own = written_small(own.select("piece", "rep", F.coalesce("component", "rep").alias("component")), "near-own")
     more = in_blocks(own, texts, weights, least)
     links = named.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
-    named = small(components(links), "near-components")
+    named = written_small(_components(links), "near-components")
     result = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    result = small(result.select("d1", "d2", F.coalesce("component", "rep").alias("class_id")), "near-results")
+    result = written_small(result.select("d1", "d2", F.coalesce("component", "rep").alias("class_id")), "near-results")
     yes = fine.select("doc_id", "d1", "d2").join(result, ["d1", "d2"]).select("doc_id", "class_id")
     no = signed.filter("doc_id is null or d1 = 0").select("doc_id", F.col("doc_id").alias("class_id"))
     return yes.union(no).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tensorframe.llm import components, embed_dedup, topk
+from tensorframe.llm import embed_dedup, topk
+from tensorframe.operators.graph import least_members
 
 NAN, INF = float("nan"), float("inf")
 
@@ -63,7 +64,7 @@ def closure(n, links):
 def test_components(spark, seed):
     rng = random.Random(seed)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(60, 99)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {r.node: r.least for r in least_members(spark.createDataFrame(links, "u long, v long")).collect()}
     want = closure(100, links)
     assert got == {i: c for i, c in enumerate(want) if i != c}
 
