@@ -58,7 +58,8 @@ NOISE = frozenset(
     "modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommend recommended recommendations related reply replies respond search share sharing "
     "sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo alert".split()
 )
-HEADER = frozenset("header masthead banner topbar".split())
+HEADER = frozenset(["header"])
+TITLE = frozenset("title section heading".split())
 GOOD = frozenset("article content entry main post story text body".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
@@ -193,7 +194,7 @@ def dropped(node: Node) -> bool:
     """Whether the element is not part of an article. A header inside an article or main element is the article's own."""
     if node.tag == "header":
         return not in_article(node.parent)
-    if not node.drop and node.attributes and node.has_words(HEADER - {"banner", "masthead", "topbar"}):
+    if not node.drop and node.attributes and node.has_words(HEADER) and not node.has_words(GOOD | TITLE):
         return not in_article(node.parent)
     return node.drop
 

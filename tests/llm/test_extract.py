@@ -33,6 +33,8 @@ def test_page():
         ("<body><p>a &#233; &unknown; &amp;amp;</p><a href='", "a é &unknown; &amp;"),
         ("<article><header><h1>T</h1></header><p>x</p></article>", "T\n\nx"),
         ("<nav>menu</nav>", ""),
+        ("<div class='post'><div class='entry-header'><h1>T</h1></div><p>x</p></div>", "T\n\nx"),
+        ("<div class='site-header'>My site</div><div class='post'><p>x</p></div>", "x"),
     ],
 )
 def test_odd_pages(html, text):
