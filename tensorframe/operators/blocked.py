@@ -119,8 +119,8 @@ def attention(q: Blocked, k: Blocked) -> Blocked:
 
     def score(batches):
         for b in batches:
-            x, y = (b.column(width + j).flatten().to_numpy(zero_copy_only=False).reshape(-1, n, n) for j in (0, 1))
-            z = np.einsum("pij,pkj->pik", x, y, optimize=True).astype(np.float64).reshape(-1)
+            x, y = (b.column(width + j).flatten().to_numpy(zero_copy_only=False).reshape(-1, n, n).astype(np.float64) for j in (0, 1))
+            z = np.einsum("pij,pkj->pik", x, y, optimize=True).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(z) + 1, n * n, dtype=np.int32)), pa.array(z))
             yield pa.RecordBatch.from_arrays([*b.columns[:width], lists], [*b.schema.names[:width], "block"])
 
@@ -131,6 +131,30 @@ def attention(q: Blocked, k: Blocked) -> Blocked:
     return Blocked(out, (*q.shape[:-1], k.shape[-2]), n)
 
 
+def transpose(a: Blocked) -> Blocked:
+    """The last two axes exchanged."""
+    n = a.n
+    block = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda p: F.get("block", (p % n * n + F.floor(p / n)).cast("int")))
+    df = a.df.select(*a.outer, F.col("bc").alias("br"), F.col("br").alias("bc"), block.alias("block"))
+    return Blocked(df, (*a.shape[:-2], a.shape[-1], a.shape[-2]), n)
+
+
+def matmul(a: Blocked, b: Blocked) -> Blocked:
+    """Matrix product of tiles (batched over the outer axes): dense arithmetic where both tiles are present."""
+    return attention(a, transpose(b))
+
+
+def power(a: Blocked, k: int) -> Blocked:
+    """a^k for k >= 1, step by step."""
+    from ..sources.storage import written
+
+    out = a
+    for _ in range(k - 1):
+        step = matmul(out, a)
+        out = Blocked(written(step.df, "tiles"), step.shape, step.n)
+    return out
+
+
 def attention_macs(q: Blocked, k: Blocked) -> int:
     """Multiplications of attention(): tile pairs times n cubed."""
     keys = [*q.outer, "bc"]

@@ -540,6 +540,18 @@ def m10_dense_nnz(spark, d):
     return sp(spark, d).df.agg(F.count_if(F.col("v") != 0).alias("nnz"))
 
 
+@query("SELECT a.i0, b.i1, CAST(sum(a.v * b.v) AS FLOAT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2")
+def m9_tile_matmul(spark, d):
+    a = blocked.to_blocks(nn(spark, d), 16)
+    return blocked.matmul(a, a).to_tensor().df
+
+
+@query("SELECT CAST(3 AS BIGINT) AS k, count(*) AS nnz FROM (SELECT DISTINCT a.i0, c.i1 FROM nn a JOIN nn b ON a.i1 = b.i0 JOIN nn c ON b.i1 = c.i0)")
+def g11_tile_power(spark, d):
+    cubed = blocked.power(blocked.to_blocks(nn(spark, d), 8), 3)
+    return spark.createDataFrame([(3, cubed.nnz())], "k bigint, nnz bigint")
+
+
 # ---- aggregates
 
 

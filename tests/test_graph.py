@@ -137,6 +137,12 @@ def test_tiles(spark):
         got = blocked.attention(blocked.to_blocks(from_numpy(spark, q), n), blocked.to_blocks(from_numpy(spark, k), n)).to_tensor().to_numpy()
         assert np.abs(got - np.einsum("bhqd,bhkd->bhqk", q, k)).max() < 1e-3
     assert blocked.attention_macs(x, x) == 512
+    m = rng.integers(0, 5, (3, 11, 9))
+    y, z = blocked.to_blocks(from_numpy(spark, m)), blocked.to_blocks(from_numpy(spark, m.transpose(0, 2, 1)))
+    assert (blocked.matmul(y, z).to_tensor().to_numpy() == m @ m.transpose(0, 2, 1)).all()
+    assert cells(blocked.transpose(y).to_tensor()) == cells(z.to_tensor())
+    square = blocked.to_blocks(from_numpy(spark, m[0, :9]))
+    assert (blocked.power(square, 3).to_tensor().to_numpy() == np.linalg.matrix_power(m[0, :9], 3)).all()
     assert blocked.rel_diff(b, b) == 0 and blocked.rel_diff(b, blocked.empty(spark, a.shape)) == 1
 
 
