@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, ke
     def encode(batches):
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                ids, ends, *hashed = word_codes(tokenizer, keep_space).encode_and_hash(texts)
+                ids, ends, *hashed = word_codes(tokenizer, keep_space, hashed=True).encode_and_hash(texts)
                 key = (curve().keys(*hashed) << 32) | part.column(2).to_numpy()
                 ids, ends = with_end(ids, ends, end_id)
                 cut = np.append(0, ends)

@@ -58,7 +58,7 @@ def words_apart(text: str) -> list[str]:
 class WordCodes:
     """``encode(texts)`` gives all ids in one array and the texts' end offsets in it."""
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, hashed: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -71,6 +71,7 @@ class WordCodes:
             self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.width[i] = len(token)
+        self.hashed = hashed
         self.known = Numbered()
         self.starts = self.sizes = np.zeros(0, np.int64)
         self.hashes = np.zeros(0, np.int64)
@@ -90,7 +91,8 @@ class WordCodes:
         if not new:
             return
         self.starts, self.sizes = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.sizes))
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(word_hash, new), np.int64, len(new))])
+        if self.hashed:
+            self.hashes = np.concatenate([self.hashes, np.fromiter(map(word_hash, new), np.int64, len(new))])
         alone = list(range(len(new)))
         if self.width is not None:  # chunks "white space, rest" can follow each other in one string; bytes tell where each ends
             together = [i for i, w in enumerate(new) if w[0] in " \n" and w[-1] not in " \n"]
@@ -124,7 +126,7 @@ class WordCodes:
         return self.encode_and_hash(texts)[:2]
 
     def encode_and_hash(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """As encode(), with the hashes of all words and the texts' end offsets in them."""
+        """As encode(), with the hashes of all words (none unless asked for) and the texts' end offsets in them."""
         odd = [i for i, t in enumerate(texts) if any(c in t for c in ODD)]
         whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True)) if odd else {}
         parts = [[] if i in whole else self.split(t) for i, t in enumerate(texts)]
@@ -132,27 +134,28 @@ class WordCodes:
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         self._learn()
         ids, ends = self._gather(at)
-        hashes, hash_ends = self.hashes[at], np.cumsum(counts)
+        hashes, hash_ends = self.hashes[at if self.hashed else at[:0]], np.cumsum(counts)
         text_ends = ends[hash_ends]
         self._trim()
         if whole:
             pieces = np.split(ids, text_ends[:-1])
             pieces = [np.array(whole[i], np.uint32) if i in whole else p for i, p in enumerate(pieces)]
             ids, text_ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+        if whole and self.hashed:
             pieces = np.split(hashes, hash_ends[:-1])
             pieces = [np.array([word_hash(w) for w in texts[i].split()], np.int64) if i in whole else p for i, p in enumerate(pieces)]
             hashes, hash_ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
         return ids, text_ends, hashes, hash_ends
 
 
-_loaded: dict[tuple[str, bool], WordCodes] = {}
+_loaded: dict[tuple[str, bool, bool], WordCodes] = {}
 
 
-def word_codes(path: str, keep_space: bool) -> WordCodes:
+def word_codes(path: str, keep_space: bool, hashed: bool = False) -> WordCodes:
     """One encoder per worker process, so that later tasks find its chunks."""
-    if (path, keep_space) not in _loaded:
-        _loaded[path, keep_space] = WordCodes(path, keep_space)
-    return _loaded[path, keep_space]
+    if (path, keep_space, hashed) not in _loaded:
+        _loaded[path, keep_space, hashed] = WordCodes(path, keep_space, hashed)
+    return _loaded[path, keep_space, hashed]
 
 
 def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
