@@ -4,14 +4,15 @@ A text becomes blanks as U+2581 behind a dummy prefix, and is cut into chunks
 before every run of U+2581 (no piece of such a vocabulary spans that place).
 Within a chunk the best pair of neighbouring pieces — highest score, then
 leftmost — is merged again and again, as an agenda would. A candidate merge is
-skipped for good if the keyed hash of (seed, chunk, draw, its three bounds)
+skipped for good if the keyed hash of (seed, doc_id, place, chunk, its three bounds)
 falls below the dropout rate; with rate 0 the result is the vocabulary's plain
-encoding. Each occurrence of a chunk takes one of DRAWS segmentations, chosen
-by a hash of (seed, doc_id, place): the same words vary within a document, and
-every run gives the same ids.
+encoding. So each occurrence of a chunk is segmented by itself, and every run gives
+the same ids.
 
-Many chunks are merged at once: rows of a matrix hold their pieces, and one step
-merges the best pair of every row. Characters outside the vocabulary, and U+2581 itself where the
+A worker holds the plain segmentation of the chunks it met and the merges that lead to it.
+An occurrence that skips none of these has the plain segmentation, whatever else it
+skips; all others are merged anew. Many are merged at once: rows of a matrix hold their
+pieces, and one step merges the best pair of every row. Characters outside the vocabulary, and U+2581 itself where the
 text holds it, are written as byte pieces, so decoding gives back every text
 exactly. Null texts have null ids, empty ones none. Null doc_ids share one hash key.
 Repeated rows get equal ids. Extra columns pass through. An empty table gives no rows.
@@ -34,9 +35,10 @@ from .wordcodes import Numbered
 
 BLANK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
-DRAWS = 8
 #: Chunks held by a worker, and the longest that is merged in a matrix.
 HELD, LONGEST = 350_000, 32
+#: Occurrences whose plain merges are tested at once.
+TESTED = 100_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -108,11 +110,18 @@ class Vocabulary:
         return out
 
 
+def bounds(middle, end) -> np.ndarray:
+    """A hash of the two later bounds of a candidate merge."""
+    return mix(np.asarray(middle).astype(np.uint64) * U(0x9E3779B97F4A7C15) + np.asarray(end).astype(np.uint64))
+
+
+def below(key: np.ndarray, start: np.ndarray, later: np.ndarray, rate: float) -> np.ndarray:
+    return (mix(mix(key + start) + later) >> U(11)).astype(np.float64) * 2.0**-53 < rate
+
+
 def skipped(key: np.ndarray, start, middle, end, rate: float) -> np.ndarray:
-    """Whether the candidate merge of [start, middle) and [middle, end) is dropped; `key` names chunk, draw and seed."""
-    u = lambda x: np.asarray(x).astype(np.uint64)
-    h = mix(mix(key + u(start)) + mix(u(middle) * U(0x9E3779B97F4A7C15) + u(end)))
-    return (h >> U(11)).astype(np.float64) * 2.0**-53 < rate
+    """Whether the candidate merge of [start, middle) and [middle, end) is dropped; `key` names chunk, occurrence and seed."""
+    return below(key, np.asarray(start).astype(np.uint64), bounds(middle, end), rate)
 
 
 def agenda(v: Vocabulary, symbols: list[int], key: int, rate: float) -> list[int]:
@@ -143,8 +152,11 @@ def agenda(v: Vocabulary, symbols: list[int], key: int, rate: float) -> list[int
     return [x for x in ids if x is not None]
 
 
-def merge_rows(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Merges every row of a matrix of symbols; gives (row numbers, symbols, sizes) of the rows as they finish."""
+def merge_rows(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float, merges: list | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Merges every row of a matrix of symbols; gives (row numbers, symbols, sizes) of the rows as they finish.
+
+    Appends (row numbers, start, middle, end) of every step to `merges`.
+    """
     rows, width = np.arange(len(symbols)), symbols.shape[1]
     start = np.broadcast_to(np.arange(width + 1), (len(symbols), width + 1)).copy()
     done = []
@@ -173,6 +185,8 @@ def merge_rows(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.n
         if not len(rows):
             break
         i = np.arange(len(rows))
+        if merges is not None:
+            merges.append((rows, start[i, at], start[i, at + 1], start[i, at + 2]))
         symbols[i, at] = v.look_up(symbols[i, at], symbols[i, at + 1])[1]
         shift = np.arange(width - 1)
         symbols[:, 1:] = np.where(shift >= at[:, None], np.concatenate([symbols[:, 2:], np.full((len(rows), 1), -1)], 1), symbols[:, 1:])
@@ -187,11 +201,10 @@ def merge_rows(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.n
 
 
 class Encoder:
-    """Holds the segmentations of the chunks met so far."""
+    """Holds the plain segmentations of the chunks met so far."""
 
     def __init__(self, path: str, rate: float, seed: int):
         self.v, self.rate, self.seed = Vocabulary(path), rate, seed
-        self.draws = DRAWS if rate > 0 else 1
         self._reset()
 
     def _reset(self) -> None:
@@ -199,32 +212,47 @@ class Encoder:
         self.codes = np.zeros(0, np.uint32)
         self.cuts = self.lengths = np.zeros(0, np.int64)
         self.hashes = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)  # of (chunk, draw): its segmentation, -1 if there is none yet
         self.starts = self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint16 if self.v.size <= 65536 else np.uint32)
-
-    def _learn_chunks(self) -> None:
-        new = list(islice(self.known, len(self.hashes), None))
-        if new:
-            codes = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            cut = np.cumsum(sizes) - sizes
-            inside = (np.arange(len(codes)) - np.repeat(cut, sizes)).astype(np.uint64)
-            own = np.add.reduceat(mix(codes + mix(inside + U(7))), cut) if len(codes) else np.zeros(0, np.uint64)
-            self.hashes = np.concatenate([self.hashes, mix(own + sizes.astype(np.uint64))])
-            self.slot = np.concatenate([self.slot, np.full(len(new) * self.draws, -1)])
-            self.cuts = np.concatenate([self.cuts, len(self.codes) + cut])
-            self.lengths = np.concatenate([self.lengths, sizes])
-            self.codes = np.concatenate([self.codes, codes.astype(np.uint32)])
-
-    def _segment(self, wanted: np.ndarray) -> None:
-        """Adds the segmentations of (chunk, draw) numbers."""
+        # the merges of each chunk's plain segmentation
+        self.first = self.merges = np.zeros(0, np.int64)
+        self.start, self.later = np.zeros(0, np.uint8), np.zeros(0, np.uint64)
+
+    def _learn(self) -> None:
+        have = len(self.hashes)
+        new = list(islice(self.known, have, None))
+        if not new:
+            return
+        codes = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        cut = np.cumsum(sizes) - sizes
+        inside = (np.arange(len(codes)) - np.repeat(cut, sizes)).astype(np.uint64)
+        own = np.add.reduceat(mix(codes + mix(inside + U(7))), cut) if len(codes) else np.zeros(0, np.uint64)
+        self.hashes = np.concatenate([self.hashes, mix(own + sizes.astype(np.uint64))])
+        self.cuts = np.concatenate([self.cuts, len(self.codes) + cut])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.codes = np.concatenate([self.codes, codes.astype(np.uint32)])
+        # with dropout, long chunks are merged at every occurrence
+        plain = np.flatnonzero(sizes <= LONGEST) if self.rate > 0 else np.arange(len(new))
+        merges: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        starts, counts, flat = self._segment(have + plain, np.zeros(len(plain), np.uint64), 0.0, merges if self.rate > 0 else None)
+        more = np.zeros((3, len(new)), np.int64)
+        more[0, plain], more[1, plain] = len(self.flat) + starts, counts
+        if merges:
+            row, start, middle, end = (np.concatenate(x) for x in zip(*merges, strict=True))
+            order = np.argsort(row, kind="stable")
+            more[2, plain] = np.bincount(row, minlength=len(plain))
+            self.start = np.concatenate([self.start, start[order].astype(np.uint8)])
+            self.later = np.concatenate([self.later, bounds(middle[order], end[order])])
+        self.first = np.concatenate([self.first, len(self.start) - more[2].sum() + np.cumsum(more[2]) - more[2]])
+        self.starts, self.sizes, self.merges = (np.concatenate([x, y]) for x, y in zip((self.starts, self.sizes, self.merges), more, strict=True))
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _segment(self, chunk: np.ndarray, keys: np.ndarray, rate: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merges an occurrence of each of the chunks: starts and sizes in the third array, their ids."""
         v = self.v
-        chunk, draw = wanted // self.draws, wanted % self.draws
-        keys = mix(self.hashes[chunk] + mix(draw.astype(np.uint64) + U((self.seed * 1_000_003 + 1) % (1 << 64))))
         lengths, first = self.lengths[chunk], self.cuts[chunk]
-        base, self.slot[wanted] = len(self.starts), len(self.starts) + np.arange(len(wanted))
-        starts, sizes, out, n_out = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64), [self.flat], len(self.flat)
+        starts, sizes, out, n_out = np.zeros(len(chunk), np.int64), np.zeros(len(chunk), np.int64), [self.flat[:0]], 0
 
         def add(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
             nonlocal n_out
@@ -238,38 +266,50 @@ class Encoder:
                 own = at[a : a + 50_000]
                 inside = np.arange(high) < lengths[own, None]
                 symbols = np.where(inside, v.symbols[self.codes[np.minimum(first[own, None] + np.arange(high), len(self.codes) - 1)]], -1)
-                for rows, made, counts in merge_rows(v, symbols, lengths[own], keys[own], self.rate):
+                steps = None if merges is None else []
+                for rows, made, counts in merge_rows(v, symbols, lengths[own], keys[own], rate, steps):
                     used = np.arange(high) < counts[:, None]
                     plain = ~((made < 0) & used).any(axis=1)
                     add(own[rows[plain]], made[plain][used[plain]], counts[plain])
                     for k in np.flatnonzero(~plain):
                         ids = np.array(v.spelled(made[k, : counts[k]].tolist()))
                         add(own[rows[k : k + 1]], ids, np.array([len(ids)]))
+                if steps:
+                    merges.extend((own[rows], *rest) for rows, *rest in steps)
         for i in np.flatnonzero(lengths > LONGEST):
             symbols = v.symbols[self.codes[first[i] : first[i] + lengths[i]]].tolist()
-            ids = np.array(v.spelled(agenda(v, symbols, int(keys[i]), self.rate)))
+            ids = np.array(v.spelled(agenda(v, symbols, int(keys[i]), rate)))
             add(np.array([i]), ids, np.array([len(ids)]))
-        self.flat = np.concatenate(out)
-        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        assert len(self.starts) == base + len(wanted)
+        return starts, sizes, np.concatenate(out)
+
+    def _deviating(self, chunk: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the occurrences that are not known to have the plain segmentation."""
+        out = self.lengths[chunk] > LONGEST
+        for a in range(0, len(chunk), TESTED):
+            own = chunk[a : a + TESTED]
+            counts = self.merges[own]
+            at = np.repeat(self.first[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            drop = below(np.repeat(keys[a : a + TESTED], counts), self.start[at].astype(np.uint64), self.later[at], self.rate)
+            out[a + np.repeat(np.arange(len(own)), counts)[drop]] = True
+        return np.flatnonzero(out)
 
     def encode(self, texts: list[str], doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and the texts' end offsets; `doc_keys` vary the draws."""
+        """Ids of all texts in one array, and the texts' end offsets; `doc_keys` vary the skips."""
         parts = [CHUNK.findall(f" {t}") if t else [] for t in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         chunk = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        self._learn_chunks()
-        place = np.arange(len(chunk)) - np.repeat(np.cumsum(counts) - counts, counts)
-        seed = U((self.seed * 2_654_435_761 + 5) % (1 << 64))
-        draw = mix(np.repeat(mix(doc_keys.astype(np.uint64) + seed), counts) + place.astype(np.uint64)) % U(self.draws)
-        which = chunk * self.draws + draw.astype(np.int64)
-        wanted = np.unique(which[self.slot[which] < 0])
-        if len(wanted):
-            self._segment(wanted)
-        at = self.slot[which]
-        sizes = self.sizes[at]
+        self._learn()
+        starts, sizes, flat = self.starts[chunk], self.sizes[chunk], self.flat
+        if self.rate > 0:
+            place = np.arange(len(chunk)) - np.repeat(np.cumsum(counts) - counts, counts)
+            seed = U((self.seed * 2_654_435_761 + 5) % (1 << 64))
+            keys = mix(self.hashes[chunk] + mix(np.repeat(mix(doc_keys.astype(np.uint64) + seed), counts) + place.astype(np.uint64)))
+            own = self._deviating(chunk, keys)
+            more, sizes[own], ids = self._segment(chunk[own], keys[own], self.rate)
+            starts[own] = len(flat) + more
+            flat = np.concatenate([flat, ids])
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])].astype(np.uint32)
+        ids = flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])].astype(np.uint32)
         if len(self.known) > HELD:
             self._reset()
         return ids, ends[np.cumsum(counts)]

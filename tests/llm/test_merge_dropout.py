@@ -76,6 +76,26 @@ def test_seeds_vary_and_texts_return():
     assert len(set(map(str, ids_of(e, ["the same words"] * 40)))) > 1
 
 
+def test_each_occurrence_is_segmented_by_itself(monkeypatch):
+    texts = [" ".join(["internationalization"] * 300)] * 4 + [t + " the " + "uncharacteristically " * 5 for t in TEXTS]
+    e = md.Encoder(MODEL, 0.1, 0)
+    got = ids_of(e, texts)
+    cuts = [[], [], [], []]
+    for t, cut in zip(got[:4], cuts, strict=True):
+        spelled = b""
+        for i in t:
+            if spelled.endswith(b" internationalization") or not spelled:
+                cut.append([])
+            cut[-1].append(i)
+            spelled += e.v.bytes[i]
+    assert all(len(c) == 300 for c in cuts)
+    assert len({str(x) for x in cuts[0]}) > 20 and len({str(x) for c in cuts for x in c}) > len({str(x) for x in cuts[0]})
+    assert len({str(c) for c in cuts}) == 4
+    # merging every occurrence gives what the held segmentations give
+    monkeypatch.setattr(md.Encoder, "_deviating", lambda self, chunk, keys: np.arange(len(chunk)))
+    assert ids_of(md.Encoder(MODEL, 0.1, 0), texts) == got
+
+
 def test_small_store(monkeypatch):
     monkeypatch.setattr(md, "HELD", 3)
     e = md.Encoder(MODEL, 0.1, 0)
