@@ -2,9 +2,9 @@
 
 Shingles are five consecutive words, lower case (a shorter text is one
 shingle). Their weight is tf * idf with idf = 1 + log(1 + N / df) / log(1 + WIDTH),
-between 1 and about 2, so that passages of a large group of copies still count. df comes from a hashed
-table of document frequencies over all documents (WIDTH = 2**20 counters, so its size does not
-follow the corpus; two shingles sharing a counter share its df). BANDS x
+between 1 and about 2, so that passages of a large group of copies still count. df, the documents that
+hold a shingle, is counted by its 48-bit hash over all documents: groups of documents ask for the counts
+of their shingles, each part of the hash's range counts what all groups ask, and answers them. BANDS x
 ROWS consistent weighted samples (Ioffe 2010) make a document's band keys; two
 documents agree in one sample with probability equal to their weighted Jaccard similarity.
 
@@ -26,21 +26,28 @@ are in one class whatever their texts. Extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import least_members
-from .common import few, partitions, text_slices, tune, written, written_small
+from .common import few, new_path, partitions, text_slices, tune, written, written_small
 from .textwords import U, grams, mix, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
+#: Scale of the idf.
 WIDTH = 1 << 20
 BLOCK = 256
 SLICE = 2_000_000
-_KEPT = 40  # bits of a shingle's hash
+#: Shingles of a group of documents that asks for their counts.
+GROUP = 1_000_000
+_KEPT = 48  # bits of a shingle's hash
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,54 +109,116 @@ def samples(doc: np.ndarray, sh: np.ndarray, weight: np.ndarray, n_docs: int, k:
     return out
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Counters of documents per shingle, and the number of documents with words; the result is of fixed size."""
-    parts = min(partitions(docs.sparkSession), 64)
-    step = -(-WIDTH // parts)
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold each, after the number of these."""
+    most = int(counts.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _hashes(sh: np.ndarray) -> bytes:
+    return sh.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _KEPT // 8].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // _KEPT, 8), np.uint8)
+    out[:, : _KEPT // 8] = np.frombuffer(data, np.uint8).reshape(len(out), _KEPT // 8)
+    return out.reshape(-1).view("<u8")
+
+
+def document_frequencies(docs: DataFrame, path: str) -> DataFrame:
+    """group, to (the partition that gets it), part, data: how many documents hold each distinct shingle of a group, by hash.
+
+    Writes each group of documents under ``path``.
+    """
+    parts = partitions(docs.sparkSession)
 
-    def count(batches):
-        table, n = np.zeros(WIDTH, np.int64), 0
+    def ask(batches):
+        held, rows, number = [], [], 0
         for batch in batches:
-            for _, texts in text_slices(batch, "text", SLICE):
-                doc, sh, _, d, _ = shingles(texts)
-                table += np.bincount((sh % U(WIDTH)).astype(np.int64), minlength=WIDTH)
-                n += int((d != 0).sum())
-        if n:
-            for p in range(parts):
-                own = table[p * step : (p + 1) * step]
-                kind = "<u2" if own.max(initial=0) < 65536 else "<i8"
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "width": pa.array([int(kind[-1])], pa.int32()), "n": [n if p == 0 else 0], "data": pa.array([own.astype(kind).tobytes()], pa.binary())})
-
-    def add(batches):
-        totals: dict[int, np.ndarray] = {}
-        n = 0
+            for part, texts in text_slices(batch, "text", SLICE):
+                held.append(shingles(texts)[1])
+                rows.append(part)
+                if sum(map(len, held)) >= GROUP:
+                    yield asked(held, rows, number)
+                    held, rows, number = [], [], number + 1
+        if rows:
+            yield asked(held, rows, number)
+
+    def asked(held: list[np.ndarray], rows: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        task = TaskContext.get().partitionId()
+        group = (task << 24) + number
+        fs, at = pafs.FileSystem.from_uri(path)
+        fs.create_dir(at, recursive=True)
+        own = f"{at}/{group}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as out, pa.ipc.new_stream(out, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            for x in rows:
+                to.write_batch(x)
+        fs.move(own, f"{at}/{group}")  # a repeated task replaces the same group
+        sh, counts = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.searchsorted((sh * U(parts)) >> U(_KEPT), np.arange(parts + 1))
+        some = [p for p in range(parts) if p == 0 or cut[p] < cut[p + 1]]
+        columns = [
+            pa.array(some, pa.int32()),
+            pa.array([group] * len(some), pa.int64()),
+            pa.array([(task + 7919 * number) % parts] * len(some), pa.int32()),
+            pa.array([_hashes(sh[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+            pa.array([narrow(counts[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["part", "group", "to", "data", "counts"])
+
+    def answer(batches):
+        keys, asks, counts = [], [], []
         for batch in batches:
-            for p, width, more, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                own = np.frombuffer(data, "<u2" if width == 2 else "<i8").astype(np.int64)
-                totals[p] = totals[p] + own if p in totals else own
-                n += more
-        for i, (p, own) in enumerate(totals.items()):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n": [n if i == 0 else 0], "data": pa.array([own.astype("<i8").tobytes()], pa.binary())})
-
-    got = docs.select("text").mapInArrow(count, "part int, width int, n long, data binary").repartitionById(parts, "part").mapInArrow(add, "part int, n long, data binary")
-    table, n = np.zeros(parts * step, np.int64), 0
-    for row in got.toLocalIterator():  # 8 MB in all
-        table[row.part * step : row.part * step + len(row.data) // 8] = np.frombuffer(row.data, "<i8")
-        n += row.n
-    return table[:WIDTH], n
+            for part, group, to, data, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys.append((group, to, part))
+                asks.append(_unpacked(data))
+                counts.append(wide(count))
+        if not keys:
+            return
+        ends = np.cumsum([len(x) for x in asks])
+        _, place = np.unique(np.concatenate(asks), return_inverse=True)
+        asks.clear()
+        total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)  # exact below 2**53
+        for a in range(0, len(keys), 256):
+            some = range(a, min(a + 256, len(keys)))
+            data = [narrow(total[place[ends[i - 1] if i else 0 : ends[i]]]) for i in some]
+            group, to, part = zip(*keys[a : a + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["group", "to", "part", "data"])
+
+    asks = docs.mapInArrow(ask, "part int, group long, to int, data binary, counts binary").repartitionById(parts, "part")
+    return asks.mapInArrow(answer, "group long, to int, part int, data binary")
+
+
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    return 1 + np.log1p(max(n, 1) / np.maximum(df, 1)) / np.log1p(WIDTH)
 
 
 class Weights:
-    """The weight of a shingle from its times and counter."""
+    """The weight of a shingle from its times and a table of document frequencies."""
 
     def __init__(self, table: np.ndarray, n: int):
-        self.idf = (1 + np.log1p(max(n, 1) / np.maximum(table, 1)) / np.log1p(WIDTH)).astype(np.float32)
+        self.idf = idf(table, n)
+
+    def __call__(self, sh: np.ndarray, times: np.ndarray, texts: list[str] | None = None) -> np.ndarray:
+        return times * self.idf[(sh % U(len(self.idf))).astype(np.int64)]
+
+
+class Counted:
+    """The same from the document frequencies of each text's shingles."""
 
-    def __call__(self, sh: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return times * self.idf[(sh % U(WIDTH)).astype(np.int64)].astype(np.float64)
+    def __init__(self, n: int, texts: list[str], frequencies: list[bytes]):
+        self.n, self.held = n, dict(zip(texts, frequencies, strict=True))
 
+    def __call__(self, sh: np.ndarray, times: np.ndarray, texts: list[str]) -> np.ndarray:
+        return times * idf(np.concatenate([wide(self.held[t]) for t in texts]), self.n)
 
-def weighted_sets(texts: list[str], weights: Weights) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+
+def weighted_sets(texts: list[str], weights: Weights | Counted) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each text its shingles in order, their weights and their times."""
     sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held, first = 0, 0
@@ -157,14 +226,14 @@ def weighted_sets(texts: list[str], weights: Weights) -> list[tuple[np.ndarray,
         held += len(t)
         if held > SLICE or i == len(texts) - 1:
             doc, sh, times, _, _ = shingles(texts[first : i + 1])
-            w = weights(sh, times)
+            w = weights(sh, times, texts[first : i + 1])
             cut = np.searchsorted(doc, np.arange(i + 2 - first))
             sets += [(sh[x:y], w[x:y], times[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
             held, first = 0, i + 1
     return sets
 
 
-def similarities(left: list[str], right: list[str], weights: Weights) -> np.ndarray:
+def similarities(left: list[str], right: list[str], weights: Weights | Counted) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts."""
     number: dict[str, int] = {}
     a, b = (np.array([number.setdefault(t, len(number)) for t in side]) for side in (left, right))
@@ -180,7 +249,7 @@ def similarities(left: list[str], right: list[str], weights: Weights) -> np.ndar
     return out
 
 
-def all_similarities(texts: list[str], weights: Weights, columns: int = 4096) -> np.ndarray:
+def all_similarities(texts: list[str], weights: Weights | Counted, columns: int = 4096) -> np.ndarray:
     """Weighted Jaccard similarity of every two texts.
 
     A shingle that occurs k times counts as k columns, so a product of 0/1 matrices with the
@@ -212,38 +281,62 @@ def _components(links: DataFrame) -> DataFrame:
     return least_members(links).withColumnRenamed("least", "component")
 
 
-def signatures(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
-    """doc_id, two hashes of the word sequence (0: no words), band keys."""
+def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, h (the text's hash), two hashes of the word sequence (0: no words), band keys, df of the shingles in order."""
+    spark = docs.sparkSession
+    path = new_path(spark, "near-groups")
 
     def sign(batches):
+        now, held = None, []
         for batch in batches:
-            for part, texts in text_slices(batch, "text", SLICE):
-                doc, sh, times, d1, d2 = shingles(texts)
-                got = samples(doc, sh, weights(sh, times), len(texts), bands * rows)
-                keys = np.zeros((len(texts), bands), np.uint64)
-                for b in range(bands):
-                    for r in range(rows):
-                        keys[:, b] = mix(keys[:, b] + got[:, b * rows + r] + U(b + 1))
-                offsets = pa.array(np.arange(0, (len(texts) + 1) * bands, bands, dtype=np.int32))
-                held = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), held], ["doc_id", "d1", "d2", "bands"])
-
-    return docs.mapInArrow(sign, "doc_id long, d1 long, d2 long, bands array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
+            for group, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if group != now:
+                    yield from signed(now, held)
+                    now, held = group, []
+                held.append(wide(data))
+        yield from signed(now, held)
+
+    def signed(group: int | None, held: list[np.ndarray]):
+        if group is None:
+            return
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(f"{at}/{group}") as source, pa.ipc.open_stream(source) as found:
+            parts = [(x, shingles([t or "" for t in x.column(2).to_pylist()])) for x in found]
+        known, counts = np.unique(np.concatenate([x[1] for _, x in parts])), np.concatenate(held)
+        if len(known) != len(counts):
+            raise ValueError(f"{len(counts)} counts for {len(known)} shingles")
+        for part, (doc, sh, times, d1, d2) in parts:
+            df = counts[np.searchsorted(known, sh)]
+            got = samples(doc, sh, times * idf(df, n), len(d1), bands * rows)
+            keys = np.zeros((len(d1), bands), np.uint64)
+            for b in range(bands):
+                for r in range(rows):
+                    keys[:, b] = mix(keys[:, b] + got[:, b * rows + r] + U(b + 1))
+            offsets = pa.array(np.arange(0, (len(d1) + 1) * bands, bands, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
+            cut = np.searchsorted(doc, np.arange(len(d1) + 1))
+            own = pa.array([narrow(df[x:y]) for x, y in zip(cut, cut[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, own], ["doc_id", "h", "d1", "d2", "bands", "df"])
+
+    answers = document_frequencies(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), path)
+    dealt = answers.repartitionById(partitions(spark), "to").sortWithinPartitions("group", "part").select("group", "data")
+    return dealt.mapInArrow(sign, "doc_id long, h long, d1 long, d2 long, bands array<long>, df binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
     """Of the pairs (u, v) those whose texts are similar enough."""
 
     def compare(batches):
         for batch in batches:
-            near = similarities(batch.column(2).to_pylist(), batch.column(3).to_pylist(), weights) >= least
+            a, b, p, q = (batch.column(i).to_pylist() for i in range(2, 6))
+            near = similarities(a, b, Counted(n, a + b, p + q)) >= least
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], ["u", "v"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    return written(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long").repartition(few(pairs.sparkSession)), "near-links")
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"), F.col("df").alias("p")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"), F.col("df").alias("q")), "v")
+    return written(both.select("u", "v", "a", "b", "p", "q").mapInArrow(compare, "u long, v long").repartition(few(pairs.sparkSession)), "near-links")
 
 
-def in_blocks(own: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
+def in_blocks(own: DataFrame, texts: DataFrame, n_docs: int, least: float) -> DataFrame:
     """Links (a spanning forest of each block pair) within the pieces that hold several components."""
     spark = own.sparkSession
     sizes = own.groupBy("piece", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
@@ -259,20 +352,21 @@ def in_blocks(own: DataFrame, texts: DataFrame, weights: Weights, least: float)
     rows = rows.select("piece", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("rep").alias("doc_id")).join(texts, "doc_id")
 
     def solve(batches):
-        now, ids, held = None, [], []
+        now, ids, held, counts = None, [], [], []
         for batch in batches:
-            for p, x, y, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, x, y, d, t, c in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 if (p, x, y) != now:
                     if len(ids) > 1:
-                        yield forest(ids, held)
-                    now, ids, held = (p, x, y), [], []
+                        yield forest(ids, held, counts)
+                    now, ids, held, counts = (p, x, y), [], [], []
                 ids.append(d)
                 held.append(t)
+                counts.append(c)
         if len(ids) > 1:
-            yield forest(ids, held)
+            yield forest(ids, held, counts)
 
-    def forest(ids: list[int], held: list[str]) -> pa.RecordBatch:
-        near = all_similarities(held, weights) >= least
+    def forest(ids: list[int], held: list[str], counts: list[bytes]) -> pa.RecordBatch:
+        near = all_similarities(held, Counted(n_docs, held, counts)) >= least
         todo, out = set(range(len(ids))), []
         while todo:
             queue = [todo.pop()]
@@ -285,7 +379,7 @@ def in_blocks(own: DataFrame, texts: DataFrame, weights: Weights, least: float)
                         out.append((ids[i], ids[j]))
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "v"])
 
-    dealt = rows.select("piece", "x", "y", "doc_id", "text").repartition(partitions(spark), "piece", "x", "y").sortWithinPartitions("piece", "x", "y")
+    dealt = rows.select("piece", "x", "y", "doc_id", "text", "df").repartition(partitions(spark), "piece", "x", "y").sortWithinPartitions("piece", "x", "y")
     return written(dealt.mapInArrow(solve, "u long, v long").repartition(few(spark)), "near-links")
 
 
@@ -293,8 +387,8 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     """doc_id, class_id, kept: one row per row of ``docs``."""
     spark = tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    weights = Weights(*document_frequencies(docs))
-    signed = written(signatures(docs, weights, bands, rows), "near-signatures")
+    n = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
+    signed = written(signatures(docs, n, bands, rows), "near-signatures")
     fine = signed.filter("doc_id is not null and d1 <> 0")
     classes = written_small(fine.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
     members = classes.select(F.explode("bands").alias("piece"), "rep").distinct()
@@ -302,13 +396,15 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     leaders = written_small(leaders.select("piece", F.col("first.rep").alias("leader")), "near-leaders")
     pieces = written_small(members.join(leaders, "piece"), "near-pieces")
     needed = written_small(pieces.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
-    texts = written(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    texts = docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("text"))
+    counted = fine.join(needed, "doc_id").groupBy("doc_id", "h").agg(F.first("df").alias("df"))
+    texts = written(texts.join(counted, ["doc_id", "h"]).select("doc_id", "text", "df"), "near-texts")
     pairs = pieces.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
-    links = verified(pairs, texts, weights, least)
+    links = verified(pairs, texts, n, least)
     named = written_small(_components(links), "near-components")
     own = pieces.join(named.withColumnRenamed("node", "rep"), "rep", "left")
     own = written_small(own.select("piece", "rep", F.coalesce("component", "rep").alias("component")), "near-own")
-    more = in_blocks(own, texts, weights, least)
+    more = in_blocks(own, texts, n, least)
     links = named.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     named = written_small(_components(links), "near-components")
     result = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left")

@@ -3,6 +3,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tensorframe.llm import near_dedup as nd
@@ -111,6 +113,31 @@ def test_classes_equal_brute_force(spark, monkeypatch, block):
     assert nd.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_many_other_shingles_leave_weights_alone(spark, tmp_path):
+    """Copies of similarity 0.79 by their shingles' own frequencies, beside five million other shingles."""
+    rng = np.random.default_rng(1)
+    base = " ".join(f"b{i}" for i in range(1004))
+    texts = [base + " " + " ".join(f"t{k}x{i}" for i in range(109)) for k in range(40)]
+    texts += [" ".join(map(str, rng.integers(0, 1 << 31, 1_000_000).tolist())) for _ in range(5)]
+    pq.write_table(pa.table({"doc_id": list(range(45)), "text": texts}), f"{tmp_path}/documents.parquet", row_group_size=4)
+    n, shared, own = 45, 1000 * (1 + math.log1p(45 / 40) / math.log1p(nd.WIDTH)), 109 * (1 + math.log1p(45) / math.log1p(nd.WIDTH))
+    assert 0.785 < shared / (shared + 2 * own) < 0.795
+    got = nd.near_duplicates(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(d, d) for d in range(n)]
+
+
+def test_document_frequencies_are_exact(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(12)))) for i in range(400)]
+    rows += [(400, "a b c a b"), (400, "a b c a b"), (None, "a b c a b c"), (401, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    total = Counter(s for x in sets_of([t for _, t in rows]) for s in x)
+    want = Counter((d, tuple(sorted(total[s] for s in x))) for (d, _), x in zip(rows, sets_of([t for _, t in rows]), strict=True))
+    assert Counter((r.doc_id, tuple(sorted(nd.wide(r.df).tolist()))) for r in nd.signatures(df, 401, 2, 2).collect()) == want
+    big = np.array([1, 300, 70_000, 1 << 40])
+    assert all((nd.wide(nd.narrow(big[:k])) == big[:k]).all() for k in range(5))
+
+
 def test_query_against_brute_force(spark):
     from tensorframe.llm.queries import op3_weighted_minhash
 
