@@ -1,36 +1,34 @@
-"""Session settings, shared storage and batching used by the corpus operators."""
+"""Shared storage and batching used by the corpus operators.
+
+Arrow batches are bounded by bytes through Spark's own setting
+(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless the caller changes it); no
+operator changes a setting of the session.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-
-from ..sources.storage import few, new_path, partitions, shared_dir, written, written_small
-
-__all__ = ["BATCH_ROWS", "SLICE_CHARS", "few", "new_path", "partitions", "shared_dir", "text_slices", "tune", "written", "written_small"]
+import pyarrow.compute as pc
 
-#: Rows per Arrow batch handed to Python: with texts of 100 KB still some 50 MB.
-BATCH_ROWS = 512
-#: Code points of text that one vectorised step works on.
-SLICE_CHARS = 4_000_000
+from ..sources.storage import discard, few, files_of, new_path, partitions, shared_dir, written, written_small
 
+__all__ = ["SLICE_BYTES", "discard", "few", "files_of", "new_path", "partitions", "shared_dir", "text_slices", "written", "written_small"]
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by rows, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+#: Bytes of text that one vectorised step works on.
+SLICE_BYTES = 4_000_000
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive slices of a batch with their texts (null: empty), each of about ``most`` code points or one row."""
-    texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield batch.slice(first, i - first), texts[first:i]
-            first, held = i, 0
-        held += len(t)
-    if first < len(texts):
-        yield batch.slice(first), texts[first:]
+def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive slices of a batch with their texts (null: empty), each of about ``most`` bytes or one row."""
+    at = batch.schema.get_field_index(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        part = batch.slice(first, last - first)
+        yield part, [t or "" for t in part.column(at).to_pylist()]
+        first = last

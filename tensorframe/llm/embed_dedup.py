@@ -9,10 +9,16 @@ and their boxes lie within eps; all pairs for which that cannot be excluded
 are joined, each by halving both sides until a block is provably distant or
 small, where one matrix product decides by cosine in double precision.
 
+The sorted sequence is a written table, a file for each interval with row groups of about BLOCK vectors. A
+task gets a pair of intervals and reads both files; a file of more than HELD blocks is kept as
+boxes only and its blocks are read again as they are needed, so a task's memory does not grow with
+the table, and no vector is copied per pair.
+
 A joined pair reports link counts per class and a spanning forest of its
 links, never the links themselves; large-star and small-star steps put the forests together.
 
-Vectors that are null, empty, zero or hold null or non-finite components, and
+Components are compared in double precision as they come. Labels of an integral type count as such,
+others by a 64-bit hash. Vectors that are null, empty, zero or hold null or non-finite components, and
 rows whose label is null, link with nothing: n_links 0, component their own
 id. Vectors of different dimension don't link. Repeated rows are linked to
 each other. A null id gives a row without links and a null component. Extra
@@ -25,15 +31,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import least_members
-from .common import partitions, tune, written
+from .common import discard, files_of, partitions, written
 
 AXES = 8
-#: Vectors in an interval, and intervals at most: beyond, intervals grow instead.
+#: Vectors in an interval, and intervals at most (their boxes and pairs are all the driver sees): beyond, intervals hold more blocks.
 INTERVAL, MOST_INTERVALS = 4096, 1024
+#: Vectors in a block, and blocks of a file that a task holds.
+BLOCK, HELD = 4096, 32
 LEAF = 256
 SLACK = 1e-9  # widens boxes against rounding
 
@@ -181,8 +192,30 @@ def interval_pairs(boxes: list[tuple], eps: float) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def grid_join(classes: DataFrame, dim: int, least: float) -> DataFrame:
-    """Links of the classes (label, rep, n, vec, all of one dimension): rows (rep, links, root); root null in count rows."""
+class Stretch:
+    """A file of the sorted sequence: the box of each row group, and the row groups as intervals."""
+
+    def __init__(self, uri: str, axes: np.ndarray):
+        fs, path = pafs.FileSystem.from_uri(uri)
+        self.file, self.axes = pq.ParquetFile(fs.open_input_file(path)), axes
+        self.held: dict[int, Interval] = {}
+        self.boxes = []
+        for k in range(self.file.num_row_groups):
+            own = self.block(k)
+            self.boxes.append((int(own.label.min()), int(own.label.max()), own.low.min(axis=0), own.low.max(axis=0)) if len(own.rep) else None)
+
+    def block(self, k: int) -> Interval:
+        if k not in self.held:
+            if len(self.held) >= HELD:
+                del self.held[next(iter(self.held))]
+            t = self.file.read_row_group(k).combine_chunks()
+            unit = _unit(_matrix(t["vec"].chunk(0))) if len(t) else np.zeros((0, len(self.axes)))
+            self.held[k] = Interval(t["label"].to_numpy(), t["rep"].to_numpy(), t["n"].to_numpy(), unit, unit @ self.axes)
+        return self.held[k]
+
+
+def grid_join(classes: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links of the classes (label, rep, n, vec, all of one dimension): rows (rep, links, root), root null in count rows; and the table that they are read from."""
     spark = classes.sparkSession
     eps = math.sqrt(max(0.0, 2 - 2 * least))
     axes = principal_axes(classes, dim)
@@ -194,88 +227,80 @@ def grid_join(classes: DataFrame, dim: int, least: float) -> DataFrame:
             cells = np.floor(_unit(_matrix(batch.column(3))) @ axes / max(eps, 1e-6)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cells.T)], [*batch.schema.names, *names])
 
-    kinds = "label long, rep long, n long, vec array<float>"
+    kinds = "label long, rep long, n long, vec array<double>"
     placed = classes.select("label", "rep", "n", "vec").mapInArrow(place, f"{kinds}, " + ", ".join(f"{c} int" for c in names))
-    ordered = placed.repartitionByRange(cut, "label", *names, F.xxhash64("rep")).select("label", "rep", "n", "vec", F.spark_partition_id().alias("part"))
-    held = written(ordered, "grid-order")
-
-    def boxes(batches):
-        found: dict[int, tuple] = {}
-        for batch in batches:
-            label, low, part = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1))) @ axes, batch.column(2).to_numpy()
-            for p in np.unique(part):
-                at = part == p
-                new = label[at].min(), label[at].max(), low[at].min(axis=0), low[at].max(axis=0)
-                old = found.get(int(p), new)
-                found[int(p)] = min(old[0], new[0]), max(old[1], new[1]), np.minimum(old[2], new[2]), np.maximum(old[3], new[3])
-        for p, (a, b, lo, hi) in found.items():
-            yield pa.RecordBatch.from_pydict({"part": [p], "a": [int(a)], "b": [int(b)], "lo": [lo], "hi": [hi]}, schema=pa.schema([("part", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
-
-    box: dict[int, tuple] = {}
-    for r in held.select("label", "vec", "part").mapInArrow(boxes, "part int, a long, b long, lo array<double>, hi array<double>").collect():  # at most a few rows for each of MOST_INTERVALS
-        lo, hi = np.array(r.lo), np.array(r.hi)
-        old = box.get(r.part, (r.a, r.b, lo, hi))
-        box[r.part] = min(old[0], r.a), max(old[1], r.b), np.minimum(old[2], lo), np.maximum(old[3], hi)
-    numbers = sorted(box)
-    pairs = [(numbers[i], numbers[j]) for i, j in interval_pairs([box[p] for p in numbers], eps)]
-    asked: dict[int, list[int]] = {}
-    for k, (i, j) in enumerate(pairs):
-        asked.setdefault(i, []).append(k)
-        if i != j:
-            asked.setdefault(j, []).append(k)
-    ways = spark.createDataFrame([(p, ks) for p, ks in asked.items()] or [(-1, [])], "part int, pairs array<int>")  # as long as the list of pairs
-
-    def joined(batches):
-        now, rows = None, []
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                if now is not None and ids[a] != now:
-                    yield from solve(now, rows)
-                    rows = []
-                now = ids[a]
-                rows.append(batch.slice(a, b - a))
-        if rows:
-            yield from solve(now, rows)
-
-    def solve(k, rows):
-        t = pa.Table.from_batches(rows).combine_chunks()
-        unit = _unit(_matrix(t["vec"].chunk(0)))
-        part = t["part"].to_numpy()
-        made = {}
-        for p in dict.fromkeys(pairs[k]):
-            at = part == p
-            made[p] = Interval(t["label"].to_numpy()[at], t["rep"].to_numpy()[at], t["n"].to_numpy()[at], unit[at], unit[at] @ axes)
-        x, y = (made[p] for p in pairs[k])
-        nx, ny, forest = join_pair(x, y, least, eps)
-        reps = x.rep if x is y else np.concatenate([x.rep, y.rep])
-        counts = nx if x is y else np.concatenate([nx, ny])
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"rep": reps[some], "links": counts[some], "root": pa.nulls(len(some), pa.int64())})
-        roots = np.array([forest.root(i) for i in range(len(reps))], np.int64)
-        some = np.flatnonzero(roots != np.arange(len(reps)))
-        yield pa.RecordBatch.from_pydict({"rep": reps[some], "links": pa.nulls(len(some), pa.int64()), "root": reps[roots[some]]})
-
+    ordered = placed.repartitionByRange(cut, "label", *names, F.xxhash64("rep")).sortWithinPartitions("label", *names).select("label", "rep", "n", "vec")
+    # compression would make row groups of a size in bytes vary in vectors
+    held = written(ordered, "grid-order", **{"parquet.block.size": str(BLOCK * (8 * dim + 24)), "compression": "none"})
+    files = files_of(held)
+
+    def each(rows: DataFrame, kinds: str, of) -> DataFrame:
+        """``of`` (a number) over the numbers in the only column of ``rows``."""
+
+        def go(batches):
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield from of(k)
+
+        return rows.mapInArrow(go, kinds)
+
+    def boxes(k: int):
+        stretch = Stretch(files[k], axes)
+        found = [x for x in stretch.boxes if x is not None]
+        if found:
+            lo, hi = np.min([x[2] for x in found], axis=0), np.max([x[3] for x in found], axis=0)
+            yield pa.RecordBatch.from_pydict({"part": [k], "a": [min(x[0] for x in found)], "b": [max(x[1] for x in found)], "lo": [lo], "hi": [hi]}, schema=pa.schema([("part", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
+
+    numbers = spark.range(0, len(files), 1, max(1, min(len(files), 4 * partitions(spark))))
+    found = sorted(each(numbers, "part int, a long, b long, lo array<double>, hi array<double>", boxes).collect())  # a row for each of MOST_INTERVALS
+    near = interval_pairs([(r.a, r.b, np.array(r.lo), np.array(r.hi)) for r in found], eps)
+    pairs = [(found[i].part, found[j].part) for i, j in near]
+
+    def solve(k: int):
+        i, j = pairs[k]
+        x = Stretch(files[i], axes)
+        y = x if i == j else Stretch(files[j], axes)
+        for g, p in enumerate(x.boxes):
+            for h in range(g if i == j else 0, len(y.boxes)):
+                if p is None or y.boxes[h] is None or distant(p, y.boxes[h], eps):
+                    continue
+                u = x.block(g)
+                v = u if i == j and g == h else y.block(h)
+                nu, nv, forest = join_pair(u, v, least, eps)
+                reps = u.rep if u is v else np.concatenate([u.rep, v.rep])
+                counts = nu if u is v else np.concatenate([nu, nv])
+                some = np.flatnonzero(counts)
+                if not len(some):
+                    continue
+                yield pa.RecordBatch.from_pydict({"rep": reps[some], "links": counts[some], "root": pa.nulls(len(some), pa.int64())})
+                roots = np.array([forest.root(i) for i in range(len(reps))], np.int64)
+                some = np.flatnonzero(roots != np.arange(len(reps)))
+                yield pa.RecordBatch.from_pydict({"rep": reps[some], "links": pa.nulls(len(some), pa.int64()), "root": reps[roots[some]]})
+
+    # neighbouring pairs share an interval, but so do their costs: they are dealt in turn
     tasks = max(1, min(len(pairs), 4 * partitions(spark)))
-    sent = held.join(F.broadcast(ways), "part").select(F.explode("pairs").alias("pair"), "part", "label", "rep", "n", "vec")
-    return sent.repartitionById(tasks, F.col("pair") % tasks).sortWithinPartitions("pair").mapInArrow(joined, "rep long, links long, root long")
+    return each(spark.range(0, len(pairs), 1, tasks), "rep long, links long, root long", solve), held
 
 
 def near_dedup(vectors: DataFrame, *, least: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """id, n_links, component_id, kept: one row per row of ``vectors``."""
-    spark = tune(vectors.sparkSession)
+    spark = vectors.sparkSession
     fine = F.expr("label is not null and id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(v, x -> x <> 0)")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("long").alias("label"), F.col(vector_column).cast("array<float>").alias("v"))
+    label = F.col(label_column)
+    whole = isinstance(vectors.schema[label_column].dataType, T.IntegralType)
+    label = label.cast("long") if whole else F.when(label.isNotNull(), F.xxhash64(label))
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), label.alias("label"), F.col(vector_column).cast("array<double>").alias("v"))
     rows = rows.select("id", "label", "v", F.coalesce(fine, F.lit(False)).alias("fine"), F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
     classes = written(rows.filter("fine").groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("v").alias("vec")), "vector-classes")
-    found = None
+    found, sorted_ = None, []
     for (dim,) in sorted(classes.select(F.size("vec")).distinct().collect()):  # a row per dimension
-        part = grid_join(classes.filter(F.size("vec") == dim), dim, least)
+        part, held = grid_join(classes.filter(F.size("vec") == dim), dim, least)
+        sorted_.append(held)
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], "rep long, links long, root long")
     found = written(found, "grid-links")
+    discard(spark, *sorted_)
     named = written(least_members(found.filter("root is not null").select(F.col("rep").alias("u"), F.col("root").alias("v"))), "vector-components")
     links = found.filter("root is null").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = written(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_slices, tune
+from .common import text_slices
 from .textwords import U, mix
 from .wordcodes import Numbered
 
@@ -336,7 +336,6 @@ def encoder(path: str, rate: float, seed: int) -> Encoder:
 
 def encode(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """All columns of ``docs`` and ids: the text's ids as little-endian unsigned 32-bit integers."""
-    tune(docs.sparkSession)
     name = "ids"
     while name in docs.columns:
         name += "_"
@@ -355,8 +354,9 @@ def encode(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 0)
 
 
 def decode(rows: DataFrame, model: str, *, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
-    """All columns of ``rows`` and the text of its ids (null for null ids)."""
-    tune(rows.sparkSession)
+    """All columns of ``rows`` and the text of its ids (null for null ids), under ``text_column`` with "_" added while a column has that name."""
+    while text_column in rows.columns:
+        text_column += "_"
     at = rows.columns.index(ids_column)
 
     def add(batches):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import least_members
-from .common import few, new_path, partitions, text_slices, tune, written, written_small
+from .common import few, new_path, partitions, text_slices, written, written_small
 from .textwords import U, grams, mix, words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -385,7 +385,7 @@ def in_blocks(own: DataFrame, texts: DataFrame, n_docs: int, least: float) -> Da
 
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, kept: one row per row of ``docs``."""
-    spark = tune(docs.sparkSession)
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
     signed = written(signatures(docs, n, bands, rows), "near-signatures")

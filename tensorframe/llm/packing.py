@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_slices, tune
+from .common import partitions, text_slices
 from .wordcodes import with_end, word_codes, word_hash, words_apart
 
 DIMS, BITS = 3, 10
@@ -110,13 +110,13 @@ def range_bounds(docs: DataFrame, parts: int, keep_space: bool) -> np.ndarray:
     return got.key.to_numpy()[np.minimum(np.searchsorted(share_below, np.arange(1, parts) / parts), len(got) - 1)]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, keep_space: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, keep_space: bool = False, special_as_text: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` tokens.
 
     Returns doc_id, start, length, doc_tokens, sequence_id, offset and the piece's
     ids (binary, little-endian unsigned 32-bit).
     """
-    spark = tune(docs.sparkSession)
+    spark = docs.sparkSession
     parts = partitions(spark)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, ke
     def encode(batches):
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                ids, ends, *hashed = word_codes(tokenizer, keep_space, hashed=True).encode_and_hash(texts)
+                ids, ends, *hashed = word_codes(tokenizer, keep_space, True, special_as_text).encode_and_hash(texts)
                 key = (curve().keys(*hashed) << 32) | part.column(2).to_numpy()
                 ids, ends = with_end(ids, ends, end_id)
                 cut = np.append(0, ends)

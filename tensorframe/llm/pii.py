@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, tune
+from .common import text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 CHAIN_GAP, ROUNDS, DAMPING, THRESHOLD = 40, 12, 0.3, 0.9
@@ -285,7 +285,6 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and its spans (kind, start, end, base) by start, then kind; code points, end exclusive."""
-    tune(docs.sparkSession)
 
     def scan(batches):
         for batch in batches:
@@ -317,7 +316,6 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The same rows and columns, personal data in ``text`` replaced by <kind>; null texts stay null."""
-    tune(docs.sparkSession)
     at = docs.columns.index("text")
 
     def scan(batches):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, tune
+from .common import text_slices
 
 FIT_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 12, 6
@@ -225,7 +225,6 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Model:
     """Fits the model on labelled documents that are not held out, ``fit_rows`` at most."""
-    tune(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
@@ -244,7 +243,6 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mo
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and the score of its text."""
-    tune(docs.sparkSession)
 
     def add(batches):
         for batch in batches:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, new_path, partitions, text_slices, tune, written
+from .common import few, new_path, partitions, text_slices, written
 from .fm_index import FMIndex
 from .textwords import U, grams, mix, words_of
 
@@ -174,7 +174,7 @@ def search(pieces: np.ndarray, shards: np.ndarray, words: np.ndarray, sizes: np.
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All columns of ``docs`` and n_words, n_removed, kept (binary: the words that stay, joined by one blank)."""
-    spark = tune(docs.sparkSession)
+    spark = docs.sparkSession
     parts = partitions(spark)
     folder = new_path(spark, "substring-shards")
     names = docs.columns

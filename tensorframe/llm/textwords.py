@@ -1,13 +1,14 @@
-"""Words of many texts as 64-bit hashes, computed on the bytes of a whole batch at once."""
+"""Words of many texts as 64-bit hashes, computed on the bytes of a whole batch at once.
+
+The hashes choose where equal words meet; whatever removes or merges documents compares
+the words themselves, or 128 bits from two independent seeds.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,27 +20,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BACK)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (a run of bytes other than blank and \\t to \\r) and the number of words of each text."""
-    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(space, prepend=True))  # starts and ends in turn, as the data ends in white space
-    starts, ends = edge[0::2], edge[1::2]
-    up, down = _power(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + U(1)) * up[: len(data)], dtype=np.uint64)])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
-    firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return hashes, np.diff(np.searchsorted(starts, firsts))
+class Words:
+    """The words (runs of bytes other than blank and \\t to \\r) of some texts: their places in ``data``, and how many each text has."""
+
+    def __init__(self, texts: list[str]):
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        self.raw = b"\n".join([*parts, b"\n" * 8])  # loads of 8 bytes stay inside
+        self.data = np.frombuffer(self.raw, np.uint8)
+        space = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
+        edge = np.flatnonzero(np.diff(space, prepend=True))  # starts and ends in turn, as the data ends in white space
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        self.counts = np.diff(np.searchsorted(self.starts, firsts))
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """Every group of eight bytes is mixed with its place in the word before the groups are added up."""
+        out = np.zeros(len(self.starts), np.uint64)
+        if not len(out):
+            return out
+        eight = np.lib.stride_tricks.as_strided(self.data, (len(self.data) - 7, 8), (1, 1))
+        sizes = self.ends - self.starts
+
+        def mixed(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+            group = eight[self.starts[word] + 8 * k].copy().view("<u8")[:, 0]
+            left = sizes[word] - 8 * k
+            group &= np.where(left >= 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - U(1))
+            return mix(mix(group + U((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % (1 << 64)) + k.astype(np.uint64) * U(0x9E3779B97F4A7C15)) ^ k.astype(np.uint64))
+
+        every = np.arange(len(out))
+        for k in range(4):  # most words end here
+            todo = every if k == 0 else every[sizes > 8 * k]
+            out[todo] += mixed(todo, np.full(len(todo), k))
+        if len(todo := every[sizes > 32]):
+            n = (sizes[todo] - 25) // 8  # groups from the fifth on
+            head = np.cumsum(n) - n
+            out[todo] += np.add.reduceat(mixed(np.repeat(todo, n), np.arange(n.sum()) - np.repeat(head, n) + 4), head)
+        return mix(out + sizes.astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
+def words_of(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word and the number of words of each text."""
+    words = Words(texts)
+    return words.hashes(seed), words.counts
 
 
 def grams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

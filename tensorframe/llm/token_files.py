@@ -11,7 +11,8 @@ so any document is read by seeking to the blocks that hold it, and blocks are
 unpacked with a few numpy operations per lane of eight ids.
 
 Shards follow ascending (doc_id, text hash); null doc_ids come first. Null and
-empty texts give the end id alone; repeated rows are separate documents; other
+empty texts give the end id alone; a special token's string in a text becomes that token, as the
+library has it, unless ``special_as_text``; repeated rows are separate documents; other
 columns are ignored; an empty table gives no shard and no rows.
 """
 
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, text_slices, tune
+from .common import new_path, partitions, text_slices
 from .wordcodes import with_end, word_codes
 
 MAGIC = b"TFIDS001"
@@ -82,10 +83,9 @@ class ShardWriter:
     """Streams documents into one shard; only the index and one block stay in memory."""
 
     def __init__(self, path: str, bits: int):
-        self.fs, self.path = pafs.FileSystem.from_uri(path)
-        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.part = f"{self.path}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.part)
+        fs, at = pafs.FileSystem.from_uri(path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        self.out = fs.open_output_stream(at)
         self.bits, self.rest, self.n = bits, np.zeros(0, np.uint32), 0
         self.doc_ids: list[np.ndarray] = []
         self.nulls: list[np.ndarray] = []
@@ -116,7 +116,6 @@ class ShardWriter:
             self.out.write(x.tobytes())
         self.out.write(TRAILER.pack(len(arrays[0]), self.n, len(self.offsets), self.at, MAGIC))
         self.out.close()
-        self.fs.move(self.part, self.path)  # a repeated task replaces the same shard by equal bytes
         return len(arrays[0]), self.n
 
 
@@ -168,12 +167,12 @@ class ShardReader:
         self.file.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, *, vocabulary: int, end_id: int, path: str, keep_space: bool = True) -> list[tuple[str, int, int]]:
+def write_tokens(docs: DataFrame, tokenizer: str, *, vocabulary: int, end_id: int, path: str, keep_space: bool = True, special_as_text: bool = False) -> list[tuple[str, int, int]]:
     """Writes every text's ids as shards under ``path``; returns (shard, documents, ids) in corpus order.
 
     Texts are range-partitioned by (doc_id, text hash), so that rows sharing a doc_id still spread.
     """
-    spark = tune(docs.sparkSession)
+    spark = docs.sparkSession
     bits = bits_for(vocabulary)
 
     def write(batches):
@@ -182,18 +181,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, vocabulary: int, end_id: in
             for part, texts in text_slices(batch, "text"):
                 if out is None:
                     shard = TaskContext.get().partitionId()
-                    out = ShardWriter(f"{path}/{shard:08d}.ids", bits)
-                ids, ends = with_end(*word_codes(tokenizer, keep_space).encode(texts), end_id)
+                    file = f"{path}/{shard:08d}-{uuid.uuid4().hex}.ids"  # a repeated task writes a file of its own; that of the last attempt counts
+                    out = ShardWriter(file, bits)
+                ids, ends = with_end(*word_codes(tokenizer, keep_space, special_as_text=special_as_text).encode(texts), end_id)
                 doc = part.column(0)
                 out.add(doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), ids, ends)
         if out is not None:
             n_docs, n_ids = out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [n_docs], "ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "docs": [n_docs], "ids": [n_ids]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    done = sorted(ordered.mapInArrow(write, "shard long, docs long, ids long").collect())  # a row per shard
-    return [(f"{path}/{shard:08d}.ids", n_docs, n_ids) for shard, n_docs, n_ids in done]
+    done = sorted(ordered.mapInArrow(write, "shard long, file string, docs long, ids long").collect())  # a row per shard
+    return [tuple(r)[1:] for r in done]
 
 
 def read_tokens(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
@@ -228,8 +228,8 @@ def read_tokens(spark: SparkSession, shards: list[tuple[str, int, int]]) -> Data
     return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, schema)
 
 
-def token_files(docs: DataFrame, tokenizer: str, *, vocabulary: int, end_id: int, keep_space: bool = True, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, *, vocabulary: int, end_id: int, keep_space: bool = True, path: str | None = None, special_as_text: bool = False) -> DataFrame:
     """Writes the table's token shards and reads them back (see the module's text for odd rows)."""
     spark = docs.sparkSession
-    shards = write_tokens(docs, tokenizer, vocabulary=vocabulary, end_id=end_id, path=path or new_path(spark, "token-files"), keep_space=keep_space)
+    shards = write_tokens(docs, tokenizer, vocabulary=vocabulary, end_id=end_id, path=path or new_path(spark, "token-files"), keep_space=keep_space, special_as_text=special_as_text)
     return read_tokens(spark, shards)

@@ -1,29 +1,33 @@
 """Exact top-k search by inner product, over integer vectors.
 
-Candidates are dealt into partitions by a hash; every partition holds its
-vectors as matrices and streams the query blocks past them: one matrix product
-per (query block, tile), a partial selection of the best k per tile, and a
-merge into the block's running list. The partitions' lists meet in a tree of
-groups of FAN_IN. Memory of a task: its partition's vectors, one query block
-and one tile of scores.
-
-Ties go to the smaller id. Rows with a null id, a null vector or null
-components take no part. Of several rows with one id the smallest vector (in
-array order) counts, so repeated rows count once. Vectors are compared only
-with those of the same dimension. Scores beyond a signed 64-bit integer are
-clamped to its range. Other columns are ignored; empty tables give no rows.
+Queries are written once, as blocks. Candidates are dealt into partitions of about PART_ROWS rows,
+whatever their ids; every partition holds its vectors as matrices, reads the query blocks from the shared
+folder and streams them past: one matrix product per (query block, tile), a partial selection of the best
+k per tile, and a merge into the block's running list. The partitions' lists meet in a tree of groups of
+FAN_IN. Memory of a task: its partition's vectors, one query block and one tile of scores.
+
+Ties go to the smaller id. Rows with a null id, a null vector or null components take no part.
+Every row is a candidate; a query's list leaves out the rows of its own id. Rows that share an id
+are candidates one by one, so an id can be listed more than once; several query rows of one id share one
+list, the best k of all. Vectors are compared only with those of the same dimension. Scores beyond a signed
+64-bit integer are clamped to its range. Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, tune
+from .common import files_of, partitions, written
 
-TILE, FAN_IN, PART_ROWS = 8192, 16, 200_000
+BLOCK, TILE, FAN_IN, PART_ROWS = 512, 8192, 16, 200_000
 EXACT = float(2**53)
 
 
@@ -97,23 +101,28 @@ class Shard:
         for a in range(0, len(ids), TILE):
             own = ids[a : a + TILE]
             scores = products(queries, vectors[a : a + TILE])
-            at = np.minimum(np.searchsorted(own, query_ids), len(own) - 1)
-            hit = np.flatnonzero(own[at] == query_ids)
-            if len(hit):
-                scores[hit, at[hit]] = -np.inf
+            first, last = np.searchsorted(own, query_ids), np.searchsorted(own, query_ids, "right")
+            for r in np.flatnonzero(first < last):
+                scores[r, first[r] : last[r]] = -np.inf
             got.append(best(scores, own, k))
         return merge(np.concatenate([s for s, _ in got], 1), np.concatenate([i for _, i in got], 1), k)
 
 
+def query_blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of each block that the files hold, one at a time."""
+    for uri in files:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(16):
+                for ids, flat in zip(batch.column(0), batch.column(1), strict=True):
+                    q = ids.values.to_numpy()
+                    yield q, flat.values.to_numpy().reshape(len(q), -1)
+
+
 def exact_topk(candidates: DataFrame, queries: DataFrame, k: int, *, id_column: str = "id", vector_column: str = "vector") -> DataFrame:
     """query_id, rank (from 1), id, score: the k candidates of highest inner product for each query, other than its own id."""
-    spark = tune(candidates.sparkSession)
-    one = lambda df: (
-        df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
-        .filter("id is not null and v is not null and forall(v, x -> x is not null)")
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
-    )
+    spark = candidates.sparkSession
+    fine = lambda df: df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).filter("id is not null and v is not null and forall(v, x -> x is not null)")
     parts = max(partitions(spark), -(-candidates.count() // PART_ROWS))
 
     def blocks(batches):
@@ -122,40 +131,34 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int, *, id_column:
             sizes = np.diff(lists.offsets.to_numpy())
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
             for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                own = flat[(ends[at] - d)[:, None] + np.arange(d)] if d else np.zeros((len(at), 0), np.int64)
-                yield pa.RecordBatch.from_pydict({"ids": [ids[at]], "v": [own.reshape(-1)]}, schema=pa.schema([("ids", pa.list_(pa.int64())), ("v", pa.list_(pa.int64()))]))
+                every = np.flatnonzero(sizes == d)
+                for a in range(0, len(every), BLOCK):
+                    at = every[a : a + BLOCK]
+                    own = flat[(ends[at] - d)[:, None] + np.arange(d)] if d else np.zeros((len(at), 0), np.int64)
+                    yield pa.RecordBatch.from_pydict({"ids": [ids[at]], "v": [own.reshape(-1)]}, schema=pa.schema([("ids", pa.list_(pa.int64())), ("v", pa.list_(pa.int64()))]))
+
+    files = files_of(written(fine(queries).mapInArrow(blocks, "ids array<long>, v array<long>"), "queries"))
 
     def search(batches):
-        ids, vectors, sizes, shard = [], [], [], None
+        ids, vectors, sizes = [], [], []
         for batch in batches:
-            kinds = batch.column(1).to_numpy()
-            if (n := int((kinds == 0).sum())) and shard is None:
-                own = batch.slice(0, n)
-                ids.append(own.column(2).flatten().to_numpy(zero_copy_only=False))
-                sizes.append(np.diff(own.column(3).offsets.to_numpy()))
-                vectors.append(own.column(3).flatten().to_numpy(zero_copy_only=False))
-            if n < len(kinds):
-                if shard is None and ids:
-                    shard = Shard(ids, vectors, sizes)
-                    ids, vectors = [], []
-                if shard is None:
-                    continue
-                part = batch.column(0)[0].as_py()
-                rows = batch.slice(n)
-                for query_ids, flat in zip(rows.column(2), rows.column(3), strict=True):
-                    q = query_ids.values.to_numpy()
-                    found = shard.top(q, flat.values.to_numpy().reshape(len(q), -1), k)
-                    if found is not None:
-                        lists = [[{"score": max(-LONG - 1, min(LONG, int(s))), "id": int(i)} for s, i in zip(*row, strict=True) if s != -np.inf] for row in zip(*found, strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), part, np.int32)), pa.array(lists, LIST)], ["query_id", "part", "top"])
-
-    asked = one(queries).mapInArrow(blocks, "ids array<long>, v array<long>")
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "ids", "v")
-    held = one(candidates).select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), F.array("id").alias("ids"), "v")
-    lists = held.union(sent).repartitionById(parts, "part").sortWithinPartitions("kind").mapInArrow(search, "query_id long, part int, top array<struct<score: long, id: long>>")
-    while parts > 1:
+            ids.append(batch.column(0).to_numpy())
+            sizes.append(np.diff(batch.column(1).offsets.to_numpy()))
+            vectors.append(batch.column(1).flatten().to_numpy(zero_copy_only=False))
+        if not sum(map(len, ids)):
+            return
+        shard, part = Shard(ids, vectors, sizes), TaskContext.get().partitionId()
+        for q, rows in query_blocks(files):
+            found = shard.top(q, rows, k)
+            if found is not None:
+                lists = [[{"score": max(-LONG - 1, min(LONG, int(s))), "id": int(i)} for s, i in zip(*row, strict=True) if s != -np.inf] for row in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), part, np.int32)), pa.array(lists, LIST)], ["query_id", "part", "top"])
+
+    lists = fine(candidates).repartition(parts).mapInArrow(search, "query_id long, part int, top array<struct<score: long, id: long>>")
+    while True:
         parts = -(-parts // FAN_IN)
         joined = F.array_sort(F.flatten(F.collect_list("top")), lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)))
         lists = lists.groupBy("query_id", F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).agg(F.slice(joined, 1, k).alias("top"))
+        if parts == 1:
+            break
     return lists.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("id"), F.col("x.score").alias("score"))

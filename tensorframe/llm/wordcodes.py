@@ -3,7 +3,10 @@
 Both public vocabularies split a text before merging, and no piece of that
 split spans a boundary "not white space, then a run of blanks or newlines".
 Encoding such chunks one by one therefore gives the ids of the whole text. A
-text with any other white space is handed to the tokenizer whole.
+text with any other white space, or with the string of a special token, is handed to the tokenizer whole.
+
+By default the library's own rule holds: a special token's string in a text becomes that token.
+With ``special_as_text`` such strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -58,12 +61,15 @@ def words_apart(text: str) -> list[str]:
 class WordCodes:
     """``encode(texts)`` gives all ids in one array and the texts' end offsets in it."""
 
-    def __init__(self, path: str, keep_space: bool, hashed: bool = False):
+    def __init__(self, path: str, keep_space: bool, hashed: bool = False, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are text
+        self.tokenizer.encode_special_tokens = special_as_text
+        # compared in lower case, which finds too many rather than too few
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.first = set("".join(t[0] + t[0].upper() for t in self.special))
         self.split = CHUNK.findall if keep_space else words_apart
         # of byte-level pieces, a token's characters are its bytes
         self.width = None
@@ -77,6 +83,11 @@ class WordCodes:
         self.hashes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _odd(self, text: str) -> bool:
+        if any(c in text for c in ODD):
+            return True
+        return any(c in text for c in self.first) and any(t in text.lower() for t in self.special)
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -127,7 +138,7 @@ class WordCodes:
 
     def encode_and_hash(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As encode(), with the hashes of all words (none unless asked for) and the texts' end offsets in them."""
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in ODD)]
+        odd = [i for i, t in enumerate(texts) if self._odd(t)]
         whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True)) if odd else {}
         parts = [[] if i in whole else self.split(t) for i, t in enumerate(texts)]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -148,14 +159,15 @@ class WordCodes:
         return ids, text_ends, hashes, hash_ends
 
 
-_loaded: dict[tuple[str, bool, bool], WordCodes] = {}
+_loaded: dict[tuple, WordCodes] = {}
 
 
-def word_codes(path: str, keep_space: bool, hashed: bool = False) -> WordCodes:
+def word_codes(path: str, keep_space: bool, hashed: bool = False, special_as_text: bool = False) -> WordCodes:
     """One encoder per worker process, so that later tasks find its chunks."""
-    if (path, keep_space, hashed) not in _loaded:
-        _loaded[path, keep_space, hashed] = WordCodes(path, keep_space, hashed)
-    return _loaded[path, keep_space, hashed]
+    key = path, keep_space, hashed, special_as_text
+    if key not in _loaded:
+        _loaded[key] = WordCodes(*key)
+    return _loaded[key]
 
 
 def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

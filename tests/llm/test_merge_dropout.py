@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -112,10 +114,68 @@ def test_rows(spark):
     assert md.encode(docs.limit(0), MODEL).collect() == []
 
 
-def test_query_round_trip(spark):
+def test_decode_keeps_a_column_of_its_name(spark):
+    coded = md.encode(spark.createDataFrame([(1, "a b", "own")], "doc_id long, text string, decoded string"), MODEL)
+    row = md.decode(coded, MODEL).collect()[0]
+    assert (row.decoded, row.decoded_, row.text) == ("own", "a b", "a b")
+
+
+FULL = (1 << 64) - 1
+
+
+def mixed(x):
+    """The finaliser of splitmix64 on plain integers."""
+    x &= FULL
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & FULL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & FULL
+    return x ^ (x >> 31)
+
+
+class Plain:
+    """One chunk at a time, in plain Python: merges the best pair that is not skipped until there is none."""
+
+    def __init__(self, rate, seed):
+        model = SentencePieceProcessor(model_file=MODEL)
+        self.rate, self.seed = rate, seed
+        self.ids = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+        self.score = {p: -model.get_score(i) for p, i in self.ids.items()}
+        self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+
+    def chunk(self, text, key):
+        s = [(("▁" if c == " " else "\0" if c == "▁" else c), i, i + 1) for i, c in enumerate(text)]
+        while True:
+            best = None
+            for (a, i, j), (b, _, k) in zip(s, s[1:], strict=False):
+                if a + b in self.ids and a in self.ids and b in self.ids and (best is None or (self.score[a + b], i) < best[:2]):
+                    later = mixed(j * 0x9E3779B97F4A7C15 + k)
+                    if (mixed(mixed(key + i) + later) >> 11) * 2.0**-53 >= self.rate:
+                        best = self.score[a + b], i, j, k
+            if best is None:
+                break
+            _, i, j, k = best
+            at = next(n for n, x in enumerate(s) if x[1] == i)
+            s[at : at + 2] = [(s[at][0] + s[at + 1][0], i, k)]
+        out = []
+        for p, i, j in s:
+            out += [self.ids[p]] if p in self.ids else [self.byte[b] for b in text[i:j].encode()]
+        return out
+
+    def text(self, text, doc_id):
+        out, own = [], mixed(doc_id + self.seed * 2_654_435_761 + 5)
+        for place, c in enumerate(re.findall(" *[^ ]+| +", f" {text}") if text else []):
+            name = mixed(sum(mixed(ord(x) + mixed(i + 7)) for i, x in enumerate(c)) + len(c))
+            out += self.chunk(c, mixed(name + mixed(own + place)))
+        return out
+
+
+def test_query_equals_plain_encoder(spark):
     from tensorframe.llm.queries import op6_merge_dropout
 
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = op6_merge_dropout(spark, sf).collect()
-    assert {r.doc_id: r.decoded_sha256 for r in got} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()}
+    plain, got = Plain(0.1, 17), op6_merge_dropout(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = plain.text(texts[r.doc_id], r.doc_id)
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()

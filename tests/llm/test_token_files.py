@@ -25,10 +25,26 @@ def expected(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
+@pytest.mark.parametrize("name, keep_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_strings_of_special_tokens(name, keep_space):
+    from tokenizers import Tokenizer
+
+    from tensorframe.llm.wordcodes import WordCodes
+
+    texts = ["a <|endoftext|> b", "plain", "<|startoftext|>A", "<|ENDOFTEXT|>", "x<|endoftext|>\n\n<|endoftext|>  y", "<|endoftext"]
+    t = Tokenizer.from_file(vocabulary(name))
+    for as_text in (False, True):
+        t.encode_special_tokens = as_text
+        ids, ends = WordCodes(vocabulary(name), keep_space, special_as_text=as_text).encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    if keep_space:
+        ids, _ = WordCodes(vocabulary(name), keep_space).encode(texts[:1])
+        assert [*ids.tolist(), 2] == [64, 220, 50256, 275, 2]
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 11, 15, 16, 17, 24, 31])
 def test_pack_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1003).astype(np.uint32)
