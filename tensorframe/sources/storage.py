@@ -79,6 +79,12 @@ def files_of(table: DataFrame) -> list[str]:
     return sorted(p for p in found if p.endswith(".parquet"))
 
 
+def bytes_of(table: DataFrame) -> int:
+    """Bytes that a written table takes on storage."""
+    fs, at = _files(table.sparkSession, table._written_to)
+    return fs.getContentSummary(at).getLength()
+
+
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Removes written tables, or folders of this application, that nothing reads any more."""
     for t in tables:
