@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..sources.storage import discard, few, files_of, new_path, partitions, shared_dir, written, written_small
+from ..sources.storage import bytes_of, discard, few, files_of, new_path, partitions, shared_dir, written, written_small
 
-__all__ = ["SLICE_BYTES", "discard", "few", "files_of", "new_path", "partitions", "shared_dir", "text_slices", "written", "written_small"]
+__all__ = ["SLICE_BYTES", "bytes_of", "discard", "few", "files_of", "new_path", "partitions", "shared_dir", "text_slices", "written", "written_small"]
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 4_000_000

@@ -4,348 +4,384 @@ A window is ``window`` consecutive words of one document; a window is repeated
 if the same words also start earlier (smaller doc_id; then, among rows of one
 doc_id, the row's place; then the start). All words of repeated windows go.
 
-1. Each input partition writes its rows to a numbered shard file and cuts the
-   documents into segments: runs of consecutive windows whose least GRAM-word
-   hash (the anchor) is the same, at most 21 - GRAM windows. Equal windows have equal anchors,
-   so all occurrences of a window lie in segments of one anchor. Of equal segments in a
-   slice only the first is sent on; the partition of an anchor sees all of its segments.
-2. There, copies of a whole segment are settled: every window of a later copy
-   is repeated. Anchors with several different segments ask their shards for
-   the words of the first copy of each, as do segments that hold their anchor twice.
-3. These segments go to index shards by anchor (for an anchor with very many,
-   by anchor and its place within the window, so that no shard gets them all).
-   An index shard builds a compressed full-text index (fm_index.py) of its segments
-   and streams every segment through it by backward search; matches of ``window`` words
-   with an occurrence before their own are reported.
-4. Each shard file is read again with all reports for its rows.
-
-Words are told apart by 64-bit hashes, whole segments by 128 bits. Null texts have no
-words; null doc_ids come last in the order. Repeated rows count as documents
+The rows are first written as a table. Its files never change, so from then on a row is a file and a place in it,
+whichever task reads it and however often; a file's rows form groups of about GROUP bytes of text.
+
+1. Census. Documents are cut into segments: runs of consecutive windows whose least GRAM-word hash (the anchor) is the
+   same, at most 21 - GRAM windows. Equal windows have equal anchors, so all occurrences of a window lie in
+   segments of one anchor. Each group sends its distinct anchors once, with the number of different segments;
+   the answer says which anchors occur only once (nothing there can be repeated) and which are crowded.
+2. Every group sends its segments of recurring anchors, as words, to the index shard of the anchor. Equal segments of a
+   group are sent once, with the earliest place and a mark that there are more. Segments of a crowded
+   anchor are cut where the set of the window's least hashes changes, more of these hashes the more crowded
+   it is, and go to the shard of that set: so no anchor, however common, stays in one task.
+3. An index shard builds a compressed full-text index (fm_index.py) of its different segments and streams each of
+   them through it: matching statistics, carried along from right to left, give the windows that occur
+   again, the index their earliest place. Intervals of windows that are not the earliest are reported;
+   later copies of a whole segment are reported as one interval.
+4. Each file is read again with all reports for its rows.
+
+In a shard words are compared as they are, by a dictionary of the words themselves; hashes only decide what meets
+where. A task holds one group, the answers for one file, or one shard, which is indexed in chunks of about
+CHUNK words; the number of shards grows with the table.
+
+Null texts have no words; null doc_ids come last in the order. Repeated rows count as documents
 of their own. Texts shorter than a window lose nothing. Extra columns pass
 through. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import few, new_path, partitions, text_slices, written
+from .common import bytes_of, files_of, partitions, text_slices, written
 from .fm_index import FMIndex
-from .textwords import U, grams, mix, words_of
+from .textwords import U, Words, encoded, grams, mix
 
 WINDOW, GRAM = 20, 4
-SLICE = 2_000_000
-#: An anchor with more different segments than this is spread over index shards by the anchor's place.
-MANY = 128
+#: Bytes of text in a group, and of a row group in the table that is read.
+GROUP, ROW_GROUP = 4_000_000, 16_000_000
+#: Bytes of the written table for each shard, and words that are indexed together.
+SHARD, CHUNK = 16_000_000, 400_000
+#: An anchor with more different segments than this is crowded; for each further factor of STEP one more hash tells windows apart.
+MANY, STEP = 128, 16
 LAST = np.iinfo(np.int64).max
 
-ENTRY = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("n", "u1"), ("self", "u1")])
-REQUEST = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("n", "u1"), ("many", "u1")])
-REPORT = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "u1")])
-PIECE = np.dtype([("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("n", "u1")])
+PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("file", "<u4"), ("row", "<u4"), ("start", "<u4"), ("n", "u1"), ("more", "u1")])
+REPORT = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "u1"), ("copies", "u1")])
 
 
 class Segments:
-    """The segments of a slice of documents."""
+    """The segments of a group of documents; ``new`` marks the first of each set of equal ones, in the order ``order``."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, window: int):
-        self.hashes, self.counts, self.window = hashes, counts, window
-        self.firsts = np.cumsum(counts) - counts
+    def __init__(self, words: Words, docs: np.ndarray, window: int):
+        hashes, counts = words.hashes(), words.counts
+        self.window, self.firsts = window, np.cumsum(counts) - counts
         positions = window - GRAM + 1
         self.grams = grams(hashes, GRAM)
         n = len(hashes) - window + 1
         if n <= 0:
-            self.at = self.n = self.doc = np.zeros(0, np.int64)
-            self.anchor = self.content = np.zeros(0, np.uint64)
-            self.self = np.zeros(0, bool)
+            self.at = self.n = self.row = self.order = self.start = np.zeros(0, np.int64)
+            self.anchor = np.zeros(0, np.uint64)
+            self.twice = self.new = np.zeros(0, bool)
             return
         least, width = self.grams, 1  # sliding minimum, by doubling
         while width < positions:
             step = min(width, positions - width)
             least = np.minimum(least[:-step], least[step:])
             width += step
-        doc = np.repeat(np.arange(len(counts)), counts)[:n]
-        valid = np.flatnonzero(np.arange(n) + window <= (self.firsts + counts)[doc])
-        anchor, doc = least[valid], doc[valid]
+        row = np.repeat(np.arange(len(counts)), counts)[:n]
+        valid = np.flatnonzero(np.arange(n) + window <= (self.firsts + counts)[row])
+        anchor, row = least[valid], row[valid]
         new = np.ones(len(valid), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        start = np.flatnonzero(new)
-        inside = np.arange(len(valid)) - np.repeat(start, np.diff(np.append(start, len(valid))))
-        start = np.flatnonzero(inside % positions == 0)
-        self.n = np.diff(np.append(start, len(valid)))
-        self.at = valid[start]  # first word, in the slice
-        self.doc, self.anchor = doc[start], anchor[start]
+        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        head = np.flatnonzero(new)
+        inside = np.arange(len(valid)) - np.repeat(head, np.diff(np.append(head, len(valid))))
+        head = np.flatnonzero(inside % positions == 0)
+        self.n = np.diff(np.append(head, len(valid)))
+        self.at, self.row, self.anchor = valid[head], row[head], anchor[head]  # at: first word, in the group
+        self.start = self.at - self.firsts[self.row]
         # whether the anchor occurs twice, so that the segment may hold equal windows itself
         reach = np.arange(2 * positions - 1)
         hits = self.grams[np.minimum(self.at[:, None] + reach, len(self.grams) - 1)] == self.anchor[:, None]
-        self.self = (hits & (reach < (self.n + positions - 1)[:, None])).sum(axis=1) > 1
+        self.twice = (hits & (reach < (self.n + positions - 1)[:, None])).sum(axis=1) > 1
         whole = grams(hashes, window, 1)
-        # first and last window overlap, so together they cover the segment
-        self.content = mix(whole[self.at] * U(3) + mix(whole[self.at + self.n - 1] + self.n.astype(np.uint64)))
+        content = mix(whole[self.at] * U(3) + mix(whole[self.at + self.n - 1] + self.n.astype(np.uint64)))
+        self.order = np.lexsort((self.start, self.row, docs[self.row], content, self.anchor))
+        a, b = self.order[:-1], self.order[1:]
+        same = np.flatnonzero((self.anchor[a] == self.anchor[b]) & (content[a] == content[b]) & (self.n[a] == self.n[b]))
+        self.new = np.ones(len(self.order), bool)
+        if len(same):  # equal hashes; now the words
+            ids, _ = words.ids()
+            self.new[same + 1] = ~equal_stretches(ids, self.at[a[same]], self.at[b[same]], self.n[a[same]] + window - 1)
 
-    def entries(self, doc_ids: np.ndarray, first_row: int) -> np.ndarray:
-        out = np.zeros(len(self.at), ENTRY)
-        out["anchor"], out["content"], out["doc"] = self.anchor, self.content, doc_ids[self.doc]
-        out["row"], out["start"], out["n"] = first_row + self.doc, self.at - self.firsts[self.doc], self.n
-        out["self"] = self.self
-        return out
 
+def equal_stretches(ids: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ids[x : x + size] equals ids[y : y + size], for each pair of places."""
+    out = np.ones(len(x), bool)
+    for k in range(int(sizes.max(initial=0))):
+        at = np.minimum(k, sizes - 1)
+        out &= ids[x + at] == ids[y + at]
+    return out
 
-def split_copies(e: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by (anchor, content, place) and, in that order, whether an entry is a later copy."""
-    order = np.lexsort((e["start"], e["row"], *more, e["doc"], e["content"], e["anchor"]))
-    s = e[order]
-    again = np.zeros(len(e), bool)
-    again[1:] = (s["anchor"][1:] == s["anchor"][:-1]) & (s["content"][1:] == s["content"][:-1])
-    return order, again
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """0: the anchor occurs once; 1: it recurs; more: so many least hashes tell its windows apart."""
+    crowded = 2 + np.floor(np.log(np.maximum(counts, MANY + 1) / max(MANY, 1)) / np.log(STEP)).astype(np.int64) if MANY else np.full(len(counts), 3)
+    return np.where(counts < 2, 0, np.where(counts <= MANY, 1, np.minimum(crowded, 255))).astype(np.uint8)
 
-def by_target(target: np.ndarray, records: np.ndarray):
-    """(target, bytes of its records) for each target that has any."""
-    order = np.argsort(target, kind="stable")
-    t, r = target[order], records[order]
-    if not len(t):
-        return
-    cut = np.flatnonzero(np.diff(t, prepend=-1))
-    for a, b in zip(cut, [*cut[1:], len(t)], strict=True):
-        yield int(t[a]), r[a:b].tobytes()
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(key + U(99)) % U(parts)).astype(np.int64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
-def _part(key: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(key + U(99)) % U(parts)).astype(np.int64)
-
-
-def _batch(rows: list[tuple], names: tuple[str, ...], types: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], list(names))
+def runs(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(target, places of it) for each target that occurs."""
+    order = np.argsort(target, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(target[order], prepend=-1)), len(order))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(target[order[a]]), order[a:b]
 
 
 def mark(n_words: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Words covered by the given stretches."""
-    steps = np.zeros(n_words + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + sizes, n_words), -1)
+    steps = np.bincount(starts, minlength=n_words + 1) - np.bincount(np.minimum(starts + sizes, n_words), minlength=n_words + 1)
     return np.cumsum(steps)[:-1] > 0
 
 
-def search(pieces: np.ndarray, shards: np.ndarray, words: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated windows among the pieces (one index shard): their shards and reports."""
-    index = FMIndex(words, sizes)
-    firsts = index.ends - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    # windows' last words, and the order of their places in the corpus
+def search(pieces: np.ndarray, texts: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated windows among the pieces of a shard (their words one after the other in ``texts``): files and reports."""
     n = pieces["n"].astype(np.int64)
-    piece = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    heads = firsts[piece] + offset
-    place = np.empty(len(heads), np.int64)
-    place[np.lexsort((pieces["start"][piece] + offset, pieces["row"][piece], shards[piece], pieces["doc"][piece]))] = np.arange(len(heads))
-    at_text = np.full(len(index.text), LAST)
-    at_text[heads] = place
-    ends, lo, hi = index.matches(heads + window - 1, window)
-    if not len(ends):
-        return np.zeros(0, np.int64), np.zeros(0, REPORT)
-    ordered = at_text[index.suffixes]
-    groups, inverse = np.unique(lo, return_inverse=True)
-    last = np.zeros(len(groups), np.int64)
-    last[inverse] = hi
-    earliest = np.minimum.reduceat(ordered, np.stack([groups, np.minimum(last, len(ordered) - 1)], 1).reshape(-1))[::2]
-    at_end = last >= len(ordered)
-    earliest[at_end] = [ordered[g:].min() for g in groups[at_end]]
-    heads = ends - window + 1
-    again = heads[at_text[heads] > earliest[inverse]]
-    k = owner[again]
-    out = np.zeros(len(again), REPORT)
-    out["row"], out["start"], out["n"] = pieces["row"][k], pieces["start"][k] + again - firsts[k], 1
-    return shards[k], out
+    sizes = n + window - 1
+    ids, alphabet = Words([texts]).ids()
+    firsts = np.cumsum(sizes) - sizes
+    # places of the windows in the corpus; windows of different pieces are different places
+    order = np.lexsort((pieces["start"], pieces["row"], pieces["file"], pieces["doc"]))
+    base = np.empty(len(n), np.int64)
+    base[order] = np.cumsum(n[order]) - n[order]
+    # equal pieces: the earliest stands for all
+    places = np.arange(len(ids)) - np.repeat(firsts, sizes)
+    content = np.add.reduceat(mix((ids << 8).astype(np.uint64) + places.astype(np.uint64)), firsts)
+    order = np.lexsort((base, n, content))
+    new = np.ones(len(order), bool)
+    a, b = order[:-1], order[1:]
+    same = np.flatnonzero((content[a] == content[b]) & (n[a] == n[b]))
+    new[same + 1] = ~equal_stretches(ids, firsts[a[same]], firsts[b[same]], sizes[a[same]])
+    own = np.sort(order[new])
+    held = np.repeat(np.isin(np.arange(len(n)), own), sizes)
+    heads = places < np.repeat(n, sizes)
+    place = np.where(heads, np.repeat(base, sizes) + places, LAST)
+    index = FMIndex(ids[held], sizes[own], alphabet, place[held], window)
+    at, earliest = index.statistics(ids, firsts[own], sizes[own], window)
+    at = np.sort(at[place[at] > earliest])
+    # runs of repeated windows of one piece
+    piece = np.searchsorted(firsts, at, "right") - 1
+    cut = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(piece, prepend=-1) != 0))
+    k = piece[cut]
+    found = np.zeros(len(cut), REPORT)
+    found["row"], found["start"], found["n"] = pieces["row"][k], pieces["start"][k] + at[cut] - firsts[k], np.diff(np.append(cut, len(at)))
+    later = order[~new]
+    whole = np.zeros(len(later), REPORT)
+    copied = np.flatnonzero(pieces["more"])
+    copies = np.zeros(len(copied), REPORT)
+    for report, which in ((whole, later), (copies, copied)):
+        for name in ("row", "start", "n"):
+            report[name] = pieces[name][which]
+    copies["copies"] = 1
+    return pieces["file"][np.concatenate([k, later, copied])].astype(np.int64), np.concatenate([found, whole, copies])
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All columns of ``docs`` and n_words, n_removed, kept (binary: the words that stay, joined by one blank)."""
     spark = docs.sparkSession
-    parts = partitions(spark)
-    folder = new_path(spark, "substring-shards")
     names = docs.columns
-    id_at, text_at = names.index(id_column), names.index(text_column)
-
-    def shard_file(k: int) -> tuple[pafs.FileSystem, str]:
-        fs, path = pafs.FileSystem.from_uri(folder)
-        return fs, f"{path}/{k:08d}.parquet"
+    added = []
+    for name in ("n_words", "n_removed", "kept"):
+        while name in names:
+            name += "_"
+        added.append(name)
+    schema = docs.select("*", F.lit(0).cast("long").alias(added[0]), F.lit(0).cast("long").alias(added[1]), F.lit(b"").alias(added[2])).schema
+    arrow = to_arrow_schema(docs.schema)
+    table = written(docs, "substring-rows", **{"parquet.block.size": str(ROW_GROUP)})
+    files = files_of(table)
+    if not files:
+        return spark.createDataFrame([], schema)
+    parts = max(partitions(spark), -(-bytes_of(table) // SHARD))
+    tasks = min(len(files), 4 * parts)
 
-    def slices(k: int):
-        """Row groups of a shard: first row, batch, texts."""
-        fs, path = shard_file(k)
-        row = 0
+    def groups(file: int, whole: bool = False):
+        """First row, rows and texts of each group of a file."""
+        fs, path = pafs.FileSystem.from_uri(files[file])
         with fs.open_input_file(path) as f:
-            file = pq.ParquetFile(f)
-            for g in range(file.num_row_groups):
-                batch = file.read_row_group(g).combine_chunks().to_batches()[0]
-                yield row, batch, [t or "" for t in batch.column(text_at).to_pylist()]
-                row += batch.num_rows
-
-    def cut(batches):
-        shard = TaskContext.get().partitionId()
-        fs, path = shard_file(shard)
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        part_path = f"{path}.{uuid.uuid4().hex}"
-        out, row = None, 0
+            source, row = pq.ParquetFile(f), 0
+            for g in range(source.num_row_groups):
+                got = source.read_row_group(g, columns=None if whole else [id_column, text_column])
+                if whole:
+                    got = got.select(names).cast(arrow)
+                for batch in got.combine_chunks().to_batches():
+                    for part, texts in text_slices(batch, text_column, GROUP):
+                        yield row, part, texts
+                        row += part.num_rows
+
+    def cut(part: pa.RecordBatch, texts: list[str]) -> tuple[Words, np.ndarray, Segments]:
+        words, ids = Words(encoded(texts)), _ids(part.column(part.schema.get_field_index(id_column)))
+        return words, ids, Segments(words, ids, window)
+
+    def anchors_of(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The group's anchors by part of the census, their parts, and the number of different segments (two at least if anything may recur in the group)."""
+        first = s.order[s.new]
+        anchor, at = np.unique(s.anchor[first], return_inverse=True)
+        total = np.bincount(at, minlength=len(anchor))
+        again = np.bincount(np.searchsorted(anchor, s.anchor), weights=1 + s.twice, minlength=len(anchor)) > 1
+        part = _part(anchor, parts)
+        order = np.argsort(part, kind="stable")
+        return anchor[order], part[order], np.maximum(total, 1 + again)[order]
+
+    def census(batches):
         for batch in batches:
-            for part, texts in text_slices(batch, names[text_at], SLICE):
-                if out is None:
-                    sink = fs.open_output_stream(part_path)
-                    out = pq.ParquetWriter(sink, part.schema, compression="zstd")
-                out.write_table(pa.Table.from_batches([part]), row_group_size=part.num_rows)
-                found = Segments(*words_of(texts), window).entries(_ids(part.column(id_at)), row)
-                row += part.num_rows
-                order, again = split_copies(found)
-                sent = found[order[~again]]
-                if len(sent):
-                    yield _batch([(p, shard, blob) for p, blob in by_target(_part(sent["anchor"], parts), sent)], ("part", "shard", "data"), (pa.int32(), pa.int32(), pa.binary()))
-        if out is not None:
-            out.close()
-            sink.close()
-            fs.move(part_path, path)  # a repeated task replaces the file by an equal one
-
-    def settle(batches):
-        got = [(s, np.frombuffer(d, ENTRY)) for b in batches for s, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        if not got:
+            for file in batch.column(0).to_pylist():
+                for group, (_, part, texts) in enumerate(groups(file)):
+                    anchor, target, counts = anchors_of(cut(part, texts)[2])
+                    rows = [(p, file, group, anchor[at].astype("<u8").tobytes(), counts[at].astype("<u4").tobytes()) for p, at in runs(target)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "file", "group", "anchors", "counts"])
+
+    def answer(batches):
+        keys, asked, counts = [], [], []
+        for batch in batches:
+            for part, file, group, a, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                keys.append((file, group, part))
+                asked.append(np.frombuffer(a, "<u8"))
+                counts.append(np.frombuffer(c, "<u4"))
+        if not keys:
             return
-        e = np.concatenate([x for _, x in got])
-        shard = np.repeat([s for s, _ in got], [len(x) for _, x in got])
-        order, again = split_copies(e, shard)
-        copies = order[again]
-        reports = np.zeros(len(copies), REPORT)
-        for k in REPORT.names:
-            reports[k] = e[k][copies]
-        yield _batch([("report", s, d) for s, d in by_target(shard[copies], reports)], ("kind", "shard", "data"), (pa.string(), pa.int32(), pa.binary()))
-        firsts = order[~again]
-        _, group, count = np.unique(e["anchor"][firsts], return_inverse=True, return_counts=True)
-        several = (count[group] > 1) | (e["self"][firsts] > 0)
-        asked = firsts[several]
-        requests = np.zeros(len(asked), REQUEST)
-        for k in REQUEST.names[:-1]:
-            requests[k] = e[k][asked]
-        requests["many"] = (count[group] > MANY)[several]
-        yield _batch([("request", s, d) for s, d in by_target(shard[asked], requests)], ("kind", "shard", "data"), (pa.string(), pa.int32(), pa.binary()))
+        ends = np.cumsum([len(a) for a in asked])
+        _, at = np.unique(np.concatenate(asked), return_inverse=True)
+        level = levels(np.bincount(at, weights=np.concatenate(counts)).astype(np.int64))[at]
+        for a in range(0, len(keys), 1024):
+            file, group, part = zip(*keys[a : a + 1024], strict=True)
+            data = [level[ends[i - 1] if i else 0 : ends[i]].tobytes() for i in range(a, a + len(file))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (file, group, part)] + [pa.array(data, pa.binary())], ["file", "group", "part", "levels"])
 
     def fetch(batches):
-        rows: dict[int, list[bytes]] = {}
-        for b in batches:
-            for s, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                rows.setdefault(s, []).append(d)
-        for shard, data in rows.items():
-            asked = np.frombuffer(b"".join(data), REQUEST)
-            asked = asked[np.lexsort((asked["start"], asked["row"]))]
-            for first, batch, texts in slices(shard):
-                own = asked[np.searchsorted(asked["row"], first) : np.searchsorted(asked["row"], first + len(texts))]
-                if not len(own):
+        told: dict[int, dict[int, list]] = {}
+        for batch in batches:
+            for file, group, part, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                told.setdefault(file, {}).setdefault(group, []).append((part, data))
+        for file in sorted(told):
+            for group, (row, part, texts) in enumerate(groups(file)):
+                if group not in told[file]:
                     continue
-                wanted = np.unique(own["row"] - first)
-                hashes, counts = words_of([texts[i] for i in wanted])
-                starts = (np.cumsum(counts) - counts)[np.searchsorted(wanted, own["row"] - first)] + own["start"]
-                key, piece, at = own["anchor"], np.zeros(len(own), PIECE), starts
-                for k in PIECE.names:
-                    piece[k] = own[k]
-                if own["many"].any():
-                    key, piece, at = spread(key, piece, at, own["many"].astype(bool), grams(hashes, GRAM))
-                target = _part(key, parts)
-                order = np.argsort(target, kind="stable")
-                bounds = np.flatnonzero(np.diff(target[order], prepend=-1))
-                out = []
-                for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
-                    chosen = order[a:b]
-                    sizes = piece["n"][chosen].astype(np.int64) + window - 1
-                    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    out.append((int(target[chosen[0]]), shard, piece[chosen].tobytes(), hashes[np.repeat(at[chosen], sizes) + inside].tobytes()))
-                yield _batch(out, ("part", "shard", "pieces", "words"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
-
-    def spread(key, piece, at, many, gram):
-        """Segments of crowded anchors, cut by the anchor's place in the window, two places together."""
-        n = piece["n"][many].astype(np.int64)
-        seg = np.repeat(np.flatnonzero(many), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        inside = gram[(at[seg] + offset)[:, None] + np.arange(window - GRAM + 1)] == key[seg][:, None]
-        place = inside.argmax(axis=1) // 2
-        new = np.ones(len(seg), bool)
-        new[1:] = (seg[1:] != seg[:-1]) | (place[1:] != place[:-1])
-        head = np.flatnonzero(new)
-        small = piece[seg[head]].copy()
-        small["start"] += offset[head].astype(np.uint32)
-        small["n"] = np.diff(np.append(head, len(seg)))
-        few = ~many
-        return (
-            np.concatenate([key[few], mix(key[seg[head]] + place[head].astype(np.uint64) + U(1))]),
-            np.concatenate([piece[few], small]),
-            np.concatenate([at[few], at[seg[head]] + offset[head]]),
-        )
+                words, ids, s = cut(part, texts)
+                anchor, _, _ = anchors_of(s)
+                level = np.frombuffer(b"".join(x for _, x in sorted(told[file][group])), np.uint8)
+                by_anchor = np.argsort(anchor)
+                first = s.order[s.new]
+                level = level[by_anchor][np.searchsorted(anchor[by_anchor], s.anchor[first])]
+                more = np.diff(np.append(np.flatnonzero(s.new), len(s.new))) > 1
+                some = level > 0
+                first, level, more = first[some], level[some].astype(np.int64), more[some]
+                piece = np.zeros(len(first), PIECE)
+                piece["key"], piece["doc"], piece["file"], piece["row"] = s.anchor[first], ids[s.row[first]], file, row + s.row[first]
+                piece["start"], piece["n"], piece["more"] = s.start[first], s.n[first], more
+                piece, at = spread(piece, s.at[first], level, s.grams)
+                a, b = words.starts[at], words.ends[at + piece["n"] + window - 2]
+                rows = [(p, piece[own].tobytes(), b"\n".join([words.raw[i:j] for i, j in zip(a[own].tolist(), b[own].tolist(), strict=True)])) for p, own in runs(_part(piece["key"], parts))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "pieces", "texts"])
+
+    def spread(piece: np.ndarray, at: np.ndarray, level: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cuts the segments of crowded anchors into runs of windows that share their `level` least hashes."""
+        out, starts = [piece[level < 2]], [at[level < 2]]
+        positions = window - GRAM + 1
+        for depth in np.unique(level[level > 1]).tolist():
+            every = np.flatnonzero(level == depth)
+            for a in range(0, len(every), 20_000):
+                own = every[a : a + 20_000]
+                n = piece["n"][own].astype(np.int64)
+                seg = np.repeat(own, n)
+                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                lowest = np.sort(gram[(at[seg] + offset)[:, None] + np.arange(positions)], axis=1)[:, :depth]
+                key = np.zeros(len(seg), np.uint64)
+                for k in range(lowest.shape[1]):
+                    key = mix(key + lowest[:, k])
+                new = np.ones(len(seg), bool)
+                new[1:] = (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])
+                head = np.flatnonzero(new)
+                small = piece[seg[head]].copy()
+                small["key"], small["n"] = key[head], np.diff(np.append(head, len(seg)))
+                small["start"] += offset[head].astype(np.uint32)
+                out.append(small)
+                starts.append(at[seg[head]] + offset[head])
+        return np.concatenate(out), np.concatenate(starts)
 
     def look_up(batches):
-        got = [(s, np.frombuffer(p, PIECE), np.frombuffer(w, "<u8")) for b in batches for s, p, w in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-        if not got:
+        pieces, texts = [], []
+        for batch in batches:
+            for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                pieces.append(np.frombuffer(p, PIECE))
+                texts.append(t)
+        if not pieces:
             return
-        pieces = np.concatenate([p for _, p, _ in got])
-        shards = np.repeat([s for s, _, _ in got], [len(p) for _, p, _ in got])
-        words = np.concatenate([w for _, _, w in got])
-        target, found = search(pieces, shards, words, pieces["n"].astype(np.int64) + window - 1, window)
-        yield _batch([("report", s, d) for s, d in by_target(target, found)], ("kind", "shard", "data"), (pa.string(), pa.int32(), pa.binary()))
+        words, pieces = Words(texts), np.concatenate(pieces)
+        texts.clear()
+        sizes = pieces["n"].astype(np.int64) + window - 1
+        firsts = np.cumsum(sizes) - sizes
+        a, b = words.starts[firsts], words.ends[firsts + sizes - 1]
+        order = np.argsort(pieces["key"], kind="stable")
+        total, key = np.cumsum(sizes[order]), pieces["key"][order]
+        change = np.append(np.flatnonzero(np.diff(key)) + 1, len(order))  # ends of keys
+        first = 0
+        while first < len(order):  # whole keys together
+            last = int(change[np.searchsorted(change, max(first + 1, np.searchsorted(total, (total[first - 1] if first else 0) + CHUNK)))])
+            own = order[first:last]
+            file, found = search(pieces[own], b"\n".join([words.raw[i:j] for i, j in zip(a[own].tolist(), b[own].tolist(), strict=True)]), window)
+            rows = [(f % tasks, f, found[at].tobytes()) for f, at in runs(file)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["task", "file", "data"])
+            first = last
 
     def finish(batches):
-        rows: dict[int, list[bytes]] = {}
-        for b in batches:
-            for s, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                rows.setdefault(s, []).append(d or b"")
-        for shard, data in rows.items():
-            told = np.frombuffer(b"".join(data), REPORT)
-            told = told[np.argsort(told["row"], kind="stable")]
-            for first, batch, texts in slices(shard):
-                hashes, counts = words_of(texts)
-                segments = Segments(hashes, counts, window)
-                own = segments.entries(_ids(batch.column(id_at)), first)
-                order, again = split_copies(own)
-                copies = order[again]
-                reports = told[np.searchsorted(told["row"], first) : np.searchsorted(told["row"], first + len(texts))]
-                starts = np.concatenate([segments.at[copies], segments.firsts[reports["row"].astype(np.int64) - first] + reports["start"]])
-                sizes = np.concatenate([segments.n[copies], reports["n"].astype(np.int64)]) + window - 1
-                gone = mark(len(hashes), starts, sizes)
+        told: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for file, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                told.setdefault(file, []).append(data)
+        for file in sorted(told):
+            every = np.frombuffer(b"".join(told[file]), REPORT)
+            every = every[np.argsort(every["row"], kind="stable")]
+            for row, part, texts in groups(file, whole=True):
+                reports = every[np.searchsorted(every["row"], row) : np.searchsorted(every["row"], row + len(texts))]
+                if reports["copies"].any():
+                    words, _, s = cut(part, texts)
+                else:
+                    words, s = Words(encoded(texts)), None
+                counts = words.counts
+                firsts = np.cumsum(counts) - counts
+                at = firsts[reports["row"].astype(np.int64) - row] + reports["start"]
+                own = reports["copies"] == 0
+                starts, sizes = [at[own]], [reports["n"][own].astype(np.int64)]
+                if s is not None:
+                    for x, n in later_copies(s, at[~own], reports["n"][~own].astype(np.int64)):
+                        starts.append(x)
+                        sizes.append(n)
+                gone = mark(len(words.starts), np.concatenate(starts), np.concatenate(sizes) + window - 1)
                 ends = np.cumsum(counts)
                 removed = np.concatenate([[0], np.cumsum(gone)])
                 removed = removed[ends] - removed[ends - counts]
                 kept = []
-                for t, end, n, r in zip(texts, ends, counts, removed, strict=True):
-                    words = t.encode("utf-8", "surrogatepass").split()
-                    kept.append(b" ".join(compress(words, ~gone[end - n : end])) if r else b" ".join(words))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], [*names, *added])
-
-    told_schema = "kind string, shard int, data binary"
-    sent = docs.mapInArrow(cut, "part int, shard int, data binary").repartitionById(parts, "part")
-    settled = written(sent.mapInArrow(settle, told_schema).repartition(few(spark)), "substring-settled")
-    fs, path = pafs.FileSystem.from_uri(folder)
-    there = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
-    numbers = [int(f.base_name[:8]) for f in there if f.base_name.endswith(".parquet")]
-    added = []
-    for name in ("n_words", "n_removed", "kept"):
-        while name in names:
-            name += "_"
-        added.append(name)
-    schema = docs.select("*", F.lit(0).cast("long").alias(added[0]), F.lit(0).cast("long").alias(added[1]), F.lit(b"").alias(added[2])).schema
-    if not numbers:
-        return spark.createDataFrame([], schema)
-    shards = max(numbers) + 1
-    asked = settled.filter("kind = 'request'").repartitionById(shards, "shard")
-    pieces = asked.mapInArrow(fetch, "part int, shard int, pieces binary, words binary").repartitionById(parts, "part")
-    found = pieces.mapInArrow(look_up, told_schema)
-    every = spark.createDataFrame([("row", k, b"") for k in numbers], told_schema)  # a row per shard file
-    reports = settled.filter("kind = 'report'").union(found).union(every).repartitionById(shards, "shard")
-    return reports.mapInArrow(finish, schema)
+                for t, end, n, r in zip(texts, ends.tolist(), counts.tolist(), removed.tolist(), strict=True):
+                    w = t.encode("utf-8", "surrogatepass").split()
+                    kept.append(b" ".join(compress(w, ~gone[end - n : end])) if r else b" ".join(w))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], [*names, *added])
+
+    def later_copies(s: Segments, at: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The reported stretches of first segments, at the places of their later copies."""
+        heads = np.flatnonzero(s.new)
+        first = s.order[heads]
+        by_place = np.argsort(s.at[first])
+        k = by_place[np.searchsorted(s.at[first][by_place], at, "right") - 1]  # the reported segments
+        offset, copies = at - s.at[first[k]], np.diff(np.append(heads, len(s.order)))[k] - 1
+        inside = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        yield s.at[s.order[np.repeat(heads[k], copies) + 1 + inside]] + np.repeat(offset, copies), np.repeat(n, copies)
+
+    numbers = spark.range(0, len(files), 1, tasks)
+    asked = numbers.mapInArrow(census, "part int, file int, group int, anchors binary, counts binary").repartitionById(parts, "part")
+    answers = asked.mapInArrow(answer, "file int, group int, part int, levels binary").repartitionById(tasks, F.col("file") % tasks)
+    pieces = answers.mapInArrow(fetch, "part int, pieces binary, texts binary").repartitionById(parts, "part")
+    found = pieces.mapInArrow(look_up, "task int, file int, data binary")
+    every = numbers.select((F.col("id") % tasks).cast("int").alias("task"), F.col("id").cast("int").alias("file"), F.lit(b"").alias("data"))
+    reports = written(found.union(every), "substring-reports")
+    return reports.repartitionById(tasks, "task").mapInArrow(finish, schema)

@@ -7,6 +7,7 @@ the words themselves, or 128 bits from two independent seeds.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 
@@ -23,16 +24,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words (runs of bytes other than blank and \\t to \\r) of some texts: their places in ``data``, and how many each text has."""
 
-    def __init__(self, texts: list[str]):
-        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-        self.raw = b"\n".join([*parts, b"\n" * 8])  # loads of 8 bytes stay inside
+    def __init__(self, texts: list[bytes]):
+        self.raw = b"\n".join([*texts, b"\n" * 8])  # loads of 8 bytes stay inside
         self.data = np.frombuffer(self.raw, np.uint8)
-        space = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
-        edge = np.flatnonzero(np.diff(space, prepend=True))  # starts and ends in turn, as the data ends in white space
+        self.space = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
+        edge = np.flatnonzero(np.diff(self.space, prepend=True))  # starts and ends in turn, as the data ends in white space
         self.starts, self.ends = edge[0::2], edge[1::2]
-        firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.counts = np.diff(np.searchsorted(self.starts, firsts))
 
+    def ids(self) -> tuple[np.ndarray, int]:
+        """A number for each word, equal for equal words only, and how many there are."""
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        letters = self.data[~self.space]
+        found = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), len(found.dictionary)
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         """Every group of eight bytes is mixed with its place in the word before the groups are added up."""
         out = np.zeros(len(self.starts), np.uint64)
@@ -58,9 +65,13 @@ class Words:
         return mix(out + sizes.astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+def encoded(texts: list[str]) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in texts]
+
+
 def words_of(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word and the number of words of each text."""
-    words = Words(texts)
+    words = Words(encoded(texts))
     return words.hashes(seed), words.counts
 
 
