@@ -10,9 +10,12 @@
 3. Pages are parsed again and read at their host's path; a page that lacks it,
    or holds no text there, is read at its own best container.
 
-Inside the container everything is kept but elements named as navigation,
-header, footer, sidebar, notice, advert, form, script, style or reader
-comments. A block's white space (as Python's str.split sees it) becomes one
+Of an article all articles beside it are read too, and of a path all elements that have it. Inside
+everything is kept but elements that are menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or reader comments, by their tag, or by a whole class name, id or role that says so
+("sidebar", "site-footer", "comments-area"; not "with-sidebar"). An element that is so by its name, or a
+form, stays if it holds most of the page's text and the page's article, main element or first heading,
+or if next to no text would be left. A block's white space (as Python's str.split sees it) becomes one
 blank, blocks are joined by two line feeds; <br> is white space; table rows are blocks.
 
 Null and empty html give an empty text; a null url counts as host "". Repeated
@@ -37,7 +40,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = frozenset("article body center div main section table tbody tr td th".split())
 CLOSES_P = BLOCK - {"caption", "legend", "optgroup", "option", "tbody", "tfoot", "thead", "tr", "body", "html"}
-DROPPED = frozenset("script style head template noscript nav footer aside form button select textarea input iframe svg canvas menu dialog object audio video map datalist title".split())
+DROPPED = frozenset("script style head template noscript nav footer aside form button select textarea input iframe svg canvas menu map datalist title".split())
 #: An element closes open ones of these kinds, up to the given boundary.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -52,41 +55,51 @@ IMPLIED = {
 }
 P_BOUNDARY = frozenset("button table td th caption object applet marquee template".split())
 END_BOUNDARY = frozenset("table td th caption".split())
-# Words in class, id or role that name what is not the article.
-NOISE = frozenset(
-    "ad ads adsense advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies dialog disclaimer disqus footer gdpr hidden login masthead menu "
-    "modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommend recommended recommendations related reply replies respond search share sharing "
-    "sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo alert".split()
-)
-HEADER = frozenset(["header"])
+# Names of what is not the article, by kind, and words that may stand before and after them.
+NOISE = {
+    "menu": "menu menus nav navbar navigation navmenu sidenav topnav subnav breadcrumb breadcrumbs toolbar",
+    "header": "banner masthead topbar",
+    "footer": "footer contentinfo colophon",
+    "sidebar": "sidebar complementary aside",
+    "notice": "notice notices notification notifications alert alerts consent cookie cookies gdpr",
+    "advert": "ad ads adbox adsense adslot advert adverts advertisement advertisements advertising sponsor sponsored promo promotion",
+    "form": "form",
+    "comments": "comment comments commentlist disqus respond reply replies",
+}
+BEFORE = "site page main top bottom left right primary secondary global mobile footer sidebar cookie user reader post article google"
+AFTER = "area list box container wrapper wrap block slot section bar panel inner unit links left right top bottom thread item items"
+NOT_ARTICLE = re.compile("(?:(?:{})-)*(?:{})(?:-(?:{}|[0-9]+))*".format(BEFORE.replace(" ", "|"), " ".join(NOISE.values()).replace(" ", "|"), AFTER.replace(" ", "|")))
+#: Characters of text outside an element that may be an article of their own.
+ENOUGH = 200
+HEADER = re.compile("(?:(?:{})-)*header(?:-(?:{}|[0-9]+))*".format(BEFORE.replace(" ", "|"), AFTER.replace(" ", "|")))
 TITLE = frozenset("title section heading".split())
 GOOD = frozenset("article content entry main post story text body".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""(class|id|role)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
+def names_of(attributes: dict[str, str]) -> list[str]:
+    """Class names, id and role, whole, in lower case with hyphens between words."""
+    return [CAMEL.sub("-", x).replace("_", "-").strip("-").lower() for k in ("class", "id", "role") for x in attributes.get(k, "").split()]
 
 
 class Node:
-    __slots__ = ("attributes", "children", "drop", "name", "parent", "tag")
+    __slots__ = ("attributes", "by_name", "children", "drop", "header", "inside", "name", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent, self.children = tag, parent, []
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))  # of an article
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip("/ \t\r\n") else {}
         self.attributes = found
-        classes = sorted(re.sub(r"[0-9]+", "#", c) for c in found.get("class", "").split() if len(c) <= 24)
-        self.name = ".".join([tag, *classes])
-        self.drop = tag in DROPPED or self._noise(found)
-
-    def _noise(self, found: dict[str, str]) -> bool:
-        if not found or self.tag in ("html", "body", "main", "article"):
-            return "hidden" in found and self.tag not in ("html", "body")
-        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDES.search(found.get("style", "")):
-            return True
-        words = {w.lower() for k in ("class", "id", "role") for w in WORDS.findall(found.get(k, ""))}
-        return bool(words & NOISE)
+        self.name = ".".join([tag, *sorted(re.sub(r"[0-9]+", "#", c) for c in found.get("class", "").split())])
+        names = names_of(found) if found and tag not in ("html", "body", "main", "article") else []
+        self.by_name = any(NOT_ARTICLE.fullmatch(x) for x in names)
+        self.header = tag == "header" or any(HEADER.fullmatch(x) for x in names)
+        self.drop = tag in DROPPED or self.by_name
 
     def has_words(self, words: frozenset[str]) -> bool:
         return any(w.lower() in words for k in ("class", "id", "role") for w in WORDS.findall(self.attributes.get(k, "")))
@@ -182,23 +195,43 @@ def parse(html: str) -> Node:
     return root
 
 
-def in_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def dropped(node: Node) -> bool:
-    """Whether the element is not part of an article. A header inside an article or main element is the article's own."""
-    if node.tag == "header":
-        return not in_article(node.parent)
-    if not node.drop and node.attributes and node.has_words(HEADER) and not node.has_words(GOOD | TITLE):
-        return not in_article(node.parent)
+    """Whether the element is not part of an article. A header inside an article or main element, or one named as an entry's, is the article's own."""
+    if node.header and not node.drop:
+        return not (node.inside or node.tag != "header" and node.has_words(GOOD | TITLE))
     return node.drop
 
 
+def keep_article(root: Node) -> Node:
+    """Takes back the drop of elements that hold the article: named ones and forms with most of the page's text."""
+    todo, order, doubtful, outermost = [(root, False)], [], [], []
+    while todo:
+        x, within = todo.pop()
+        if x.tag in DROPPED and x.tag != "form":
+            continue
+        order.append(x)
+        if x.by_name or x.tag == "form" or x.header and dropped(x):
+            doubtful.append(x)
+            if not within:
+                outermost.append(x)
+            within = True
+        todo.extend((c, within) for c in x.children if isinstance(c, Node))
+    if not doubtful:
+        return root
+    text: dict[int, int] = {}
+    holds: set[int] = set()
+    for x in reversed(order):  # children come after their parents
+        text[id(x)] = sum(len(c.strip()) if isinstance(c, str) else text.get(id(c), 0) for c in x.children)
+        if x.tag in ("article", "main", "h1") or any(id(c) in holds for c in x.children if isinstance(c, Node)):
+            holds.add(id(x))
+    whole, gone = text[id(root)], sum(text[id(x)] for x in outermost)
+    for x in doubtful:
+        n = text[id(x)]
+        if 2 * n > whole and (id(x) in holds or n >= ENOUGH > whole - gone):
+            x.drop = x.header = False
+    return root
+
+
 def blocks(top: Node, roots: list[Node] | None = None) -> list[str]:
     """Texts of the blocks under ``top`` (or under several roots) in page order."""
     out: list[str] = []
@@ -287,16 +320,25 @@ def at_path(root: Node, wanted: str) -> list[Node]:
     return level
 
 
+def with_articles(found: list[Node]) -> list[Node]:
+    """The same elements, each article with all articles beside it, in page order."""
+    out: dict[int, Node] = {}
+    for x in found:
+        beside = [c for c in x.parent.children if isinstance(c, Node) and c.tag == "article"] if x.tag == "article" and id(x) not in out else [x]
+        out |= {id(c): c for c in beside}
+    return list(out.values())
+
+
 def read_page(html: str, wanted: str | None) -> str:
     if not html:
         return ""
-    root = parse(html)
+    root = keep_article(parse(html))
     if wanted:
         found = [x for x in at_path(root, wanted) if not dropped(x)]
-        if found and (texts := blocks(root, found)):
+        if found and (texts := blocks(root, with_articles(found))):
             return "\n\n".join(texts)
     best, _ = best_container(root)
-    return "\n\n".join(blocks(best if best is not None else root))
+    return "\n\n".join(blocks(root, with_articles([best] if best is not None else [root])))
 
 
 def host(url) -> F.Column:
@@ -310,7 +352,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     def vote(batches):
         for batch in batches:
             for part, texts in text_slices(batch, "html"):
-                found = [best_container(parse(t)) if t else (None, 0) for t in texts]
+                found = [best_container(keep_article(parse(t))) if t else (None, 0) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else path(x) for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["host", "path", "votes"])
 
     votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, votes long").filter("path is not null")

@@ -41,10 +41,53 @@ def test_odd_pages(html, text):
     assert extract.read_page(html, None) == text
 
 
+ARTICLE = "<h1>Title</h1><p>" + "An article of some length, in words. " * 8 + "</p>"
+READ = "Title\n\n" + ("An article of some length, in words. " * 8).strip()
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "post has-comments", "entry ad-free", "no-sidebar", "layout-nav-left", "article-share-enabled", "post", "related-work", "search-result", "disclaimer", "lead ad_free", "hasComments"])
+def test_names_that_only_mention_noise(name):
+    page = f"<body><nav>Home</nav><div class='{name}'>{ARTICLE}</div><footer>end</footer></body>"
+    assert extract.read_page(page, None) == READ
+    assert extract.read_page(page.replace("class", "id"), None) == READ
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "ad-slot", "site-footer", "cookie-notice", "comments-area", "commentlist", "left-sidebar", "mainMenu", "nav_bar sidebar", "sidebar-2", "adsense top", "page-header"])
+def test_names_of_noise(name):
+    assert extract.read_page(f"<body><div class='x'>{ARTICLE}<div class='{name}'>Buy this or else, now</div></div></body>", None) == READ
+
+
+def test_element_with_the_article_stays():
+    assert extract.read_page(f"<form id=aspnet>{ARTICLE}<input value=x></form>", None) == READ
+    assert extract.read_page(f"<div class='notice'><article>{ARTICLE}</article></div><p>small</p>", None) == READ
+    assert extract.read_page(f"<div id=comments><p>{'all there is on the page ' * 20}</p></div>", None) == ("all there is on the page " * 20).strip()
+    long = "<p>" + "A comment longer than the article. " * 100 + "</p>"
+    assert extract.read_page(f"<div>{ARTICLE}</div><section id=comments>{long}</section>", None) == READ
+
+
+def test_nothing_else_is_dropped():
+    inner = "<div hidden>a</div><dialog open>b</dialog><video>c</video> <object>d</object> <audio>e</audio><div class=related>f</div><div class='search'>g</div><div class=pager>h</div><p style='display:none'>i</p>"
+    assert extract.read_page(f"<article>{ARTICLE}{inner}</article>", None) == READ + "\n\na\n\nb\n\nc d e\n\nf\n\ng\n\nh\n\ni"
+
+
+def test_articles_side_by_side():
+    page = "<body><nav>n</nav>" + "".join(f"<article class='post-{i} kind{'x' * i}'><p>{i} {'words of it ' * 9 * i}</p></article>" for i in (1, 2, 3)) + "<footer>f</footer></body>"
+    want = "\n\n".join(f"{i} {'words of it ' * 9 * i}".strip() for i in (1, 2, 3))
+    assert extract.read_page(page, None) == want
+    assert extract.read_page(page, "html>body>article.kindx.post-#") == want
+
+
+def test_long_names_tell_paths_apart():
+    page = "<body><div class='aaaaaaaaaaaaaaaaaaaaaaaaaaaa-one'><p>x y</p></div><div class='aaaaaaaaaaaaaaaaaaaaaaaaaaaa-two'><p>z</p></div></body>"
+    assert extract.read_page(page, "body>div.aaaaaaaaaaaaaaaaaaaaaaaaaaaa-two") == "z"
+
+
 def test_deep_and_long_pages_are_linear():
     extract.read_page("<div>" * 50_000 + "x", None)
     extract.read_page("<b>" * 50_000 + "</i>" * 50_000, None)
     extract.read_page("<p>" * 100_000, None)
+    extract.read_page("<header>" * 50_000 + "x", None)
+    extract.read_page("<form>" * 50_000 + "x" + "<div class=comments>" * 20_000, None)
     extract.read_page("<!--" * 100_000, None)
     assert len(extract.read_page("<p>" + "word " * 200_000, None)) == 999_999
 
@@ -68,6 +111,6 @@ def test_query_equals_brute_force(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in op4_host_path_extraction(spark, sf).collect():
         body = re.search(r"<article>(.*?)</article>", pages[r.page_id].html, re.DOTALL)[1]
-        parts = [" ".join(unescape(re.sub(r"<[a-z/!][^>]*>", " " if False else "", x.replace("<br>", " "))).split()) for x in re.split(r"<p>|</p>|<h1>|</h1>", body)]
+        parts = [" ".join(unescape(re.sub(r"<[a-z/!][^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"<p>|</p>|<h1>|</h1>", body)]
         want = "\n\n".join(x for x in parts if x)
         assert r.text == want and r.n_chars == len(want) and r.url == pages[r.page_id].url
