@@ -12,10 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 
 from ..sources.storage import bytes_of, discard, few, files_of, new_path, partitions, shared_dir, written, written_small
 
-__all__ = ["SLICE_BYTES", "bytes_of", "discard", "few", "files_of", "new_path", "partitions", "shared_dir", "text_slices", "written", "written_small"]
+__all__ = ["SLICE_BYTES", "bytes_of", "discard", "few", "file_groups", "files_of", "new_path", "partitions", "shared_dir", "text_slices", "written", "written_small"]
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 4_000_000
@@ -32,3 +34,18 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
         part = batch.slice(first, last - first)
         yield part, [t or "" for t in part.column(at).to_pylist()]
         first = last
+
+
+def file_groups(uri: str, text_column: str, most: int, columns: list[str], kinds: pa.Schema | None = None) -> Iterator[tuple[int, pa.RecordBatch, list[str]]]:
+    """A committed file's rows in groups of about ``most`` bytes of text: first row's number, rows, texts. The same groups at every reading."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        source, row = pq.ParquetFile(f), 0
+        for g in range(source.num_row_groups):
+            got = source.read_row_group(g, columns=columns).select(columns)
+            if kinds is not None:
+                got = got.cast(kinds)
+            for batch in got.combine_chunks().to_batches():
+                for part, texts in text_slices(batch, text_column, most):
+                    yield row, part, texts
+                    row += part.num_rows

@@ -1,52 +1,60 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five consecutive words, lower case (a shorter text is one
-shingle). Their weight is tf * idf with idf = 1 + log(1 + N / df) / log(1 + WIDTH),
-between 1 and about 2, so that passages of a large group of copies still count. df, the documents that
+shingle). Their weight is tf * idf with idf = 1 + log(1 + N / df) / log(1 + N), between 1 and 2 for
+any number N of documents, so that passages of a large group of copies still count. df, the documents that
 hold a shingle, is counted by its 48-bit hash over all documents: groups of documents ask for the counts
 of their shingles, each part of the hash's range counts what all groups ask, and answers them. BANDS x
 ROWS consistent weighted samples (Ioffe 2010) make a document's band keys; two
 documents agree in one sample with probability equal to their weighted Jaccard similarity.
 
-Exact copies (equal words) form a class first, with its least doc_id as the
-node. Nodes that share a band key form a piece. Similarities are exact, and a piece is not turned into pairs of rows:
+The rows are first written as a table; its files never change, so a group is a stretch of a file, whichever task reads
+it. Exact copies (equal words, by 128 bits) form a class first, numbered as a node; the class's text is that of
+its first row by (doc_id, hash of the text). Nodes that share a band key form a piece. Similarities are exact,
+and a piece is not turned into pairs of rows:
 
 * first every member is compared with the piece's leader (the member of least hash);
 * a piece that then holds several components is cut into blocks of about BLOCK members, those of its
-  largest component apart from the others. Every pair of blocks, but for two of the largest component, is one task: a product of
-  their weight matrices gives all similarities, and the task reports a spanning forest of the links.
+  largest component apart from the others. The shingles of each block are written once. Every pair of blocks, but for two
+  of the largest component, is read from there: a product of their weight matrices gives all similarities, and
+  what is passed on is a spanning forest of the links.
 
 So no pair that shares a band key is left out unless both documents are already in one class.
 
-Result: one row per row of the input with class_id, the least doc_id of its class, and kept
-(doc_id = class_id). Null, empty and blank texts are no copies of each other:
-each is its own class. Rows with a null doc_id have a null class and are kept. Rows of one doc_id
-are in one class whatever their texts. Extra columns are ignored; an empty table gives no rows.
+Result: one row per row of the input with class_id, the least doc_id of its class, text_hash, class_hash (the hash of the
+text of the class's first row, which tells classes apart where several texts have one doc_id) and kept
+(whether the row's doc_id and text are those of the first row; repeated rows of it are all marked).
+Classes rest on the texts alone: rows of one doc_id and different texts are compared like any others. Null, empty
+and blank texts are no copies of each other: each is its own class. Rows with a null doc_id have a null
+class and are kept. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
+from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import least_members
-from .common import few, new_path, partitions, text_slices, written, written_small
+from .common import bytes_of, discard, few, file_groups, files_of, partitions, written, written_small
 from .textwords import U, grams, mix, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Scale of the idf.
-WIDTH = 1 << 20
 BLOCK = 256
-SLICE = 2_000_000
-#: Shingles of a group of documents that asks for their counts.
-GROUP = 1_000_000
+#: Bytes of text that one step works on, and of a group of documents that asks for the counts of its shingles.
+SLICE, GROUP = 2_000_000, 4_000_000
+#: Bytes of the written table for each part of the counts.
+PART = 16_000_000
+#: Blocks of one row that a task compares with another, and blocks it holds.
+ACROSS, HELD = 32, 4
 _KEPT = 48  # bits of a shingle's hash
 
 
@@ -130,52 +138,30 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def document_frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """group, to (the partition that gets it), part, data: how many documents hold each distinct shingle of a group, by hash.
-
-    Writes each group of documents under ``path``.
-    """
-    parts = partitions(docs.sparkSession)
+def document_frequencies(files: list[str], numbers: DataFrame, parts: int, tasks: int) -> DataFrame:
+    """file, group, part, data: how many documents hold each distinct shingle of a group, by hash. ``numbers``: those of the files."""
 
     def ask(batches):
-        held, rows, number = [], [], 0
         for batch in batches:
-            for part, texts in text_slices(batch, "text", SLICE):
-                held.append(shingles(texts)[1])
-                rows.append(part)
-                if sum(map(len, held)) >= GROUP:
-                    yield asked(held, rows, number)
-                    held, rows, number = [], [], number + 1
-        if rows:
-            yield asked(held, rows, number)
-
-    def asked(held: list[np.ndarray], rows: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
-        task = TaskContext.get().partitionId()
-        group = (task << 24) + number
-        fs, at = pafs.FileSystem.from_uri(path)
-        fs.create_dir(at, recursive=True)
-        own = f"{at}/{group}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(own) as out, pa.ipc.new_stream(out, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-            for x in rows:
-                to.write_batch(x)
-        fs.move(own, f"{at}/{group}")  # a repeated task replaces the same group
-        sh, counts = np.unique(np.concatenate(held), return_counts=True)
-        cut = np.searchsorted((sh * U(parts)) >> U(_KEPT), np.arange(parts + 1))
-        some = [p for p in range(parts) if p == 0 or cut[p] < cut[p + 1]]
-        columns = [
-            pa.array(some, pa.int32()),
-            pa.array([group] * len(some), pa.int64()),
-            pa.array([(task + 7919 * number) % parts] * len(some), pa.int32()),
-            pa.array([_hashes(sh[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-            pa.array([narrow(counts[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["part", "group", "to", "data", "counts"])
+            for file in batch.column(0).to_pylist():
+                for group, (_, _, texts) in enumerate(file_groups(files[file], "text", GROUP, ["text"])):
+                    sh, counts = np.unique(shingles(texts)[1], return_counts=True)
+                    cut = np.searchsorted((sh * U(parts)) >> U(_KEPT), np.arange(parts + 1))
+                    some = [p for p in range(parts) if p == 0 or cut[p] < cut[p + 1]]
+                    columns = [
+                        pa.array(some, pa.int32()),
+                        pa.array([file] * len(some), pa.int32()),
+                        pa.array([group] * len(some), pa.int32()),
+                        pa.array([_hashes(sh[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+                        pa.array([narrow(counts[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "file", "group", "data", "counts"])
 
     def answer(batches):
         keys, asks, counts = [], [], []
         for batch in batches:
-            for part, group, to, data, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys.append((group, to, part))
+            for part, file, group, data, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys.append((file, group, part))
                 asks.append(_unpacked(data))
                 counts.append(wide(count))
         if not keys:
@@ -187,15 +173,15 @@ def document_frequencies(docs: DataFrame, path: str) -> DataFrame:
         for a in range(0, len(keys), 256):
             some = range(a, min(a + 256, len(keys)))
             data = [narrow(total[place[ends[i - 1] if i else 0 : ends[i]]]) for i in some]
-            group, to, part = zip(*keys[a : a + 256], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["group", "to", "part", "data"])
+            columns = zip(*keys[a : a + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(data, pa.binary())], ["file", "group", "part", "data"])
 
-    asks = docs.mapInArrow(ask, "part int, group long, to int, data binary, counts binary").repartitionById(parts, "part")
-    return asks.mapInArrow(answer, "group long, to int, part int, data binary")
+    asks = numbers.mapInArrow(ask, "part int, file int, group int, data binary, counts binary").repartitionById(parts, "part")
+    return asks.mapInArrow(answer, "file int, group int, part int, data binary").repartitionById(tasks, F.col("file") % tasks).sortWithinPartitions("file", "group", "part")
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
-    return 1 + np.log1p(max(n, 1) / np.maximum(df, 1)) / np.log1p(WIDTH)
+    return 1 + np.log1p(max(n, 1) / np.maximum(df, 1)) / np.log1p(max(n, 1))
 
 
 class Weights:
@@ -249,13 +235,12 @@ def similarities(left: list[str], right: list[str], weights: Weights | Counted)
     return out
 
 
-def all_similarities(texts: list[str], weights: Weights | Counted, columns: int = 4096) -> np.ndarray:
-    """Weighted Jaccard similarity of every two texts.
+def all_similarities(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of every two sets.
 
     A shingle that occurs k times counts as k columns, so a product of 0/1 matrices with the
     columns' weights sums the smaller of two weights.
     """
-    sets = weighted_sets(texts, weights)
     total = np.array([w.sum() for _, w, _ in sets])
     doc = np.repeat(np.arange(len(sets)), [int(n.sum()) for _, _, n in sets])
     times = np.concatenate([n for _, _, n in sets])
@@ -268,44 +253,60 @@ def all_similarities(texts: list[str], weights: Weights | Counted, columns: int
     doc, w = doc[used], w[used]
     order = np.argsort(column, kind="stable")
     doc, w, column = doc[order], w[order], column[order]
-    both = np.zeros((len(texts), len(texts)))
+    both = np.zeros((len(sets), len(sets)))
     for a in range(0, int(column.max(initial=-1)) + 1, columns):
         own = slice(*np.searchsorted(column, [a, a + columns]))
-        x = np.zeros((len(texts), columns))
+        x = np.zeros((len(sets), columns))
         x[doc[own], column[own] - a] = np.sqrt(w[own])
         both += x @ x.T
     return both / np.maximum(total[:, None] + total[None, :] - both, 1e-300)
 
 
+def forest(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join what the matrix joins."""
+    todo = set(range(len(near)))
+    while todo:
+        queue = [todo.pop()]
+        while queue:
+            i = queue.pop()
+            for j in np.flatnonzero(near[i]).tolist():
+                if j in todo:
+                    todo.remove(j)
+                    queue.append(j)
+                    yield i, j
+
+
 def _components(links: DataFrame) -> DataFrame:
     return least_members(links).withColumnRenamed("least", "component")
 
 
-def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, h (the text's hash), two hashes of the word sequence (0: no words), band keys, df of the shingles in order."""
-    spark = docs.sparkSession
-    path = new_path(spark, "near-groups")
+def signatures(held: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, h (the text's hash), two hashes of the word sequence (0: no words), band keys, df of the shingles in order; ``held`` is a written table (doc_id, text, h)."""
+    spark, files = held.sparkSession, files_of(held)
+    parts = max(partitions(spark), -(-bytes_of(held) // PART))
+    tasks = max(1, min(len(files), 4 * parts))
+    numbers = spark.range(0, len(files), 1, tasks)
 
     def sign(batches):
-        now, held = None, []
+        now, told = None, []
         for batch in batches:
-            for group, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if group != now:
-                    yield from signed(now, held)
-                    now, held = group, []
-                held.append(wide(data))
-        yield from signed(now, held)
-
-    def signed(group: int | None, held: list[np.ndarray]):
-        if group is None:
+            for file, group, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                if file != now:
+                    yield from signed(now, told)
+                    now, told = file, []
+                while len(told) <= group:
+                    told.append([])
+                told[group].append(wide(data))
+        yield from signed(now, told)
+
+    def signed(file: int | None, told: list[list[np.ndarray]]):
+        if file is None:
             return
-        fs, at = pafs.FileSystem.from_uri(path)
-        with fs.open_input_stream(f"{at}/{group}") as source, pa.ipc.open_stream(source) as found:
-            parts = [(x, shingles([t or "" for t in x.column(2).to_pylist()])) for x in found]
-        known, counts = np.unique(np.concatenate([x[1] for _, x in parts])), np.concatenate(held)
-        if len(known) != len(counts):
-            raise ValueError(f"{len(counts)} counts for {len(known)} shingles")
-        for part, (doc, sh, times, d1, d2) in parts:
+        for group, (_, part, texts) in enumerate(file_groups(files[file], "text", GROUP, ["doc_id", "h", "text"])):
+            doc, sh, times, d1, d2 = shingles(texts)
+            known, counts = np.unique(sh), np.concatenate(told[group])
+            if len(known) != len(counts):
+                raise ValueError(f"{len(counts)} counts for {len(known)} shingles")
             df = counts[np.searchsorted(known, sh)]
             got = samples(doc, sh, times * idf(df, n), len(d1), bands * rows)
             keys = np.zeros((len(d1), bands), np.uint64)
@@ -318,9 +319,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             own = pa.array([narrow(df[x:y]) for x, y in zip(cut, cut[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, own], ["doc_id", "h", "d1", "d2", "bands", "df"])
 
-    answers = document_frequencies(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), path)
-    dealt = answers.repartitionById(partitions(spark), "to").sortWithinPartitions("group", "part").select("group", "data")
-    return dealt.mapInArrow(sign, "doc_id long, h long, d1 long, d2 long, bands array<long>, df binary")
+    schema = "doc_id long, h long, d1 long, d2 long, bands array<long>, df binary"
+    if not files:
+        return spark.createDataFrame([], schema)
+    return document_frequencies(files, numbers, parts, tasks).mapInArrow(sign, schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
@@ -329,86 +331,171 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFr
     def compare(batches):
         for batch in batches:
             a, b, p, q = (batch.column(i).to_pylist() for i in range(2, 6))
-            near = similarities(a, b, Counted(n, a + b, p + q)) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], ["u", "v"])
-
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"), F.col("df").alias("p")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"), F.col("df").alias("q")), "v")
+            ends = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+            first = 0
+            while first < len(a):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + GROUP, "right")))
+                own = slice(first, last)
+                near = similarities(a[own], b[own], Counted(n, a[own] + b[own], p[own] + q[own])) >= least
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(near)) for i in (0, 1)], ["u", "v"])
+                first = last
+
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a"), F.col("df").alias("p")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b"), F.col("df").alias("q")), "v")
     return written(both.select("u", "v", "a", "b", "p", "q").mapInArrow(compare, "u long, v long").repartition(few(pairs.sparkSession)), "near-links")
 
 
+class Blocks:
+    """Blocks (nodes and their weighted sets) by piece and number, read from a written table of a file for each part."""
+
+    def __init__(self, files: dict[int, str], n: int):
+        self.files, self.n = files, n
+        self.open: OrderedDict[int, tuple] = OrderedDict()
+        self.held: OrderedDict[tuple[int, int], tuple] = OrderedDict()
+
+    def _file(self, part: int) -> tuple[pq.ParquetFile, dict[tuple[int, int], int], np.ndarray]:
+        if part not in self.open:
+            if len(self.open) >= 8:
+                self.open.popitem(last=False)
+            fs, path = pafs.FileSystem.from_uri(self.files[part])
+            source = pq.ParquetFile(fs.open_input_file(path))
+            keys = source.read(columns=["piece", "block"])
+            ends = np.cumsum([source.metadata.row_group(g).num_rows for g in range(source.num_row_groups)])
+            self.open[part] = source, {k: i for i, k in enumerate(zip(keys["piece"].to_pylist(), keys["block"].to_pylist(), strict=True))}, ends
+        return self.open[part]
+
+    def __call__(self, part: int, piece: int, block: int) -> tuple[np.ndarray, list] | None:
+        """None for a block without members."""
+        key = piece, block
+        if key not in self.held:
+            found = None
+            if part in self.files:
+                source, at, ends = self._file(part)
+                if key in at:
+                    g = int(np.searchsorted(ends, at[key], "right"))
+                    rows = source.read_row_group(g, columns=["nodes", "sets"])
+                    i = at[key] - (int(ends[g - 1]) if g else 0)
+                    found = np.frombuffer(rows["nodes"][i].as_py(), "<i8"), unpacked_sets(rows["sets"][i].as_py(), self.n)
+            if len(self.held) >= HELD:
+                self.held.popitem(last=False)
+            self.held[key] = found
+        self.held.move_to_end(key)
+        return self.held[key]
+
+
+def packed_sets(texts: list[str], df: list[bytes]) -> bytes:
+    """The shingles of some texts: hashes, times and document frequencies, in few bytes."""
+    out = []
+    for sh, _, times in weighted_sets(texts, lambda sh, times, _: times):
+        out += [_hashes(sh), narrow(times)]
+    parts = [x for i, d in enumerate(df) for x in (out[2 * i], out[2 * i + 1], d)]
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def unpacked_sets(data: bytes, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The weighted sets; ``n``: number of documents."""
+    count = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = 4 * (count + 1) + np.cumsum([0, *np.frombuffer(data, "<u4", count, 4).tolist()])
+    parts = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    out = []
+    for sh, times, df in zip(parts[0::3], parts[1::3], parts[2::3], strict=True):
+        k = wide(times)
+        out.append((_unpacked(sh), k * idf(wide(df), n), k))
+    return out
+
+
 def in_blocks(own: DataFrame, texts: DataFrame, n_docs: int, least: float) -> DataFrame:
     """Links (a spanning forest of each block pair) within the pieces that hold several components."""
     spark = own.sparkSession
-    sizes = own.groupBy("piece", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
+    sizes = own.groupBy("piece", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
     open_ = sizes.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
     open_ = open_.filter("n > most and n > 2")  # of two members, both have met as leader and member
     open_ = open_.groupBy("n", "h", "most", "main").agg(F.min("piece").alias("piece"))  # bands often give the same piece
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = written_small(open_.select("piece", "main", blocks(F.col("most")).alias("a"), blocks(F.col("n") - F.col("most")).alias("b")), "near-open")
-    inside = F.col("component") == F.col("main")
-    block = F.when(inside, F.pmod(F.xxhash64("rep"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("rep"), F.col("b"))).cast("int")
-    rows = own.join(open_, "piece").select("piece", "rep", block.alias("block"), F.when(inside, F.col("a")).otherwise(0).alias("from"), (F.col("a") + F.col("b") - 1).alias("to"))
-    rows = rows.select("piece", "rep", "block", F.explode(F.sequence("from", "to")).alias("other"))
-    rows = rows.select("piece", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("rep").alias("doc_id")).join(texts, "doc_id")
+    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = written_small(open_.select("piece", "main", count(F.col("most")).alias("a"), count(F.col("n") - F.col("most")).alias("b")), "near-open")
+    main = F.col("component") == F.col("main")
+    block = F.when(main, F.pmod(F.xxhash64("node"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("node"), F.col("b"))).cast("int")
+    parts = partitions(spark)
+    part = lambda block: F.pmod(F.xxhash64("piece", block), F.lit(parts)).cast("int")
+    rows = own.join(open_, "piece").select("piece", "node", block.alias("block")).join(texts, "node")
+    rows = rows.select("piece", "block", "node", "text", "df", part("block").alias("part")).repartitionById(parts, "part").sortWithinPartitions("piece", "block", "node")
+
+    def gather(batches):
+        now, nodes, held, df = None, [], [], []
+        for batch in batches:
+            for piece, block, node, text, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (piece, block) != now:
+                    if nodes:
+                        yield gathered(now, nodes, held, df)
+                    now, nodes, held, df = (piece, block), [], [], []
+                nodes.append(node)
+                held.append(text)
+                df.append(own)
+        if nodes:
+            yield gathered(now, nodes, held, df)
+
+    def gathered(key, nodes, held, df) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([np.array(nodes, "<i8").tobytes()], pa.binary()), pa.array([packed_sets(held, df)], pa.binary())], ["piece", "block", "nodes", "sets"])
+
+    table = written(rows.mapInArrow(gather, "piece long, block int, nodes binary, sets binary"), "near-blocks", **{"parquet.block.row.count.limit": "4"})
+    files = {int(re.search(r"part-([0-9]+)", f.rpartition("/")[2])[1]): f for f in files_of(table)}
 
     def solve(batches):
-        now, ids, held, counts = None, [], [], []
+        blocks = Blocks(files, n_docs)
         for batch in batches:
-            for p, x, y, d, t, c in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if (p, x, y) != now:
-                    if len(ids) > 1:
-                        yield forest(ids, held, counts)
-                    now, ids, held, counts = (p, x, y), [], [], []
-                ids.append(d)
-                held.append(t)
-                counts.append(c)
-        if len(ids) > 1:
-            yield forest(ids, held, counts)
-
-    def forest(ids: list[int], held: list[str], counts: list[bytes]) -> pa.RecordBatch:
-        near = all_similarities(held, Counted(n_docs, held, counts)) >= least
-        todo, out = set(range(len(ids))), []
-        while todo:
-            queue = [todo.pop()]
-            while queue:
-                i = queue.pop()
-                for j in np.flatnonzero(near[i]).tolist():
-                    if j in todo:
-                        todo.remove(j)
-                        queue.append(j)
-                        out.append((ids[i], ids[j]))
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "v"])
-
-    dealt = rows.select("piece", "x", "y", "doc_id", "text", "df").repartition(partitions(spark), "piece", "x", "y").sortWithinPartitions("piece", "x", "y")
-    return written(dealt.mapInArrow(solve, "u long, v long").repartition(few(spark)), "near-links")
+            for piece, x, y, at_x, at_y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q = blocks(at_y, piece, y)
+                p = q if x == y else blocks(at_x, piece, x)
+                if p is None or q is None:
+                    continue
+                nodes, sets = q if x == y else (np.concatenate([p[0], q[0]]), p[1] + q[1])
+                links = np.array(list(forest(all_similarities(sets) >= least)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[links[:, 0]]), pa.array(nodes[links[:, 1]])], ["u", "v"])
+
+    pairs = open_.select("piece", F.explode(F.sequence("a", F.col("a") + F.col("b") - 1)).alias("y")).select("piece", "y", F.explode(F.sequence(F.lit(0), "y")).alias("x"))
+    dealt = pairs.repartition(parts, "piece", "y", F.floor(F.col("x") / ACROSS)).sortWithinPartitions("piece", "y", "x")
+    found = written(dealt.select("piece", "x", "y", part("x").alias("at_x"), part("y").alias("at_y")).mapInArrow(solve, "u long, v long").repartition(few(spark)), "near-links")
+    discard(spark, table)
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, kept: one row per row of ``docs``."""
+    """doc_id, class_id, kept, text_hash, class_hash: one row per row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
-    signed = written(signatures(docs, n, bands, rows), "near-signatures")
+    held = written(docs.withColumn("h", F.xxhash64("text")), "near-rows", **{"parquet.block.size": str(4 * GROUP)})
+    n = held.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
+    signed = written(signatures(held, n, bands, rows), "near-signatures")
     fine = signed.filter("doc_id is not null and d1 <> 0")
-    classes = written_small(fine.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
-    members = classes.select(F.explode("bands").alias("piece"), "rep").distinct()
-    leaders = members.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("first")).filter("n > 1")
-    leaders = written_small(leaders.select("piece", F.col("first.rep").alias("leader")), "near-leaders")
+    classes = fine.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h")).alias("head"), F.first("bands").alias("bands"))
+    classes = written_small(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "head", "bands"), "near-classes")
+    members = classes.select(F.explode("bands").alias("piece"), "node").distinct()
+    leaders = members.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("first")).filter("n > 1")
+    leaders = written_small(leaders.select("piece", F.col("first.node").alias("leader")), "near-leaders")
     pieces = written_small(members.join(leaders, "piece"), "near-pieces")
-    needed = written_small(pieces.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
-    texts = docs.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("text"))
-    counted = fine.join(needed, "doc_id").groupBy("doc_id", "h").agg(F.first("df").alias("df"))
-    texts = written(texts.join(counted, ["doc_id", "h"]).select("doc_id", "text", "df"), "near-texts")
-    pairs = pieces.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
+    needed = pieces.select("node").distinct().join(classes.select("node", "head.*"), "node")
+    needed = written_small(needed, "near-needed")
+    texts = held.join(needed, ["doc_id", "h"]).groupBy("node").agg(F.first("text").alias("text"))
+    counted = fine.join(needed, ["doc_id", "h"]).groupBy("node").agg(F.first("df").alias("df"))
+    texts = written(texts.join(counted, "node"), "near-texts")
+    discard(spark, held)
+    pairs = pieces.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     links = verified(pairs, texts, n, least)
     named = written_small(_components(links), "near-components")
-    own = pieces.join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    own = written_small(own.select("piece", "rep", F.coalesce("component", "rep").alias("component")), "near-own")
+    own = pieces.join(named, "node", "left")
+    own = written_small(own.select("piece", "node", F.coalesce("component", "node").alias("component")), "near-own")
     more = in_blocks(own, texts, n, least)
     links = named.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     named = written_small(_components(links), "near-components")
-    result = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    result = written_small(result.select("d1", "d2", F.coalesce("component", "rep").alias("class_id")), "near-results")
-    yes = fine.select("doc_id", "d1", "d2").join(result, ["d1", "d2"]).select("doc_id", "class_id")
-    no = signed.filter("doc_id is null or d1 = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    return yes.union(no).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    discard(spark, texts, own, pieces, leaders, needed)
+    # the first row of each class of several nodes
+    grouped = named.union(named.select(F.col("component").alias("node"), "component").distinct())
+    grouped = written_small(grouped.join(classes.select("node", "head"), "node"), "near-groups")
+    first = grouped.groupBy("component").agg(F.min("head").alias("first"))
+    first = grouped.join(first, "component").select("node", "first")
+    result = classes.select("node", "d1", "d2", "head").join(first, "node", "left").select("d1", "d2", F.coalesce("first", "head").alias("first"))
+    result = written_small(result.select("d1", "d2", F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("class_hash")), "near-results")
+    yes = fine.select("doc_id", "h", "d1", "d2").join(result, ["d1", "d2"]).select("doc_id", "class_id", "h", "class_hash")
+    no = signed.filter("doc_id is null or d1 = 0").select("doc_id", F.col("doc_id").alias("class_id"), "h", F.col("h").alias("class_hash"))
+    kept = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("h") == F.col("class_hash")), F.lit(True))
+    return yes.union(no).select("doc_id", "class_id", kept.alias("kept"), F.col("h").alias("text_hash"), "class_hash")

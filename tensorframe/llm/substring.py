@@ -37,13 +37,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bytes_of, files_of, partitions, text_slices, written
+from .common import bytes_of, file_groups, files_of, partitions, written
 from .fm_index import FMIndex
 from .textwords import U, Words, encoded, grams, mix
 
@@ -204,17 +202,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id
 
     def groups(file: int, whole: bool = False):
         """First row, rows and texts of each group of a file."""
-        fs, path = pafs.FileSystem.from_uri(files[file])
-        with fs.open_input_file(path) as f:
-            source, row = pq.ParquetFile(f), 0
-            for g in range(source.num_row_groups):
-                got = source.read_row_group(g, columns=None if whole else [id_column, text_column])
-                if whole:
-                    got = got.select(names).cast(arrow)
-                for batch in got.combine_chunks().to_batches():
-                    for part, texts in text_slices(batch, text_column, GROUP):
-                        yield row, part, texts
-                        row += part.num_rows
+        return file_groups(files[file], text_column, GROUP, names if whole else [id_column, text_column], arrow if whole else None)
 
     def cut(part: pa.RecordBatch, texts: list[str]) -> tuple[Words, np.ndarray, Segments]:
         words, ids = Words(encoded(texts)), _ids(part.column(part.schema.get_field_index(id_column)))
