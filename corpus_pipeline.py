@@ -2,8 +2,8 @@
 
 Each stage works on all rows its predecessor kept; run() writes its result as
 Parquet to the shared folder and the next stage reads that. All stages but the last
-return the columns of ``documents``. Rows with a null doc_id or a null text pass the
-stages as the operators define; extra columns are carried along.
+return the columns of ``documents``; extra columns are carried along. Each stage says what becomes of null
+doc_ids, null and empty texts and repeated rows. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -23,24 +23,46 @@ def _measured(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.select(*names)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (fitted on the labelled ones) accepts."""
+    """Documents that the classifier (fitted on the labelled ones) accepts.
+
+    Every row is scored by its own text, so repeated rows fare alike; null and empty texts have the score of a
+    text without features, and a row's doc_id, null or not, plays no part.
+    """
     model = quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_gam.score(docs, model)
     return scored.filter(scored[scored.columns[-1]] >= 0.5).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one of least doc_id; of repeated rows of it, one."""
-    found = near_dedup.near_duplicates(docs)
-    stay = written(found.filter("kept and doc_id is not null").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("repeated")), "stay")
-    once = docs.join(stay.filter("not repeated").select("doc_id"), "doc_id", "left_semi")
-    more = docs.join(stay.filter("repeated").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One row of each class of near copies: of least (doc_id, hash of the text); of repeated rows of it, the first as JSON.
+
+    Rows that share a doc_id but not their text are documents of their own. Null, empty and blank texts
+    are no copies of others; rows of one doc_id that are equal in this count as repeated. Rows with a
+    null doc_id all stay.
+    """
+    h, n = _free("h", docs.columns), _free("n", docs.columns)
+    found = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null")
+    stay = written(found.groupBy("doc_id", F.col("text_hash").alias(h)).agg(F.count(F.lit(1)).alias(n)), "stay")
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    once = keyed.join(stay.filter(F.col(n) == 1), ["doc_id", h], "left_semi").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    more = keyed.join(stay.filter(F.col(n) > 1), ["doc_id", h], "left_semi").groupBy("doc_id", h).agg(F.min_by(row, F.to_json(row)).alias(n)).select(f"{n}.*")
+    return once.unionByName(more).unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without words of passages that occur earlier; documents of which nothing is left go."""
+    """Texts without words of passages that occur earlier; documents of which nothing is left go.
+
+    Of equal passages the one of the least doc_id stays, then of the earlier row of the written table; null doc_ids
+    come last. Texts that lose nothing, null and empty ones among them, stay as they are, to the byte.
+    """
     found = substring.drop_repeats(docs)
     n_words, n_removed, kept = found.columns[-3:]
     found = found.filter(~((F.col(n_removed) > 0) & (F.col(n_removed) == F.col(n_words))))
@@ -49,12 +71,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind, row by row; null texts stay null, no row goes."""
     return _measured(pii.mask(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens: null and empty texts are an end token, repeated rows are packed one by one, null doc_ids are kept."""
     pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
