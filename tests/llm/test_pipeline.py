@@ -56,3 +56,11 @@ def test_odd_rows(spark, tmp_path):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 2), (True, 0), (True, 0)]
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_of_one_doc_id_and_other_texts_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, texts[0], "en", "s", 1, "y"), (1, texts[1], "en", "s", 1, "x"), (1, texts[1], "en", "s", 1, "w"), (2, texts[1], "en", "s", 1, "z"), (2, texts[2], "en", "s", 1, "z"), (4, None, "en", "s", 0, "n"), (4, "", "en", "s", 0, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, h string")
+    got = cp.near_copies(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text, r.h) for r in got), key=repr) == sorted([(1, texts[0], "y"), (1, texts[1], "w"), (2, texts[2], "z"), (4, None, "n")], key=repr) and got[0].__fields__ == docs.columns
