@@ -17,25 +17,31 @@ from pyarrow import fs as pafs
 
 from ..sources.storage import bytes_of, discard, few, files_of, new_path, partitions, shared_dir, written, written_small
 
-__all__ = ["SLICE_BYTES", "bytes_of", "discard", "few", "file_groups", "files_of", "new_path", "partitions", "shared_dir", "text_slices", "written", "written_small"]
+__all__ = ["SLICE_BYTES", "bytes_of", "discard", "few", "file_groups", "files_of", "new_path", "partitions", "row_slices", "shared_dir", "text_slices", "written", "written_small"]
 
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive slices of a batch with their texts (null: empty), each of about ``most`` bytes or one row."""
+def row_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch, each with about ``most`` bytes (or one row) of a text or binary column."""
     at = batch.schema.get_field_index(column)
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < batch.num_rows:
         before = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
-        part = batch.slice(first, last - first)
-        yield part, [t or "" for t in part.column(at).to_pylist()]
+        yield batch.slice(first, last - first)
         first = last
 
 
+def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive slices of a batch with their texts (null: empty), each of about ``most`` bytes or one row."""
+    at = batch.schema.get_field_index(column)
+    for part in row_slices(batch, column, most):
+        yield part, [t or "" for t in part.column(at).to_pylist()]
+
+
 def file_groups(uri: str, text_column: str, most: int, columns: list[str], kinds: pa.Schema | None = None) -> Iterator[tuple[int, pa.RecordBatch, list[str]]]:
     """A committed file's rows in groups of about ``most`` bytes of text: first row's number, rows, texts. The same groups at every reading."""
     fs, path = pafs.FileSystem.from_uri(uri)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_slices
+from .common import partitions, row_slices, text_slices
 from .wordcodes import with_end, word_codes, word_hash, words_apart
 
 DIMS, BITS = 3, 10
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, ke
     def chop(batches):
         number, filled = 0, 0
         base = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in (part for x in batches for part in row_slices(x, "ids")):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
             for doc, width, raw in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
                 ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
