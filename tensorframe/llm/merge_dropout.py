@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import row_slices, text_slices
 from .textwords import U, mix
 from .wordcodes import Numbered
 
@@ -360,7 +360,7 @@ def decode(rows: DataFrame, model: str, *, ids_column: str = "ids", text_column:
     at = rows.columns.index(ids_column)
 
     def add(batches):
-        for batch in batches:
+        for batch in (part for x in batches for part in row_slices(x, ids_column)):
             blobs = [b or b"" for b in batch.column(at).to_pylist()]
             ids = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
             texts = encoder(model, 0.0, 0).decode(ids, np.cumsum([len(b) // 4 for b in blobs]))
