@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import least_members
-from .common import bytes_of, discard, few, file_groups, files_of, partitions, written, written_small
+from .common import bytes_of, discard, few, file_groups, files_of, partitions, row_slices, written, written_small
 from .textwords import U, grams, mix, words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -329,7 +329,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFr
     """Of the pairs (u, v) those whose texts are similar enough."""
 
     def compare(batches):
-        for batch in batches:
+        for batch in (part for x in batches for part in row_slices(x, "a")):
             a, b, p, q = (batch.column(i).to_pylist() for i in range(2, 6))
             ends = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)])
             first = 0
@@ -422,7 +422,7 @@ def in_blocks(own: DataFrame, texts: DataFrame, n_docs: int, least: float) -> Da
 
     def gather(batches):
         now, nodes, held, df = None, [], [], []
-        for batch in batches:
+        for batch in (part for x in batches for part in row_slices(x, "text")):
             for piece, block, node, text, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (piece, block) != now:
                     if nodes:

@@ -60,3 +60,40 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     wrong = labels.withColumn("quality", F.when(q.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = q.train(docs, labels), q.train(docs, wrong)
     assert a.intercept == b.intercept and all((x == y).all() for x, y in zip(a.tables, b.tables, strict=True))
+
+
+def plain_features(text):
+    """The features of one text, character by character."""
+    from collections import Counter
+    from math import log1p
+
+    kind = Counter()
+    for c in text:
+        mark = c in ".,;:'\"-()"
+        loud = c in "!?¡¿"
+        kind["mark" if mark else "loud" if loud else "upper" if c.isupper() else "letter" if c.isalpha() else "digit" if c.isdigit() else "space" if c.isspace() else "other"] += 1
+    n, letters = len(text), kind["upper"] + kind["letter"]
+    out = [log1p(n), letters / max(n, 1), kind["upper"] / max(letters, 1), *(kind[k] / max(n, 1) for k in ("digit", "space", "mark", "loud", "other"))]
+    words = text.split()
+    if not words:
+        return out + [0.0] * 8
+    lines, w, seen = [x for x in text.split("\n") if x], len(words), Counter(words)
+    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return out + [n / w, log1p(n / max(len(lines), 1)), len(seen) / w, log1p(len(seen)) / log1p(w), same / w, max(seen.values()) / w, 1 - len(set(lines)) / max(len(lines), 1), (kind["other"] + kind["loud"]) / w]
+
+
+def test_query_equals_plain_additions(spark):
+    from math import exp
+
+    from tensorframe.llm.queries import op1_additive_quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = q.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in op1_additive_quality(spark, sf).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        x = plain_features(r.text or "")
+        total = model.intercept + sum(t[sum(v <= x[j] for v in c)] for j, (c, t) in enumerate(zip(model.cuts, model.tables, strict=True)))
+        total += sum(t[sum(v <= x[a] for v in ca), sum(v <= x[b] for v in cb)] for a, b, ca, cb, t in model.pairs)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + exp(-total)), abs=1e-9)
