@@ -19,7 +19,8 @@ and a piece is not turned into pairs of rows:
   of the largest component, is read from there: a product of their weight matrices gives all similarities, and
   what is passed on is a spanning forest of the links.
 
-So no pair that shares a band key is left out unless both documents are already in one class.
+Texts are compared where a piece's leader or block is, and come there straight from the files: what is sent ahead are places of rows.
+A leader's members are dealt to as many tasks as they need. So no pair that shares a band key is left out unless both documents are already in one class.
 
 Result: one row per row of the input with class_id, the least doc_id of its class, text_hash, class_hash (the hash of the
 text of the class's first row, which tells classes apart where several texts have one doc_id) and kept
@@ -55,6 +56,8 @@ SLICE, GROUP = 2_000_000, 4_000_000
 PART = 16_000_000
 #: Blocks of one row that a task compares with another, and blocks it holds.
 ACROSS, HELD = 32, 4
+#: Members that are compared with their leader in one task.
+MEMBERS = 512
 _KEPT = 48  # bits of a shingle's hash
 
 
@@ -281,7 +284,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def signatures(held: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, h (the text's hash), two hashes of the word sequence (0: no words), band keys, df of the shingles in order; ``held`` is a written table (doc_id, text, h)."""
+    """doc_id, h (the text's hash), two hashes of the word sequence (0: no words), band keys, df of the shingles in order, file and row; ``held`` is a written table (doc_id, text, h)."""
     spark, files = held.sparkSession, files_of(held)
     parts = max(partitions(spark), -(-bytes_of(held) // PART))
     tasks = max(1, min(len(files), 4 * parts))
@@ -302,7 +305,7 @@ def signatures(held: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def signed(file: int | None, told: list[list[np.ndarray]]):
         if file is None:
             return
-        for group, (_, part, texts) in enumerate(file_groups(files[file], "text", GROUP, ["doc_id", "h", "text"])):
+        for group, (row, part, texts) in enumerate(file_groups(files[file], "text", GROUP, ["doc_id", "h", "text"])):
             doc, sh, times, d1, d2 = shingles(texts)
             known, counts = np.unique(sh), np.concatenate(told[group])
             if len(known) != len(counts):
@@ -317,32 +320,79 @@ def signatures(held: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
             cut = np.searchsorted(doc, np.arange(len(d1) + 1))
             own = pa.array([narrow(df[x:y]) for x, y in zip(cut, cut[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, own], ["doc_id", "h", "d1", "d2", "bands", "df"])
+            at = [pa.array(np.full(len(d1), file, np.int32)), pa.array(np.arange(row, row + len(d1), dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, own, *at], ["doc_id", "h", "d1", "d2", "bands", "df", "file", "row"])
 
-    schema = "doc_id long, h long, d1 long, d2 long, bands array<long>, df binary"
+    schema = "doc_id long, h long, d1 long, d2 long, bands array<long>, df binary, file int, row long"
     if not files:
         return spark.createDataFrame([], schema)
     return document_frequencies(files, numbers, parts, tasks).mapInArrow(sign, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
-    """Of the pairs (u, v) those whose texts are similar enough."""
+def with_texts(rows: DataFrame, files: list[str]) -> DataFrame:
+    """``rows`` (file, row, ...) with text: sent to where the files are read, one task for all rows of a file."""
+    spark = rows.sparkSession
+    tasks = max(1, min(len(files), 4 * partitions(spark)))
+    names = rows.columns
+    file_at, row_at = names.index("file"), names.index("row")
+
+    def read(batches):
+        now, held = None, []
+        for batch in batches:
+            number = batch.column(file_at).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if number[a] != now:
+                    yield from found(now, held)
+                    now, held = number[a], []
+                held.append(batch.slice(a, b - a))
+        yield from found(now, held)
+
+    def found(file, held):
+        if file is None:
+            return
+        wanted = pa.Table.from_batches(held).combine_chunks().to_batches()[0]  # sorted by row; places and df, no texts
+        rows = wanted.column(row_at).to_numpy()
+        for first, part, _ in file_groups(files[file], "text", SLICE, ["text"]):
+            a, b = np.searchsorted(rows, [first, first + part.num_rows])
+            if a < b:
+                texts = part.column(0).take(pa.array(rows[a:b] - first))
+                yield pa.RecordBatch.from_arrays([*wanted.slice(a, b - a).columns, texts], [*names, "text"])
+
+    sent = rows.repartitionById(tasks, F.col("file") % tasks).sortWithinPartitions("file", "row")
+    return sent.mapInArrow(read, rows.withColumn("text", F.lit("")).schema)
+
+
+def verified(pairs: DataFrame, located: DataFrame, files: list[str], n: int, least: float) -> DataFrame:
+    """Of the pairs (u, v) those whose texts are similar enough; ``located``: node, file, row, df."""
+    spark = pairs.sparkSession
+    crowds = written_small(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")), "near-crowds")
+    members = pairs.join(crowds, "v").select(F.col("u").alias("node"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"))
+    heads = crowds.select(F.col("v").alias("node"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    rows = members.unionByName(heads).join(located, "node").select("v", "part", "kind", "node", "df", "file", "row")
+    dealt = with_texts(rows, files).select("v", "part", "kind", "node", "df", "text").repartition(partitions(spark), "v", "part").sortWithinPartitions("v", "part", "kind")
 
     def compare(batches):
-        for batch in (part for x in batches for part in row_slices(x, "a")):
-            a, b, p, q = (batch.column(i).to_pylist() for i in range(2, 6))
-            ends = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)])
-            first = 0
-            while first < len(a):
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + GROUP, "right")))
-                own = slice(first, last)
-                near = similarities(a[own], b[own], Counted(n, a[own] + b[own], p[own] + q[own])) >= least
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(near)) for i in (0, 1)], ["u", "v"])
-                first = last
-
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a"), F.col("df").alias("p")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b"), F.col("df").alias("q")), "v")
-    return written(both.select("u", "v", "a", "b", "p", "q").mapInArrow(compare, "u long, v long").repartition(few(pairs.sparkSession)), "near-links")
+        head = None
+        for batch in (part for x in batches for part in row_slices(x, "text")):
+            v, kind, node, df, text = (batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))
+            left, right, p, q, at = [], [], [], [], []
+            for k in range(len(v)):
+                if kind[k] == 0:
+                    head = text[k], df[k]
+                else:
+                    left.append(text[k])
+                    p.append(df[k])
+                    right.append(head[0])
+                    q.append(head[1])
+                    at.append(k)
+            if at:
+                near = np.flatnonzero(similarities(left, right, Counted(n, left + right, p + q)) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([node[at[k]] for k in near], pa.int64()), pa.array([v[at[k]] for k in near], pa.int64())], ["u", "v"])
+
+    return written(dealt.mapInArrow(compare, "u long, v long").repartition(few(spark)), "near-links")
 
 
 class Blocks:
@@ -404,7 +454,7 @@ def unpacked_sets(data: bytes, n: int) -> list[tuple[np.ndarray, np.ndarray, np.
     return out
 
 
-def in_blocks(own: DataFrame, texts: DataFrame, n_docs: int, least: float) -> DataFrame:
+def in_blocks(own: DataFrame, located: DataFrame, texts: list[str], n_docs: int, least: float) -> DataFrame:
     """Links (a spanning forest of each block pair) within the pieces that hold several components."""
     spark = own.sparkSession
     sizes = own.groupBy("piece", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
@@ -417,7 +467,8 @@ def in_blocks(own: DataFrame, texts: DataFrame, n_docs: int, least: float) -> Da
     block = F.when(main, F.pmod(F.xxhash64("node"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("node"), F.col("b"))).cast("int")
     parts = partitions(spark)
     part = lambda block: F.pmod(F.xxhash64("piece", block), F.lit(parts)).cast("int")
-    rows = own.join(open_, "piece").select("piece", "node", block.alias("block")).join(texts, "node")
+    rows = own.join(open_, "piece").select("piece", "node", block.alias("block")).join(located, "node")
+    rows = with_texts(rows.select("piece", "block", "node", "df", "file", "row"), texts)
     rows = rows.select("piece", "block", "node", "text", "df", part("block").alias("part")).repartitionById(parts, "part").sortWithinPartitions("piece", "block", "node")
 
     def gather(batches):
@@ -467,27 +518,24 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY, bands: int =
     n = held.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
     signed = written(signatures(held, n, bands, rows), "near-signatures")
     fine = signed.filter("doc_id is not null and d1 <> 0")
-    classes = fine.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h")).alias("head"), F.first("bands").alias("bands"))
+    files = files_of(held)
+    classes = fine.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "file", "row")).alias("head"), F.first("bands").alias("bands"))
     classes = written_small(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "head", "bands"), "near-classes")
     members = classes.select(F.explode("bands").alias("piece"), "node").distinct()
     leaders = members.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("first")).filter("n > 1")
     leaders = written_small(leaders.select("piece", F.col("first.node").alias("leader")), "near-leaders")
     pieces = written_small(members.join(leaders, "piece"), "near-pieces")
-    needed = pieces.select("node").distinct().join(classes.select("node", "head.*"), "node")
-    needed = written_small(needed, "near-needed")
-    texts = held.join(needed, ["doc_id", "h"]).groupBy("node").agg(F.first("text").alias("text"))
-    counted = fine.join(needed, ["doc_id", "h"]).groupBy("node").agg(F.first("df").alias("df"))
-    texts = written(texts.join(counted, "node"), "near-texts")
-    discard(spark, held)
+    needed = pieces.select("node").distinct().join(classes.select("node", "head.file", "head.row"), "node")
+    located = written_small(needed.join(fine.select("file", "row", "df"), ["file", "row"]).select("node", "file", "row", "df"), "near-located")
     pairs = pieces.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-    links = verified(pairs, texts, n, least)
+    links = verified(pairs, located, files, n, least)
     named = written_small(_components(links), "near-components")
     own = pieces.join(named, "node", "left")
     own = written_small(own.select("piece", "node", F.coalesce("component", "node").alias("component")), "near-own")
-    more = in_blocks(own, texts, n, least)
+    more = in_blocks(own, located, files, n, least)
     links = named.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     named = written_small(_components(links), "near-components")
-    discard(spark, texts, own, pieces, leaders, needed)
+    discard(spark, held, own, pieces, leaders, located)
     # the first row of each class of several nodes
     grouped = named.union(named.select(F.col("component").alias("node"), "component").distinct())
     grouped = written_small(grouped.join(classes.select("node", "head"), "node"), "near-groups")
