@@ -14,6 +14,16 @@ def saturating_subtract(a: Column, b: Column) -> Column:
     return F.greatest(a - b, F.lit(0).cast("bigint"))
 
 
+def whole_divide(a: Column, b: Column) -> Column:
+    """Quotient of unsigned numbers, without its fraction; null for a zero divisor."""
+    return F.when(b != 0, F.floor(F.try_divide((a - F.try_mod(a, b)).cast("decimal(38,0)"), b))).cast("bigint")
+
+
+def remainder(a: Column, b: Column) -> Column:
+    """a - b * whole_divide(a, b); null for a zero divisor."""
+    return F.try_mod(a, b)
+
+
 def parse_unsigned(text: Column) -> Column:
     """Unsigned 64-bit number of a string; null where it is none."""
     n = F.try_to_number(text, F.lit("9" * 20))

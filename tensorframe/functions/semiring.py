@@ -19,11 +19,16 @@ class Semiring:
     multiply: Callable[[Column, Column], Column]
     add: Callable[[Column, Column], Column]
     total: Callable[[Column], Column]  # aggregate
+    plain: bool = False  # the type's own arithmetic
 
     def lit(self, value) -> Column:
         return F.lit(value).cast(self.type)
 
 
+class MixedSemirings(ValueError):
+    """Operands whose arithmetics differ."""
+
+
 def _saturating(name: str, kind: str, top: int) -> Semiring:
     most = F.lit(top).cast(kind) if top < 2**63 else F.lit(str(top)).cast(kind)
     clamp = lambda c: F.least(F.coalesce(c, most), most).cast(kind)
@@ -32,7 +37,7 @@ def _saturating(name: str, kind: str, top: int) -> Semiring:
 
 
 def plain(name: str, kind: str) -> Semiring:
-    return Semiring(name, kind, lambda a, b: a * b, lambda a, b: a + b, lambda c: F.sum(c).cast(kind))
+    return Semiring(name, kind, lambda a, b: a * b, lambda a, b: a + b, lambda c: F.sum(c).cast(kind), True)
 
 
 def DOUBLE() -> Semiring:
@@ -57,6 +62,18 @@ def BOOL() -> Semiring:
     return Semiring("bool", "bigint", lambda a, b: F.lit(1).cast("bigint"), lambda a, b: F.lit(1).cast("bigint"), lambda c: F.max(F.lit(1)).cast("bigint"))
 
 
+def common(rings: list[Semiring | None], kinds: list[str]) -> Semiring:
+    """The arithmetic of operands (None: their type's own): one that is not plain must be that of all."""
+    special = {r.name: r for r in rings if r is not None and not r.plain}
+    if special and (len(special) > 1 or any(r is None or r.plain for r in rings)):
+        names = [kind if r is None else r.name for r, kind in zip(rings, kinds, strict=True)]
+        raise MixedSemirings(f"operands of different arithmetic: {', '.join(names)}")
+    if special:
+        return next(iter(special.values()))
+    distinct = set(kinds)
+    return of_type(kinds[0]) if len(distinct) == 1 else DOUBLE() if distinct & {"float", "double"} else of_type(max(distinct, key=len))
+
+
 def of_type(kind: str) -> Semiring:
     """Plain arithmetic on a column type; float sums are double."""
     return DOUBLE() if kind in ("float", "double") else LONG() if kind in ("bigint", "int", "smallint", "tinyint") else plain(kind, kind)

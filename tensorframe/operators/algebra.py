@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.semiring import Semiring
+from ..functions.semiring import Semiring, common
 from ..tensor import ShapeError, Tensor
+from . import dense
 from .einsum import compile_spec
 
 
@@ -72,16 +73,28 @@ def matmul(a: Tensor, b: Tensor, semiring: Semiring | None = None) -> Tensor:
     """Matrix product under the tensors' semiring (saturating, if it does)."""
     if a.ndim != 2 or b.ndim != 2 or a.shape[1] != b.shape[0]:
         raise ShapeError(f"cannot multiply {a.shape} by {b.shape}")
-    ring = semiring or a.semiring or a.arithmetic
-    plan = compile_spec("ab,bc->ac", [a.shape, b.shape], [a.estimate, b.estimate])
+    ring = semiring or common([a.semiring, b.semiring], [a.kind, b.kind])
+    plan = compile_spec("ab,bc->ac", [a.shape, b.shape], [a.estimate, b.estimate], a.rows is not None and b.rows is not None)
     return replace(plan.run(a, b, semiring=ring)[0], semiring=semiring or a.semiring)
 
 
+def batched_matmul(a: Tensor, b: Tensor) -> Tensor:
+    """Dense products a (.., m, k) by b (.., k, n), one for every leading index, in blocks."""
+    if a.ndim != b.ndim or a.ndim < 2 or a.shape[:-2] != b.shape[:-2] or a.shape[-1] != b.shape[-2]:
+        raise ShapeError(f"cannot multiply {a.shape} by {b.shape}")
+    lead = "abcdefghijklmnopqrstuvw"[: a.ndim - 2]
+    sizes = dict(zip(lead + "xyz", (*a.shape, b.shape[-1]), strict=True))
+    ring = common([a.semiring, b.semiring], [a.kind, b.kind])
+    if not ring.plain or ring.type not in ("bigint", "double"):
+        raise ShapeError(f"no blocks of {ring.name}")
+    df = dense.contract(a.named(lead + "xy"), frozenset(lead + "xy"), b.named(lead + "yz"), frozenset(lead + "yz"), frozenset(lead + "xz"), sizes, ring)
+    return Tensor(df.select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(lead + "xz")), "v"), (*a.shape[:-1], b.shape[-1]))
+
+
 def symbolic_nnz(a: Tensor, b: Tensor) -> DataFrame:
-    """Per row of a*b the number of cells that its pattern has: i0, nnz."""
-    x = a.df.select("i0", F.col("i1").alias("k"))
-    y = b.df.select(F.col("i0").alias("k"), "i1")
-    return x.join(y, "k").select("i0", "i1").distinct().groupBy("i0").agg(F.count(F.lit(1)).alias("nnz"))
+    """Per row of a*b the number of cells that its pattern has: i0, nnz. A product of ones, in which nothing cancels."""
+    x, y = (replace(t, df=t.df.withColumn("v", F.lit(1).cast("bigint")), semiring=None) for t in (a, b))
+    return matmul(x, y).df.groupBy("i0").agg(F.count(F.lit(1)).alias("nnz"))
 
 
 def scaled(a: Tensor, factor: int) -> Tensor:

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..sources.storage import partitions, written
 from ..tensor import ShapeError, Tensor
+from . import dense
 
 
 @dataclass(frozen=True)
@@ -70,10 +72,29 @@ def to_blocks(t: Tensor, n: int = 8) -> Blocked:
     r, c = F.col(f"i{k}"), F.col(f"i{k + 1}")
     at = (r % n * n + c % n).cast("int")
     cells = t.df.select(*(F.col(f"i{j}").alias(f"o{j}") for j in range(k)), F.floor(r / n).cast("bigint").alias("br"), F.floor(c / n).cast("bigint").alias("bc"), at.alias("at"), F.col("v").cast("float").alias("v"))
-    held = F.map_from_entries(F.collect_list(F.struct("at", "v")))  # n * n entries at most
-    block = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda p: F.coalesce(F.element_at(F.col("m"), p), F.lit(0.0).cast("float")))
     keys = [*(f"o{j}" for j in range(k)), "br", "bc"]
-    return Blocked(cells.groupBy(*keys).agg(held.alias("m")).select(*keys, block.alias("block")), t.shape, n)
+    held = cells.groupBy(*keys).agg(F.collect_list(F.struct("at", "v")).alias("cells"))  # n * n entries at most
+
+    def fill(batches):
+        for b in batches:
+            cells = b.column(len(keys))
+            ends = cells.offsets.to_numpy()
+            at, v = (cells.flatten().field(j).to_numpy() for j in (0, 1))
+            out = np.zeros((b.num_rows, n * n), np.float32)
+            out[np.repeat(np.arange(b.num_rows), np.diff(ends)), at] = v
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], _tiles(out)], [*keys, "block"])
+
+    return Blocked(held.mapInArrow(fill, _schema(keys)), t.shape, n)
+
+
+def _schema(keys: list[str]) -> str:
+    return ", ".join(f"{k} bigint" for k in keys) + ", block array<float>"
+
+
+def _tiles(cells: np.ndarray) -> pa.ListArray:
+    """A list for each row of a matrix."""
+    rows, width = cells.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * width + 1, width, dtype=np.int32)), pa.array(cells.reshape(-1)))
 
 
 def _pairwise(a: Blocked, b: Blocked, how: str) -> DataFrame:
@@ -106,29 +127,43 @@ def rel_diff(a: Blocked, b: Blocked) -> float:
 def attention(q: Blocked, k: Blocked) -> Blocked:
     """Scores of q (.., rows, d) against k (.., columns, d): products of tile pairs that are both present.
 
-    Tiles meet on the outer indices and the tile of d; Arrow batches of pairs are
-    multiplied at once in numpy, and the tiles of one score tile are summed cell by cell.
+    Tiles are grouped to about SIDE rows. For each pair of such groups with equal outer indices one task multiplies and
+    adds up what meets along d, and emits the score tiles that any pair of tiles contributed to.
     """
     if q.shape[:-2] != k.shape[:-2] or q.shape[-1] != k.shape[-1] or q.n != k.n:
         raise ShapeError(f"cannot score {q.shape} against {k.shape}")
     n, keys = q.n, q.outer
-    left = q.df.select(*keys, F.col("br"), F.col("bc").alias("bd"), "block")
-    right = k.df.select(*keys, F.col("br").alias("kc"), F.col("bc").alias("bd"), F.col("block").alias("other"))
-    pairs = left.join(right, [*keys, "bd"]).select(*keys, "br", F.col("kc").alias("bc"), "block", "other")
-    width = len(keys) + 2
+    wide = max(1, dense.SIDE // n)
+    grouped = lambda t: t.df.select(*keys, F.expr(f"br div {wide}").alias("block"), F.col("bc").alias("k"), (F.col("br") % wide).cast("int").alias("at"), F.col("block").alias("tile"))
+    width = len(keys) + 4  # outer indices, i, j, k, side
+
+    def read(rows) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array([batch.column(width)[row].as_py() for batch, row in rows])
+        tiles = []
+        for batch, row in rows:
+            held = batch.column(width + 1)
+            tiles.append(held.values.to_numpy()[held.offsets[row].as_py() :][: n * n].reshape(n, n))
+        return at, np.concatenate(tiles).astype(np.float64)
 
     def score(batches):
-        for b in batches:
-            x, y = (b.column(width + j).flatten().to_numpy(zero_copy_only=False).reshape(-1, n, n).astype(np.float64) for j in (0, 1))
-            z = np.einsum("pij,pkj->pik", x, y, optimize=True).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(z) + 1, n * n, dtype=np.int32)), pa.array(z))
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], lists], [*b.schema.names[:width], "block"])
+        total, there = np.zeros((wide, wide, n, n)), np.zeros((wide, wide), bool)
+
+        def add(x, y) -> None:
+            at = np.ix_(x[0], y[0])
+            total[at] += (x[1] @ y[1].T).reshape(len(x[0]), n, len(y[0]), n).transpose(0, 2, 1, 3)
+            there[at] = True
 
-    kinds = ", ".join(f"{c} bigint" for c in [*keys, "br", "bc"])
-    products = pairs.mapInArrow(score, f"{kinds}, block array<double>")
-    sums = products.groupBy(*keys, "br", "bc").agg(*(F.sum(F.col("block")[j]).alias(f"x{j}") for j in range(n * n)))
-    out = sums.select(*keys, "br", "bc", F.array(*(F.col(f"x{j}").cast("float") for j in range(n * n))).alias("block"))
-    return Blocked(out, (*q.shape[:-1], k.shape[-2]), n)
+        def done(key):
+            *outer, i, j = key
+            at = np.nonzero(there)
+            columns = [np.full(len(at[0]), o) for o in outer] + [at[0] + i * wide, at[1] + j * wide]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), _tiles(total[at].reshape(-1, n * n).astype(np.float32))], [*keys, "br", "bc", "block"])
+            total[:], there[:] = 0, False
+
+        yield from dense.streamed(batches, len(keys) + 2, read, add, done)
+
+    sent = dense.paired(grouped(q), grouped(k), keys, ["at", "tile"], 4 * partitions(q.df.sparkSession))
+    return Blocked(sent.mapInArrow(score, _schema([*keys, "br", "bc"])), (*q.shape[:-1], k.shape[-2]), n)
 
 
 def transpose(a: Blocked) -> Blocked:
@@ -146,8 +181,6 @@ def matmul(a: Blocked, b: Blocked) -> Blocked:
 
 def power(a: Blocked, k: int) -> Blocked:
     """a^k for k >= 1, step by step."""
-    from ..sources.storage import written
-
     out = a
     for _ in range(k - 1):
         step = matmul(out, a)

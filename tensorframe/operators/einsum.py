@@ -2,8 +2,10 @@
 
 Every operand loses its private indices first, operands are joined pairwise in
 a planned order, and each join is followed by a sum over the indices that
-nobody needs any more. Zeros are dropped. Sums use plain arithmetic unless a
-semiring is given.
+nobody needs any more. A pair whose operands are known to be dense enough is multiplied in blocks instead
+(dense.py). Zeros are dropped. The arithmetic is that of the operands (saturating, if they do; mixed ones are an error)
+unless a semiring is given. An operand that is used more than once should be a written table
+(Tensor.materialised), so that it is computed once and its size is known.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from math import prod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semiring import Semiring
+from ..functions.semiring import Semiring, common
 from ..plans import contraction
 from ..plans.spec import NonEmptyScalarOutput, Spec, bind, check_outputs, parse_spec
 from ..tensor import Tensor
+from . import dense
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,7 @@ class EinsumPlan:
     sizes: dict[str, int]
     shapes: tuple[tuple[int, ...], ...]
     tree: contraction.Leaf | contraction.Pair
+    known: bool = False  # whether the operands' sizes are counts rather than guesses
 
     def explain(self) -> str:
         return f"{','.join(self.spec.inputs)}->{','.join(self.spec.outputs)}\n{contraction.explain(self.tree, self.spec.inputs)}"
@@ -44,6 +48,8 @@ class EinsumPlan:
             if isinstance(node, contraction.Leaf):
                 return frames[node.number], node.letters
             (a, la), (b, lb) = walk(node.left), walk(node.right)
+            if self.known and dense.worthwhile(node, self.sizes, ring):
+                return dense.contract(a, la, b, lb, node.letters, self.sizes, ring), node.letters
             b = b.select(*sorted(lb), F.col("v").alias("w"))
             shared = sorted(la & lb)
             both = a.join(b, shared) if shared else a.crossJoin(b)
@@ -54,7 +60,7 @@ class EinsumPlan:
 
     def run(self, *tensors: Tensor, semiring: Semiring | None = None) -> tuple[Tensor, ...]:
         """One tensor per output."""
-        ring = semiring or _common(tensors)
+        ring = semiring or common([t.semiring for t in tensors], [t.kind for t in tensors])
         df, letters = self._contract(tensors, ring)
         out = []
         for o in self.spec.outputs:
@@ -69,7 +75,7 @@ class EinsumPlan:
 
     def grouping_sets(self, *tensors: Tensor, semiring: Semiring | None = None) -> DataFrame:
         """All outputs in one pass over the contraction: output (its number), the letters in order, v."""
-        ring = semiring or _common(tensors)
+        ring = semiring or common([t.semiring for t in tensors], [t.kind for t in tensors])
         df, letters = self._contract(tensors, ring)
         names = sorted(letters)
         sets = list(dict.fromkeys(tuple(sorted(set(o))) for o in self.spec.outputs))
@@ -109,27 +115,20 @@ def _summed(df: DataFrame, letters: frozenset[str], keep: frozenset[str], ring:
     return df.agg(ring.total(F.col("v")).alias("v")).filter("v <> 0")
 
 
-def _common(tensors: tuple[Tensor, ...]) -> Semiring:
-    from ..functions.semiring import DOUBLE, of_type
-
-    kinds = {t.kind for t in tensors}
-    return of_type(kinds.pop()) if len(kinds) == 1 else DOUBLE() if kinds & {"float", "double"} else of_type(max(kinds, key=len))
-
-
-def compile_spec(spec: str, shapes: list[tuple[int, ...]], rows: list[float] | None = None) -> EinsumPlan:
-    """Parses, checks and orders a spec for tensors of these shapes (and sizes, if known)."""
+def compile_spec(spec: str, shapes: list[tuple[int, ...]], rows: list[float] | None = None, known: bool = True) -> EinsumPlan:
+    """Parses, checks and orders a spec for tensors of these shapes (and numbers of cells, if there are any; ``known``: as counted)."""
     parsed = parse_spec(spec, len(shapes))
     sizes = bind(parsed, shapes)
     wanted = frozenset("".join(parsed.outputs))
     kept = [_kept(parsed, k, wanted) for k in range(len(shapes))]
     counts = rows or [float(prod(s)) for s in shapes]
     counts = [min(n, float(prod(sizes[c] for c in x))) for n, x in zip(counts, kept, strict=True)]
-    return EinsumPlan(parsed, sizes, tuple(shapes), contraction.plan(kept, wanted, sizes, counts))
+    return EinsumPlan(parsed, sizes, tuple(shapes), contraction.plan(kept, wanted, sizes, counts), rows is not None and known)
 
 
 def einsum(spec: str, *tensors: Tensor, semiring: Semiring | None = None, out_shapes: list[tuple[int, ...]] | None = None):
     """The output tensor, or a tuple of them if the spec has several outputs."""
-    plan = compile_spec(spec, [t.shape for t in tensors], [t.estimate for t in tensors])
+    plan = compile_spec(spec, [t.shape for t in tensors], [t.estimate for t in tensors], all(t.rows is not None for t in tensors))
     if out_shapes is not None:
         check_outputs(plan.spec, plan.sizes, out_shapes)
     out = plan.run(*tensors, semiring=semiring)
@@ -165,9 +164,7 @@ def einsum_fn(spec: str) -> Callable[..., Tensor]:
     side = lambda s: ",".join("".join(short[n] for n in part.split()) for part in s.split(","))
     text = f"{side(left)}->{side(right)}"
     n = text.partition("->")[0].count(",") + 1
-    parsed = parse_spec(text, n)
-    if parsed.outputs == ("",) and n == 1 and len(set(parsed.inputs[0])) == 0:
-        raise NonEmptyScalarOutput
+    parse_spec(text, n)
     return lambda *tensors, **options: einsum(text, *tensors, **options)
 
 

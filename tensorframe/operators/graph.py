@@ -1,7 +1,7 @@
 """Graphs as square matrices: powers, closure, components, reordering, statistics.
 
 Iterations keep their state in written tables, so lineage stays short and a
-lost executor costs one step. Patterns, not counts, drive closures.
+lost executor costs one step. Searches append a written table per step and read them as one.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semiring import BOOL
 from ..sources.constructors import identity, ranked
-from ..sources.storage import written, written_small
+from ..sources.storage import stacked, written, written_small
 from ..tensor import Tensor
 from .algebra import _square, add, matmul, same_pattern
 
@@ -65,30 +64,72 @@ def power_until_stable(a: Tensor, max_iter: int = 64) -> tuple[Tensor, int]:
     raise NotConverged(f"the pattern did not settle in {max_iter} squarings")
 
 
-def closure(a: Tensor) -> Tensor:
-    """Pattern of I + A + A^2 + ...: 1 where j can be reached from i. The pattern only grows, so counts show the end."""
-    n = _square(a)
-    one = F.lit(1).cast("bigint").alias("v")
-    start = a.df.select("i0", "i1", one).unionByName(identity(a.df.sparkSession, n).df).distinct()
-    now, count = Tensor(written(start, "closure"), (n, n)), -1
-    while (new := now.df.count()) != count:
-        count = new
-        now = _kept(matmul(now, now, BOOL()), "closure")
-    return replace(now, semiring=None)
-
-
 def _numbered(labels: DataFrame, name: str) -> DataFrame:
     """node, comp: labels (node, least member) as dense numbers in order of the least member."""
     heads = ranked(labels.select("least").distinct(), "least").select("least", F.col("rank").alias(name))
     return labels.join(heads, "least").select("node", name)
 
 
+def _spread(labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """labels (node, label) with each label lowered to the least one that reaches the node along edges (u, v); only changes go on."""
+    front = labels
+    while not front.isEmpty():
+        told = front.select(F.col("node").alias("u"), "label").join(edges, "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("new"))
+        front = written_small(told.join(labels, "node").filter("new < label").select("node", F.col("new").alias("label")), name)
+        if front.isEmpty():
+            break
+        labels = written(labels.join(front.withColumnRenamed("label", "new"), "node", "left").select("node", F.coalesce("new", "label").alias("label")), name)
+    return labels
+
+
+def _reached(starts: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """node: the starts and all that edges (u, v) lead to from them."""
+    found = front = written_small(starts.select("node"), name)
+    parts = [front]
+    while True:
+        step = front.select(F.col("node").alias("u")).join(edges, "u").select(F.col("v").alias("node")).distinct()
+        front = written_small(step.join(found, "node", "left_anti"), name)
+        if front.isEmpty():
+            return found
+        parts.append(front)
+        found = stacked(parts)
+
+
 def strong_components(a: Tensor) -> DataFrame:
-    """node, comp: mutual reachability; numbers in order of the smallest member."""
-    reach = closure(a).df.select("i0", "i1")
-    back = reach.select(F.col("i1").alias("i0"), F.col("i0").alias("i1"))
-    least = reach.join(back, ["i0", "i1"], "left_semi").groupBy("i0").agg(F.min("i1").alias("least"))
-    return _numbered(written(least.select(F.col("i0").alias("node"), "least"), "strong"), "comp")
+    """node, comp: mutual reachability; numbers in order of the smallest member.
+
+    Colouring: every node takes the least node that reaches it; the nodes of a colour that reach its
+    first node back are that node's component, of which it is the least. They go, edges between colours
+    too, and the rest is coloured anew; nodes without an edge in or out are components by themselves. State
+    grows with nodes and edges, never with pairs that reach each other.
+    """
+    n = _square(a)
+    spark = a.df.sparkSession
+    edges = written(a.df.filter("i0 <> i1").select(F.col("i0").alias("u"), F.col("i1").alias("v")).distinct(), "strong-edges")
+    known = []
+    while True:
+        # only nodes with edges in and out can lie on a cycle
+        size, more = -1, edges.count()
+        while more and more != size:
+            size = more
+            edges = written(edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"), "strong-edges")
+            more = edges.count()
+        if not more:
+            break
+        nodes = edges.select(F.col("u").alias("node")).distinct()
+        colour = _spread(written(nodes.select("node", F.col("node").alias("label")), "colour"), edges, "colour")
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("label").alias(f"c{end}"))
+        same = written(edges.join(of("u"), "u").join(of("v"), "v").filter("cu = cv").select("u", "v"), "strong-edges")
+        back = _reached(colour.filter("node = label"), same.select(F.col("v").alias("u"), F.col("u").alias("v")), "strong-back")
+        part = written(back.join(colour, "node").select("node", F.col("label").alias("least")), "strong")
+        known.append(part)
+        gone = part.select("node")
+        edges = written(same.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"), "strong-edges")
+    every = spark.range(n).select(F.col("id").alias("node"))
+    if not known:
+        return every.select("node", F.col("node").alias("comp"))
+    labels = every.join(stacked(known), "node", "left").select("node", F.coalesce("least", "node").alias("least"))
+    return _numbered(written(labels, "strong"), "comp")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -172,6 +213,19 @@ def degree_stats(a: Tensor) -> DataFrame:
     )
 
 
+def neighbours_by_degree(a: Tensor) -> DataFrame:
+    """node, neighbour, place: the neighbours of every node, those of least degree (then least number) first."""
+    own = degrees(a).select(F.col("node").alias("i1"), "degree")
+    return ranked_within(a.df.select("i0", "i1").join(own, "i1"), "i0", "degree", "i1").select(F.col("i0").alias("node"), F.col("i1").alias("neighbour"), "place")
+
+
+def ranked_within(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """``df`` with place: the row's place (from 0) among those of its key; by a range sort, so that one key can fill many partitions."""
+    every = ranked(df, key, *order)
+    heads = every.groupBy(key).agg(F.min("rank").alias("_head"))
+    return every.join(heads, key).withColumn("place", (F.col("rank") - F.col("_head")).cast("bigint")).drop("rank", "_head")
+
+
 def permute(a: Tensor, perm: DataFrame) -> Tensor:
     """Rows and columns renumbered by perm (new_id, old_id)."""
     _square(a)
@@ -186,15 +240,20 @@ def unpermute(a: Tensor, perm: DataFrame | None) -> Tensor:
 
 
 def _levels(neighbours: DataFrame, starts: DataFrame) -> DataFrame:
-    """node, root, level: breadth-first distance from the start of each component (starts: node)."""
-    seen = written(starts.select("node", F.col("node").alias("root"), F.lit(0).alias("level")), "levels")
-    front, level = seen, 0
+    """node, root, level: distance from the start of each component (starts: node, root) in a graph with edges both ways.
+
+    A level's neighbours lie on the level before, itself or the next, so a step meets two levels and
+    appends one; nothing is written twice.
+    """
+    front = written_small(starts.select("node", "root", F.lit(0).alias("level")), "level")
+    parts = [front]
     while not front.isEmpty():
-        level += 1
         step = front.select(F.col("node").alias("i0"), "root").join(neighbours, "i0").select(F.col("i1").alias("node"), "root").distinct()
-        front = written(step.join(seen, "node", "left_anti").withColumn("level", F.lit(level)), "front")
-        seen = written(seen.unionByName(front), "levels")
-    return seen
+        for old in parts[-2:]:
+            step = step.join(old, ["node", "root"], "left_anti")
+        front = written_small(step.withColumn("level", F.lit(len(parts))), "level")
+        parts.append(front)
+    return stacked(parts)
 
 
 def rcm(a: Tensor) -> DataFrame:
@@ -202,7 +261,8 @@ def rcm(a: Tensor) -> DataFrame:
 
     All components are ordered at once, level by level: a node follows the
     first of its parents, then degree, then id. Each component starts at the node of least degree
-    on the last level seen from its node of least degree.
+    on the last level seen from its node of least degree. A level is ranked by a range sort and
+    appended; a parent's place counts within its level.
     """
     n = _square(a)
     spark = a.df.sparkSession
@@ -211,51 +271,56 @@ def rcm(a: Tensor) -> DataFrame:
     deg = spark.range(n).select(F.col("id").alias("node")).join(both.groupBy(F.col("i0").alias("node")).count(), "node", "left")
     deg = written(deg.select("node", F.coalesce("count", F.lit(0)).alias("degree")), "degrees")
     comp = written(weak_components(Tensor(both.select("i0", "i1", F.lit(1).cast("bigint").alias("v")), (n, n))), "components")
-    known = deg.join(comp, "node")
-    first = known.groupBy("comp").agg(F.min(F.struct("degree", "node")).alias("x")).select(F.col("x.node").alias("node"))
+    known = written(deg.join(comp, "node"), "known")
+    first = known.groupBy("comp").agg(F.min(F.struct("degree", "node")).alias("x")).select(F.col("x.node").alias("node"), F.col("comp").alias("root"))
     far = _levels(both, first).join(known, "node")
-    start = far.groupBy("comp").agg(F.min(F.struct(-F.col("level"), "degree", "node")).alias("x")).select("comp", F.col("x.node").alias("node"))
-    levels = written(_levels(both, start.select("node")).join(known, "node").select("node", "comp", "level", "degree"), "tree")
-    depth = levels.agg(F.max("level").alias("d")).first().d
-    order = written(levels.filter("level = 0").select("node", "comp", F.lit(0).cast("bigint").alias("place")), "order")
-    front = order
-    within = Window.partitionBy("comp").orderBy("parent", "degree", "node")
-    for level in range(1, (depth or 0) + 1):
-        parents = front.select(F.col("node").alias("i0"), F.col("place").alias("p")).join(both, "i0").groupBy(F.col("i1").alias("node")).agg(F.min("p").alias("parent"))
-        counts = order.groupBy("comp").count()
-        new = levels.filter(F.col("level") == level).join(parents, "node").join(counts, "comp")
-        front = written(new.select("node", "comp", (F.col("count") + F.row_number().over(within) - 1).alias("place")), "front")
-        order = written(order.unionByName(front), "order")
-    placed = ranked(order, "comp", "place")
+    start = far.groupBy("comp").agg(F.min(F.struct(-F.col("level"), "degree", "node")).alias("x")).select(F.col("x.node").alias("node"), "comp")
+    front = written_small(start.select("node", "comp", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("place")), "order")
+    parts = [front]
+    while not front.isEmpty():
+        new = front.select(F.col("node").alias("i0"), F.col("place").alias("p")).join(both, "i0").groupBy(F.col("i1").alias("node")).agg(F.min("p").alias("parent"))
+        for old in parts[-2:]:
+            new = new.join(old, "node", "left_anti")
+        placed = ranked(new.join(known, "node"), "comp", "parent", "degree", "node")
+        front = written_small(placed.select("node", "comp", F.lit(len(parts)).alias("level"), F.col("rank").cast("bigint").alias("place")), "order")
+        parts.append(front)
+    placed = ranked(stacked(parts), "comp", "level", "place")
     return placed.select((F.lit(n - 1) - F.col("rank")).cast("bigint").alias("new_id"), F.col("node").alias("old_id"))
 
 
+#: Nodes from which distances are searched at once.
+SOURCES = 256
+
+
 def diameter(a: Tensor) -> int:
     """Greatest distance between connected nodes of the undirected graph; 0 without edges.
 
-    Patterns of distance <= d are squared until nothing is added; then the last
-    step is refined one distance at a time.
+    Two nodes on levels of at most d / 2 from a root are at most d apart. So, after a distance d has been found by
+    searching from a node farthest from each component's root, only nodes on deeper levels are searched from, the deepest
+    first, SOURCES at a time, until d rules out the rest.
     """
     n = _square(a)
-    one = F.lit(1).cast("bigint").alias("v")
-    both = a.df.select("i0", "i1", one).unionByName(a.df.select(F.col("i1").alias("i0"), F.col("i0").alias("i1"), one))
-    unit = _kept(Tensor(both.unionByName(identity(a.df.sparkSession, n).df).distinct(), (n, n)), "reach")
-    if unit.nnz() == n:
+    spark = a.df.sparkSession
+    both = a.df.select("i0", "i1").unionByName(a.df.select(F.col("i1").alias("i0"), F.col("i0").alias("i1"))).filter("i0 <> i1").distinct()
+    both = written(both, "neighbours")
+    if both.isEmpty():
         return 0
-    now, reach = unit, 1
-    while True:
-        new = _kept(matmul(now, now, BOOL()), "reach")
-        if new.nnz() == now.nnz():
+    comp = written(weak_components(Tensor(both.select("i0", "i1", F.lit(1).cast("bigint").alias("v")), (n, n))), "components")
+    degree = both.groupBy(F.col("i0").alias("node")).count()
+    deepest = lambda levels: levels.agg(F.max("level").alias("d")).first().d
+    hub = degree.join(comp, "node").groupBy("comp").agg(F.min(F.struct(-F.col("count"), "node")).alias("x")).select(F.col("x.node").alias("node"), F.col("comp").alias("root"))
+    levels = _levels(both, hub)
+    end = levels.groupBy("root").agg(F.min(F.struct(-F.col("level"), "node")).alias("x")).select(F.col("x.node").alias("node"), "root")
+    found = max(deepest(levels), deepest(_levels(both, end)))
+    deep = written(ranked(levels.filter(F.col("level") * 2 > found).withColumn("up", -F.col("level")).select("node", "level", "up"), "up", "node"), "deep")
+    todo, done = deep.count(), 0
+    while done < todo:
+        some = deep.filter((F.col("rank") >= done) & (F.col("rank") < done + SOURCES))
+        if 2 * deepest(some) <= found:
             break
-        before, now, reach = now, new, reach * 2
-    if reach == 1:
-        return 1
-    d, now = reach // 2, before
-    while True:
-        new = _kept(matmul(now, unit, BOOL()), "reach")
-        if new.nnz() == now.nnz():
-            return d
-        now, d = new, d + 1
+        found = max(found, deepest(_levels(both, some.select("node", F.col("node").alias("root")))))
+        done += SOURCES
+    return found
 
 
 def structure(a: Tensor, reorder: bool = True) -> dict:

@@ -45,3 +45,8 @@ def index_overhead(n: Column, fanout: int = 16, levels: int = 12) -> Column:
 
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.ceil(n / fanout).cast("bigint").alias("nodes"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, level)["total"]
+
+
+def overhead_percent(n: Column, fanout: int = 16, levels: int = 12) -> Column:
+    """Internal entries per hundred data entries."""
+    return F.when(n > 0, 100.0 * index_overhead(n, fanout, levels) / n)

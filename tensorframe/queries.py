@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .functions.semiring import SAT_U32, SAT_U64
 from .operators import algebra, blocked, graph, report
-from .operators.einsum import compile_spec, einsum, einsum_fn, multiply_count
+from .operators.einsum import accumulate, compile_spec, einsum, einsum_binary, einsum_fn, einsum_scalar, einsum_unary, multiply_count
 from .sources import constructors as make
+from .sources import files, index
 from .sources.files import builder
-from .tensor import Tensor, from_rows
+from .sources.storage import new_path
+from .tensor import Tensor, from_numpy
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -164,19 +166,20 @@ def s8_from_adjacency(spark, d):
 
 @query("SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem")
 def s9_load_edges(spark, d):
-    import uuid
-
-    from .sources import files
-    from .sources.storage import shared_dir
-
-    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    path = new_path(spark, "edges")
     files.save_edges(_read(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")), path)
     return files.load_edges(spark, path)[1]
 
 
-@query()
+@query("SELECT count(*) AS edges, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS outside, true AS spread FROM lineitem")
 def s10_random_graph(spark, d):
-    return make.random_graph(spark, 1000, 5000, 3).df
+    """As many edges as line items between as many nodes as parts: all drawn, none a loop, the ends spread over all quarters of the nodes alike."""
+    n = _size(_read(spark, d, "part"), "p_partkey")
+    a = make.random_graph(spark, n, _read(spark, d, "lineitem").count(), 3).df
+    quarter = F.floor(F.col("i0") * 4 / n) * 4 + F.floor(F.col("i1") * 4 / n)
+    held = a.groupBy(quarter.alias("q")).agg(F.sum("v").alias("n"), F.sum(F.when(F.col("i0") == F.col("i1"), F.col("v")).otherwise(0)).alias("loops"), F.count_if(~F.col("i0").between(0, n - 1) | ~F.col("i1").between(0, n - 1)).alias("outside"))
+    even = (F.count(F.lit(1)) == 16) & (F.min("n") * 16 > 0.8 * F.sum("n")) & (F.max("n") * 16 < 1.2 * F.sum("n"))
+    return held.agg(F.sum("n").alias("edges"), F.sum("loops").alias("loops"), F.sum("outside").alias("outside"), even.alias("spread"))
 
 
 LATTICE = """WITH c AS (SELECT i AS n, i // 20 AS x, (i // 4) % 5 AS y, i % 4 AS z FROM range(0, 120) t(i)), o AS (SELECT i - 1 AS s FROM range(0, 3) t(i)),
@@ -205,16 +208,84 @@ def s13_fill(spark, d):
     return make.filled(values, (6, 4, 5)).df
 
 
-@query("SELECT CAST(500 AS BIGINT) AS cells, CAST(500 AS BIGINT) AS places")
-def s16_with_density(spark, d):
-    t = make.with_density(spark, (10, 20, 25), 0.1, 5)
-    return t.linear().agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("place").alias("places"))
+SIZES = "size AS (SELECT max(s_suppkey) + 1 AS r FROM supplier), parts AS (SELECT max(p_partkey) + 1 AS c FROM part)"
 
 
-@query("SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS inside")
+@query(f"""{WITH}, {SIZES}, n AS (SELECT CAST(floor(0.5 * (r * c)) AS BIGINT) AS n FROM size, parts)
+SELECT n AS cells, n AS places, CAST(0 AS BIGINT) AS outside, true AS every_row, true AS every_eighth FROM n""")
+def s16_with_density(spark, d):
+    """Half of the supplier x part cells: distinct, inside, in every row, spread over the columns, values over the unit interval."""
+    shape = sp(spark, d).shape
+    t = make.with_density(spark, shape, 0.5, 5)
+    eighth = F.floor(F.col("i1") * 8 / shape[1])
+    even = lambda c: (F.count_if(c) * 8 > 0.6 * F.count(F.lit(1))) & (F.count_if(c) * 8 < 1.4 * F.count(F.lit(1)))
+    spread = F.lit(True)
+    for k in range(8):
+        spread = spread & even(eighth == k) & even(F.floor(F.col("v") * 8) == k)
+    return t.df.agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.countDistinct("i0", "i1").alias("places"),
+        F.count_if(~F.col("i0").between(0, shape[0] - 1) | ~F.col("i1").between(0, shape[1] - 1)).alias("outside"),
+        (F.countDistinct("i0") == shape[0]).alias("every_row"),
+        spread.alias("every_eighth"),
+    )
+
+
+@query("SELECT count(*) AS n, count(*) AS inside, CAST(15 AS BIGINT) AS cells, true AS even FROM lineitem")
 def s17_random_index(spark, d):
-    t = make.random_index(spark, (3, 5), 1000, 1)
-    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("i0").between(0, 2)) & F.col("i1").between(0, 4)).alias("inside"))
+    """As many index tuples as line items: all inside, every cell drawn, none much more often than another."""
+    t = make.random_index(spark, (3, 5), _read(spark, d, "lineitem").count(), 1)
+    held = t.groupBy("i0", "i1").agg(F.count(F.lit(1)).alias("n"))
+    even = (F.min("n") * 15 > 0.8 * F.sum("n")) & (F.max("n") * 15 < 1.2 * F.sum("n"))
+    return held.agg(F.sum("n").alias("n"), F.sum(F.when((F.col("i0").between(0, 2)) & F.col("i1").between(0, 4), F.col("n"))).alias("inside"), F.count(F.lit(1)).alias("cells"), even.alias("even"))
+
+
+INDEXED = """lists AS (SELECT i0 AS list, count(*) AS len, list_sort(list(i1)) AS data FROM sp GROUP BY 1), one AS (SELECT *, (len + 15) // 16 AS l0 FROM lists),
+two AS (SELECT *, (l0 + 15) // 16 AS l1 FROM one), three AS (SELECT *, (l1 + 15) // 16 AS l2 FROM two), four AS (SELECT *, (l2 + 15) // 16 AS l3 FROM three)"""
+
+
+@query("SELECT i0 AS list, i1 AS x, row_number() OVER (PARTITION BY i0 ORDER BY i1) - 1 AS place, row_number() OVER (ORDER BY i0, i1) - 1 AS overall FROM sp")
+def s7_packed_index(spark, d):
+    """The part lists of all suppliers as static search indexes: every value's place in its list and in all data."""
+    found = index.of_rows(sp(spark, d)).select("list", "data_start", F.posexplode("data").alias("at", "x"))
+    return found.select("list", "x", F.col("at").cast("bigint").alias("place"), (F.col("data_start") + F.col("at")).alias("overall"))
+
+
+@query("SELECT list, x, row_number() OVER (PARTITION BY list ORDER BY x) - 1 AS place FROM (SELECT DISTINCT user_id AS list, event_id % 1000 AS x FROM events)")
+def s20_static_index(spark, d):
+    """Lists of values that repeat and come in any order."""
+    found = index.build(_read(spark, d, "events").select(F.col("user_id").alias("list"), (F.col("event_id") % 1000).alias("x")))
+    return found.select("list", F.posexplode("data").alias("at", "x")).select("list", "x", F.col("at").cast("bigint").alias("place"))
+
+
+@query(f"""{WITH}, {SIZES} SELECT r * c AS cells, 4 * r * c AS bytes FROM size, parts""")
+def s14_dense_size(spark, d):
+    shape = sp(spark, d).shape
+    return spark.range(1).select(F.lit(shape[0] * shape[1]).cast("bigint").alias("cells"), F.lit(blocked.dense_memory(shape)).cast("bigint").alias("bytes"))
+
+
+@query(f"""{WITH}, {SIZES} SELECT CAST((r + 7) // 8 AS BIGINT) AS tile_rows, CAST((c + 7) // 8 AS BIGINT) AS tile_columns, CAST(0 AS BIGINT) AS tiles FROM size, parts""")
+def s15_empty_tiles(spark, d):
+    t = blocked.empty(spark, sp(spark, d).shape, 8)
+    return t.df.agg(F.count(F.lit(1)).alias("tiles")).select(F.lit(t.grid[0]).cast("bigint").alias("tile_rows"), F.lit(t.grid[1]).cast("bigint").alias("tile_columns"), "tiles")
+
+
+@query("SELECT * FROM ue WHERE v < 0")
+def s18_empty_of_rank_four(spark, d):
+    return make.empty(spark, (2, 3, 4, 5)).df.select("i0", "i1", "v")
+
+
+@query("SELECT i0, i1, v FROM nn")
+def s19_compressed_rows(spark, d):
+    """The tensor of its own compressed rows, row by row."""
+    a = nn(spark, d)
+    return make.from_parts(a.to_csr(), a.shape).df
+
+
+@query("SELECT i0, i1, v FROM nn")
+def s21_ndarray(spark, d):
+    """Through a dense array on the driver and back (25 x 25)."""
+    return from_numpy(spark, nn(spark, d).to_numpy().astype(int)).df
 
 
 # ---- sinks
@@ -244,9 +315,44 @@ def k4_plan(spark, d):
     return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line bigint, text string")
 
 
+@query("SELECT i0, i1, v FROM ue")
+def k5_csv_writer(spark, d):
+    """Written as CSV and read back."""
+    path = new_path(spark, "csv")
+    a = ue(spark, d).df.select("i0", "i1", "v")
+    files.save_csv(a, path)
+    return spark.read.option("header", "true").schema(a.schema).csv(path)
+
+
 # ---- access
 
 
+@query("SELECT CAST(2 AS BIGINT) AS ndim, r AS n_rows, c AS n_cols FROM (SELECT max(s_suppkey) + 1 AS r FROM supplier), (SELECT max(p_partkey) + 1 AS c FROM part)")
+def p6_shape(spark, d):
+    a = sp(spark, d)
+    return spark.createDataFrame([(a.ndim, *a.shape)], "ndim bigint, n_rows bigint, n_cols bigint")
+
+
+@query(f"""{WITH}, {INDEXED} SELECT list, len, 16 * (CASE WHEN l0 > 1 THEN l1 ELSE 0 END + CASE WHEN l1 > 1 THEN l2 ELSE 0 END + CASE WHEN l2 > 1 THEN l3 ELSE 0 END) AS internal_len,
+CAST(coalesce(sum(len) OVER (ORDER BY list ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS data_start, false AS is_empty FROM four""")
+def p10_index_accessors(spark, d):
+    return index.accessors(index.of_rows(sp(spark, d)))
+
+
+@query(f"""{WITH}, asked AS (SELECT DISTINCT i0 AS list, unnest([7, 100, 1000, 1500, 99999]) AS q FROM sp)
+SELECT list, CAST(q AS BIGINT) AS q, bool_or(i1 = q) AS found, count(*) FILTER (i1 < q) AS place FROM asked JOIN sp ON i0 = list GROUP BY 1, 2""")
+def p9_index_search(spark, d):
+    """Searches down the levels of each supplier's index."""
+    a = sp(spark, d)
+    asked = a.df.select(F.col("i0").alias("list")).distinct().select("list", F.explode(F.array(*(F.lit(x).cast("bigint") for x in (7, 100, 1000, 1500, 99999)))).alias("q"))
+    return index.find(index.of_rows(a), asked)
+
+
+@query("SELECT i0, i1, v FROM ue")
+def p13_entries(spark, d):
+    return ue(spark, d).df.select("i0", "i1", "v")
+
+
 @query("SELECT a.i AS i0, a.i * 3 AS i1, coalesce(v, 0) AS v FROM range(0, 50) a(i) LEFT JOIN sp ON a.i = i0 AND a.i * 3 = i1")
 def p1_get_many(spark, d):
     return sp(spark, d).get_many(spark.range(50).select(F.col("id").alias("i0"), (F.col("id") * 3).alias("i1")))
@@ -369,8 +475,8 @@ def j8_row_sum(spark, d):
 @query("""SELECT a.i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM (SELECT x.i0, y.i0 AS i1, sum(x.v * y.v) AS v FROM sp x JOIN sp y USING (i1) GROUP BY 1, 2) a
 JOIN (SELECT i0, i1 % 50 AS i1, sum(v) AS v FROM sp GROUP BY 1, 2) b ON a.i1 = b.i0 GROUP BY 1, 2""")
 def j9_chain(spark, d):
-    a = sp(spark, d)
-    small = make.from_coo(a.df.select("i0", (F.col("i1") % 50).alias("i1"), "v"), (a.shape[0], 50))
+    a = sp(spark, d).materialised("sp")
+    small = make.from_coo(a.df.select("i0", (F.col("i1") % 50).alias("i1"), "v"), (a.shape[0], 50)).materialised("small")
     return einsum("ab,cb,cd->ad", a, a, small).df
 
 
@@ -413,7 +519,7 @@ def j13_attention(spark, d):
 
 @query("SELECT a.i0, b.i0 AS i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN sp b USING (i1) GROUP BY 1, 2")
 def j14_supplier_cosupply(spark, d):
-    a = sp(spark, d)
+    a = sp(spark, d).materialised("sp")
     return einsum("ab,cb->ac", a, a).df
 
 
@@ -461,6 +567,151 @@ def e15_named_function(spark, d):
     return product(nn(spark, d), nn(spark, d)).df
 
 
+SQUARE = "SELECT a.i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2"
+ALIKE = "SELECT a.i1 AS i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM ue a JOIN ue b ON a.i0 = b.i0 GROUP BY 1, 2"
+
+
+@query("SELECT a.i0, b.i1, CAST(least(sum(least(CAST(a.v AS HUGEINT) * 100003 * b.v * 100003, 4294967295)), 4294967295) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2")
+def j1_matmul_saturating(spark, d):
+    """The arithmetic comes from the operands."""
+    a = nn(spark, d)
+    x = make.from_coo(algebra.scaled(a, 100_003).df, a.shape, SAT_U32())
+    return einsum("ab,bc->ac", x, x).df
+
+
+@query("""SELECT a.i0, b.i1, CAST(CAST(least(sum(least(CAST(a.v AS HUGEINT) * 300000007 * b.v * 300000007, 18446744073709551615)), 18446744073709551615) AS HUGEINT) AS VARCHAR) AS v
+FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2""")
+def j1_matmul_saturating_u64(spark, d):
+    a = nn(spark, d)
+    x = make.from_coo(a.df.withColumn("v", (F.col("v") * 300_000_007).cast("decimal(20,0)")), a.shape, SAT_U64())
+    return einsum("ab,bc->ac", x, x).df.withColumn("v", F.col("v").cast("string"))
+
+
+@query(SQUARE)
+def e1_einsum(spark, d):
+    a = nn(spark, d)
+    return einsum("ab,bc->ac", a, a).df
+
+
+@query(SQUARE)
+def e2_checked_outputs(spark, d):
+    """With the shape of the output given and checked."""
+    a = nn(spark, d)
+    return einsum("ab,bc->ac", a, a, out_shapes=[(25, 25)]).df
+
+
+@query(ALIKE)
+def e3_homogeneous(spark, d):
+    u = ue(spark, d)
+    return einsum("ab,ac->bc", u, u).df
+
+
+@query("SELECT i0, i1, CAST(2 * v AS BIGINT) AS v FROM (SELECT a.i0, b.i1, sum(a.v * b.v) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2)")
+def e4_compiled(spark, d):
+    """One plan, run twice; the second result is added to the first."""
+    a = nn(spark, d)
+    plan = compile_spec("ab,bc->ac", [a.shape, a.shape])
+    return accumulate(plan.run(a, a)[0], plan.run(a, a)[0]).df
+
+
+@query("""SELECT x.i0, y.i1, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM (SELECT a.i0, b.i1, sum(a.v * b.v) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2) x
+JOIN (SELECT a.i0, b.i1, sum(a.v * b.v) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2) y ON x.i1 = y.i0 GROUP BY 1, 2""")
+def e5_four_operands(spark, d):
+    a = nn(spark, d).materialised("nn")
+    return einsum("ab,bc,cd,de->ae", a, a, a, a).df
+
+
+@query(ALIKE)
+def e6_binary(spark, d):
+    u = ue(spark, d)
+    return einsum_binary("ab,ac->bc", u, u).df
+
+
+@query("SELECT i1 AS i0, CAST(sum(v) AS BIGINT) AS v FROM sp GROUP BY 1")
+def e7_unary(spark, d):
+    return einsum_unary("ab->b", sp(spark, d)).df
+
+
+@query("SELECT CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0")
+def e8_binary_scalar(spark, d):
+    a = nn(spark, d)
+    return spark.createDataFrame([(einsum_scalar("ab,ba->", a, a),)], "v bigint")
+
+
+@query("SELECT CAST(sum(v) AS BIGINT) AS v FROM sp")
+def e9_unary_scalar(spark, d):
+    return spark.createDataFrame([(einsum_scalar("ab->", sp(spark, d)),)], "v bigint")
+
+
+@query("SELECT a.i0, CAST(b.n AS BIGINT) AS i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM ue a JOIN (SELECT i0 AS k, i1 % 3 AS n, sum(v) AS v FROM nn GROUP BY 1, 2) b ON a.i1 = b.k GROUP BY 1, 2")
+def e10_sparse_driven(spark, d):
+    """Rows of one matrix drive the rows of the other that they touch."""
+    u, a = ue(spark, d), nn(spark, d)
+    b = make.from_coo(a.df.filter(F.col("i0") < u.shape[1]).select("i0", (F.col("i1") % 3).alias("i1"), "v"), (u.shape[1], 3))
+    return einsum("ab,bc->ac", u, b).df
+
+
+@query(SQUARE)
+def e11_sparse_hash(spark, d):
+    """A result cell per hash key: the sum is a hash aggregate."""
+    a = nn(spark, d)
+    return algebra.matmul(a, a).df
+
+
+@query("SELECT i0 AS i0, CAST(sum(v) AS BIGINT) AS v FROM nn WHERE i0 = i1 GROUP BY 1")
+def e12_program(spark, d):
+    """A plan with a repeated index, compiled for a shape and run."""
+    a = nn(spark, d)
+    return compile_spec("aa->a", [a.shape]).run(a)[0].df
+
+
+@query("SELECT i1 AS i0, i0 AS i1, v FROM ue")
+def e13_one_shot(spark, d):
+    u = ue(spark, d)
+    return compile_spec("ab->ba", [u.shape]).run(u)[0].df
+
+
+@query("SELECT a.i0, b.i0 AS i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i1 GROUP BY 1, 2")
+def e14_both_sparse(spark, d):
+    """A product over the second index of both."""
+    a = nn(spark, d)
+    return einsum("ab,cb->ac", a, a).df
+
+
+SWEEP = {
+    "ab->": "SELECT NULL AS x, NULL AS y, sum(v) AS v FROM nn",
+    "ab->a": "SELECT i0, NULL, sum(v) FROM nn GROUP BY 1",
+    "ab->b": "SELECT i1, NULL, sum(v) FROM nn GROUP BY 1",
+    "ab->ba": "SELECT i1, i0, v FROM nn",
+    "aa->a": "SELECT i0, NULL, v FROM nn WHERE i0 = i1",
+    "aa->": "SELECT NULL, NULL, sum(v) FROM nn WHERE i0 = i1",
+    "ab,ab->ab": "SELECT i0, i1, v * v FROM nn",
+    "ab,ba->ab": "SELECT a.i0, a.i1, a.v * b.v FROM nn a JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0",
+    "ab,ba->": "SELECT NULL, NULL, sum(a.v * b.v) FROM nn a JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0",
+    "ab,bc->ac": "SELECT a.i0, b.i1, sum(a.v * b.v) FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2",
+    "ab,bc->ca": "SELECT b.i1, a.i0, sum(a.v * b.v) FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2",
+    "ab,cb->ac": "SELECT a.i0, b.i0, sum(a.v * b.v) FROM nn a JOIN nn b ON a.i1 = b.i1 GROUP BY 1, 2",
+    "ab,ac->bc": "SELECT a.i1, b.i1, sum(a.v * b.v) FROM nn a JOIN nn b ON a.i0 = b.i0 GROUP BY 1, 2",
+    "ab,bc->b": "SELECT a.i1, NULL, sum(a.v * b.v) FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1",
+    "ab,cd->": "SELECT NULL, NULL, (SELECT sum(v) FROM nn) * (SELECT sum(v) FROM nn)",
+    "aa,ab->b": "SELECT b.i1, NULL, sum(a.v * b.v) FROM nn a JOIN nn b ON a.i0 = a.i1 AND a.i0 = b.i0 GROUP BY 1",
+    "ab,bb->a": "SELECT a.i0, NULL, sum(a.v * b.v) FROM nn a JOIN nn b ON a.i1 = b.i0 AND b.i0 = b.i1 GROUP BY 1",
+}
+
+
+@query(f"{WITH} SELECT spec, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(v AS BIGINT) AS v FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS spec, * FROM ({q}) AS t(x, y, v)" for k, q in SWEEP.items()) + ")")
+def j20_spec_sweep(spark, d):
+    """Specs of one and two operands, the same matrix in every place."""
+    a = nn(spark, d).materialised("nn")
+    out = None
+    for spec in SWEEP:
+        t = einsum(spec, *[a] * (spec.count(",") + 1))
+        cells = [F.col(f"i{k}") if k < t.ndim else F.lit(None).cast("bigint") for k in range(2)]
+        rows = t.df.select(F.lit(spec).alias("spec"), cells[0].alias("x"), cells[1].alias("y"), F.col("v").cast("bigint").alias("v"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---- element-wise
 
 
@@ -500,6 +751,13 @@ def _tiles(spark, d):
     return blocked.to_blocks(a, 8), blocked.to_blocks(a.transpose(), 8)
 
 
+@query("SELECT a.i AS i0, b.i AS i1, CAST(coalesce(x.v, 0) + coalesce(y.v, 0) AS BIGINT) AS v FROM range(0, 25) a(i) CROSS JOIN range(0, 25) b(i) LEFT JOIN nn x ON x.i0 = a.i AND x.i1 = b.i LEFT JOIN nn y ON y.i0 = b.i AND y.i1 = a.i")
+def b5_dense_add(spark, d):
+    """Every cell of the sum, zeros too."""
+    a = nn(spark, d)
+    return algebra.add(a, a.transpose()).densify()
+
+
 @query("SELECT max(abs(v - w) / greatest(abs(v), abs(w), 1e-8)) AS rel_diff FROM (SELECT coalesce(CAST(a.v AS DOUBLE), 0) AS v, coalesce(CAST(b.v AS DOUBLE), 0) AS w FROM nn a FULL JOIN nn b ON a.i0 = b.i1 AND a.i1 = b.i0)")
 def b6_rel_diff(spark, d):
     a = nn(spark, d)
@@ -529,9 +787,51 @@ def m1_matmul_sat_u64(spark, d):
     return algebra.matmul(x, x, SAT_U64()).df.withColumn("v", F.col("v").cast("string"))
 
 
+@query("SELECT a.i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM op a JOIN (SELECT p_partkey AS i0, CAST(p_size % 10 AS BIGINT) AS i1, CAST(1 AS BIGINT) AS v FROM part) b ON a.i1 = b.i0 GROUP BY 1, 2")
+def m2_matmul_parallel(spark, d):
+    """Many rows: as parallel as there are partitions."""
+    a, part = op(spark, d), _read(spark, d, "part")
+    sizes = part.select(F.col("p_partkey").alias("i0"), (F.col("p_size") % 10).cast("bigint").alias("i1"), F.lit(1).cast("bigint").alias("v"))
+    return algebra.matmul(a, Tensor(sizes, (a.shape[1], 10))).df
+
+
+@query(SQUARE)
+def m3_matmul_compressed_rows(spark, d):
+    """Operands that come as compressed rows."""
+    a = nn(spark, d)
+    x = make.from_parts(a.to_csr(), a.shape)
+    return algebra.matmul(x, x).df
+
+
+@query(ALIKE)
+def m4_matmul_transposed(spark, d):
+    u = ue(spark, d)
+    return algebra.matmul(u.transpose(), u).df
+
+
+@query("SELECT a.i0, b.i1, CAST(least(sum(least(CAST(a.v AS HUGEINT) * b.v, 4294967295)), 4294967295) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2")
+def m5_matmul_saturating_operands(spark, d):
+    a = make.from_edges(nation_edges(spark, d), 25, SAT_U32())
+    return algebra.matmul(a, a).df
+
+
+@query("SELECT a.i0, b.i0 AS i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM sp a JOIN sp b ON a.i1 = b.i1 GROUP BY 1, 2")
+def m6_matmul_blocks(spark, d):
+    """Known to be dense enough for blocks at larger sizes; joined below."""
+    a = sp(spark, d).materialised("sp")
+    return algebra.matmul(a, a.transpose()).df
+
+
+@query("SELECT x.i0, y.i1, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM (SELECT a.i0, b.i1, sum(a.v * b.v) AS v FROM nn a JOIN nn b ON a.i1 = b.i0 GROUP BY 1, 2) x JOIN nn y ON x.i1 = y.i0 GROUP BY 1, 2")
+def m7_count_matrix(spark, d):
+    """Counts, not saturating."""
+    a = nn(spark, d)
+    return algebra.matmul(algebra.matmul(a, a), a).df
+
+
 @query("SELECT i0, count(*) AS nnz FROM (SELECT DISTINCT a.i0, b.i0 AS j FROM sp a JOIN sp b USING (i1)) GROUP BY 1")
 def m8_symbolic_nnz(spark, d):
-    a = sp(spark, d)
+    a = sp(spark, d).materialised("sp")
     return algebra.symbolic_nnz(a, a.transpose())
 
 
@@ -555,6 +855,31 @@ def g11_tile_power(spark, d):
 # ---- aggregates
 
 
+@query(SQUARE)
+def a1_sum_of_products(spark, d):
+    a = nn(spark, d)
+    return einsum("ab,bc->ac", a, a).df
+
+
+@query("SELECT CAST(coalesce(sum(v), 0) AS BIGINT) AS v FROM nn WHERE i0 > 100")
+def a2_scalar_sum_of_nothing(spark, d):
+    """A sum over no cell is a zero, not nothing."""
+    a = nn(spark, d)
+    return einsum("ab->", a.with_df(a.df.filter("i0 > 100"))).df
+
+
+@query("SELECT user_id AS i0, event_id % 7 AS i1, count(*) AS v FROM events GROUP BY 1, 2")
+def a3_repeated_cells(spark, d):
+    e = _read(spark, d, "events")
+    return make.from_coo(e.select(F.col("user_id").alias("i0"), (F.col("event_id") % 7).alias("i1"), F.lit(1).cast("bigint").alias("v")), (_size(e, "user_id"), 7)).df
+
+
+@query("SELECT 0 AS output, i0 AS a, NULL AS b, CAST(sum(v) AS BIGINT) AS v FROM ue GROUP BY 2 UNION ALL SELECT 1, NULL, i1, CAST(sum(v) AS BIGINT) FROM ue GROUP BY 3 UNION ALL SELECT 2, NULL, NULL, CAST(sum(v) AS BIGINT) FROM ue")
+def a4_several_outputs(spark, d):
+    u = ue(spark, d)
+    return compile_spec("ab->a,b,", [u.shape]).grouping_sets(u)
+
+
 @query("SELECT CAST(sum(n * m) AS BIGINT) AS macs FROM (SELECT i1, count(*) AS n FROM sp GROUP BY 1) JOIN (SELECT i1, count(*) AS m FROM sp GROUP BY 1) USING (i1)")
 def a5_macs(spark, d):
     a = sp(spark, d)
@@ -639,6 +964,15 @@ def g6_rcm_is_a_permutation(spark, d):
     return perm.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("old_id").alias("olds"), F.countDistinct("new_id").alias("news"), F.min("new_id").alias("low"), F.max("new_id").alias("high"))
 
 
+@query(f"""{WITH}, before AS (SELECT max(abs(src - dst)) AS b FROM ou), nc25 AS (SELECT n + 25 AS n FROM nc)
+SELECT CAST(b AS BIGINT) AS before, true AS not_above, CAST(count(*) AS BIGINT) AS cells FROM ou, before GROUP BY b""")
+def g6_rcm_bandwidth(spark, d):
+    """The bandwidth before reordering, whether it is no greater after, and the cells, of which none is lost."""
+    a = make.from_edges_undirected(homes(spark, d), nodes(spark, d)).materialised("homes")
+    after = graph.permute(a, graph.rcm(a))
+    return graph.bandwidth(a).select(F.col("max_bw").alias("before")).crossJoin(graph.bandwidth(after).select("max_bw")).crossJoin(after.df.agg(F.count(F.lit(1)).alias("cells"))).select("before", (F.col("max_bw") <= F.col("before")).alias("not_above"), "cells")
+
+
 @query()
 def g6_rcm(spark, d):
     return graph.rcm(make.from_edges(homes(spark, d), nodes(spark, d)))
@@ -658,18 +992,30 @@ def g8_unpermute(spark, d):
     return graph.unpermute(graph.permute(nn(spark, d), _perm(spark)), _perm(spark)).df
 
 
-@query("""WITH RECURSIVE l AS (SELECT i AS a, i + 1 AS b FROM range(0, 39) t(i) UNION SELECT i, i + 7 FROM range(0, 33) t(i) WHERE i % 3 = 0), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r(a, b, k) AS (SELECT a, a, 0 FROM u UNION SELECT r.a, u.b, k + 1 FROM r JOIN u ON r.b = u.a WHERE k < 40), dist AS (SELECT a, b, min(k) AS k FROM r GROUP BY 1, 2) SELECT CAST(max(k) AS BIGINT) AS diameter FROM dist""")
+TREE = f"""{WITH}, up AS (SELECT src, dst FROM ou UNION SELECT n_nationkey + n, n_regionkey + n + 25 FROM nation, nc UNION SELECT n_regionkey + n + 25, n_nationkey + n FROM nation, nc),
+far(a, b, k) AS (SELECT src, src, 0 FROM up UNION SELECT f.a, u.dst, k + 1 FROM far f JOIN up u ON f.b = u.src WHERE k < 6), dist AS (SELECT a, b, min(k) AS k FROM far GROUP BY 1, 2)"""
+
+
+def tree(spark, d) -> Tensor:
+    """Customers, their nations and the nations' regions."""
+    n = nodes(spark, d)
+    up = _read(spark, d, "nation").select((F.col("n_nationkey") + (n - 25)).cast("bigint").alias("src"), (F.col("n_regionkey") + n).cast("bigint").alias("dst"))
+    return make.from_edges(homes(spark, d).unionByName(up), n + 5)
+
+
+@query(f"{TREE} SELECT CAST(max(k) AS BIGINT) AS diameter FROM dist")
 def g9_diameter(spark, d):
-    line = spark.range(39).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    more = spark.range(33).filter("id % 3 = 0").select(F.col("id").alias("src"), (F.col("id") + 7).alias("dst"))
-    return spark.createDataFrame([(graph.diameter(make.from_edges(line.union(more), 40)),)], "diameter bigint")
+    return spark.createDataFrame([(graph.diameter(tree(spark, d)),)], "diameter bigint")
 
 
-@query()
+@query(f"""{WITH}, {REACH}, {DEGREES}, sizes AS (SELECT comp, count(*) AS size FROM comp GROUP BY 1), s AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS k FROM deg)
+SELECT (SELECT n + 25 FROM nc) AS nodes, (SELECT count(*) FROM ou) AS nnz, (SELECT count(*) FROM sizes) AS components, (SELECT count(*) FROM sizes WHERE size = 1) AS singletons, (SELECT max(size) FROM sizes) AS largest,
+min(degree) AS min_deg, max(degree) FILTER (k = (SELECT count(*) // 2 FROM deg)) AS median_deg, max(degree) AS max_deg, (SELECT CAST(max(abs(src - dst)) AS BIGINT) FROM ou) AS max_bw, true AS reduced FROM s""")
 def g10_structure(spark, d):
+    """The report's numbers in one row; of the reordering, whether it is no worse."""
     found = graph.structure(make.from_edges_undirected(homes(spark, d), nodes(spark, d)))
-    return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "name string, value string")
+    row = {k: found[k] for k in ("nodes", "nnz", "components", "singletons", "min_deg", "median_deg", "max_deg", "max_bw")} | {"largest": found["top_sizes"][0], "reduced": found["max_bw_rcm"] <= found["max_bw"]}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'boolean' if k == 'reduced' else 'bigint'}" for k in row))
 
 
 # ---- attention
@@ -699,9 +1045,71 @@ def t7_block_attention(spark, d):
     return blocked.attention(q, q).to_tensor().df
 
 
+BATCHED = "SELECT a.i0, a.i1 % 2 AS i1, a.i1 // 2 AS i2, b.i1 // 2 AS i3, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i2 = b.i2 AND a.i1 % 2 = b.i1 % 2 GROUP BY 1, 2, 3, 4 HAVING sum(a.v * b.v) <> 0"
+
+
+@query(BATCHED)
+def t2_batched_scores(spark, d):
+    """A dense product for every (label, half)."""
+    e = emb(spark, d)
+    df = e.df.select("i0", (F.col("i1") % 2).alias("i1"), F.floor(F.col("i1") / 2).cast("bigint").alias("i2"), F.col("i2").alias("i3"), "v")
+    q = Tensor(df, (e.shape[0], 2, (e.shape[1] + 1) // 2, e.shape[2]), rows=e.rows).materialised("halves")
+    return algebra.batched_matmul(q, q.transpose(0, 1, 3, 2)).df
+
+
+@query("SELECT a.i0, a.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM e a JOIN (SELECT i0, i2, sum(v) AS v FROM e GROUP BY 1, 2) b ON a.i0 = b.i0 AND a.i2 = b.i2 GROUP BY 1, 2 HAVING sum(a.v * b.v) <> 0")
+def t3_matched_levels(spark, d):
+    """Tries of two tensors matched on batch and depth, summed over the rows of the second."""
+    e = emb(spark, d)
+    return einsum("bqd,bkd->bq", e, e).df
+
+
+@query("SELECT a.i1 AS i0, b.i1, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM nn a JOIN nn b ON a.i0 = b.i0 GROUP BY 1, 2")
+def t5_weave(spark, d):
+    """Two sorted index orders woven along their first level: an equi-join on it."""
+    a = nn(spark, d)
+    return einsum("ab,ac->bc", a, a).df
+
+
+@query("SELECT i0, i1, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i0, i1, v FROM ue UNION ALL SELECT i0, i1, v FROM ue WHERE i1 < 2) GROUP BY 1, 2")
+def t6_weave_union(spark, d):
+    """Union of two patterns, values of both added."""
+    u = ue(spark, d)
+    return algebra.add(u, u.with_df(u.df.filter("i1 < 2"))).df
+
+
+@query("SELECT a.i0, b.i0 AS i1, CAST(sum(a.v * b.v) AS FLOAT) AS v FROM nn a JOIN nn b ON a.i1 = b.i1 GROUP BY 1, 2")
+def t8_tile_kernel(spark, d):
+    """Tile by transposed tile."""
+    a = blocked.to_blocks(nn(spark, d), 8)
+    return blocked.attention(a, a).to_tensor().df
+
+
+@query("SELECT count(*) AS tiles, 256 * count(*) AS bytes FROM (SELECT DISTINCT i0 // 8, i1 // 8 FROM sp)")
+def t9_memory(spark, d):
+    t = blocked.to_blocks(sp(spark, d), 8)
+    return spark.createDataFrame([(t.df.count(), t.memory())], "tiles bigint, bytes bigint")
+
+
 # ---- reports
 
 
+@query("SELECT i0 || ',' || v AS line FROM nn WHERE i1 = 3 UNION ALL SELECT 'side,nodes'")
+def r1_csv_lines(spark, d):
+    """Table lines picked from mixed text."""
+    path = new_path(spark, "mixed")
+    a = nn(spark, d).df.filter("i1 = 3")
+    text = a.select(F.explode(F.array(F.concat_ws(",", "i0", "v"), F.concat(F.lit("running "), F.col("v")), F.concat(F.lit("x,"), F.col("i0")))).alias("value"))
+    text.unionByName(spark.createDataFrame([("side,nodes",), ("  ",), ("test ok, 3",)], "value string")).write.text(path)
+    return files.csv_lines(spark, path, "side")
+
+
+@query("""SELECT i0, 100.0 * 16 * (CASE WHEN l0 > 1 THEN l1 ELSE 0 END + CASE WHEN l1 > 1 THEN l2 ELSE 0 END + CASE WHEN l2 > 1 THEN l3 ELSE 0 END) / n AS percent FROM (SELECT *, (l2 + 15) // 16 AS l3 FROM (SELECT *, (l1 + 15) // 16 AS l2 FROM (
+SELECT *, (l0 + 15) // 16 AS l1 FROM (SELECT i0, count(*) AS n, (count(*) + 15) // 16 AS l0 FROM sp GROUP BY 1))))""")
+def r5_overhead_percent(spark, d):
+    return sp(spark, d).row_nnz().select("i0", report.overhead_percent(F.col("nnz")).alias("percent"))
+
+
 @query("""WITH p AS (SELECT l_linenumber AS run, CAST(l_partkey % 40 AS DOUBLE) AS density, CAST(sum(l_quantity) AS DOUBLE) AS time FROM lineitem GROUP BY 1, 2), q AS (SELECT run, sum(time) / count(*) AS t FROM p GROUP BY 1),
 w AS (SELECT p.run, density, time, t, lead(density) OVER (PARTITION BY p.run ORDER BY density) AS d1, lead(time) OVER (PARTITION BY p.run ORDER BY density) AS t1 FROM p JOIN q ON p.run = q.run),
 h AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY density) AS k FROM w WHERE time <= t AND t <= t1)
@@ -743,6 +1151,63 @@ def x3_parse_unsigned(spark, d):
     return spark.createDataFrame([(x,) for x in ("0", "18446744073709551615", "18446744073709551616", "12", "x", "")], "n string").select("n", scalars.parse_unsigned(F.col("n")).cast("string").alias("u"))
 
 
-def golden(spark: SparkSession) -> Tensor:
-    """A 2 x 2 example."""
-    return from_rows(spark, [(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4)], (2, 2))
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CAST(least(CAST(l_partkey AS HUGEINT) * 3000000 + l_suppkey, 4294967295) AS BIGINT) AS total, CAST(least(CAST(l_partkey AS HUGEINT) * l_orderkey * 1000, 4294967295) AS BIGINT) AS product FROM lineitem")
+def x1_saturating(spark, d):
+    ring, p = SAT_U32(), F.col("l_partkey")
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), ring.add(p * 3_000_000, F.col("l_suppkey")).alias("total"), ring.multiply(p * 1000, F.col("l_orderkey")).alias("product"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_partkey // nullif(l_suppkey % 5, 0) AS BIGINT) AS quotient, CAST(l_partkey % nullif(l_suppkey % 5, 0) AS BIGINT) AS remainder FROM lineitem")
+def x2_div_rem(spark, d):
+    """Quotient and remainder; null for a zero divisor."""
+    p, q = F.col("l_partkey"), F.col("l_suppkey") % 5
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), scalars.whole_divide(p, q).alias("quotient"), scalars.remainder(p, q).alias("remainder"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN abs(a) < 1e-9 THEN NULL ELSE a END AS total, CASE WHEN abs(m) < 1e-9 THEN NULL ELSE m END AS product FROM (SELECT *, l_discount + -l_tax AS a, l_discount * (l_tax * 1e-6) AS m FROM lineitem)")
+def x4_epsilon(spark, d):
+    a, b = F.col("l_discount"), -F.col("l_tax")
+    total = F.when((a == 0) & (b == 0), None).otherwise(scalars.tolerant_add(a, b))
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), total.alias("total"), scalars.tolerant_multiply(a, F.col("l_tax") * 1e-6).alias("product"))
+
+
+@query("SELECT user_id AS u, event_id AS i, (event_id - 500) - 24 * CAST(floor((event_id - 500) / 24.0) AS BIGINT) AS wrapped FROM events")
+def x5_wrap(spark, d):
+    return _read(spark, d, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("i"), scalars.wrap(F.col("event_id") - 500, 24).alias("wrapped"))
+
+
+@query("SELECT i AS place, i // 20 AS x, (i // 4) % 5 AS y, i % 4 AS z, CAST((i + 2) // 3 AS BIGINT) AS thirds FROM (SELECT DISTINCT l_partkey % 120 AS i FROM lineitem)")
+def x6_strides(spark, d):
+    place = _read(spark, d, "lineitem").select((F.col("l_partkey") % 120).alias("place")).distinct()
+    x, y, z = scalars.coordinates(F.col("place"), (6, 5, 4))
+    return place.select("place", x.alias("x"), y.alias("y"), z.alias("z"), scalars.ceil_div(F.col("place"), 3).alias("thirds"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, abs(l_discount - l_tax) / greatest(abs(l_discount), abs(l_tax), 1e-8) AS difference FROM lineitem")
+def x7_relative_difference(spark, d):
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), scalars.relative_difference(F.col("l_discount"), F.col("l_tax")).alias("difference"))
+
+
+MORTON = " + ".join(f"(((x >> {b}) & 1) << {2 * b + 1}) + (((y >> {b}) & 1) << {2 * b})" for b in range(16))
+
+
+@query(f"SELECT x, y, CAST({MORTON} AS BIGINT) AS code FROM (SELECT DISTINCT l_suppkey AS x, l_partkey AS y FROM lineitem)")
+def x8_morton(spark, d):
+    xy = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y")).distinct()
+    return xy.select("x", "y", scalars.spread_bits([F.col("x"), F.col("y")]).alias("code"))
+
+
+@query("SELECT row_number() OVER (ORDER BY i0, i1) - 1 AS place, i0, i1, v FROM nn")
+def x9_sorted_cells(spark, d):
+    """Cells numbered by row, then column."""
+    return make.ranked(nn(spark, d).df, "i0", "i1").select(F.col("rank").cast("bigint").alias("place"), "i0", "i1", "v")
+
+
+@query(f"{WITH}, {DEGREES} SELECT src AS node, dst AS neighbour, row_number() OVER (PARTITION BY src ORDER BY degree, dst) - 1 AS place FROM ou JOIN deg ON deg.node = dst")
+def x10_neighbours_by_degree(spark, d):
+    return graph.neighbours_by_degree(make.from_edges_undirected(homes(spark, d), nodes(spark, d)))
+
+
+@query("SELECT i0, n FROM (SELECT i0, count(*) AS n FROM sp GROUP BY 1) ORDER BY n DESC, i0 LIMIT 10")
+def x11_top_ten(spark, d):
+    return sp(spark, d).row_nnz().select("i0", F.col("nnz").alias("n")).orderBy(F.desc("n"), "i0").limit(10)

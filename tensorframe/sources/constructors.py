@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import prod
+from math import isqrt, prod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,27 +135,36 @@ def random_graph(spark: SparkSession, n: int, m: int, seed: int = 0) -> Tensor:
     return from_edges(spark.range(m).select(src.alias("src"), F.when(dst >= src, dst + 1).otherwise(dst).alias("dst")), n)
 
 
+#: Rounds of the keyed permutation of cells, and steps of a walk that leaves places beyond the last cell.
+ROUNDS, STEPS = 4, 24
+
+
 def with_density(spark: SparkSession, shape: tuple[int, ...], density: float, seed: int = 0) -> Tensor:
     """Exactly floor(density * cells) distinct cells with values uniform in [0, 1).
 
-    A keyed permutation of the cells' places picks them, so nothing is sorted.
+    The cells are the images of the first places under a keyed permutation, so only as many rows are made as
+    cells are wanted. The permutation works on a rectangle with at most sqrt(cells) places more; a place
+    beyond the last cell is permuted again (24 times at most: none is left after some 3).
     """
     total = prod(shape)
     count = int(density * total)
-    bits = max(2, (total - 1).bit_length() + (total - 1).bit_length() % 2)
-    half = bits // 2
+    wide = max(1, isqrt(total))
+    high = -(-total // wide)
+    draw = lambda k, x: F.xxhash64(F.lit(seed), F.lit(k), x)
 
     def permuted(x):
-        left, right = F.shiftright(x, half), x.bitwiseAND(F.lit((1 << half) - 1).cast("bigint"))
-        for k in range(4):  # a balanced Feistel network is a bijection of 2**bits places
-            left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(k), right).bitwiseAND(F.lit((1 << half) - 1).cast("bigint")))
-        return F.shiftleft(left, half).bitwiseOR(right)
-
-    # the images of 0 .. 2**bits - 1 that are cells, in order of their origin; the first `count` of them
-    images = spark.range(1 << bits).select(F.col("id").alias("origin"), permuted(F.col("id")).alias("place")).filter(F.col("place") < total)
-    chosen = ranked(images, "origin").filter(F.col("rank") < count) if count else images.limit(0)
+        left, right = (x - x % wide) / F.lit(wide), x % wide
+        left = left.cast("bigint")  # a whole number: exact below 2**53 cells
+        for k in range(ROUNDS):  # each half is shifted by a hash of the other: a bijection
+            left = F.pmod(left + F.pmod(draw(2 * k, right), F.lit(high)), F.lit(high))
+            right = F.pmod(right + F.pmod(draw(2 * k + 1, left), F.lit(wide)), F.lit(wide))
+        return left * wide + right
+
+    start = permuted(F.col("id"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda x, _: F.when(x < total, x).otherwise(permuted(x)))
+    places = spark.range(count).select(walk.alias("place"))
     value = F.pmod(F.xxhash64(F.lit(seed), F.lit("v"), "place"), F.lit(1 << 53)) / float(1 << 53)
-    return Tensor(chosen.select(*(c.alias(f"i{k}") for k, c in enumerate(scalars.coordinates(F.col("place"), shape))), value.alias("v")), shape, rows=count)
+    return Tensor(places.select(*(c.alias(f"i{k}") for k, c in enumerate(scalars.coordinates(F.col("place"), shape))), value.alias("v")), shape, rows=count)
 
 
 def random_index(spark: SparkSession, shape: tuple[int, ...], count: int, seed: int = 0) -> DataFrame:

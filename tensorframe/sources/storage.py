@@ -71,6 +71,12 @@ def written_small(df: DataFrame, name: str = "table") -> DataFrame:
     return written(df.coalesce(few(df.sparkSession)), name)
 
 
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema read as one."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*(t._written_to for t in tables))
+
+
 def files_of(table: DataFrame) -> list[str]:
     """The committed files of a written table, in order of their names: a file never changes, so a row is known by file and place."""
     spark = table.sparkSession

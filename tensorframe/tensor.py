@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import scalars
 from .functions.semiring import Semiring, of_type
+from .sources.storage import written
 
 
 class ShapeError(ValueError):
@@ -53,6 +54,11 @@ class Tensor:
         """The rows under fresh column names (so that a tensor can meet itself in a join)."""
         return self.df.select(*(F.col(c).alias(x) for c, x in zip(self.index, letters, strict=True)), F.col("v").alias(value))
 
+    def materialised(self, name: str = "tensor") -> Tensor:
+        """The same tensor as a written table, its cells counted: for operands that are used more than once."""
+        kept = written(self.df, name)
+        return replace(self, df=kept, rows=kept.count())
+
     # point access
 
     def _at(self, cell: tuple[int, ...]) -> Column:
@@ -93,10 +99,12 @@ class Tensor:
         return self.df.groupBy(*self.index[:-1]).agg(F.count(F.lit(1)).alias("nnz"))
 
     def row_entry(self, k: int) -> DataFrame:
-        """The k-th stored cell of every row that has one."""
-        last = self.index[-1]
-        cells = F.array_sort(F.collect_list(F.struct(last, "v")))
-        return self.df.groupBy(*self.index[:-1]).agg(F.get(cells, F.lit(k)).alias("x")).filter("x is not null").select(*self.index[:-1], f"x.{last}", "x.v")
+        """The k-th stored cell of every row that has one; of a row only its first cells are kept while sorting."""
+        *lead, last = self.index
+        if not lead:
+            return self.df.orderBy(last).offset(k).limit(1).select("v")
+        place = F.row_number().over(Window.partitionBy(*lead).orderBy(last))
+        return self.df.withColumn("_place", place).filter(F.col("_place") == k + 1).select(*lead, last, "v")
 
     def nnz(self) -> int:
         return self.df.count()

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -173,3 +174,63 @@ def test_sorted_search(spark):
     x = spark.createDataFrame([(v,) for v in (10, 20, 30, 40, 50)], "x bigint")
     q = spark.createDataFrame([(v,) for v in (30, 25, 5, 60, 10)], "q bigint")
     assert {r.q: (r.found, r.place) for r in algebra.search(x, q).collect()} == {30: (True, 2), 25: (False, 2), 5: (False, 0), 60: (False, 5), 10: (True, 0)}
+
+
+# ---- arithmetic of the operands
+
+
+def test_saturating_operands(spark):
+    from tensorframe.functions.semiring import SAT_U32, SAT_U64, MixedSemirings
+
+    a, b = (from_rows(spark, [(0, 0, v)], (1, 1), semiring=SAT_U32()) for v in (4294967295, 2))
+    assert einsum("ab,bc->ac", a, b).get(0, 0) == 4294967295
+    assert einsum_scalar("ab,bc->", a, b) == 4294967295
+    x = from_rows(spark, [(0, 0, Decimal(2**63)), (0, 1, Decimal(2**63))], (1, 2), "decimal(20,0)", SAT_U64())
+    assert einsum("ab->a", x).get(0) == 2**64 - 1
+    with pytest.raises(MixedSemirings):
+        einsum("ab,bc->ac", a, from_rows(spark, [(0, 0, 2)], (1, 1)))
+    with pytest.raises(MixedSemirings):
+        einsum("ab,bc->ac", a, x)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_blocks_equal_joins(spark, monkeypatch, kind):
+    from tensorframe.operators import dense
+
+    rng = np.random.default_rng(4)
+    for name, value in (("LEAST", 0), ("SIDE", 3), ("INNER", 4), ("WORTH", 10**9)):
+        monkeypatch.setattr(dense, name, value)
+    cases = [("ab,bc->ac", (7, 9), (9, 5)), ("gab,gcb->gac", (2, 4, 6), (2, 5, 6)), ("ab,cb->ac", (1, 5), (8, 5)), ("abc,bcd->ad", (3, 4, 5), (4, 5, 7)), ("ab,b->a", (6, 7), (7,)), ("gab,bgh->gah", (2, 3, 4), (4, 2, 5)), ("ab,bc,cd->ad", (4, 5), (5, 6))]
+    for spec, p, q in cases:
+        arrays = [rng.integers(-3, 4, p) * (rng.random(p) < 0.6), rng.integers(-3, 4, q) * (rng.random(q) < 0.6)]
+        if spec.count(",") == 2:
+            arrays.append(rng.integers(-3, 4, (q[1], 4)))
+        tensors = [from_numpy(spark, x, kind).materialised() for x in arrays]
+        plan = compile_spec(spec, [t.shape for t in tensors], [t.estimate for t in tensors])
+        assert dense.worthwhile(plan.tree, plan.sizes, tensors[0].arithmetic)
+        assert np.array_equal(einsum(spec, *tensors).to_numpy().astype(float), np.einsum(spec, *arrays))
+
+
+def test_blocks_are_exact_and_leave_absent_cells_out(spark, monkeypatch):
+    from tensorframe.operators import dense
+
+    monkeypatch.setattr(dense, "LEAST", 0)
+    big = np.array([[2**31, 3], [5, -(2**31)]], dtype=object)
+    t = from_rows(spark, [(i, j, int(big[i, j])) for i in range(2) for j in range(2)], (2, 2)).materialised()
+    assert (einsum("ab,bc->ac", t, t).to_numpy() == big @ big).all()
+    assert dense.exact_product(np.array([[2**40, 1]]), np.array([[2**20, 2**61]])).tolist() == [[2**60 + 2**61]]
+    with pytest.raises(OverflowError):
+        dense.exact_product(np.array([[2**40]]), np.array([[2**40]]))
+    inf = from_rows(spark, [(0, 0, float("inf")), (1, 1, 2.0)], (2, 2), "double").materialised()
+    got = {(r.i0, r.i1): r.v for r in einsum("ab,bc->ac", inf, inf).df.collect()}
+    assert got == {(0, 0): float("inf"), (1, 1): 4.0}
+
+
+def test_sparse_operands_are_joined(spark):
+    from tensorframe.operators import dense
+
+    n = 100_000
+    plan = compile_spec("ab,bc->ac", [(n, n), (n, n)], [3.0 * n, 3.0 * n])
+    assert not dense.worthwhile(plan.tree, plan.sizes, from_rows(spark, [], (1,)).arithmetic)
+    unknown = compile_spec("ab,bc->ac", [(2000, 2000)] * 2, [4e6, 4e6], False)
+    assert not unknown.known

@@ -163,3 +163,138 @@ def test_break_even(spark):
     assert [(r.run, pytest.approx(r.density)) for r in got] == [("r", 0.025)]
     df = spark.createDataFrame([(1, 2.0, 3.0)], "n int, a double, b double")
     assert report.markdown(report.best_speedup(df, ["a", "b"])).split("\n")[2] == "| 1 | 2.0 | **3.0** |"
+
+
+def reach(n, pairs):
+    m = np.eye(n, dtype=bool)
+    for a, b in pairs:
+        m[a, b] = True
+    for _ in range(n):
+        m = m | (m.astype(int) @ m.astype(int) > 0)
+    return m
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components_equal_mutual_reachability(spark, seed):
+    rng = random.Random(seed)
+    n = 24
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range((20, 30, 60)[seed])] + [(3, 3)]
+    m = reach(n, pairs)
+    both = m & m.T
+    least = [int(np.flatnonzero(both[i])[0]) for i in range(n)]
+    number = {x: k for k, x in enumerate(sorted(set(least)))}
+    assert labels(graph.strong_components(matrix(spark, n, pairs))) == [number[x] for x in least]
+
+
+def test_strong_components_need_several_rounds(spark):
+    rings = [(i, i + 1) for i in range(4)] + [(4, 0), (4, 7), (7, 8), (8, 9), (9, 7), (9, 11), (11, 12), (12, 11), (5, 0), (12, 6)]
+    assert labels(graph.strong_components(matrix(spark, 13, rings))) == [0, 0, 0, 0, 0, 1, 2, 3, 3, 3, 4, 5, 5]
+
+
+def distances(n, pairs):
+    far = np.full((n, n), -1)
+    near = [set() for _ in range(n)]
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    for s in range(n):
+        far[s, s], queue = 0, [s]
+        for u in queue:
+            for v in near[u]:
+                if far[s, v] < 0:
+                    far[s, v] = far[s, u] + 1
+                    queue.append(v)
+    return far
+
+
+@pytest.mark.parametrize("sources", [3, 256])
+def test_diameter_equals_brute_force(spark, monkeypatch, sources):
+    monkeypatch.setattr(graph, "SOURCES", sources)
+    line = [(i, i + 1) for i in range(39)] + [(i, i + 7) for i in range(33) if i % 3 == 0]
+    assert graph.diameter(matrix(spark, 40, line)) == distances(40, line).max()
+    rng = random.Random(sources)
+    for n, m in ((12, 9), (18, 24)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        assert graph.diameter(matrix(spark, n, pairs)) == distances(n, pairs).max()
+    ring = [(i, (i + 1) % 9) for i in range(9)]
+    assert graph.diameter(matrix(spark, 9, ring)) == 4
+
+
+def test_reordering_follows_the_textbook(spark):
+    """Level by level: first parent, degree, number; reversed at the end."""
+    rng = random.Random(5)
+    n = 16
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(20)]
+    near = [set() for _ in range(n)]
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    far, done, order = distances(n, pairs), set(), []
+    for s in range(n):
+        if s in done:
+            continue
+        part = [i for i in range(n) if far[s, i] >= 0]
+        done |= set(part)
+        first = min(part, key=lambda i: (len(near[i]), i))
+        start = min(part, key=lambda i: (-far[first, i], len(near[i]), i))
+        level = [start]
+        while level:
+            order += level
+            place = {u: k for k, u in enumerate(level)}
+            new = {v for u in level for v in near[u] if far[start, v] == far[start, u] + 1}
+            level = sorted(new, key=lambda v: (min(place[u] for u in near[v] if u in place), len(near[v]), v))
+    assert {r.old_id: r.new_id for r in graph.rcm(matrix(spark, n, pairs)).collect()} == {u: n - 1 - k for k, u in enumerate(order)}
+
+
+def test_density_is_exact(spark):
+    from math import prod
+
+    for shape, share in (((7,), 1.0), ((10, 20, 25), 0.1), ((3, 3, 3), 0.99), ((1, 1), 1.0), ((40, 50), 0.0)):
+        t = make.with_density(spark, shape, share, 5)
+        found = cells(t)
+        assert len(found) == len({c[:-1] for c in found}) == int(share * prod(shape))
+        assert all(0 <= i < d for c in found for i, d in zip(c, shape, strict=False))
+    assert cells(make.with_density(spark, (30, 30), 0.3, 1)) != cells(make.with_density(spark, (30, 30), 0.3, 2))
+
+
+def test_static_index(spark):
+    import bisect
+
+    from tensorframe.sources import index
+
+    rng = random.Random(1)
+    lists = {k: sorted({rng.randrange(10_000) for _ in range(n)}) for k, n in enumerate([1, 15, 16, 17, 100, 256, 257, 1000, 4097])}
+    ix = index.build(spark.createDataFrame([(k, x) for k, v in lists.items() for x in v for _ in range(1 + (x % 7 == 0))], "list long, x long"))
+    start = 0
+    for r in index.accessors(ix).orderBy("list").collect():
+        n, nodes, total = len(lists[r.list]), -(-len(lists[r.list]) // 16), 0
+        while nodes > 1:
+            nodes = -(-nodes // 16)
+            total += 16 * nodes
+        assert (r.len, r.internal_len, r.data_start, r.is_empty) == (n, total, start, False)
+        start += n
+    asked = spark.createDataFrame([(k, x) for k in lists for x in [*range(-5, 10_005, 197), *lists[k][:20]]], "list long, q long")
+    for r in index.find(ix, asked).collect():
+        held = lists[r.list]
+        at = bisect.bisect_left(held, r.q)
+        assert (r.place, r.found) == (at, at < len(held) and held[at] == r.q)
+    golden = index.build(spark.createDataFrame([(0, x) for x in (10, 20, 30, 40, 50)], "list long, x long"))
+    assert [tuple(r)[2:] for r in index.find(golden, spark.createDataFrame([(0, 30), (0, 25)], "list long, q long")).orderBy("q").collect()] == [(False, 2), (True, 2)]
+
+
+def test_batched_products(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-4, 5, (2, 3, 7, 5)), rng.integers(-4, 5, (2, 3, 5, 6))
+    assert (algebra.batched_matmul(from_numpy(spark, a), from_numpy(spark, b)).to_numpy() == a @ b).all()
+    x, y = rng.standard_normal((4, 6)), rng.standard_normal((6, 3))
+    assert np.allclose(algebra.batched_matmul(from_numpy(spark, x), from_numpy(spark, y)).to_numpy(), x @ y)
+    with pytest.raises(ShapeError):
+        algebra.batched_matmul(from_numpy(spark, x), from_numpy(spark, x))
+
+
+def test_row_entries(spark):
+    a = from_rows(spark, [(0, 3, 1), (0, 1, 2), (2, 2, 5)], (3, 4))
+    assert sorted(map(tuple, a.row_entry(1).collect())) == [(0, 3, 1)]
+    assert [r.v for r in from_rows(spark, [(4, 9), (1, 7)], (5,)).row_entry(1).collect()] == [9]
