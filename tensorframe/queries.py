@@ -15,7 +15,7 @@ from .functions.semiring import SAT_U32, SAT_U64
 from .operators import algebra, blocked, graph, report
 from .operators.einsum import accumulate, compile_spec, einsum, einsum_binary, einsum_fn, einsum_scalar, einsum_unary, multiply_count
 from .sources import constructors as make
-from .sources import files, index
+from .sources import files, index, layouts
 from .sources.files import builder
 from .sources.storage import new_path
 from .tensor import Tensor, from_numpy
@@ -288,6 +288,19 @@ def s21_ndarray(spark, d):
     return from_numpy(spark, nn(spark, d).to_numpy().astype(int)).df
 
 
+@query("SELECT layout, i0, i1, CAST(v * n AS DOUBLE) AS v FROM nn CROSS JOIN (VALUES ('cells', 1), ('rows', 1), ('tiles', 1), ('halves', 2)) t(layout, n)")
+def s22_layouts(spark, d):
+    """The same matrix from several layouts, one of them registered here (every value held as two halves to be summed, twice)."""
+    a = nn(spark, d)
+    layouts.register("halves", lambda df, shape: df.select("i0", "i1", F.explode(F.array("v", "v")).alias("v")))
+    out = None
+    for name, df in (("cells", a.df), ("rows", a.to_csr()), ("tiles", blocked.to_blocks(a, 8).df), ("halves", a.df)):
+        t = layouts.tensor(df, name, a.shape)
+        rows = t.df.select(F.lit(name).alias("layout"), "i0", "i1", F.col("v").cast("double").alias("v"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---- sinks
 
 
