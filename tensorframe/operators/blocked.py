@@ -162,7 +162,7 @@ def attention(q: Blocked, k: Blocked) -> Blocked:
 
         yield from dense.streamed(batches, len(keys) + 2, read, add, done)
 
-    sent = dense.paired(grouped(q), grouped(k), keys, ["at", "tile"], 4 * partitions(q.df.sparkSession))
+    sent = dense.paired(grouped(q), grouped(k), keys, ["at", "tile"], 4 * partitions(q.df.sparkSession), tuple(-(-t.grid[0] // wide) for t in (q, k)))
     return Blocked(sent.mapInArrow(score, _schema([*keys, "br", "bc"])), (*q.shape[:-1], k.shape[-2]), n)
 
 

@@ -41,21 +41,28 @@ def _number(letters: list[str], sizes: dict[str, int]):
 
 
 def blocks(df: DataFrame, batch: list[str], own: list[str], inner: list[str], sizes: dict[str, int], kind: str) -> DataFrame:
-    """g, block, k (the inner block) and the block's cells (row, inner place, value)."""
-    cells = df.select(_number(batch, sizes).alias("g"), _number(own, sizes).alias("r"), _number(inner, sizes).alias("c"), F.col("v").cast(kind).alias("v"))
-    cells = cells.select("g", F.expr(f"r div {SIDE}").alias("block"), F.expr(f"c div {INNER}").alias("k"), F.struct((F.col("r") % SIDE).cast("int").alias("r"), (F.col("c") % INNER).cast("int").alias("c"), "v").alias("x"))
-    return cells.groupBy("g", "block", "k").agg(F.collect_list("x").alias("cells"))  # SIDE x INNER at most
-
-
-def paired(left: DataFrame, right: DataFrame, g: list[str], data: list[str], tasks: int) -> DataFrame:
-    """Columns g, i, j (the blocks that meet), k, side and data, sorted so that each pair's blocks come by k, left before right."""
-    to_right = right.select(*g, F.col("block").alias("j")).distinct()
-    to_left = left.select(*g, F.col("block").alias("i")).distinct()
-    a = left.join(to_right, g) if g else left.crossJoin(to_right)  # without a batch: every row block meets every column block
-    b = right.join(to_left, g) if g else right.crossJoin(to_left)
+    """g (if there is a batch), block, k (the inner block) and the block's cells (row, inner place, value)."""
+    g = ["g"] if batch else []
+    cells = df.select(*(_number(batch, sizes).alias(c) for c in g), _number(own, sizes).alias("r"), _number(inner, sizes).alias("c"), F.col("v").cast(kind).alias("v"))
+    cells = cells.select(*g, F.expr(f"r div {SIDE}").alias("block"), F.expr(f"c div {INNER}").alias("k"), F.struct((F.col("r") % SIDE).cast("int").alias("r"), (F.col("c") % INNER).cast("int").alias("c"), "v").alias("x"))
+    return cells.groupBy(*g, "block", "k").agg(F.collect_list("x").alias("cells"))  # SIDE x INNER at most
+
+
+def paired(left: DataFrame, right: DataFrame, g: list[str], data: list[str], tasks: int, grid: tuple[int, int]) -> DataFrame:
+    """Columns g, i, j (the blocks that meet), k, side and data, sorted so that each pair's blocks come by k, left before right.
+
+    With batch columns g a block goes to the blocks that its batch holds on the other side; without, to all of the ``grid``.
+    """
+    if g:
+        a = left.join(right.select(*g, F.col("block").alias("j")).distinct(), g)
+        b = right.join(left.select(*g, F.col("block").alias("i")).distinct(), g)
+        place = F.pmod(F.xxhash64(*g, "i", "j"), F.lit(tasks)).cast("int")
+    else:
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+        a, b = left.withColumn("j", every(grid[1])), right.withColumn("i", every(grid[0]))
+        place = F.pmod(F.col("i") * grid[1] + F.col("j"), F.lit(tasks)).cast("int")
     a = a.select(*g, F.col("block").alias("i"), "j", "k", F.lit(0).alias("side"), *data)
     b = b.select(*g, "i", F.col("block").alias("j"), "k", F.lit(1).alias("side"), *data)
-    place = F.pmod(F.xxhash64(*g, "i", "j"), F.lit(tasks)).cast("int")
     return a.unionByName(b).repartitionById(tasks, place).sortWithinPartitions(*g, "i", "j", "k", "side")
 
 
@@ -129,6 +136,7 @@ def _matrix(rows: list[tuple[pa.RecordBatch, int]]) -> tuple[np.ndarray, np.ndar
 def contract(a: DataFrame, la: frozenset[str], b: DataFrame, lb: frozenset[str], keep: frozenset[str], sizes: dict[str, int], ring: Semiring) -> DataFrame:
     """The sum over the letters that both have and nobody keeps: the kept letters and v."""
     batch, inner = sorted(la & lb & keep), sorted((la & lb) - keep)
+    g = ["g"] if batch else []
     rows, columns = sorted(la - lb), sorted(lb - la)
     left, right = blocks(a, batch, rows, inner, sizes, ring.type), blocks(b, batch, columns, inner, sizes, ring.type)
     whole = ring.type == "bigint"
@@ -147,16 +155,17 @@ def contract(a: DataFrame, la: frozenset[str], b: DataFrame, lb: frozenset[str],
                     raise OverflowError("a sum of products exceeds 64 bits")
 
         def done(key):
-            g, i, j = key
             at = np.nonzero(acc)
             v = acc[at]
             acc[:] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), g, np.int64)), pa.array(at[0] + i * SIDE), pa.array(at[1] + j * SIDE), pa.array(v)], ["g", "r", "c", "v"])
+            *own, i, j = key
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(v), x, np.int64)) for x in own), pa.array(at[0] + i * SIDE), pa.array(at[1] + j * SIDE), pa.array(v)], [*g, "r", "c", "v"])
 
-        yield from streamed(batches, 3, _matrix, add, done)
+        yield from streamed(batches, len(g) + 2, _matrix, add, done)
 
-    sent = paired(left, right, ["g"], ["cells"], 4 * partitions(a.sparkSession))
-    found = sent.mapInArrow(run, f"g bigint, r bigint, c bigint, v {ring.type}")
+    grid = tuple(-(-prod(sizes[x] for x in letters) // SIDE) for letters in (rows, columns))
+    sent = paired(left, right, g, ["cells"], 4 * partitions(a.sparkSession), grid)
+    found = sent.mapInArrow(run, "".join(f"{c} bigint, " for c in g) + f"r bigint, c bigint, v {ring.type}")
     out = []
     for column, letters in (("g", batch), ("r", rows), ("c", columns)):
         shape = tuple(sizes[x] for x in letters)
