@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, islice
+from itertools import chain, compress, islice
 from zlib import crc32
 
 import numpy as np
@@ -91,10 +91,12 @@ class WordCodes:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def _add(self, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray, held: list[np.ndarray], before: int) -> int:
+        """Notes the ids of new chunks, to be joined on later; returns how many ids there are with them."""
         self.sizes[at] = sizes
-        self.starts[at] = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, ids])
+        self.starts[at] = before + np.cumsum(sizes) - sizes
+        held.append(ids)
+        return before + len(ids)
 
     def _learn(self) -> None:
         have = len(self.starts)
@@ -104,20 +106,21 @@ class WordCodes:
         self.starts, self.sizes = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.sizes))
         if self.hashed:
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(word_hash, new), np.int64, len(new))])
-        alone = list(range(len(new)))
+        alone, held, n = list(range(len(new))), [self.flat], len(self.flat)
         if self.width is not None:  # chunks "white space, rest" can follow each other in one string; bytes tell where each ends
-            together = [i for i, w in enumerate(new) if w[0] in " \n" and w[-1] not in " \n"]
-            alone = [i for i, w in enumerate(new) if w[0] not in " \n" or w[-1] in " \n"]
+            ends = [w[0] in " \n" and w[-1] not in " \n" for w in new]
+            together, alone = list(compress(alone, ends)), [i for i, x in enumerate(ends) if not x]
             for a in range(0, len(together), JOINED):
                 at = together[a : a + JOINED]
                 ids = np.array(self._ids(["".join([new[i] for i in at])])[0], np.uint32)
-                ends = np.cumsum([len(new[i].encode()) for i in at])
-                last = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-                self._add(have + np.array(at), np.diff(last, prepend=0), ids)
+                stop = np.cumsum([len(new[i].encode()) for i in at])
+                last = np.searchsorted(np.cumsum(self.width[ids]), stop) + 1
+                n = self._add(have + np.array(at), np.diff(last, prepend=0), ids, held, n)
         if alone:
             ids = self._ids([new[i] for i in alone])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add(have + np.array(alone), sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+            self._add(have + np.array(alone), sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), held, n)
+        self.flat = np.concatenate(held)
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[at]
