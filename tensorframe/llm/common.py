@@ -7,6 +7,7 @@ operator changes a setting of the session.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,17 @@ from pyarrow import fs as pafs
 
 from ..sources.storage import bytes_of, discard, few, files_of, new_path, partitions, shared_dir, written, written_small
 
-__all__ = ["SLICE_BYTES", "bytes_of", "discard", "few", "file_groups", "files_of", "new_path", "partitions", "row_slices", "shared_dir", "text_slices", "written", "written_small"]
+__all__ = ["SLICE_BYTES", "bytes_of", "discard", "few", "file_groups", "files_of", "new_path", "opened", "partitions", "row_slices", "shared_dir", "text_slices", "written", "written_small"]
 
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 1_500_000
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a URI of the shared folder, as Hadoop writes it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def row_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch, each with about ``most`` bytes (or one row) of a text or binary column."""
     at = batch.schema.get_field_index(column)
@@ -44,7 +50,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
 
 def file_groups(uri: str, text_column: str, most: int, columns: list[str], kinds: pa.Schema | None = None) -> Iterator[tuple[int, pa.RecordBatch, list[str]]]:
     """A committed file's rows in groups of about ``most`` bytes of text: first row's number, rows, texts. The same groups at every reading."""
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = opened(uri)
     with fs.open_input_file(path) as f:
         source, row = pq.ParquetFile(f), 0
         for g in range(source.num_row_groups):

@@ -32,13 +32,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import least_members
-from .common import discard, files_of, partitions, written
+from .common import discard, files_of, opened, partitions, written
 
 AXES = 8
 #: Vectors in an interval, and intervals at most (their boxes and pairs are all the driver sees): beyond, intervals hold more blocks.
@@ -196,7 +195,7 @@ class Stretch:
     """A file of the sorted sequence: the box of each row group, and the row groups as intervals."""
 
     def __init__(self, uri: str, axes: np.ndarray):
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = opened(uri)
         self.file, self.axes = pq.ParquetFile(fs.open_input_file(path)), axes
         self.held: dict[int, Interval] = {}
         self.boxes = []

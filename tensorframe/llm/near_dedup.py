@@ -39,12 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import least_members
-from .common import bytes_of, discard, few, file_groups, files_of, partitions, row_slices, written, written_small
+from .common import bytes_of, discard, few, file_groups, files_of, opened, partitions, row_slices, written, written_small
 from .textwords import U, grams, mix, words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -407,7 +406,7 @@ class Blocks:
         if part not in self.open:
             if len(self.open) >= 8:
                 self.open.popitem(last=False)
-            fs, path = pafs.FileSystem.from_uri(self.files[part])
+            fs, path = opened(self.files[part])
             source = pq.ParquetFile(fs.open_input_file(path))
             keys = source.read(columns=["piece", "block"])
             ends = np.cumsum([source.metadata.row_group(g).num_rows for g in range(source.num_row_groups)])

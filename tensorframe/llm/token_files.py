@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, text_slices
+from .common import new_path, opened, partitions, text_slices
 from .wordcodes import with_end, word_codes
 
 MAGIC = b"TFIDS001"
@@ -83,7 +82,7 @@ class ShardWriter:
     """Streams documents into one shard; only the index and one block stay in memory."""
 
     def __init__(self, path: str, bits: int):
-        fs, at = pafs.FileSystem.from_uri(path)
+        fs, at = opened(path)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
         self.out = fs.open_output_stream(at)
         self.bits, self.rest, self.n = bits, np.zeros(0, np.uint32), 0
@@ -123,7 +122,7 @@ class ShardReader:
     """Random access to a shard's documents."""
 
     def __init__(self, path: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(path)
+        self.fs, self.path = opened(path)
         self.file = self.fs.open_input_file(self.path)
         size = self.file.size()
         magic, self.bits, self.block_ids = HEADER.unpack(self.file.read_at(HEADER.size, 0))

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import files_of, partitions, written
+from .common import files_of, opened, partitions, written
 
 BLOCK, TILE, FAN_IN, PART_ROWS = 512, 8192, 16, 200_000
 EXACT = float(2**53)
@@ -111,7 +110,7 @@ class Shard:
 def query_blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors of each block that the files hold, one at a time."""
     for uri in files:
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = opened(uri)
         with fs.open_input_file(path) as f:
             for batch in pq.ParquetFile(f).iter_batches(16):
                 for ids, flat in zip(batch.column(0), batch.column(1), strict=True):
