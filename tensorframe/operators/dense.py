@@ -1,10 +1,13 @@
 """Contraction of two operands in blocks: numpy products where a join would form a row for every product.
 
 Both operands are numbered along batch, row (or column) and inner letters. Cells are gathered into
-blocks of SIDE rows by INNER inner places; every pair of a row block and a column block of one batch is a task's
+blocks of at least SIDE rows and at most SIDE * INNER cells; every pair of a row block and a column block of one batch is a task's
 work, for which the blocks of both sides are sent in order of the inner place. The task adds up one
-SIDE x SIDE result at a time and holds two blocks, so its memory is bounded whatever the tensors' sizes, and
+result block at a time and holds two blocks, so its memory is bounded whatever the tensors' sizes, and
 no product leaves it.
+
+A block is sent once for each block that it meets, so many small blocks mean much traffic. Where there are more pairs than tasks
+blocks are made wider, up to WIDER times SIDE rows, and span as many places as it takes to hold that many.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from ..functions.semiring import Semiring
 from ..sources.storage import partitions
 
 SIDE, INNER = 256, 2048
+#: Rows of a block at most, in multiples of SIDE; cells of a result that a task gives at once.
+WIDER, GIVEN = 8, 1 << 18
 #: Products from which blocks pay, and multiplications in blocks that one product of a join is worth.
 LEAST, WORTH = 1_000_000, 2_000
 EXACT = float(2**53)
@@ -40,12 +45,34 @@ def _number(letters: list[str], sizes: dict[str, int]):
     return scalars.linear_index([F.col(c) for c in letters], tuple(sizes[c] for c in letters))
 
 
-def blocks(df: DataFrame, batch: list[str], own: list[str], inner: list[str], sizes: dict[str, int], kind: str) -> DataFrame:
-    """g (if there is a batch), block, k (the inner block) and the block's cells (row, inner place, value)."""
+def rows_held(df: DataFrame, batch: list[str], own: list[str], sizes: dict[str, int]) -> tuple[int, int, int]:
+    """Numbers of rows that have cells, of batches that have, and of such rows in the fullest SIDE places of a batch."""
+    rows = df.select(_number(batch, sizes).alias("g"), _number(own, sizes).alias("r")).distinct()
+    full = rows.groupBy("g", F.expr(f"r div {SIDE}").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    by = full.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("m"))
+    found = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("g"), F.coalesce(F.max("m"), F.lit(1)).alias("m")).first()
+    return found.n, found.g, found.m
+
+
+def spans(a: DataFrame, b: DataFrame, batch: list[str], rows: list[str], columns: list[str], sizes: dict[str, int], tasks: int) -> tuple[int, int, int]:
+    """Places that a row block and a column block span, and inner places of both: more rows to a block while that leaves a pair for every task."""
+    pairs = prod(sizes[x] for x in batch) * prod(-(-prod(sizes[x] for x in own) // SIDE) for own in (rows, columns))
+    if pairs <= 4 * tasks:  # for fewer the counts do not pay
+        return SIDE, SIDE, INNER
+    (n, g, full), (m, h, fuller) = (rows_held(x, batch, own, sizes) for x, own in ((a, rows), (b, columns)))
+    wide = 1
+    while wide < WIDER and n * m >= 4 * tasks * max(1, min(g, h)) * (wide * SIDE) ** 2:
+        wide *= 2
+    return (*(SIDE * (wide * SIDE // x) for x in (full, fuller)), max(1, INNER // wide))
+
+
+def blocks(df: DataFrame, batch: list[str], own: list[str], inner: list[str], sizes: dict[str, int], kind: str, span: int, deep: int) -> DataFrame:
+    """g (if there is a batch), block, k (the inner block) and the block's cells: r (row), c (inner place), v."""
     g = ["g"] if batch else []
     cells = df.select(*(_number(batch, sizes).alias(c) for c in g), _number(own, sizes).alias("r"), _number(inner, sizes).alias("c"), F.col("v").cast(kind).alias("v"))
-    cells = cells.select(*g, F.expr(f"r div {SIDE}").alias("block"), F.expr(f"c div {INNER}").alias("k"), F.struct((F.col("r") % SIDE).cast("int").alias("r"), (F.col("c") % INNER).cast("int").alias("c"), "v").alias("x"))
-    return cells.groupBy(*g, "block", "k").agg(F.collect_list("x").alias("cells"))  # SIDE x INNER at most
+    cells = cells.select(*g, F.expr(f"r div {span}").alias("block"), F.expr(f"c div {deep}").alias("k"), F.struct((F.col("r") % span).cast("int").alias("r"), (F.col("c") % deep).cast("int").alias("c"), "v").alias("x"))
+    held = cells.groupBy(*g, "block", "k").agg(F.collect_list("x").alias("x"))  # SIDE x INNER at most
+    return held.select(*g, "block", "k", *(F.col(f"x.{c}").alias(c) for c in "rcv"))
 
 
 def paired(left: DataFrame, right: DataFrame, g: list[str], data: list[str], tasks: int, grid: tuple[int, int]) -> DataFrame:
@@ -120,51 +147,85 @@ def float_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers below n of x, sorted, and for each of x its place among them."""
+    held = np.zeros(n, bool)
+    held[x] = True
+    return np.flatnonzero(held), (np.cumsum(held) - 1)[x]
+
+
 def _matrix(rows: list[tuple[pa.RecordBatch, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, inner places and the values between them of a block (one row of the table)."""
     (batch, row), = rows
-    cells = batch.column(batch.num_columns - 1)
-    at = slice(*cells.offsets[row : row + 2].to_pylist())
-    r, c, v = (cells.values.field(k).to_numpy()[at] for k in range(3))
-    own, i = np.unique(r, return_inverse=True)
-    inner, j = np.unique(c, return_inverse=True)
+    r, c, v = (x.values.to_numpy()[slice(*x.offsets[row : row + 2].to_pylist())] for x in batch.columns[-3:])
+    (own, i), (inner, j) = (_places(x, int(x.max(initial=0)) + 1) for x in (r, c))
     out = np.zeros((len(own), len(inner)), v.dtype)
     out[i, j] = v
     return own, inner, out
 
 
+class _Sum:
+    """A block of the result: the rows and columns that have occurred, and the sums between them."""
+
+    def __init__(self) -> None:
+        self.rows = None
+
+    def add(self, rows: np.ndarray, columns: np.ndarray, more: np.ndarray) -> None:
+        if self.rows is None:
+            self.rows, self.columns, self.v = rows, columns, more
+            return
+        every, across = np.union1d(self.rows, rows), np.union1d(self.columns, columns)
+        if len(every) > len(self.rows) or len(across) > len(self.columns):
+            wider = np.zeros((len(every), len(across)), self.v.dtype)
+            wider[np.ix_(np.searchsorted(every, self.rows), np.searchsorted(across, self.columns))] = self.v
+            self.rows, self.columns, self.v = every, across, wider
+        at = np.ix_(np.searchsorted(every, rows), np.searchsorted(across, columns))
+        before = self.v[at]
+        after = before + more
+        if self.v.dtype == np.int64 and ((before > 0) & (more > 0) & (after < 0) | (before < 0) & (more < 0) & (after >= 0)).any():
+            raise OverflowError("a sum of products exceeds 64 bits")
+        self.v[at] = after
+
+    def given(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, columns and values that are not zero, some rows at a time."""
+        if self.rows is None:
+            return
+        step = max(1, GIVEN // max(1, len(self.columns)))
+        for first in range(0, len(self.rows), step):
+            part = self.v[first : first + step]
+            i, j = np.nonzero(part)
+            yield self.rows[first + i], self.columns[j], part[i, j]
+
+
 def contract(a: DataFrame, la: frozenset[str], b: DataFrame, lb: frozenset[str], keep: frozenset[str], sizes: dict[str, int], ring: Semiring) -> DataFrame:
     """The sum over the letters that both have and nobody keeps: the kept letters and v."""
     batch, inner = sorted(la & lb & keep), sorted((la & lb) - keep)
     g = ["g"] if batch else []
     rows, columns = sorted(la - lb), sorted(lb - la)
-    left, right = blocks(a, batch, rows, inner, sizes, ring.type), blocks(b, batch, columns, inner, sizes, ring.type)
-    whole = ring.type == "bigint"
-    multiply = exact_product if whole else float_product
+    tasks = 4 * partitions(a.sparkSession)
+    high, wide, deep = spans(a, b, batch, rows, columns, sizes, tasks)
+    left, right = blocks(a, batch, rows, inner, sizes, ring.type, high, deep), blocks(b, batch, columns, inner, sizes, ring.type, wide, deep)
+    multiply = exact_product if ring.type == "bigint" else float_product
 
     def run(batches):
-        acc = np.zeros((SIDE, SIDE), np.int64 if whole else np.float64)
+        held = _Sum()
 
         def add(x, y) -> None:
             _, i, j = np.intersect1d(x[1], y[1], assume_unique=True, return_indices=True)
             if len(i):
-                at = np.ix_(x[0], y[0])
-                before, more = acc[at], multiply(x[2][:, i], y[2][:, j])
-                acc[at] = before + more
-                if whole and ((before > 0) & (more > 0) & (acc[at] < 0) | (before < 0) & (more < 0) & (acc[at] >= 0)).any():
-                    raise OverflowError("a sum of products exceeds 64 bits")
+                held.add(x[0], y[0], multiply(x[2][:, i], y[2][:, j]))
 
         def done(key):
-            at = np.nonzero(acc)
-            v = acc[at]
-            acc[:] = 0
+            nonlocal held
             *own, i, j = key
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(v), x, np.int64)) for x in own), pa.array(at[0] + i * SIDE), pa.array(at[1] + j * SIDE), pa.array(v)], [*g, "r", "c", "v"])
+            for r, c, v in held.given():
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(v), x, np.int64)) for x in own), pa.array(r + i * high), pa.array(c + j * wide), pa.array(v)], [*g, "r", "c", "v"])
+            held = _Sum()
 
         yield from streamed(batches, len(g) + 2, _matrix, add, done)
 
-    grid = tuple(-(-prod(sizes[x] for x in letters) // SIDE) for letters in (rows, columns))
-    sent = paired(left, right, g, ["cells"], 4 * partitions(a.sparkSession), grid)
+    grid = tuple(-(-prod(sizes[x] for x in letters) // span) for letters, span in ((rows, high), (columns, wide)))
+    sent = paired(left, right, g, ["r", "c", "v"], tasks, grid)
     found = sent.mapInArrow(run, "".join(f"{c} bigint, " for c in g) + f"r bigint, c bigint, v {ring.type}")
     out = []
     for column, letters in (("g", batch), ("r", rows), ("c", columns)):

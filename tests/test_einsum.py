@@ -3,13 +3,14 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tensorframe.functions.semiring import SAT_U32, SAT_U64
 from tensorframe.operators import algebra
 from tensorframe.operators.einsum import accumulate, compile_spec, einsum, einsum_binary, einsum_fn, einsum_scalar, einsum_unary, multiply_count
 from tensorframe.plans import spec as S
 from tensorframe.sources import constructors as make
-from tensorframe.tensor import ShapeError, from_numpy, from_rows
+from tensorframe.tensor import ShapeError, Tensor, from_numpy, from_rows
 
 
 def seq(*shape, start=1):
@@ -226,6 +227,23 @@ def test_blocks_are_exact_and_leave_absent_cells_out(spark, monkeypatch):
     assert got == {(0, 0): float("inf"), (1, 1): 4.0}
 
 
+def test_blocks_of_spread_rows_are_sent_a_few_times(spark, monkeypatch):
+    """Rows of a batch that lie far apart share blocks, so a cell is not sent once for every SIDE places of the other side."""
+    from tensorframe.operators import dense
+
+    for name, value in (("LEAST", 0), ("SIDE", 4), ("INNER", 8), ("WORTH", 10**9)):
+        monkeypatch.setattr(dense, name, value)
+    sent, send = [], dense.paired
+    monkeypatch.setattr(dense, "paired", lambda *given: sent.append(send(*given)) or sent[-1])
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (3, 600, 6)) * (np.arange(600) * 7 % 3 == np.arange(3)[:, None])[:, :, None] * (rng.random((3, 600, 6)) < 0.5)
+    t = from_numpy(spark, x).materialised()
+    want = np.einsum("gab,gcb->gac", x, x)
+    halves = einsum("ghab,ghcb->ghac", *[Tensor(t.df.select(F.lit(0).cast("bigint").alias("i0"), F.col("i0").alias("i1"), F.col("i1").alias("i2"), F.col("i2").alias("i3"), "v"), (1, *t.shape), rows=t.rows)] * 2)
+    assert np.array_equal(halves.to_numpy()[0].astype(int), want)
+    assert sent[-1].count() < 10_000  # 150 * 150 * 2 * 3 with blocks of SIDE places
+
+
 def test_sparse_operands_are_joined(spark):
     from tensorframe.operators import dense
 
