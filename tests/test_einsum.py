@@ -242,6 +242,8 @@ def test_blocks_of_spread_rows_are_sent_a_few_times(spark, monkeypatch):
     halves = einsum("ghab,ghcb->ghac", *[Tensor(t.df.select(F.lit(0).cast("bigint").alias("i0"), F.col("i0").alias("i1"), F.col("i1").alias("i2"), F.col("i2").alias("i3"), "v"), (1, *t.shape), rows=t.rows)] * 2)
     assert np.array_equal(halves.to_numpy()[0].astype(int), want)
     assert sent[-1].count() < 10_000  # 150 * 150 * 2 * 3 with blocks of SIDE places
+    assert np.array_equal(algebra.batched_matmul(t, t.transpose(0, 2, 1)).to_numpy().astype(int), want)
+    assert sent[-1].count() < 10_000 and len(sent) == 2
 
 
 def test_sparse_operands_are_joined(spark):
