@@ -243,7 +243,9 @@ def test_blocks_of_spread_rows_are_sent_a_few_times(spark, monkeypatch):
     assert np.array_equal(halves.to_numpy()[0].astype(int), want)
     assert sent[-1].count() < 10_000  # 150 * 150 * 2 * 3 with blocks of SIDE places
     assert np.array_equal(algebra.batched_matmul(t, t.transpose(0, 2, 1)).to_numpy().astype(int), want)
-    assert sent[-1].count() < 10_000 and len(sent) == 2
+    assert sent[-1].count() < 10_000
+    assert np.array_equal(einsum("bqd,bkd->bqk", t, t).to_numpy().astype(int), want)
+    assert sent[-1].count() < 10_000 and len(sent) == 3
 
 
 def test_sparse_operands_are_joined(spark):
