@@ -101,6 +101,18 @@ def scaled(a: Tensor, factor: int) -> Tensor:
     return a.with_df(a.df.withColumn("v", (F.col("v") * factor).cast(a.kind)))
 
 
+def widened(a: Tensor) -> Tensor:
+    """Whole numbers with 38 digits, for products and sums that 64 bits may not hold; beyond 38 digits an overflow is an error."""
+    return replace(a, df=a.df.withColumn("v", F.col("v").cast("decimal(38,0)")), semiring=None)
+
+
+def narrowed(a: Tensor) -> Tensor:
+    """Whole numbers as 64-bit ones if all of them fit, else as they are."""
+    a = a.materialised("wide")
+    beyond = a.df.filter(~F.col("v").between(F.lit(-(2**63)), F.lit(2**63 - 1)))
+    return replace(a, df=a.df.withColumn("v", F.col("v").cast("bigint")), semiring=None) if beyond.isEmpty() else a
+
+
 def density(a: Tensor) -> DataFrame:
     """nnz, cells, density and, for a matrix, cells stored per row."""
     from math import prod
