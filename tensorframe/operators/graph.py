@@ -293,26 +293,44 @@ SOURCES = 256
 
 
 def diameter(a: Tensor) -> int:
-    """Greatest distance between connected nodes of the undirected graph; 0 without edges.
-
-    Two nodes on levels of at most d / 2 from a root are at most d apart. So, after a distance d has been found by
-    searching from a node farthest from each component's root, only nodes on deeper levels are searched from, the deepest
-    first, SOURCES at a time, until d rules out the rest.
-    """
+    """Greatest distance between connected nodes of the undirected graph; 0 without edges."""
     n = _square(a)
-    spark = a.df.sparkSession
     both = a.df.select("i0", "i1").unionByName(a.df.select(F.col("i1").alias("i0"), F.col("i0").alias("i1"))).filter("i0 <> i1").distinct()
     both = written(both, "neighbours")
     if both.isEmpty():
         return 0
-    comp = written(weak_components(Tensor(both.select("i0", "i1", F.lit(1).cast("bigint").alias("v")), (n, n))), "components")
-    degree = both.groupBy(F.col("i0").alias("node")).count()
+    return _longest(both, written(weak_components(Tensor(both.select("i0", "i1", F.lit(1).cast("bigint").alias("v")), (n, n))), "components"))
+
+
+def _longest(both: DataFrame, comp: DataFrame) -> int:
+    """The diameter from edges of both directions (i0, i1; at least one, no loops) and the components (node, comp).
+
+    Two nodes on levels of at most d / 2 from a root are at most d apart. So, after a distance d has been found by
+    searching from a node farthest from each component's root, only nodes on deeper levels are searched from, the deepest
+    first, SOURCES at a time, until d rules out the rest. The root is the node of most neighbours or, where that leaves fewer nodes, the
+    middle of a longest path found. Leaves of one node are as far from everything as each other: one of them is searched from.
+    """
+    near = written(both.groupBy(F.col("i0").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("i1").alias("only")), "degrees")
     deepest = lambda levels: levels.agg(F.max("level").alias("d")).first().d
-    hub = degree.join(comp, "node").groupBy("comp").agg(F.min(F.struct(-F.col("count"), "node")).alias("x")).select(F.col("x.node").alias("node"), F.col("comp").alias("root"))
-    levels = _levels(both, hub)
-    end = levels.groupBy("root").agg(F.min(F.struct(-F.col("level"), "node")).alias("x")).select(F.col("x.node").alias("node"), "root")
-    found = max(deepest(levels), deepest(_levels(both, end)))
-    deep = written(ranked(levels.filter(F.col("level") * 2 > found).withColumn("up", -F.col("level")).select("node", "level", "up"), "up", "node"), "deep")
+    first = lambda nodes, key, *order: nodes.groupBy(key).agg(F.min(F.struct(*order, "node")).alias("x")).select(F.col("x.node").alias("node"), F.col(key).alias("root"))
+    beyond = lambda levels, d: levels.filter(F.col("level") * 2 > d)
+    levels = _levels(both, first(near.join(comp, "node"), "comp", -F.col("degree")))
+    ahead = _levels(both, first(levels, "root", -F.col("level")))
+    found = max(deepest(levels), deepest(ahead))
+    if not beyond(levels, found).isEmpty():
+        back = _levels(both, first(ahead, "root", -F.col("level")))
+        found = max(found, deepest(back))
+        ends = ahead.groupBy("root").agg(F.max("level").alias("long"))
+        path = ahead.join(back.select("node", "root", F.col("level").alias("rest")), ["node", "root"]).join(ends, "root")
+        halves = path.filter("level + rest = long and level = long div 2").join(near, "node")
+        middle = _levels(both, first(halves, "root", -F.col("degree")))
+        found = max(found, deepest(middle))
+        left = lambda x, name: beyond(x, found).groupBy("root").agg(F.count(F.lit(1)).alias(name))
+        better = left(levels, "n").join(left(middle, "m"), "root", "left").filter("coalesce(m, 0) < n").select("root")
+        levels = levels.join(better, "root", "left_anti").unionByName(middle.join(better, "root", "left_semi"))
+    deep = beyond(levels, found).join(near, "node").select("node", "level", F.when(F.col("degree") == 1, F.col("only")).otherwise(F.col("node")).alias("at"), (F.col("degree") == 1).alias("leaf"))
+    deep = deep.groupBy("at", "leaf").agg(F.min(F.struct("node", "level")).alias("x")).select("x.node", "x.level", (-F.col("x.level")).alias("up"))
+    deep = written(ranked(deep, "up", "node"), "deep")
     todo, done = deep.count(), 0
     while done < todo:
         some = deep.filter((F.col("rank") >= done) & (F.col("rank") < done + SOURCES))

@@ -221,6 +221,19 @@ def test_diameter_equals_brute_force(spark, monkeypatch, sources):
     assert graph.diameter(matrix(spark, 9, ring)) == 4
 
 
+def test_diameter_searches_few_nodes(spark, monkeypatch):
+    """A search from the middle settles trees; of the leaves of a node one is searched from."""
+    monkeypatch.setattr(graph, "SOURCES", 1)
+    searched, search = [], graph._levels
+    monkeypatch.setattr(graph, "_levels", lambda *x: searched.append(1) or search(*x))
+    tree = [(0, k) for k in range(1, 6)] + [(k, 6 * k + j) for k in range(1, 6) for j in range(5)] + [(1, 40)]
+    ring = [(k, (k + 1) % 5) for k in range(5)] + [(k, 5 * k + 5 + j) for k in range(5) for j in range(4)]
+    for n, pairs, most in ((41, tree, 4), (30, ring, 8)):
+        searched.clear()
+        assert graph.diameter(matrix(spark, n, pairs)) == distances(n, pairs).max() == 4
+        assert len(searched) <= most
+
+
 def test_reordering_follows_the_textbook(spark):
     """Level by level: first parent, degree, number; reversed at the end."""
     rng = random.Random(5)
