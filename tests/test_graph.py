@@ -51,6 +51,27 @@ def test_sums_and_stability(spark):
         graph.power_until_stable(matrix(spark, 3, [(0, 1), (1, 2), (2, 0)]), max_iter=5)
 
 
+def test_stable_pattern_equals_squaring(spark, monkeypatch):
+    """Symmetric patterns with a full diagonal form no products; the matrix and the number of squarings are those of squaring."""
+    from tensorframe.functions.semiring import BOOL
+
+    monkeypatch.setattr(graph, "MEMBERS", 3)
+    shapes = [(4, []), (8, [(0, 1), (2, 3), (2, 4), (2, 5), (2, 6)]), (7, [(i, i + 1) for i in range(5)])]
+    squared, product = [], graph.matmul
+    monkeypatch.setattr(graph, "matmul", lambda *x: squared.append(1) or product(*x))
+    for n, pairs in shapes:
+        full = lambda ring: algebra.add(make.from_edges_undirected(edges(spark, [p for p in pairs if p[0] != p[1]]), n, ring()), make.identity(spark, n, ring()))  # noqa: E731, B023
+        found, k = graph.power_until_stable(full(BOOL))
+        assert not squared
+        want, steps = graph.power_until_stable(full(SAT_U32))
+        squared.clear()
+        assert cells(found) == [(i, j, 1) for i, j, _ in cells(want)] and k == steps
+    arrow, _ = graph.power_until_stable(algebra.add(matrix(spark, 4, [(0, 1), (1, 2), (2, 3)], semiring=BOOL()), make.identity(spark, 4, BOOL())))
+    assert cells(arrow) == [(i, j, 1) for i in range(4) for j in range(i, 4)] and squared
+    with pytest.raises(graph.NotConverged):
+        graph.power_until_stable(algebra.add(make.from_edges_undirected(edges(spark, [(i, i + 1) for i in range(8)]), 9, BOOL()), make.identity(spark, 9, BOOL())), max_iter=3)
+
+
 def test_components(spark):
     two = make.from_edges_undirected(edges(spark, [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3)]), 6)
     assert labels(graph.weak_components(two)) == labels(graph.strong_components(two)) == [0, 0, 0, 1, 1, 1]
