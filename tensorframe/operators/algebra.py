@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.semiring import Semiring, common
+from ..sources.storage import partitions
 from ..tensor import ShapeError, Tensor
 from . import dense
 from .einsum import compile_spec
@@ -121,6 +124,55 @@ def density(a: Tensor) -> DataFrame:
     return a.df.agg(F.count(F.lit(1)).alias("nnz")).select("nnz", F.lit(total).cast("bigint").alias("cells"), (F.col("nnz") / F.lit(max(total, 1))).alias("density"), (F.col("nnz") / F.lit(max(a.shape[0] if a.shape else 1, 1))).alias("per_row"))
 
 
+#: Places that a task gathers before it sends them on, and places that are marked at once.
+PIECE, SPAN = 1 << 22, 1 << 23
+
+
+def distinct_cells(a: Tensor) -> DataFrame:
+    """places: the exact number of different index tuples within the shape, for tensors of too many cells to send each as a row.
+
+    Places (row-major) are sorted in pieces and sent by span of places, as gaps in planes of bytes, which storage compresses to
+    little over a byte each; a span's places are marked in an array.
+    """
+    piece, span = PIECE, SPAN
+    inside = F.lit(True)
+    for c, n in zip(a.index, a.shape, strict=True):
+        inside = inside & F.col(c).between(0, n - 1)
+    places = a.df.filter(inside).select(scalars.linear_index([F.col(c) for c in a.index], a.shape).alias("place"))
+
+    def packed(held):
+        x = np.unique(np.concatenate(held))
+        keys, first = np.unique(x // span, return_index=True)
+        parts = [np.diff(part, prepend=key * span).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for key, part in zip(keys.tolist(), np.split(x, first[1:]), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["span", "gaps"])
+
+    def gathered(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch.column(0).to_numpy())
+                n += batch.num_rows
+            if n >= piece:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def counted(batches):
+        now, marked, n = None, np.zeros(span, bool), 0
+        for batch in batches:
+            for key, gaps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key != now:
+                    n += int(marked.sum())
+                    now, marked[:] = key, False
+                planes = np.frombuffer(gaps.as_buffer(), np.uint8).reshape(4, -1)
+                marked[np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([n + int(marked.sum())], pa.int64())], ["n"])
+
+    sent = places.mapInArrow(gathered, "span bigint, gaps binary").repartition(4 * partitions(a.df.sparkSession), "span").sortWithinPartitions("span")
+    return sent.mapInArrow(counted, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("places"))
+
+
 def search(sorted_values: DataFrame, queries: DataFrame) -> DataFrame:
     """Binary search as a join: for each q its place among the distinct x (rank) and whether it is there.
 

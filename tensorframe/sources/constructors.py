@@ -160,9 +160,9 @@ def with_density(spark: SparkSession, shape: tuple[int, ...], density: float, se
             right = F.pmod(right + F.pmod(draw(2 * k + 1, left), F.lit(wide)), F.lit(wide))
         return left * wide + right
 
-    start = permuted(F.col("id"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda x, _: F.when(x < total, x).otherwise(permuted(x)))
-    places = spark.range(count).select(walk.alias("place"))
+    start = spark.range(count).select(permuted(F.col("id")).alias("at"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("at"), lambda x, _: F.when(x < total, x).otherwise(permuted(x)))
+    places = start.select(F.when(F.col("at") < total, F.col("at")).otherwise(walk).alias("place"))  # few walk: a step of the lambda is slow
     value = F.pmod(F.xxhash64(F.lit(seed), F.lit("v"), "place"), F.lit(1 << 53)) / float(1 << 53)
     return Tensor(places.select(*(c.alias(f"i{k}") for k, c in enumerate(scalars.coordinates(F.col("place"), shape))), value.alias("v")), shape, rows=count)
 

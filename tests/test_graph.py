@@ -293,6 +293,25 @@ def test_density_is_exact(spark):
     assert cells(make.with_density(spark, (30, 30), 0.3, 1)) != cells(make.with_density(spark, (30, 30), 0.3, 2))
 
 
+def test_distinct_cells_without_a_row_for_each(spark, monkeypatch):
+    """Repeated cells count once, within a piece and across; cells outside the shape do not; no cell is sent as a row."""
+    from tensorframe.tensor import Tensor
+
+    monkeypatch.setattr(algebra, "PIECE", 50)
+    monkeypatch.setattr(algebra, "SPAN", 64)
+    rng = random.Random(3)
+    held = [(rng.randrange(-1, 21), rng.randrange(31)) for _ in range(900)]
+    t = Tensor(spark.createDataFrame([(i, j, 1) for i, j in held], "i0 bigint, i1 bigint, v bigint").repartition(5), (20, 30))
+    assert algebra.distinct_cells(t).first().places == len({(i, j) for i, j in held if 0 <= i < 20 and j < 30})
+    assert algebra.distinct_cells(make.empty(spark, (3, 3))).first().places == 0
+    t = make.with_density(spark, (70, 90), 0.5, 2)
+    assert algebra.distinct_cells(t).first().places == 3150
+    from tensorframe import queries
+
+    plan = queries.QUERIES["s16_with_density"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Expand" not in plan  # rows of a distinct count
+
+
 def test_static_index(spark):
     import bisect
 
