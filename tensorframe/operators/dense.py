@@ -1,8 +1,8 @@
 """Contraction of two operands in blocks: numpy products where a join would form a row for every product.
 
 Both operands are numbered along batch, row (or column) and inner letters. Cells are gathered into
-blocks of at least SIDE rows and at most SIDE * INNER cells; every pair of a row block and a column block of one batch is a task's
-work, for which the blocks of both sides are sent in order of the inner place. The task adds up one
+blocks of at least SIDE rows and at most SIDE * INNER cells, packed in as few bytes as their values need; every pair of a row block and
+a column block of one batch is a task's work, for which the blocks of both sides are sent in order of the inner place. The task adds up one
 result block at a time and holds two blocks, so its memory is bounded whatever the tensors' sizes, and
 no product leaves it.
 
@@ -30,6 +30,8 @@ WIDER, GIVEN = 8, 1 << 18
 #: Products from which blocks pay, and multiplications in blocks that one product of a join is worth.
 LEAST, WORTH = 1_000_000, 2_000
 EXACT = float(2**53)
+#: Cells that a task packs at once, and the columns of a block's cells.
+PIECE, DATA = 1 << 19, ["kind", "own", "inner", "at", "cells"]
 
 
 def worthwhile(node, sizes: dict[str, int], ring: Semiring) -> bool:
@@ -66,23 +68,100 @@ def spans(a: DataFrame, b: DataFrame, batch: list[str], rows: list[str], columns
     return (*(SIDE * (wide * SIDE // x) for x in (full, fuller)), max(1, INNER // wide))
 
 
-def blocks(df: DataFrame, batch: list[str], own: list[str], inner: list[str], sizes: dict[str, int], kind: str, span: int, deep: int) -> DataFrame:
-    """g (if there is a batch), block, k (the inner block) and the block's cells: r (row), c (inner place), v."""
-    g = ["g"] if batch else []
-    cells = df.select(*(_number(batch, sizes).alias(c) for c in g), _number(own, sizes).alias("r"), _number(inner, sizes).alias("c"), F.col("v").cast(kind).alias("v"))
-    cells = cells.select(*g, F.expr(f"r div {span}").alias("block"), F.expr(f"c div {deep}").alias("k"), F.struct((F.col("r") % span).cast("int").alias("r"), (F.col("c") % deep).cast("int").alias("c"), "v").alias("x"))
-    held = cells.groupBy(*g, "block", "k").agg(F.collect_list("x").alias("x"))  # SIDE x INNER at most
-    return held.select(*g, "block", "k", *(F.col(f"x.{c}").alias(c) for c in "rcv"))
+def _wanted(df: DataFrame, batch: list[str], own: list[str], inner: list[str], sizes: dict[str, int], kind: str) -> DataFrame:
+    """g (if there is a batch), r (row), c (inner place) and v of the cells that can meet another."""
+    names = ["g"] * bool(batch) + ["c", "v"]
+    cells = df.select(*(_number(batch, sizes).alias(c) for c in names if c == "g"), _number(own, sizes).alias("r"), _number(inner, sizes).alias("c"), F.col("v").cast(kind).alias("v"))
+    return cells.filter(" and ".join(f"{c} is not null" for c in names))
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Integers in as few bytes as hold all of them; other values as they are."""
+    if len(x) and x.dtype == np.int64:
+        for kind in (np.int8, np.int16, np.int32):
+            if np.iinfo(kind).min <= x.min() and x.max() <= np.iinfo(kind).max:
+                return x.astype(kind)
+    return x
+
+
+def gathered(batches: Iterator[pa.RecordBatch], span: int, deep: int, piece: int) -> Iterator[pa.RecordBatch]:
+    """The cells of a task by g, block and k (the inner block), side by side in few bytes: a row for each of these and ``piece`` cells."""
+    held, n = [], 0
+
+    def packed() -> pa.RecordBatch:
+        *g, r, c, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys = [*g, r // span, c // deep]
+        order = np.lexsort(keys[::-1])
+        keys = [x[order] for x in keys]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in keys], axis=0)]))
+        r, c, v = (_narrow(x[order]) for x in (r % span, c % deep, v))
+        cells = np.empty(len(order), [("r", r.dtype), ("c", c.dtype), ("v", v.dtype)])
+        cells["r"], cells["c"], cells["v"] = r, c, v
+        ends = (np.append(starts, len(order)) * cells.itemsize).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(cells.tobytes())])
+        kinds = pa.array([" ".join(x.dtype.str for x in (r, c, v))] * len(starts))
+        return pa.RecordBatch.from_arrays([*(pa.array(x[starts]) for x in keys), kinds, data], [*["g"] * len(g), "block", "k", "kinds", "cells"])
+
+    for batch in batches:
+        if batch.column(batch.num_columns - 3).null_count:
+            raise ValueError("a cell without an index")
+        if batch.num_rows:
+            held.append([x.to_numpy() for x in batch.columns])
+            n += batch.num_rows
+        if n >= piece:
+            yield packed()
+            held, n = [], 0
+    if n:
+        yield packed()
+
+
+def merged(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of the sorted pieces: its rows, inner places and values, all between them or (where these take more) those ``at`` some places."""
+    now, held = None, []
+
+    def block() -> pa.RecordBatch:
+        r, c, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        (own, i), (inner, j), v = _places(r, int(r.max()) + 1), _places(c, int(c.max()) + 1), _narrow(v)
+        at = i * len(inner) + j
+        if len(own) * len(inner) * v.itemsize <= len(v) * (4 + v.itemsize):
+            full = np.zeros(len(own) * len(inner), v.dtype)
+            full[at] = v
+            at, v = at[:0], full
+        data = (x.tobytes() for x in (own.astype(np.uint32), inner.astype(np.uint32), at.astype(np.uint32), v))
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in now), pa.array([v.dtype.str]), *(pa.array([x], pa.binary()) for x in data)], [*names, *DATA])
+
+    for batch in batches:
+        *keys, kinds, pieces = batch.columns
+        for key, kind, piece in zip(zip(*(x.to_pylist() for x in keys), strict=True), kinds.to_pylist(), pieces, strict=True):
+            if key != now:
+                if held:
+                    yield block()
+                now, held = key, []
+            cells = np.frombuffer(piece.as_buffer(), [(n, x) for n, x in zip("rcv", kind.split(), strict=True)])
+            held.append([cells["r"].astype(np.int64), cells["c"].astype(np.int64), cells["v"].astype(np.float64 if cells["v"].dtype.kind == "f" else np.int64)])
+    if held:
+        yield block()
+
+
+def blocks(cells: DataFrame, g: list[str], span: int, deep: int, tasks: int) -> DataFrame:
+    """g, block, k (the inner block) and the block's cells. Cells are packed before they are sent, as a row of a table takes many times their bytes."""
+    keys, piece = [*g, "block", "k"], PIECE
+    kinds = ", ".join(f"{c} bigint" for c in keys)
+    sent = cells.mapInArrow(lambda batches: gathered(batches, span, deep, piece), f"{kinds}, kinds string, cells binary")
+    held = sent.repartition(tasks, *keys).sortWithinPartitions(*keys)
+    return held.mapInArrow(lambda batches: merged(batches, keys), f"{kinds}, kind string, own binary, inner binary, at binary, cells binary")
 
 
-def paired(left: DataFrame, right: DataFrame, g: list[str], data: list[str], tasks: int, grid: tuple[int, int]) -> DataFrame:
+def paired(left: DataFrame, right: DataFrame, g: list[str], data: list[str], tasks: int, grid: tuple[int, int], held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Columns g, i, j (the blocks that meet), k, side and data, sorted so that each pair's blocks come by k, left before right.
 
-    With batch columns g a block goes to the blocks that its batch holds on the other side; without, to all of the ``grid``.
+    With batch columns g a block goes to the blocks that its batch holds on the other side (``held``, if these are
+    at hand, has the g and block of both sides); without, to all of the ``grid``.
     """
     if g:
-        a = left.join(right.select(*g, F.col("block").alias("j")).distinct(), g)
-        b = right.join(left.select(*g, F.col("block").alias("i")).distinct(), g)
+        there, here = (x.select(*g, "block").distinct() for x in held or (left, right))
+        a = left.join(here.withColumnRenamed("block", "j"), g)
+        b = right.join(there.withColumnRenamed("block", "i"), g)
         place = F.pmod(F.xxhash64(*g, "i", "j"), F.lit(tasks)).cast("int")
     else:
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
@@ -157,11 +236,14 @@ def _places(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _matrix(rows: list[tuple[pa.RecordBatch, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, inner places and the values between them of a block (one row of the table)."""
     (batch, row), = rows
-    r, c, v = (x.values.to_numpy()[slice(*x.offsets[row : row + 2].to_pylist())] for x in batch.columns[-3:])
-    (own, i), (inner, j) = (_places(x, int(x.max(initial=0)) + 1) for x in (r, c))
-    out = np.zeros((len(own), len(inner)), v.dtype)
-    out[i, j] = v
-    return own, inner, out
+    kind, *data = (batch.column(c)[row] for c in range(batch.num_columns - len(DATA), batch.num_columns))
+    own, inner, at, v = (np.frombuffer(x.as_buffer(), t) for x, t in zip(data, (np.uint32, np.uint32, np.uint32, kind.as_py()), strict=True))
+    wide = v.astype(np.float64 if v.dtype.kind == "f" else np.int64)
+    if len(at):
+        out = np.zeros(len(own) * len(inner), wide.dtype)
+        out[at] = wide
+        wide = out
+    return own.astype(np.int64), inner.astype(np.int64), wide.reshape(len(own), len(inner))
 
 
 class _Sum:
@@ -204,7 +286,9 @@ def contract(a: DataFrame, la: frozenset[str], b: DataFrame, lb: frozenset[str],
     rows, columns = sorted(la - lb), sorted(lb - la)
     tasks = 4 * partitions(a.sparkSession)
     high, wide, deep = spans(a, b, batch, rows, columns, sizes, tasks)
-    left, right = blocks(a, batch, rows, inner, sizes, ring.type, high, deep), blocks(b, batch, columns, inner, sizes, ring.type, wide, deep)
+    cells = [_wanted(x, batch, own, inner, sizes, ring.type) for x, own in ((a, rows), (b, columns))]
+    left, right = (blocks(x, g, span, deep, partitions(a.sparkSession)) for x, span in zip(cells, (high, wide), strict=True))
+    held = tuple(x.select(*g, F.expr(f"r div {span}").alias("block")) for x, span in zip(cells, (high, wide), strict=True))
     multiply = exact_product if ring.type == "bigint" else float_product
 
     def run(batches):
@@ -225,7 +309,7 @@ def contract(a: DataFrame, la: frozenset[str], b: DataFrame, lb: frozenset[str],
         yield from streamed(batches, len(g) + 2, _matrix, add, done)
 
     grid = tuple(-(-prod(sizes[x] for x in letters) // span) for letters, span in ((rows, high), (columns, wide)))
-    sent = paired(left, right, g, ["r", "c", "v"], tasks, grid)
+    sent = paired(left, right, g, DATA, tasks, grid, held)
     found = sent.mapInArrow(run, "".join(f"{c} bigint, " for c in g) + f"r bigint, c bigint, v {ring.type}")
     out = []
     for column, letters in (("g", batch), ("r", rows), ("c", columns)):

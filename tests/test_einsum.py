@@ -248,6 +248,38 @@ def test_blocks_of_spread_rows_are_sent_a_few_times(spark, monkeypatch):
     assert sent[-1].count() < 10_000 and len(sent) == 3
 
 
+def test_blocks_are_sent_in_few_bytes(spark, monkeypatch):
+    """t2_batched_scores: small integers take about a byte each where a block is sent for each that it meets."""
+    from tensorframe.operators import dense
+
+    sent, send = [], dense.paired
+    monkeypatch.setattr(dense, "paired", lambda *given: sent.append(send(*given)) or sent[-1])
+    x = np.random.default_rng(8).integers(-50, 51, (2, 300, 64))
+    t = from_numpy(spark, x).materialised()
+    got = algebra.batched_matmul(t, t.transpose(0, 2, 1))
+    assert sent[-1].toArrow().nbytes < 2 * 4 * x.size  # each cell 4 times: to two blocks of the other side, as row and as column
+    assert np.array_equal(got.to_numpy().astype(int), np.einsum("gab,gcb->gac", x, x))
+
+
+def test_packed_cells_keep_their_values(spark, monkeypatch):
+    from tensorframe.operators import dense
+
+    monkeypatch.setattr(dense, "LEAST", 0)
+    monkeypatch.setattr(dense, "PIECE", 5)
+    for values in ([-1, 2**62 - 1], [-(2**62), 127], [-129, 2**31], [2**53 + 1, -3]):
+        t = from_rows(spark, [(0, i, 0, v) for i, v in enumerate(values)], (1, 2, 1)).materialised()
+        one = from_rows(spark, [(0, 0, 0, 1)], (1, 1, 1)).materialised()
+        assert {(r.i1, r.v) for r in einsum("gab,gbc->gac", t, one).df.collect()} == set(enumerate(values))
+    nan = from_rows(spark, [(0, 0, 0, float("nan")), (0, 1, 0, 0.1)], (1, 2, 1), "double").materialised()
+    got = {(r.i1, r.i2): r.v for r in einsum("gab,gcb->gac", nan, nan).df.collect()}
+    assert got[1, 1] == 0.1 * 0.1 and all(np.isnan(got[k]) for k in ((0, 0), (0, 1), (1, 0)))
+    far = from_rows(spark, [(g, 7 * i, 300 * i, g + i) for g in range(1, 3) for i in range(1, 40)], (3, 300, 12_000)).materialised()
+    assert {(r.i0, r.i1, r.i2): r.v for r in algebra.batched_matmul(far, far.transpose(0, 2, 1)).df.collect()} == {(g, 7 * i, 7 * i): (g + i) ** 2 for g in range(1, 3) for i in range(1, 40)}
+    null = spark.createDataFrame([(None, 0, 0, 5), (0, 1, 0, 3)], "i0 bigint, i1 bigint, i2 bigint, v bigint")  # as a join: no label, no pair
+    half = Tensor(null, (1, 2, 1), rows=2)
+    assert [tuple(r) for r in einsum("gab,gcb->gac", half, half).df.collect()] == [(0, 1, 1, 9)]
+
+
 def test_sparse_operands_are_joined(spark):
     from tensorframe.operators import dense
 
