@@ -47,13 +47,21 @@ def _number(letters: list[str], sizes: dict[str, int]):
     return scalars.linear_index([F.col(c) for c in letters], tuple(sizes[c] for c in letters))
 
 
-def rows_held(df: DataFrame, batch: list[str], own: list[str], sizes: dict[str, int]) -> tuple[int, int, int]:
-    """Numbers of rows that have cells, of batches that have, and of such rows in the fullest SIDE places of a batch."""
+def _widths(size: int) -> list[int]:
+    """Multiples of SIDE, each up to an eighth more than the last, that a block of so many places may span."""
+    most = min(WIDER * SIDE, -(-size // SIDE))
+    return sorted({x << k for k in range(most.bit_length()) for x in range(1, 16) if x << k < most} | {most})
+
+
+def rows_held(df: DataFrame, batch: list[str], own: list[str], sizes: dict[str, int]) -> tuple[int, int, dict[int, int]]:
+    """Numbers of rows that have cells and of batches that have, and by width the most such rows of a batch in that many times SIDE places."""
     rows = df.select(_number(batch, sizes).alias("g"), _number(own, sizes).alias("r")).distinct()
     full = rows.groupBy("g", F.expr(f"r div {SIDE}").alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    by = full.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("m"))
-    found = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("g"), F.coalesce(F.max("m"), F.lit(1)).alias("m")).first()
-    return found.n, found.g, found.m
+    widths = F.explode(F.array(*(F.lit(x).cast("bigint") for x in _widths(prod(sizes[x] for x in own)))))
+    wider = full.select("g", "block", "n", widths.alias("width")).groupBy("g", "width", F.expr("block div width").alias("block")).agg(F.sum("n").alias("n"))
+    by = wider.groupBy("g", "width").agg(F.sum("n").alias("n"), F.max("n").alias("m"))
+    found = by.groupBy("width").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.max("m").alias("m")).collect()
+    return (found[0].n, found[0].g, {x.width: x.m for x in found}) if found else (0, 0, {1: 0})
 
 
 def spans(a: DataFrame, b: DataFrame, batch: list[str], rows: list[str], columns: list[str], sizes: dict[str, int], tasks: int) -> tuple[int, int, int]:
@@ -65,7 +73,7 @@ def spans(a: DataFrame, b: DataFrame, batch: list[str], rows: list[str], columns
     wide = 1
     while wide < WIDER and n * m >= 4 * tasks * max(1, min(g, h)) * (wide * SIDE) ** 2:
         wide *= 2
-    return (*(SIDE * (wide * SIDE // x) for x in (full, fuller)), max(1, INNER // wide))
+    return (*(SIDE * max(w for w, held in x.items() if held <= wide * SIDE) for x in (full, fuller)), max(1, INNER // wide))
 
 
 def _wanted(df: DataFrame, batch: list[str], own: list[str], inner: list[str], sizes: dict[str, int], kind: str) -> DataFrame:
@@ -162,7 +170,7 @@ def paired(left: DataFrame, right: DataFrame, g: list[str], data: list[str], tas
         there, here = (x.select(*g, "block").distinct() for x in held or (left, right))
         a = left.join(here.withColumnRenamed("block", "j"), g)
         b = right.join(there.withColumnRenamed("block", "i"), g)
-        place = F.pmod(F.xxhash64(*g, "i", "j"), F.lit(tasks)).cast("int")
+        place = ((F.pmod(F.xxhash64(*g), F.lit(tasks)) + F.col("i") * grid[1] + F.col("j")) % tasks).cast("int")  # a batch's pairs go to different tasks
     else:
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
         a, b = left.withColumn("j", every(grid[1])), right.withColumn("i", every(grid[0]))

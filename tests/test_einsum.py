@@ -280,6 +280,24 @@ def test_packed_cells_keep_their_values(spark, monkeypatch):
     assert [tuple(r) for r in einsum("gab,gcb->gac", half, half).df.collect()] == [(0, 1, 1, 9)]
 
 
+def test_blocks_hold_as_many_rows_as_they_may(spark, monkeypatch):
+    """t1_attention: rows that lie close in one place do not narrow every block, so each cell is sent to fewer."""
+    from tensorframe.operators import dense
+
+    for name, value in (("LEAST", 0), ("SIDE", 4), ("INNER", 8), ("WORTH", 10**9)):
+        monkeypatch.setattr(dense, name, value)
+    sent, send = [], dense.paired
+    monkeypatch.setattr(dense, "paired", lambda *given: sent.append(send(*given)) or sent[-1])
+    there = np.arange(1200) % 4 == 1
+    there[800:804] = True  # four of SIDE places, elsewhere one
+    x = np.random.default_rng(9).integers(1, 4, (2, 1200, 3)) * there[None, :, None]
+    t = from_numpy(spark, x).materialised()
+    assert np.array_equal(einsum("bqd,bkd->bqk", t, t).to_numpy().astype(int), np.einsum("gab,gcb->gac", x, x))
+    blocks = 11  # of 303 rows by 28 to 32; 38 of them with 8 SIDE places each
+    assert sent[-1].count() <= 2 * 2 * blocks**2 * 3
+    assert dense.spans(t.named("bqd"), t.named("bkd"), ["b"], ["q"], ["k"], {"b": 2, "q": 1200, "k": 1200}, 1)[0] * blocks >= 1200
+
+
 def test_sparse_operands_are_joined(spark):
     from tensorframe.operators import dense
 
