@@ -30,7 +30,7 @@ WIDER, GIVEN = 8, 1 << 18
 #: Products from which blocks pay, and multiplications in blocks that one product of a join is worth.
 LEAST, WORTH = 1_000_000, 2_000
 EXACT = float(2**53)
-#: Cells that a task packs at once, and the columns of a block's cells.
+#: Cells that a task packs at once (and bytes of blocks that it gives at once), and the columns of a block's cells.
 PIECE, DATA = 1 << 19, ["kind", "own", "inner", "at", "cells"]
 
 
@@ -125,9 +125,9 @@ def gathered(batches: Iterator[pa.RecordBatch], span: int, deep: int, piece: int
 
 def merged(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """One row for each block of the sorted pieces: its rows, inner places and values, all between them or (where these take more) those ``at`` some places."""
-    now, held = None, []
+    now, held, ready, size = None, [], [], 0
 
-    def block() -> pa.RecordBatch:
+    def block() -> tuple:
         r, c, v = (np.concatenate(x) for x in zip(*held, strict=True))
         (own, i), (inner, j), v = _places(r, int(r.max()) + 1), _places(c, int(c.max()) + 1), _narrow(v)
         at = i * len(inner) + j
@@ -135,20 +135,28 @@ def merged(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
             full = np.zeros(len(own) * len(inner), v.dtype)
             full[at] = v
             at, v = at[:0], full
-        data = (x.tobytes() for x in (own.astype(np.uint32), inner.astype(np.uint32), at.astype(np.uint32), v))
-        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in now), pa.array([v.dtype.str]), *(pa.array([x], pa.binary()) for x in data)], [*names, *DATA])
+        return (*now, v.dtype.str, *(x.tobytes() for x in (own.astype(np.uint32), inner.astype(np.uint32), at.astype(np.uint32), v)))
+
+    def given() -> pa.RecordBatch:
+        kinds = [pa.int64()] * len(names) + [pa.string()] + [pa.binary()] * (len(DATA) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*ready, strict=True), kinds, strict=True)], [*names, *DATA])
 
     for batch in batches:
         *keys, kinds, pieces = batch.columns
         for key, kind, piece in zip(zip(*(x.to_pylist() for x in keys), strict=True), kinds.to_pylist(), pieces, strict=True):
             if key != now:
                 if held:
-                    yield block()
+                    ready.append(block())
+                    size += sum(map(len, ready[-1][-4:]))
+                if size >= PIECE or len(ready) >= 1000:
+                    yield given()
+                    ready, size = [], 0
                 now, held = key, []
             cells = np.frombuffer(piece.as_buffer(), [(n, x) for n, x in zip("rcv", kind.split(), strict=True)])
             held.append([cells["r"].astype(np.int64), cells["c"].astype(np.int64), cells["v"].astype(np.float64 if cells["v"].dtype.kind == "f" else np.int64)])
     if held:
-        yield block()
+        ready.append(block())
+        yield given()
 
 
 def blocks(cells: DataFrame, g: list[str], span: int, deep: int, tasks: int) -> DataFrame:
