@@ -77,7 +77,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens: null and empty texts are an end token, repeated rows are packed one by one, null doc_ids are kept."""
-    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2)
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, keep_codes=False)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import least_members
-from .common import bytes_of, discard, few, file_groups, files_of, opened, partitions, row_slices, written, written_small
+from .common import bytes_of, discard, few, file_groups, files_of, lean, opened, partitions, row_slices, written, written_small
 from .textwords import U, grams, mix, words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -178,8 +178,8 @@ def document_frequencies(files: list[str], numbers: DataFrame, parts: int, tasks
             columns = zip(*keys[a : a + 256], strict=True)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(data, pa.binary())], ["file", "group", "part", "data"])
 
-    asks = numbers.mapInArrow(ask, "part int, file int, group int, data binary, counts binary").repartitionById(parts, "part")
-    return asks.mapInArrow(answer, "file int, group int, part int, data binary").repartitionById(tasks, F.col("file") % tasks).sortWithinPartitions("file", "group", "part")
+    asks = numbers.mapInArrow(lean(ask), "part int, file int, group int, data binary, counts binary").repartitionById(parts, "part")
+    return asks.mapInArrow(lean(answer), "file int, group int, part int, data binary").repartitionById(tasks, F.col("file") % tasks).sortWithinPartitions("file", "group", "part")
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
@@ -325,7 +325,7 @@ def signatures(held: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     schema = "doc_id long, h long, d1 long, d2 long, bands array<long>, df binary, file int, row long"
     if not files:
         return spark.createDataFrame([], schema)
-    return document_frequencies(files, numbers, parts, tasks).mapInArrow(sign, schema)
+    return document_frequencies(files, numbers, parts, tasks).mapInArrow(lean(sign), schema)
 
 
 def with_texts(rows: DataFrame, files: list[str]) -> DataFrame:
@@ -361,7 +361,7 @@ def with_texts(rows: DataFrame, files: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*wanted.slice(a, b - a).columns, texts], [*names, "text"])
 
     sent = rows.repartitionById(tasks, F.col("file") % tasks).sortWithinPartitions("file", "row")
-    return sent.mapInArrow(read, rows.withColumn("text", F.lit("")).schema)
+    return sent.mapInArrow(lean(read), rows.withColumn("text", F.lit("")).schema)
 
 
 def verified(pairs: DataFrame, located: DataFrame, files: list[str], n: int, least: float) -> DataFrame:
@@ -391,7 +391,7 @@ def verified(pairs: DataFrame, located: DataFrame, files: list[str], n: int, lea
                 near = np.flatnonzero(similarities(left, right, Counted(n, left + right, p + q)) >= least)
                 yield pa.RecordBatch.from_arrays([pa.array([node[at[k]] for k in near], pa.int64()), pa.array([v[at[k]] for k in near], pa.int64())], ["u", "v"])
 
-    return written(dealt.mapInArrow(compare, "u long, v long").repartition(few(spark)), "near-links")
+    return written(dealt.mapInArrow(lean(compare), "u long, v long").repartition(few(spark)), "near-links")
 
 
 class Blocks:
@@ -487,7 +487,7 @@ def in_blocks(own: DataFrame, located: DataFrame, texts: list[str], n_docs: int,
     def gathered(key, nodes, held, df) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([np.array(nodes, "<i8").tobytes()], pa.binary()), pa.array([packed_sets(held, df)], pa.binary())], ["piece", "block", "nodes", "sets"])
 
-    table = written(rows.mapInArrow(gather, "piece long, block int, nodes binary, sets binary"), "near-blocks", **{"parquet.block.row.count.limit": "4"})
+    table = written(rows.mapInArrow(lean(gather), "piece long, block int, nodes binary, sets binary"), "near-blocks", **{"parquet.block.row.count.limit": "4"})
     files = {int(re.search(r"part-([0-9]+)", f.rpartition("/")[2])[1]): f for f in files_of(table)}
 
     def solve(batches):
@@ -504,7 +504,7 @@ def in_blocks(own: DataFrame, located: DataFrame, texts: list[str], n_docs: int,
 
     pairs = open_.select("piece", F.explode(F.sequence("a", F.col("a") + F.col("b") - 1)).alias("y")).select("piece", "y", F.explode(F.sequence(F.lit(0), "y")).alias("x"))
     dealt = pairs.repartition(parts, "piece", "y", F.floor(F.col("x") / ACROSS)).sortWithinPartitions("piece", "y", "x")
-    found = written(dealt.select("piece", "x", "y", part("x").alias("at_x"), part("y").alias("at_y")).mapInArrow(solve, "u long, v long").repartition(few(spark)), "near-links")
+    found = written(dealt.select("piece", "x", "y", part("x").alias("at_x"), part("y").alias("at_y")).mapInArrow(lean(solve), "u long, v long").repartition(few(spark)), "near-links")
     discard(spark, table)
     return found
 

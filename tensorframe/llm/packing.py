@@ -15,14 +15,16 @@ Null doc_ids are kept. Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, row_slices, text_slices
-from .wordcodes import with_end, word_codes, word_hash, words_apart
+from .common import give_back, partitions, row_slices, text_slices
+from .wordcodes import forget, with_end, word_codes, word_hash, words_apart
 
 DIMS, BITS = 3, 10
 WIDTH = 1 << 14
@@ -110,9 +112,32 @@ def range_bounds(docs: DataFrame, parts: int, keep_space: bool) -> np.ndarray:
     return got.key.to_numpy()[np.minimum(np.searchsorted(share_below, np.arange(1, parts) / parts), len(got) - 1)]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, keep_space: bool = False, special_as_text: bool = False) -> DataFrame:
+def chopped(batches: Iterator[pa.RecordBatch], length: int, base: int, keep_codes: bool = True) -> Iterator[pa.RecordBatch]:
+    """The pieces of encoded documents in order; sequences are numbered from ``base``. Encoders of the process go unless ``keep_codes``."""
+    if not keep_codes:
+        forget()
+    give_back()  # what encoding freed
+    number, filled = 0, 0
+    for batch in (part for x in batches for part in row_slices(x, "ids")):
+        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
+        for doc, width, raw in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+            ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
+            start = 0
+            while start < len(ids):
+                take = min(length - filled, len(ids) - start)
+                for k, v in zip(out, (doc, start, take, len(ids), base + number, filled, ids[start : start + take].tobytes()), strict=True):
+                    out[k].append(v)
+                start, filled = start + take, filled + take
+                if filled == length:
+                    number, filled = number + 1, 0
+        yield pa.RecordBatch.from_pydict(out, schema=PIECES)
+
+
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, keep_space: bool = False, special_as_text: bool = False, keep_codes: bool = True) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` tokens.
 
+    Without ``keep_codes`` workers drop their encoders, with some hundred MB of chunks, when all is encoded.
+
     Returns doc_id, start, length, doc_tokens, sequence_id, offset and the piece's
     ids (binary, little-endian unsigned 32-bit).
     """
@@ -141,21 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 4096, ke
                 )
 
     def chop(batches):
-        number, filled = 0, 0
-        base = TaskContext.get().partitionId() << 32
-        for batch in (part for x in batches for part in row_slices(x, "ids")):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
-            for doc, width, raw in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
-                ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
-                start = 0
-                while start < len(ids):
-                    take = min(length - filled, len(ids) - start)
-                    for k, v in zip(out, (doc, start, take, len(ids), base + number, filled, ids[start : start + take].tobytes()), strict=True):
-                        out[k].append(v)
-                    start, filled = start + take, filled + take
-                    if filled == length:
-                        number, filled = number + 1, 0
-            yield pa.RecordBatch.from_pydict(out, schema=PIECES)
+        yield from chopped(batches, length, TaskContext.get().partitionId() << 32, keep_codes)
 
     coded = rows.mapInArrow(encode, "doc_id long, key long, part int, width int, ids binary")
     return coded.repartitionById(parts, "part").sortWithinPartitions("key", "doc_id", F.length("ids")).mapInArrow(chop, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import lean, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 CHAIN_GAP, DAMPING, THRESHOLD, SETTLED = 40, 0.3, 0.9, 1e-5
@@ -393,7 +393,7 @@ def find(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(SPAN))], ["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean>>")
+    return rows.mapInArrow(lean(scan), "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean>>")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -422,4 +422,4 @@ def mask(docs: DataFrame) -> DataFrame:
                 column = pa.array(clean, part.column(at).type, mask=part.column(at).is_null().to_numpy(zero_copy_only=False))
                 yield part.set_column(at, part.schema.field(at), column)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(lean(scan), docs.schema)

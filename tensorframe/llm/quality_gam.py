@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import lean, text_slices
 
 FIT_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 12, 6
@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Mo
             for part, t in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(features(t)), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(measure, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id")
+    got = rows.mapInArrow(lean(measure), "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id")
     return fit(np.array(got.x.tolist()).reshape(len(got), len(FEATURES)), got.quality.to_numpy(dtype=float))
 
 
@@ -253,4 +253,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     while name in docs.columns:
         name = f"{name}_"
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
-    return docs.mapInArrow(add, schema)
+    return docs.mapInArrow(lean(add), schema)

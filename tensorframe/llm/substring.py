@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bytes_of, file_groups, files_of, partitions, written
+from .common import bytes_of, file_groups, files_of, lean, partitions, written
 from .fm_index import FMIndex
 from .textwords import U, Words, encoded, grams, mix
 
@@ -366,10 +366,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id
         yield s.at[s.order[np.repeat(heads[k], copies) + 1 + inside]] + np.repeat(offset, copies), np.repeat(n, copies)
 
     numbers = spark.range(0, len(files), 1, tasks)
-    asked = numbers.mapInArrow(census, "part int, file int, group int, anchors binary, counts binary").repartitionById(parts, "part")
-    answers = asked.mapInArrow(answer, "file int, group int, part int, levels binary").repartitionById(tasks, F.col("file") % tasks)
-    pieces = answers.mapInArrow(fetch, "part int, pieces binary, texts binary").repartitionById(parts, "part")
-    found = pieces.mapInArrow(look_up, "task int, file int, data binary")
+    asked = numbers.mapInArrow(lean(census), "part int, file int, group int, anchors binary, counts binary").repartitionById(parts, "part")
+    answers = asked.mapInArrow(lean(answer), "file int, group int, part int, levels binary").repartitionById(tasks, F.col("file") % tasks)
+    pieces = answers.mapInArrow(lean(fetch), "part int, pieces binary, texts binary").repartitionById(parts, "part")
+    found = pieces.mapInArrow(lean(look_up), "task int, file int, data binary")
     every = numbers.select((F.col("id") % tasks).cast("int").alias("task"), F.col("id").cast("int").alias("file"), F.lit(b"").alias("data"))
     reports = written(found.union(every), "substring-reports")
-    return reports.repartitionById(tasks, "task").mapInArrow(finish, schema)
+    return reports.repartitionById(tasks, "task").mapInArrow(lean(finish), schema)

@@ -173,6 +173,11 @@ def word_codes(path: str, keep_space: bool, hashed: bool = False, special_as_tex
     return _loaded[key]
 
 
+def forget() -> None:
+    """Drops the encoders of this worker process, for whoever needs their memory next."""
+    _loaded.clear()
+
+
 def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Every text's ids followed by ``end_id``, and the new end offsets."""
     return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)

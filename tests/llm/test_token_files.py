@@ -140,3 +140,18 @@ def test_hilbert_is_a_curve():
     assert sorted(key) == list(range(512))
     steps = np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(axis=1)
     assert (steps == 1).all()
+
+
+def test_chopping_drops_the_encoder():
+    import pyarrow as pa
+
+    from tensorframe.llm import wordcodes
+
+    path = vocabulary("word_bpe_49k.json")
+    ids = [np.arange(n, dtype="<u2").tobytes() for n in (5, 9)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "key": [0, 0], "part": [0, 0], "width": [2, 2], "ids": ids})
+    for keep in (True, False):
+        held = wordcodes.word_codes(path, False, True)
+        pieces = [p for b in packing.chopped(iter([batch]), 8, 0, keep) for p in b.to_pylist()]
+        assert [(p["doc_id"], p["start"], p["length"], p["sequence_id"], p["offset"]) for p in pieces] == [(1, 0, 5, 0, 0), (2, 0, 3, 0, 5), (2, 3, 6, 1, 0)]
+        assert (held in wordcodes._loaded.values()) is keep
