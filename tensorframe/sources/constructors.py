@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from math import isqrt, prod
+from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.semiring import LONG, Semiring
 from ..tensor import ShapeError, Tensor
+from .storage import partitions
 
 
 def empty(spark: SparkSession, shape: tuple[int, ...], kind: str = "bigint") -> Tensor:
@@ -135,36 +138,67 @@ def random_graph(spark: SparkSession, n: int, m: int, seed: int = 0) -> Tensor:
     return from_edges(spark.range(m).select(src.alias("src"), F.when(dst >= src, dst + 1).otherwise(dst).alias("dst")), n)
 
 
-#: Rounds of the keyed permutation of cells, and steps of a walk that leaves places beyond the last cell.
-ROUNDS, STEPS = 4, 24
+#: Places (row-major) that are drawn at once.
+BLOCK = 1 << 17
 
 
-def with_density(spark: SparkSession, shape: tuple[int, ...], density: float, seed: int = 0) -> Tensor:
-    """Exactly floor(density * cells) distinct cells with values uniform in [0, 1).
+def density_blocks(spark: SparkSession, shape: tuple[int, ...], density: float, seed: int = 0):
+    """The parts of with_density(): a table of blocks (block, cells) and a function of both to a block's first place, its index columns and values.
 
-    The cells are the images of the first places under a keyed permutation, so only as many rows are made as
-    cells are wanted. The permutation works on a rectangle with at most sqrt(cells) places more; a place
-    beyond the last cell is permuted again (24 times at most: none is left after some 3).
+    Every set of floor(density * cells) cells is as likely as any other: the blocks' counts are binomial, and what they sum to too much (or too little) is
+    taken from members (or given to others) drawn from all blocks; within a block the same is done with single places. So a block's cells are known without
+    the others, lie within its own places and are the same wherever they are made.
     """
-    total = prod(shape)
+    total, block = prod(shape), BLOCK
     count = int(density * total)
-    wide = max(1, isqrt(total))
-    high = -(-total // wide)
-    draw = lambda k, x: F.xxhash64(F.lit(seed), F.lit(k), x)
-
-    def permuted(x):
-        left, right = (x - x % wide) / F.lit(wide), x % wide
-        left = left.cast("bigint")  # a whole number: exact below 2**53 cells
-        for k in range(ROUNDS):  # each half is shifted by a hash of the other: a bijection
-            left = F.pmod(left + F.pmod(draw(2 * k, right), F.lit(high)), F.lit(high))
-            right = F.pmod(right + F.pmod(draw(2 * k + 1, left), F.lit(wide)), F.lit(wide))
-        return left * wide + right
-
-    start = spark.range(count).select(permuted(F.col("id")).alias("at"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("at"), lambda x, _: F.when(x < total, x).otherwise(permuted(x)))
-    places = start.select(F.when(F.col("at") < total, F.col("at")).otherwise(walk).alias("place"))  # few walk: a step of the lambda is slow
-    value = F.pmod(F.xxhash64(F.lit(seed), F.lit("v"), "place"), F.lit(1 << 53)) / float(1 << 53)
-    return Tensor(places.select(*(c.alias(f"i{k}") for k, c in enumerate(scalars.coordinates(F.col("place"), shape))), value.alias("v")), shape, rows=count)
+    sizes = np.full(-(-total // block), block, np.int64)
+    if total:
+        sizes[-1] = total - block * (len(sizes) - 1)
+    rng = np.random.Generator(np.random.SFC64(np.random.SeedSequence([seed & (2**64 - 1), 0])))
+    found = rng.binomial(sizes, count / max(total, 1))
+    beyond = int(found.sum()) - count
+    if beyond:
+        ends = np.cumsum(found if beyond > 0 else sizes - found)
+        some = np.empty(0, np.int64)
+        while len(some) < abs(beyond):  # the same member may be drawn twice
+            some = np.unique(np.concatenate([some, rng.integers(ends[-1], size=abs(beyond) - len(some))]))
+        found -= (1 if beyond > 0 else -1) * np.bincount(np.searchsorted(ends, some, side="right"), minlength=len(sizes))
+
+    def drawn(number, cells):
+        first = number * block
+        size = min(block, total - first)
+        rng = np.random.Generator(np.random.SFC64(np.random.SeedSequence([seed & (2**64 - 1), 1, number])))
+        taken = rng.integers(0, 2**64, size // 4 + 1, np.uint64).view(np.uint16)[:size] < round(cells / size * 2**16)
+        beyond = int(np.count_nonzero(taken)) - cells
+        if beyond:
+            pool = np.flatnonzero(taken if beyond > 0 else ~taken)
+            taken[pool[rng.choice(len(pool), abs(beyond), replace=False, shuffle=False)]] = beyond < 0
+        rest, index = np.flatnonzero(taken), []
+        rest += first
+        low, high = first, first + size - 1
+        for n in shape[:0:-1]:
+            low, high = low // n, high // n
+            up = rest // n if low < high else low  # most blocks of a wide shape lie in one row
+            index.append(rest - up * n)
+            rest = up if low < high else np.full(cells, low)
+        return first, [rest, *index[::-1]], rng.random(cells)
+
+    table = pa.table({"block": pa.array(np.flatnonzero(found)), "cells": pa.array(found[found > 0])})
+    return spark.createDataFrame(table).repartition(max(1, min(len(table), 4 * partitions(spark)))), drawn
+
+
+def with_density(spark: SparkSession, shape: tuple[int, ...], density: float, seed: int = 0) -> Tensor:
+    """Exactly floor(density * cells) distinct cells with values uniform in [0, 1)."""
+    blocks, drawn = density_blocks(spark, shape, density, seed)
+    names = [f"i{k}" for k in range(len(shape))]
+
+    def cells(batches):
+        for batch in batches:
+            for number, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, index, values = drawn(number, count)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, index), pa.array(values)], [*names, "v"])
+
+    return Tensor(blocks.mapInArrow(cells, ", ".join([*(f"{c} bigint" for c in names), "v double"])), shape, rows=int(density * prod(shape)))
 
 
 def random_index(spark: SparkSession, shape: tuple[int, ...], count: int, seed: int = 0) -> DataFrame:

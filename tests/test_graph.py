@@ -312,6 +312,35 @@ def test_distinct_cells_without_a_row_for_each(spark, monkeypatch):
     assert "Expand" not in plan  # rows of a distinct count
 
 
+def test_density_by_blocks(spark, monkeypatch):
+    """Blocks share out the cells exactly and keep to their own places, so different places are counted without an exchange; if cells stray, with one."""
+    from tensorframe import queries
+
+    monkeypatch.setattr(make, "BLOCK", 64)
+    for shape, share in (((30, 50), 0.5), ((7, 11, 13), 0.03), ((9, 40), 0.97), ((1500,), 0.2)):
+        blocks, drawn = make.density_blocks(spark, shape, share, 5)
+        held = []
+        for number, count in blocks.collect():
+            first, index, values = drawn(number, count)
+            places = np.ravel_multi_index(index, shape)
+            assert first == number * 64 and len(values) == count and (places // 64 == number).all() and ((values >= 0) & (values < 1)).all()
+            held += places.tolist()
+        assert len(held) == len(set(held)) == int(share * np.prod(shape))
+        assert sorted(held) == sorted(int(np.ravel_multi_index(c[:-1], shape)) for c in cells(make.with_density(spark, shape, share, 5)))
+    sf, exact, plain = "/root/testdata/sf0.001", algebra.distinct_cells, make.density_blocks
+    asked = []
+    monkeypatch.setattr(algebra, "distinct_cells", lambda t: asked.append(1) or exact(t))
+    want = queries.QUERIES["s16_with_density"](spark, sf).first()
+    assert not asked and want.cells == want.places and want.every_row
+
+    def strayed(*x):
+        blocks, drawn = plain(*x)
+        return blocks, lambda number, count: (drawn(number, count)[0] + 50, *drawn(number, count)[1:])
+
+    monkeypatch.setattr(make, "density_blocks", strayed)
+    assert queries.QUERIES["s16_with_density"](spark, sf).first() == want and asked
+
+
 def test_static_index(spark):
     import bisect
 
