@@ -327,6 +327,7 @@ def test_density_by_blocks(spark, monkeypatch):
             held += places.tolist()
         assert len(held) == len(set(held)) == int(share * np.prod(shape))
         assert sorted(held) == sorted(int(np.ravel_multi_index(c[:-1], shape)) for c in cells(make.with_density(spark, shape, share, 5)))
+    assert len(cells(make.with_density(spark, (), 1.0))) == 1
     sf, exact, plain = "/root/testdata/sf0.001", algebra.distinct_cells, make.density_blocks
     asked = []
     monkeypatch.setattr(algebra, "distinct_cells", lambda t: asked.append(1) or exact(t))
